@@ -1,6 +1,6 @@
 """Registered queries, one or more per operator of the inventory."""
 
-from curator.catalog import functions, stories, windows  # noqa: F401
+from curator.catalog import functions, joins, stories, windows  # noqa: F401
 from curator.catalog.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
