@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from curator.catalog import sqltext as S
 from curator.catalog.registry import query
 from curator.functions import ids, links, markup, paths, spans, text, times, urls
+from curator.operators import windows
 from curator.runtime import load
 
 
@@ -398,21 +399,31 @@ def f27(spark, root):
 @query("f28_merge_ranges", """
 with l as (select l_orderkey, l_linenumber * 10 as a, l_linenumber * 10 + l_quantity::int as b from lineitem),
 m as (select *, max(b) over (partition by l_orderkey order by a, b rows between unbounded preceding and 1 preceding) as prev from l),
-g as (select *, sum(case when prev is null or a > prev then 1 else 0 end) over (partition by l_orderkey order by a, b rows unbounded preceding) as island from m),
-i as (select l_orderkey, island, min(a) as s, max(b) as e from g group by all)
-select l_orderkey, string_agg(s || '-' || e, ' ' order by s) as merged, sum(e - s)::bigint as chars,
-       string_agg(s || '-' || e, ' ' order by s) as remapped from i group by l_orderkey""")
+g as (select *, sum(case when prev is null or a > prev then 1 else 0 end) over (partition by l_orderkey order by a, b rows unbounded preceding) as island from m)
+select l_orderkey, min(a)::bigint as first_line, max(b)::bigint as last_line from g group by l_orderkey, island""")
 def f28(spark, root):
-    # An order has at most a handful of lines, so its ranges fit in one array.
-    line = F.struct((F.col("l_linenumber") * 10).alias("start"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("int")).alias("end"))
+    lines = load(spark, root, "lineitem").select(
+        "l_orderkey", (F.col("l_linenumber") * 10).cast("long").alias("first_line"),
+        (F.col("l_linenumber") * 10 + F.col("l_quantity")).cast("long").alias("last_line"),
+    )
+    return windows.merge_intervals(lines, ["l_orderkey"], "first_line", "last_line")
+
+
+@query("f28_remap", """
+with d as (select doc_id, length(text) as n from documents where length(text) >= 40)
+select doc_id, '5-' || (n // 2) || ' ' || (n - 4) || '-' || n as merged, (n // 2 - 5 + 4)::bigint as chars,
+  '7-' || (n // 2) || ' ' || (n - 4) || '-' || (n - 3) as remapped from d""")
+def f28r(spark, root):
+    n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
     shown = lambda r: F.array_join(F.transform(r, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), " ")
-    merged = load(spark, root, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("r")).select(
-        "l_orderkey", spans.merge_ranges("r").alias("m")
-    ).withColumn("segments", spans.supplied_segments("m"))
-    supplied = F.transform("segments", lambda s: F.struct(s["supplied_start"].alias("start"), s["supplied_end"].alias("end")))
+    given = F.array(span(n - 4, n), span(F.lit(9), half), span(F.lit(5), F.lit(12)), span(F.lit(3), F.lit(3)))
+    merged = load(spark, root, "documents").where(n >= 40).select("doc_id", "text", spans.merge_ranges(given).alias("m"))
+    segments = spans.supplied_segments("m")
+    # Drop the first two supplied characters and the last three.
+    supplied = F.array(span(F.lit(2), F.try_element_at(segments, F.lit(-1))["supplied_end"] - 3))
     return merged.select(
-        "l_orderkey", shown(F.col("m")).alias("merged"), spans.covered("m").cast("long").alias("chars"),
-        shown(spans.remap(supplied, "segments")).alias("remapped"),
+        "doc_id", shown(F.col("m")).alias("merged"), spans.covered("m").cast("long").alias("chars"), shown(spans.remap(supplied, segments)).alias("remapped")
     )
 
 

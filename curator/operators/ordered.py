@@ -106,32 +106,32 @@ def ordered_scan(
     group = list(group)
     keys = _sortable(df, [*group, *order])
     own_bucket = bucket is None
-    bucket = bucket or "_bucket"
+    bucket = bucket or "_scan_bucket"
     work = df.withColumn(bucket, range_bucket(df, keys)) if own_bucket else df
     inner_order = keys[len(group):]
 
     # One partial-aggregated pass gives what each (bucket, group) piece holds.
-    aggregates = [F.count(F.lit(1)).alias("_n")]
-    aggregates += [F.sum(c).alias(f"_s_{n}") for n, c in sums.items()]
-    aggregates += [F.sum(c).alias(f"_t_{n}") for n, c in totals.items()]
-    aggregates += [F.min(c).alias(f"_m_{n}") for n, c in mins_before.items()]
+    aggregates = [F.count(F.lit(1)).alias("_scan_n")]
+    aggregates += [F.sum(c).alias(f"_scan_s_{n}") for n, c in sums.items()]
+    aggregates += [F.sum(c).alias(f"_scan_t_{n}") for n, c in totals.items()]
+    aggregates += [F.min(c).alias(f"_scan_m_{n}") for n, c in mins_before.items()]
     pieces = work.groupBy(bucket, *group).agg(*aggregates)
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = whole.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carry = pieces.select(
-        F.col(bucket).alias("_b"),
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
-        F.count(F.lit(1)).over(whole).alias("_pieces"),
-        F.sum("_n").over(before).alias("_c_n"),
-        F.sum("_n").over(whole).alias("_z_n"),
-        *[F.sum(f"_s_{n}").over(before).alias(f"_c_s_{n}") for n in sums],
-        *[F.sum(f"_t_{n}").over(whole).alias(f"_z_t_{n}") for n in totals],
-        *[F.min(f"_m_{n}").over(before).alias(f"_c_m_{n}") for n in mins_before],
-    ).where("_pieces > 1")
-
-    on = F.col(bucket) == F.col("_b")
+        F.col(bucket).alias("_scan_b"),
+        *[F.col(g).alias(f"_scan_g{i}") for i, g in enumerate(group)],
+        F.count(F.lit(1)).over(whole).alias("_scan_pieces"),
+        F.sum("_scan_n").over(before).alias("_scan_c_n"),
+        F.sum("_scan_n").over(whole).alias("_scan_z_n"),
+        *[F.sum(f"_scan_s_{n}").over(before).alias(f"_scan_c_s_{n}") for n in sums],
+        *[F.sum(f"_scan_t_{n}").over(whole).alias(f"_scan_z_t_{n}") for n in totals],
+        *[F.min(f"_scan_m_{n}").over(before).alias(f"_scan_c_m_{n}") for n in mins_before],
+    ).where("_scan_pieces > 1")
+
+    on = F.col(bucket) == F.col("_scan_b")
     for i, g in enumerate(group):
-        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+        on = on & F.col(g).eqNullSafe(F.col(f"_scan_g{i}"))
     joined = work.join(F.broadcast(carry), on, "left")
 
     piece = Window.partitionBy(bucket, *group)
@@ -140,15 +140,15 @@ def ordered_scan(
     added = []
     if position:
         added.append((F.row_number().over(piece.orderBy(*inner_order)).cast("long")
-                      + F.coalesce("_c_n", F.lit(0))).alias(position))
+                      + F.coalesce("_scan_c_n", F.lit(0))).alias(position))
     if size:
-        added.append(F.coalesce(F.col("_z_n"), F.count(F.lit(1)).over(piece)).alias(size))
+        added.append(F.coalesce(F.col("_scan_z_n"), F.count(F.lit(1)).over(piece)).alias(size))
     for name, column in sums.items():
         added.append((F.sum(column).over(running)
-                      + F.coalesce(f"_c_s_{name}", F.lit(0))).alias(name))
+                      + F.coalesce(f"_scan_c_s_{name}", F.lit(0))).alias(name))
     for name, column in totals.items():
-        added.append(F.coalesce(F.col(f"_z_t_{name}"), F.sum(column).over(piece)).alias(name))
+        added.append(F.coalesce(F.col(f"_scan_z_t_{name}"), F.sum(column).over(piece)).alias(name))
     for name, column in mins_before.items():
-        added.append(F.least(F.min(column).over(earlier), F.col(f"_c_m_{name}")).alias(name))
+        added.append(F.least(F.min(column).over(earlier), F.col(f"_scan_c_m_{name}")).alias(name))
     kept = [F.col(c) for c in df.columns]
     return joined.select(*kept, *added)

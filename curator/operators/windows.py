@@ -142,3 +142,16 @@ def select_chunks(
         .otherwise(F.col("_used") - F.col("_matched") <= reserve)
     )
     return scanned.where(kept).withColumn("fallback", F.col("_hits") == 0).drop("_score", "_length", "_used", "_matched", "_hits")
+
+
+def merge_intervals(df: DataFrame, group: Sequence[str], start: str, end: str) -> DataFrame:
+    """Disjoint union of half-open ranges per group, one row per merged range.
+
+    The row form of `functions.spans.merge_ranges`, for groups of any size.
+    """
+    solid = df.where(F.col(end) > F.col(start)).select(*group, F.col(start).alias("_a"), F.col(end).alias("_b"))
+    placed = solid.withColumn("_part", range_bucket(solid, [F.col(c) for c in (*group, "_a", "_b")]))
+    reached = ordered_scan(placed, ["_a", "_b"], group, mins_before={"_far": -F.col("_b")}, bucket="_part")
+    opened = reached.withColumn("_opens", (F.col("_far").isNull() | (F.col("_a") > -F.col("_far"))).cast("long"))
+    numbered = ordered_scan(opened, ["_a", "_b"], group, sums={"_island": F.col("_opens")}, bucket="_part")
+    return numbered.groupBy(*group, "_island").agg(F.min("_a").alias(start), F.max("_b").alias(end)).drop("_island")
