@@ -508,5 +508,3 @@ def s11(spark, root):
     due = due_sources(registry, F.col("ts"))
     explicit = due_sources(registry, F.col("ts"), chosen=F.col("event_type") == "error")
     return due.select("source_id").union(explicit.select("source_id")).distinct().withColumnRenamed("source_id", "event_id")
-
-

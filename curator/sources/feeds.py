@@ -237,5 +237,3 @@ def read_feed_entries(raw: DataFrame, limit: int = 80) -> DataFrame:
         plain_text(body, 1000).alias("summary"), F.coalesce(stated, refreshed).alias("observed_at"),
         F.when(F.col("kind").isin("reading", "news"), stated).alias("published_at"), "kind",
     )
-
-
