@@ -69,12 +69,13 @@ def plain_text(c: Column | str, limit: int | None = None) -> Column:
 
 def title_features(c: Column | str) -> Column:
     """Distinct ASCII tokens and CJK bigrams (a lone CJK character is kept)."""
-    title = normalize_title(c)
+    # The runs looked for are broken by everything that normalisation blanks out.
+    title = F.lower(nfkc(c))
     tokens = F.transform(
-        F.regexp_extract_all(title, F.lit(r"([a-z0-9]+)"), F.lit(1)),
+        F.array_distinct(F.regexp_extract_all(title, F.lit(r"([a-z0-9]+)"), F.lit(1))),
         lambda t: F.concat(F.lit("ascii:"), t),
     )
-    runs = F.regexp_extract_all(title, F.lit(r"([\u3400-\u4dbf\u4e00-\u9fff]+)"), F.lit(1))
+    runs = F.array_distinct(F.regexp_extract_all(title, F.lit(r"([\u3400-\u4dbf\u4e00-\u9fff]+)"), F.lit(1)))
     grams = F.flatten(
         F.transform(
             runs,
@@ -86,7 +87,7 @@ def title_features(c: Column | str) -> Column:
             ),
         )
     )
-    return F.array_distinct(F.concat(tokens, grams))
+    return F.concat(tokens, F.array_distinct(grams))
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:

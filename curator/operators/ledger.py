@@ -10,6 +10,7 @@ from curator.functions.times import event_bounds, local_date, local_time, period
 from curator.operators.filters import period_eligible
 from curator.operators.scoring import dedup_verdict
 from curator.operators.windows import event_candidates, representative
+from curator.runtime import materialize
 
 
 def new_entries(batch: DataFrame, log: DataFrame, key: str, content_hash: str) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +78,8 @@ def candidate_query(obs: DataFrame, history: DataFrame, ranking_type: str, perio
     keyed = eligible.withColumn(
         "event_key", F.coalesce("event_url", F.when(F.col("kind") == "news", F.col("page_url")), F.lit(""))
     )
-    effective = event_candidates(keyed, ["canonical_url", "kind", "event_key"])
+    # Candidates are read by several joins and a scan; computing them is the costly part.
+    effective = materialize(event_candidates(keyed, ["canonical_url", "kind", "event_key"]), "candidates")
     judged = dedup_verdict(
         effective.withColumn("row_id", F.concat_ws("|", "canonical_url", "kind", "event_key")).withColumn(
             "reported_url", F.coalesce("event_url", F.when(F.col("kind") == "news", F.col("page_url")))

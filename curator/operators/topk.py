@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curator.functions.paths import file_name, parts, preference_key, stem, suffix
 from curator.operators.ordered import ordered_scan
+from curator.runtime import materialize
 
 
 def top_n(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
@@ -54,6 +55,8 @@ def round_robin(df: DataFrame, limit: int) -> DataFrame:
         # One entry per configured source at most.
         F.array_sort(F.collect_set("source")).alias("sources"),
     ).select("identity", "f.turn", "f.source", "f.is_known", "sources")
+    # The second scan reads its input several times: keep the first one's result.
+    first = materialize(first, "round-robin")
     counted = ordered_scan(first, ["turn", "source", "identity"], sums={"new_so_far": (~F.col("is_known")).cast("long")})
     return counted.where(F.col("is_known") | (F.col("new_so_far") <= limit))
 

@@ -94,13 +94,13 @@ MANIFEST = T.StructType([
 ])
 
 
-def read_manifests(spark: SparkSession, root: str, start: str, days: int) -> DataFrame:
+def read_manifests(spark: SparkSession, root: str, start: str, days: int, multi_line: bool = True) -> DataFrame:
     """Run manifests of a date window from `root/dt=YYYY-MM-DD/`; absent days are absent rows.
 
     The window filters the partition column, so other days are not read.
     """
     first = F.lit(start).cast("date")
-    return spark.read.schema(MANIFEST).json(root, multiLine=True).where((F.col("dt") >= first) & (F.col("dt") < F.date_add(first, days)))
+    return spark.read.schema(MANIFEST).json(root, multiLine=multi_line).where((F.col("dt") >= first) & (F.col("dt") < F.date_add(first, days)))
 
 
 def manifest_days(manifests: DataFrame) -> DataFrame:

@@ -34,7 +34,8 @@ SCHEMAS = {
 DISCOVERY_TYPES = ("rss", "show_hn", "hf_models", "hf_spaces")
 
 
-def _rules(kind: str) -> list[Rule]:
+def rules(kind: str) -> list[Rule]:
+    """Rules of one kind of registry: ranking, release or discovery."""
     if kind == "ranking":
         from curator.sources.feeds import READERS
 
@@ -69,7 +70,7 @@ def load_registry(spark: SparkSession, rows: list[dict], kind: str) -> tuple[Dat
     schema = T.StructType([*SCHEMAS[kind].fields, T.StructField("ord", T.IntegerType())])
     names = [f.name for f in schema][:-1]
     table = spark.createDataFrame([tuple(r.get(n) for n in names) + (i,) for i, r in enumerate(rows)], schema)
-    broken = validate(table, ["id"], _rules(kind))
+    broken = validate(table, ["id"], rules(kind))
     twice = table.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
         "id", F.lit("id").alias("path"), F.lit("repeated").alias("code"), F.lit("source ids must be unique").alias("message")
     )
