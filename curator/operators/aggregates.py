@@ -159,13 +159,14 @@ def coverage(batches: DataFrame, start: Column, end: Column) -> DataFrame:
 
 def ledger_status(obs: DataFrame, batches: DataFrame, issues: DataFrame) -> DataFrame:
     """One row: size of the ledger and its last collection."""
-    one = lambda df: F.broadcast(df)  # global aggregates are single rows
-    seen = obs.agg(F.count_distinct("canonical_url").alias("candidate_count"), F.count(F.lit(1)).alias("observation_count"))
-    runs = batches.agg(
-        F.count(F.lit(1)).alias("batch_count"), F.max("collected_at").alias("last_collected_at"),
-        F.count_distinct("local_date").alias("collection_dates"),
-    )
-    return seen.join(one(runs)).join(one(issues.agg(F.count(F.lit(1)).alias("issue_count"))))
+    return obs.agg(
+        F.count_distinct("canonical_url").alias("candidate_count"), F.count(F.lit(1)).alias("observation_count")
+    ).withColumns({
+        "batch_count": batches.agg(F.count(F.lit(1))).scalar(),
+        "last_collected_at": batches.agg(F.max("collected_at")).scalar(),
+        "collection_dates": batches.agg(F.count_distinct("local_date")).scalar(),
+        "issue_count": issues.agg(F.count(F.lit(1))).scalar(),
+    })
 
 
 def candidate_counts(candidates: DataFrame, *by: str) -> DataFrame:
@@ -201,17 +202,13 @@ def threshold_scan(rows: DataFrame, score: Column, allowed: Column, actual: Colu
     passed = F.when(allowed & score.isNotNull(), F.floor((score - low) / step) + 1).otherwise(0)
     level = F.greatest(F.lit(0), F.least(F.lit(steps), passed)).cast("int")
     counts = rows.groupBy(level.alias("level"), actual.alias("actual")).agg(F.count(F.lit(1)).alias("n"))
-    thresholds = rows.sparkSession.range(steps).select((F.col("id") + 1).alias("i"), (F.col("id") * step + low).alias("threshold"))
-    # Both sides are bounded by the number of thresholds.
-    merged = thresholds.join(F.broadcast(counts)).groupBy("threshold").agg(
-        *[
-            F.sum(F.when((F.col("level") >= F.col("i")) == p, F.when(F.col("actual") == a, F.col("n")).otherwise(0)).otherwise(0)).alias(name)
-            for name, p, a in (
-                ("true_positive", True, True), ("false_positive", True, False),
-                ("false_negative", False, True), ("true_negative", False, False),
-            )
-        ]
-    )
+    cells = (("true_positive", True, True), ("false_positive", True, False), ("false_negative", False, True), ("true_negative", False, False))
+    at = lambda i, p, a: F.coalesce(F.sum(F.when(((F.col("level") >= i) == p) & (F.col("actual") == a), F.col("n"))), F.lit(0))
+    table = F.array(*[
+        F.struct(F.lit(low + (i - 1) * step).cast("long").alias("threshold"), *[at(i, p, a).alias(name) for name, p, a in cells])
+        for i in range(1, steps + 1)
+    ])
+    merged = counts.agg(table.alias("t")).select(F.inline("t"))
     share = lambda other: F.try_divide(F.col("true_positive").cast("double"), F.col("true_positive") + F.col(other))
     return merged.withColumn("precision", share("false_positive")).withColumn("recall", share("false_negative"))
 
@@ -282,14 +279,14 @@ def admission(log: DataFrame) -> DataFrame:
         F.count_if(F.col("mode") == "discovered").alias("discovered_runs"), F.count_if(F.col("positive")).alias("positive_feedback_runs"),
     )
     errors = log.where((F.col("event") == "learning_review_failed") & (F.col("error_class") == "dual_evidence")).agg(
-        F.count_distinct("run_id", "attempt_sha256").alias("dual_evidence_errors")
+        F.count_distinct("run_id", "attempt_sha256")
     )
     unmet = reasons(
         (F.col("completed_runs") < 10, "completed_runs<10"), (F.col("nominated_runs") < 3, "nominated_runs<3"),
         (F.col("discovered_runs") < 3, "discovered_runs<3"), (F.col("positive_feedback_runs") < 6, "positive_feedback_runs<6"),
         (F.col("dual_evidence_errors") > 1, "dual_evidence_errors>1"),
     )
-    return counted.join(F.broadcast(errors)).withColumn("unmet_requirements", unmet).withColumn(
+    return counted.withColumn("dual_evidence_errors", errors.scalar()).withColumn("unmet_requirements", unmet).withColumn(
         "eligible_for_automation", F.size("unmet_requirements") == 0
     )
 

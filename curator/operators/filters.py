@@ -123,8 +123,8 @@ def linked_stories(members: DataFrame, stories: DataFrame) -> DataFrame:
 
 def ranking_gate(good_sources: DataFrame, linked: DataFrame, minimum: int = 3) -> DataFrame:
     """One row: may the run be published, and if not, why?"""
-    counts = good_sources.agg(F.count_distinct("source_id").alias("good_sources")).join(
-        F.broadcast(linked.agg(F.count(F.lit(1)).alias("linked_events")))
+    counts = good_sources.agg(F.count_distinct("source_id").alias("good_sources")).withColumn(
+        "linked_events", linked.agg(F.count(F.lit(1))).scalar()
     )
     why = reasons(
         (F.col("good_sources") < minimum, F.format_string("only %d sources succeeded", "good_sources")),
@@ -136,20 +136,18 @@ def ranking_gate(good_sources: DataFrame, linked: DataFrame, minimum: int = 3) -
 def cooled_down(df: DataFrame, log: DataFrame, key: str, at: str, days: int) -> DataFrame:
     """Rows whose key had no success in the `days` days up to their time.
 
-    Keeps only what decides it: per (key, UTC day) the last success. A row asks
-    for its own day and the `days` days before, so a busy key meets few rows.
+    The log is reduced to one row per key and day before it is joined, so a busy
+    key costs its rows once and nothing is multiplied.
     """
     width = days * 86_400_000_000
-    success = log.groupBy(key, F.to_date(at).alias("_day")).agg(F.max(F.unix_micros(at)).alias("_last"), F.min(F.unix_micros(at)).alias("_first"))
-    # Whole days strictly between the ends always count; the end days are compared exactly.
-    near = success.select(key, F.explode(F.sequence("_day", F.date_add("_day", days))).alias("_ask"), "_day", "_last", "_first")
-    asked = df.withColumn("_ask", F.to_date(at))
-    hit = (
-        asked.alias("a").join(near.alias("n"), [key, "_ask"])
-        .where(
-            (F.unix_micros(F.col(f"a.{at}")) - F.col("n._last") <= width)
-            & ((F.col("n._day") < F.col("_ask")) | (F.col("n._first") < F.unix_micros(F.col(f"a.{at}"))))
-        )
+    moment = F.unix_micros(at)
+    success = log.groupBy(key, F.to_date(at).alias("_day")).agg(F.max(moment).alias("_last"), F.min(moment).alias("_first"))
+    # What a row of day `_ask` must know: the last success of the days before,
+    # and the first one of its own day. One row per key and day.
+    near = success.withColumn("_ask", F.explode(F.sequence("_day", F.date_add("_day", days)))).groupBy(key, "_ask").agg(
+        F.max(F.when(F.col("_day") < F.col("_ask"), F.col("_last"))).alias("_before"),
+        F.min(F.when(F.col("_day") == F.col("_ask"), F.col("_first"))).alias("_same"),
     )
-    identity = [c for c in df.columns]
-    return asked.join(hit.select(*[F.col(f"a.{c}").alias(c) for c in identity]).distinct(), identity, "left_anti").drop("_ask")
+    blocked = (moment - F.col("_before") <= width) | (F.col("_same") < moment)
+    joined = df.withColumn("_ask", F.to_date(at)).join(near, [key, "_ask"], "left")
+    return joined.where(~F.coalesce(blocked, F.lit(False))).select(*df.columns)

@@ -328,7 +328,7 @@ def fit_budget(df: DataFrame, columns: Sequence[str], budget: int, overhead: Col
         (F.sum(overhead + sum((F.coalesce(cut(c, n), F.lit(0)) for c in columns), F.lit(0)))).alias(f"s{i}") for i, n in enumerate(steps)
     ])
     chosen = F.coalesce(*[F.when(F.col(f"s{i}") <= budget, F.lit(i)) for i in range(len(steps))])
-    step = sizes.select(chosen.alias("_step"))  # one row
+    step = sizes.select(chosen.alias("_step")).scalar()
 
     def shortened(c: str) -> Column:
         out = F.lit(None).cast("string")
@@ -337,4 +337,4 @@ def fit_budget(df: DataFrame, columns: Sequence[str], budget: int, overhead: Col
             out = F.when(F.col("_step") == i, value).otherwise(out)
         return out
 
-    return df.join(F.broadcast(step)).select(*[c for c in df.columns if c not in columns], *[shortened(c).alias(c) for c in columns])
+    return df.withColumn("_step", step).select(*[c for c in df.columns if c not in columns], *[shortened(c).alias(c) for c in columns])

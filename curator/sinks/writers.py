@@ -28,10 +28,10 @@ def run_manifest(sources: DataFrame, stages: dict[str, DataFrame], gaps: DataFra
         F.count_if(F.col("error").isNull()).alias("successful_sources"), F.count_if(F.col("error").isNotNull()).alias("failed_sources")
     )
     for name, stage in stages.items():
-        counts = counts.join(F.broadcast(stage.agg(F.count(F.lit(1)).alias(f"{name}_count"))))
+        counts = counts.withColumn(f"{name}_count", stage.agg(F.count(F.lit(1))).scalar())
     open_gaps = F.lit(0).cast("long")
     if gaps is not None:
-        counts = counts.join(F.broadcast(gaps.agg(F.count(F.lit(1)).alias("known_gaps"))))
+        counts = counts.withColumn("known_gaps", gaps.agg(F.count(F.lit(1))).scalar())
         open_gaps = F.col("known_gaps")
     status = (
         F.when(F.lit(review_error is not None), "review_failed").when(F.col("successful_sources") == 0, "failed")

@@ -32,10 +32,10 @@ def land_or_replay(registry: DataFrame, landed: DataFrame, dt: str, config: Colu
     config = F.lit(config) if isinstance(config, str) else config
     good = landed.where((F.col("dt") == dt) & (F.col("status") == "ok") & (F.col("config_hash") == config)).select("source_id", "body")
     joined = registry.join(good, "source_id", "left")
-    absent = joined.agg(F.count_if(F.col("body").isNull()).alias("_absent"))
-    return joined.join(F.broadcast(absent)).withColumn("action", F.when(F.col("_absent") == 0, "reuse").otherwise("fetch")).withColumn(
+    absent = joined.agg(F.count_if(F.col("body").isNull())).scalar()
+    return joined.withColumn("action", F.when(absent == 0, "reuse").otherwise("fetch")).withColumn(
         "body", F.when(F.col("action") == "reuse", F.col("body"))
-    ).drop("_absent")
+    )
 
 
 def latest_receipts(fetch_log: DataFrame, key: Sequence[str] = ("url",)) -> DataFrame:
