@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SAMPLE_PER_RANGE = 64
+# A range below this many rows is not worth a cut; above the second, ranges are added.
+_MIN_RANGE_ROWS = 20_000
+_MAX_RANGE_ROWS = 5_000_000
+_MAX_RANGES = 4096
 
 
 def _sortable(df: DataFrame, order: Sequence[Column | str]) -> list[Column]:
@@ -45,21 +49,26 @@ def _pick(bounds: list[Column], key: Column, low: int, high: int) -> Column:
     )
 
 
-def range_bucket(df: DataFrame, keys: Sequence[Column], buckets: int | None = None) -> Column:
+def _range_count(df: DataFrame, rows: int) -> int:
+    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    most = max(parallel, min(_MAX_RANGES, rows // _MAX_RANGE_ROWS))
+    return max(1, min(most, -(-rows // _MIN_RANGE_ROWS)))
+
+
+def range_bucket(df: DataFrame, keys: Sequence[Column]) -> Column | None:
     """A bucket number that follows the order of `keys` with balanced buckets.
 
-    Boundaries come from a bounded sample of the keys (64 per bucket). They only
-    decide how work is split: results do not depend on which rows were sampled.
+    None when the rows fit one range. Boundaries come from a bounded sample of
+    the keys (64 per bucket). They only decide how work is split: results do not
+    depend on which rows were sampled.
     """
-    spark = df.sparkSession
-    if buckets is None:
-        buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
     keyed = df.select(key.alias("k"))
     rows = keyed.count()
+    buckets = _range_count(df, rows)
+    if buckets == 1:
+        return None
     wanted = buckets * _SAMPLE_PER_RANGE
-    if rows <= buckets:
-        return F.lit(0)
     if rows > wanted:
         keyed = keyed.sample(min(1.0, 1.2 * wanted / rows), seed=17)
     sample = [r["k"] for r in keyed.orderBy("k").collect()]
@@ -74,7 +83,13 @@ def range_bucket(df: DataFrame, keys: Sequence[Column], buckets: int | None = No
         bounds.append(
             F.struct(*[F.lit(v).cast(t.dataType).alias(t.name) for v, t in zip(values, types)])
         )
-    return _pick(bounds, key, 0, len(bounds))
+    return _pick(bounds, key, 0, len(bounds)) if bounds else None
+
+
+def with_ranges(df: DataFrame, keys: Sequence[Column], name: str) -> tuple[DataFrame, str | bool]:
+    """`df` with its bucket column, and what to pass as `bucket` to several scans of it."""
+    bucket = range_bucket(df, keys)
+    return (df, False) if bucket is None else (df.withColumn(name, bucket), name)
 
 
 def ordered_scan(
@@ -87,7 +102,7 @@ def ordered_scan(
     sums: dict[str, Column] | None = None,
     totals: dict[str, Column] | None = None,
     mins_before: dict[str, Column] | None = None,
-    bucket: str | None = None,
+    bucket: str | bool | None = None,
 ) -> DataFrame:
     """Add running values of each group in ascending `order`.
 
@@ -96,19 +111,33 @@ def ordered_scan(
     sums          name -> value: running sum including the row
     totals        name -> value: sum over the whole group
     mins_before   name -> value: minimum over the rows strictly before the row
-    bucket        name of an existing column made by `range_bucket`, to reuse it
+    bucket        second result of `with_ranges`, to scan the same ranges again
 
     Descending numeric order is asked for with a negated key. `order` must be a
     total order inside each group for the result to be deterministic.
     """
     sums, totals, mins_before = sums or {}, totals or {}, mins_before or {}
-    spark = df.sparkSession
     group = list(group)
     keys = _sortable(df, [*group, *order])
-    own_bucket = bucket is None
-    bucket = bucket or "_scan_bucket"
-    work = df.withColumn(bucket, range_bucket(df, keys)) if own_bucket else df
+    kept = [F.col(c) for c in df.columns]
+    work = df
+    if bucket is None:
+        work, bucket = with_ranges(df, keys, "_scan_bucket")
     inner_order = keys[len(group):]
+    split = [bucket] if bucket else []
+    piece = Window.partitionBy(*split, *group) if split or group else Window.partitionBy(F.lit(0))
+    running = piece.orderBy(*inner_order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = piece.orderBy(*inner_order).rowsBetween(Window.unboundedPreceding, -1)
+    if not bucket:
+        # Few rows in all: one range, nothing to carry.
+        return work.select(
+            *kept,
+            *([F.row_number().over(piece.orderBy(*inner_order)).cast("long").alias(position)] if position else []),
+            *([F.count(F.lit(1)).over(piece).alias(size)] if size else []),
+            *[F.sum(c).over(running).alias(n) for n, c in sums.items()],
+            *[F.sum(c).over(piece).alias(n) for n, c in totals.items()],
+            *[F.min(c).over(earlier).alias(n) for n, c in mins_before.items()],
+        )
 
     # One partial-aggregated pass gives what each (bucket, group) piece holds.
     aggregates = [F.count(F.lit(1)).alias("_scan_n")]
@@ -134,9 +163,6 @@ def ordered_scan(
         on = on & F.col(g).eqNullSafe(F.col(f"_scan_g{i}"))
     joined = work.join(F.broadcast(carry), on, "left")
 
-    piece = Window.partitionBy(bucket, *group)
-    running = piece.orderBy(*inner_order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = piece.orderBy(*inner_order).rowsBetween(Window.unboundedPreceding, -1)
     added = []
     if position:
         added.append((F.row_number().over(piece.orderBy(*inner_order)).cast("long")
@@ -150,5 +176,4 @@ def ordered_scan(
         added.append(F.coalesce(F.col(f"_scan_z_t_{name}"), F.sum(column).over(piece)).alias(name))
     for name, column in mins_before.items():
         added.append(F.least(F.min(column).over(earlier), F.col(f"_scan_c_m_{name}")).alias(name))
-    kept = [F.col(c) for c in df.columns]
     return joined.select(*kept, *added)

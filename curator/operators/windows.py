@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curator.functions.times import event_bounds
-from curator.operators.ordered import ordered_scan, range_bucket
+from curator.operators.ordered import ordered_scan, with_ranges
 
 
 def latest(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -102,12 +102,11 @@ def take_budget(df: DataFrame, length: Column | str, budget: int, order: Sequenc
 def fair_share(df: DataFrame, length: Column | str, budget: int, order: Sequence[str], group: Sequence[str]) -> DataFrame:
     """Characters granted to each row: an equal share, unused shares in order."""
     length = F.col(length) if isinstance(length, str) else length
-    keys = [F.col(c) for c in (*group, *order)]
-    placed = df.withColumn("_part", range_bucket(df, keys)).withColumn("_need", length.cast("long"))
-    counted = ordered_scan(placed, order, group, size="_rows", bucket="_part")
+    placed, part = with_ranges(df.withColumn("_need", length.cast("long")), [F.col(c) for c in (*group, *order)], "_part")
+    counted = ordered_scan(placed, order, group, size="_rows", bucket=part)
     based = counted.withColumn("_base", F.least("_need", F.floor(F.lit(budget) / F.col("_rows")).cast("long")))
     wanted = F.col("_need") - F.col("_base")
-    scanned = ordered_scan(based, order, group, sums={"_asked": wanted}, totals={"_given": F.col("_base")}, bucket="_part")
+    scanned = ordered_scan(based, order, group, sums={"_asked": wanted}, totals={"_given": F.col("_base")}, bucket=part)
     left = F.lit(budget) - F.col("_given") - (F.col("_asked") - wanted)
     extra = F.greatest(F.lit(0), F.least(wanted, left))
     return scanned.withColumn("granted", F.col("_base") + extra).drop("_part", "_need", "_rows", "_base", "_asked", "_given")
@@ -150,8 +149,8 @@ def merge_intervals(df: DataFrame, group: Sequence[str], start: str, end: str) -
     The row form of `functions.spans.merge_ranges`, for groups of any size.
     """
     solid = df.where(F.col(end) > F.col(start)).select(*group, F.col(start).alias("_a"), F.col(end).alias("_b"))
-    placed = solid.withColumn("_part", range_bucket(solid, [F.col(c) for c in (*group, "_a", "_b")]))
-    reached = ordered_scan(placed, ["_a", "_b"], group, mins_before={"_far": -F.col("_b")}, bucket="_part")
+    placed, part = with_ranges(solid, [F.col(c) for c in (*group, "_a", "_b")], "_part")
+    reached = ordered_scan(placed, ["_a", "_b"], group, mins_before={"_far": -F.col("_b")}, bucket=part)
     opened = reached.withColumn("_opens", (F.col("_far").isNull() | (F.col("_a") > -F.col("_far"))).cast("long"))
-    numbered = ordered_scan(opened, ["_a", "_b"], group, sums={"_island": F.col("_opens")}, bucket="_part")
+    numbered = ordered_scan(opened, ["_a", "_b"], group, sums={"_island": F.col("_opens")}, bucket=part)
     return numbered.groupBy(*group, "_island").agg(F.min("_a").alias(start), F.max("_b").alias(end)).drop("_island")

@@ -73,6 +73,11 @@ def main(argv):
     import __spark_entry__ as entry
     from curator.runtime import local_session
 
+    if os.environ.get("CURATOR_SMALL_RANGES"):
+        # Cut even small tables into several ranges, as large ones are.
+        from curator.operators import ordered
+
+        ordered._MIN_RANGE_ROWS = 500
     sf = "0.01"
     if argv[:1] == ["--sf"]:
         sf, argv = argv[1], argv[2:]

@@ -27,3 +27,11 @@ def one(spark):
         return row.select(column.alias("x")).collect()[0]["x"]
 
     return run
+
+
+@pytest.fixture
+def small_ranges(monkeypatch):
+    """Cut even small inputs into several ranges, as large inputs are."""
+    from curator.operators import ordered
+
+    monkeypatch.setattr(ordered, "_MIN_RANGE_ROWS", 50)

@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from curator.operators.ordered import ordered_scan
+from curator.operators.ordered import ordered_scan, range_bucket
 from curator.operators.windows import fair_share, merge_intervals, select_chunks, take_budget
 
+pytestmark = pytest.mark.usefixtures("small_ranges")
+
 
 @pytest.mark.parametrize("hot", [0.0, 0.4, 1.0])
 def test_running_values(spark, hot):
@@ -33,6 +35,18 @@ def test_one_group_is_split(spark):
     df = spark.range(5000).select(F.lit("hot").alias("g"), F.col("id"))
     plan_parts = ordered_scan(df, ["id"], ["g"], position="p").select(F.max("p"), F.count_distinct("p")).collect()[0]
     assert tuple(plan_parts) == (5000, 5000)
+    sizes = df.groupBy(range_bucket(df, [F.col("g"), F.col("id")]).alias("b")).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 1300
+
+
+def test_few_rows_need_no_ranges(spark, monkeypatch):
+    from curator.operators import ordered
+
+    monkeypatch.setattr(ordered, "_MIN_RANGE_ROWS", 20_000)
+    df = spark.range(300).select((F.col("id") % 3).alias("g"), "id")
+    assert range_bucket(df, [F.col("id")]) is None
+    out = ordered_scan(df, ["id"], ["g"], position="p", size="n", sums={"s": F.lit(2)}, totals={"t": F.lit(1)}, mins_before={"m": F.col("id")})
+    assert out.where("p = 100 and n = 100 and s = 200 and t = 100 and m = g").count() == 3
 
 
 def test_null_groups_and_timestamps(spark):
