@@ -16,6 +16,7 @@ from curator.functions.expr import reasons
 from curator.functions.ids import story_id
 from curator.functions.text import normalize_title
 from curator.functions.urls import normalize_url
+from curator.operators.cells import cells
 from curator.operators.ordered import ordered_scan
 
 
@@ -303,19 +304,17 @@ def status_histogram(jobs: DataFrame, status: str = "status") -> DataFrame:
     return jobs.groupBy(status).agg(F.count(F.lit(1)).alias("jobs"))
 
 
-def fact_coverage(lines: DataFrame, gold: DataFrame, keys: Sequence[str], cell: int = 64) -> DataFrame:
+def fact_coverage(lines: DataFrame, gold: DataFrame, keys: Sequence[str]) -> DataFrame:
     """For each gold line range: lines covered by the selection, and is it a hit?
 
     lines: keys, line; gold: keys, fact_id, line_start, line_end, critical.
-    Lines and ranges meet on coarse cells, an equi key.
+    Selected lines are masks per file and cell; a range counts the common bits.
     """
-    seen = lines.select(*keys, "line").distinct().withColumn("_cell", F.floor(F.col("line") / cell))
-    asked = gold.select(
-        *keys, "fact_id", "line_start", "line_end",
-        F.explode(F.sequence(F.floor(F.col("line_start") / cell), F.floor(F.col("line_end") / cell))).alias("_cell"),
-    )
-    covered = asked.join(seen, [*keys, "_cell"]).where("line between line_start and line_end").groupBy("fact_id").agg(
-        F.count(F.lit(1)).alias("covered_lines")
+    touched = lambda df, a, b: df.withColumn("_c", F.explode(cells(F.col(a), F.col(b)))).withColumn("_cell", F.col("_c.cell"))
+    seen = touched(lines, "line", "line").groupBy(*keys, "_cell").agg(F.bit_or(F.col("_c.mask")).alias("_seen"))
+    asked = touched(gold, "line_start", "line_end").select(*keys, "fact_id", "_cell", F.col("_c.mask").alias("_asked"))
+    covered = asked.join(seen, [*keys, "_cell"]).groupBy("fact_id").agg(
+        F.sum(F.bit_count(F.col("_seen").bitwiseAND(F.col("_asked")))).alias("covered_lines")
     )
     required = F.col("line_end") - F.col("line_start") + 1
     return (

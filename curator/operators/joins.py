@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curator.functions.text import normalize_evidence
+from curator.operators.cells import cells
 from curator.operators.ordered import ordered_scan
-from curator.operators.windows import merge_intervals
 
 
 def with_source(df: DataFrame, sources: DataFrame, key: str) -> DataFrame:
@@ -175,29 +175,26 @@ def _path_suffix_join(observed: DataFrame, required: DataFrame, keys: Sequence[s
     ).drop("_name")
 
 
-def match_evidence(pred: DataFrame, gold: DataFrame, keys: Sequence[str] = ("project_id",), cell: int = 64) -> DataFrame:
+def match_evidence(pred: DataFrame, gold: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
     """Gold evidence that some predicted evidence hits.
 
     Same project and path suffix, then the same symbol or overlapping lines.
-    Predicted ranges are merged per file and meet gold ranges on coarse cells
-    (an equi key), so a busy file does not compare all of its ranges; the symbol
-    is an equi key of its own.
+    Predicted lines are masks per file and cell, so a busy file does not compare
+    all of its ranges; the symbol is an equi key of its own.
     pred: keys, path, line_start, line_end, symbol; gold: gold_id, the same.
     """
-    p = pred.select(*keys, _path(F.col("path")).alias("path"), "line_start", (F.col("line_end") + 1).alias("line_stop"), F.col("symbol").alias("_symbol"))
-    g = gold.select(*keys, "path", "gold_id", F.col("line_start").alias("g_start"), F.col("line_end").alias("g_end"), F.col("symbol").alias("_symbol"))
+    p = pred.select(*keys, _path(F.col("path")).alias("path"), "line_start", "line_end", F.col("symbol").alias("_symbol"))
+    g = gold.select(*keys, "path", "gold_id", "line_start", "line_end", F.col("symbol").alias("_symbol"))
     by_symbol = _path_suffix_join(
         p.where("coalesce(_symbol, '') <> ''").select(*keys, "path", "_symbol").distinct(),
         g.where("coalesce(_symbol, '') <> ''"), [*keys, "_symbol"],
     ).select("gold_id")
-    # A range overlaps some predicted range exactly when it overlaps their union.
-    union = merge_intervals(p, [*keys, "path"], "line_start", "line_stop").withColumn("p_end", F.col("line_stop") - 1)
-    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))).alias("_cell")
-    by_line = _path_suffix_join(
-        union.select(*keys, "path", F.col("line_start").alias("p_start"), "p_end", cells("line_start", "p_end")),
-        g.where("g_start <= g_end").select(*keys, "path", "gold_id", "g_start", "g_end", cells("g_start", "g_end")),
-        [*keys, "_cell"],
-    ).where("p_start <= g_end and p_end >= g_start").select("gold_id")
+    touched = lambda df: df.withColumn("_c", F.explode(cells(F.col("line_start"), F.col("line_end")))).withColumn("_cell", F.col("_c.cell"))
+    covered = touched(p).groupBy(*keys, "path", "_cell").agg(F.bit_or(F.col("_c.mask")).alias("_covered"))
+    asked = touched(g).select(*keys, "path", "gold_id", "_cell", F.col("_c.mask").alias("_asked"))
+    by_line = _path_suffix_join(covered, asked, [*keys, "_cell"]).where(
+        F.col("_covered").bitwiseAND(F.col("_asked")) != 0
+    ).select("gold_id")
     return by_symbol.unionByName(by_line).distinct()
 
 

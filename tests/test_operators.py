@@ -147,3 +147,20 @@ def test_merge_and_sets(spark):
 def test_exact_median(spark):
     df = spark.createDataFrame([("a", float(i)) for i in (5, 1, 9, 3)] + [("b", 2.0), ("b", None), ("b", 7.0), ("b", 4.0)], "g string, v double")
     assert {r["g"]: r["median"] for r in aggregates.exact_median(df, ["g"], "v").collect()} == {"a": 4.0, "b": 4.0}
+
+
+def test_line_cells(spark):
+    """Coverage by masks against plain sets, ranges over several cells included."""
+    import random
+
+    rng = random.Random(3)
+    lines = [(rng.choice("ab"), rng.randrange(400)) for _ in range(500)]
+    facts = [(rng.choice("ab"), i, s := rng.randrange(400), s + rng.randrange(150), i % 2 == 0) for i in range(60)]
+    out = aggregates.fact_coverage(
+        spark.createDataFrame(lines, "file string, line int"), spark.createDataFrame(facts, "file string, fact_id int, line_start int, line_end int, critical boolean"), ["file"]
+    )
+    held = set(lines)
+    got = {r["fact_id"]: (r["covered_lines"], r["hit"]) for r in out.collect()}
+    for f, i, a, b, _ in facts:
+        n = sum((f, x) in held for x in range(a, b + 1))
+        assert got[i] == (n, n == b - a + 1)
