@@ -51,8 +51,12 @@ def window_state(published_at: Column, now: Column, hours: Column | int) -> Colu
 
 
 def window_filter(df: DataFrame, published_at: str, now: Column, hours: int) -> DataFrame:
-    """Rows inside the window; an unknown date is kept for later review."""
-    return df.where(window_state(F.col(published_at), now, hours).isin("inside", "unknown"))
+    """Rows inside the window; an unknown date is kept for later review.
+
+    Plain comparisons, so that a constant window is filtered in the scan.
+    """
+    at = F.col(published_at)
+    return df.where(at.isNull() | ((at <= now) & (at >= now - F.expr(f"INTERVAL {hours} HOURS"))))
 
 
 def period_eligible(

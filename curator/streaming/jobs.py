@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from curator import constants as K
 from curator.functions.times import period_of
-from curator.operators.filters import cooled_down, window_state
+from curator.operators.filters import cooled_down, window_filter, window_state
 from curator.operators.ledger import period_label
 from curator.streaming.core import append_table, each_batch, write_updates
 
@@ -192,7 +192,9 @@ def stream_lookback(stream: DataFrame, source_state: DataFrame, path: str, check
     hours = source_state.select(
         source, F.when((F.col("status") == "failed") & recent, K.FALLBACK_HOURS).otherwise(K.LOOKBACK_HOURS).alias("lookback_hours")
     )
-    joined = stream.join(hours, source, "left").fillna({"lookback_hours": K.LOOKBACK_HOURS})
+    # No source looks back further than the fallback: this much the scan can skip.
+    recent_rows = window_filter(stream, at, now, K.FALLBACK_HOURS)
+    joined = recent_rows.join(hours, source, "left").fillna({"lookback_hours": K.LOOKBACK_HOURS})
     kept = joined.where(window_state(F.col(at), now, F.col("lookback_hours")).isin("inside", "unknown"))
     return append_table(kept, path, checkpoint)
 
