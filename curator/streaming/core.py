@@ -9,6 +9,7 @@ under `batch=<id>`, so a replayed batch overwrites itself.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,18 @@ def _finish(writer, checkpoint: str):
     return query
 
 
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """The state store that keyed folds need (column families), for one job."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def append_table(stream: DataFrame, path: str, checkpoint: str):
     """Append a stateless or deduplicated stream to a parquet table."""
     return _finish(stream.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint)

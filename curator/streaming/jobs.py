@@ -12,7 +12,7 @@ from curator import constants as K
 from curator.functions.times import period_of
 from curator.operators.filters import cooled_down, window_filter, window_state
 from curator.operators.ledger import period_label
-from curator.streaming.core import append_table, each_batch, write_updates
+from curator.streaming.core import append_table, each_batch, keyed_state, write_updates
 
 
 def stream_ingest(stream: DataFrame, path: str, checkpoint: str, key: str, content_hash: str):
@@ -27,6 +27,7 @@ def stream_ingest(stream: DataFrame, path: str, checkpoint: str, key: str, conte
     def handle(batch: DataFrame, batch_id: int) -> None:
         from curator.streaming.core import previous_state
 
+        batch = batch.persist()  # read three times below
         log = previous_state(spark, f"{path}/log", batch_id, schema).groupBy(key).agg(F.min(content_hash).alias("_held"))
         # The first content of a key inside the batch is its content.
         first = batch.groupBy(key).agg(F.min(content_hash).alias("_first"))
@@ -35,6 +36,7 @@ def stream_ingest(stream: DataFrame, path: str, checkpoint: str, key: str, conte
         clash = judged.where(F.col(content_hash) != F.col("_valid"))
         fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
         clash.select(key, content_hash, F.col("_valid").alias("recorded_hash")).write.mode("overwrite").parquet(f"{path}/conflicts/batch={batch_id}")
+        batch.unpersist()
 
     return each_batch(stream.dropDuplicates([key, content_hash]), handle, checkpoint)
 
@@ -114,7 +116,8 @@ def stream_gaps(polls: DataFrame, path: str, checkpoint: str):
     gaps = polls.groupBy("source_id").transformWithStateInPandas(
         statefulProcessor=_processor(_GapState), outputStructType=GAP_SCHEMA, outputMode="append", timeMode="none"
     )
-    return append_table(gaps, path, checkpoint)
+    with keyed_state(polls.sparkSession):
+        return append_table(gaps, path, checkpoint)
 
 
 def stream_periods(stream: DataFrame, path: str, checkpoint: str, at: str, ranking_type: str, by: Sequence[str] = ()):
@@ -180,7 +183,8 @@ def stream_ledger(stream: DataFrame, path: str, checkpoint: str):
     log = stream.groupBy("release_key").transformWithStateInPandas(
         statefulProcessor=_processor(_LifecycleState), outputStructType=LIFECYCLE_SCHEMA, outputMode="append", timeMode="none"
     )
-    return append_table(log, path, checkpoint)
+    with keyed_state(stream.sparkSession):
+        return append_table(log, path, checkpoint)
 
 
 def stream_lookback(stream: DataFrame, source_state: DataFrame, path: str, checkpoint: str, source: str, at: str, now: Column):
