@@ -37,14 +37,14 @@ w as (select *, {_terms('lower(t)', K.WORKFLOW_TERMS)} as tw, {_terms('lower(t)'
   greatest(0, (epoch_us(timestamp '2024-01-31') - epoch_us(latest)) / 86400000000.0) as age from g),
 p as (select cluster_id, case when bw or tw then 25 else 10 end as audience_value, case st when 'primary' then 20 when 'multi_source' then 14 when 'insufficient' then 7 else 0 end as evidence,
   least(15, 4 + 4 * n) as novelty, case when age is null then 0 when age <= 1 then 15 when age <= 3 then 11 when age <= 7 then 6 else 0 end as timeliness,
-  case when bw or tw then 10 else 3 end as amesi_fit, case when st = 'primary' then 10 else 5 end as explainability, case when st = 'discovery_only' then 3 else 5 end as cost,
+  case when bw or tw then 10 else 3 end as audience_fit, case when st = 'primary' then 10 else 5 end as explainability, case when st = 'discovery_only' then 3 else 5 end as cost,
   case when st = 'discovery_only' then -20 else 0 end as p1, case when bk or tk then -15 else 0 end as p2, case when tn and not tw then -15 else 0 end as p3 from w)"""
 
 
 @query("c01_score_stories", _STORIES + """
-select cluster_id, audience_value::bigint as audience_value, evidence::bigint as evidence, novelty::bigint as novelty, timeliness::bigint as timeliness, amesi_fit::bigint as amesi_fit,
+select cluster_id, audience_value::bigint as audience_value, evidence::bigint as evidence, novelty::bigint as novelty, timeliness::bigint as timeliness, audience_fit::bigint as audience_fit,
  explainability::bigint as explainability, cost::bigint as production_cost_fit, (p1 + p2 + p3)::bigint as penalty,
- greatest(0, least(100, audience_value + evidence + novelty + timeliness + amesi_fit + explainability + cost + p1 + p2 + p3))::bigint as total from p""")
+ greatest(0, least(100, audience_value + evidence + novelty + timeliness + audience_fit + explainability + cost + p1 + p2 + p3))::bigint as total from p""")
 def c01(spark, root):
     pages = load(spark, root, "pages").join(load(spark, root, "events").select("event_id", "ts"), F.col("event_id") == F.col("page_id") * 40, "left").select(
         F.lpad(F.col("page_id").cast("string"), 12, "0").alias("id"), text.plain_text("html").alias("summary"), F.col("ts").alias("published_at"),

@@ -176,7 +176,7 @@ select p_partkey::varchar as source_id, case p_type when 'SMALL' then 'invalid J
 from part where p_type in ('SMALL', 'LARGE', 'PROMO', 'MEDIUM')""")
 def s08(spark, root):
     kind = F.col("p_type")
-    parser = F.when(kind.isin("SMALL", "LARGE", "ECONOMY"), "aihot_selected").otherwise("rss")
+    parser = F.when(kind.isin("SMALL", "LARGE", "ECONOMY"), "selected").otherwise("rss")
     body = (
         F.when(kind == "SMALL", "{broken").when(kind == "LARGE", '{"items": 3}').when(kind == "ECONOMY", '{"items": []}')
         .when(kind == "PROMO", "<feed><entry/></feed>").when(kind == "MEDIUM", "<rss><channel>").otherwise("<rss><channel/></rss>")

@@ -22,7 +22,7 @@ RECENT_DAYS = 14
 # Additive score weights and penalties.
 SCORE_WEIGHTS = {
     "audience_value": 25, "evidence": 20, "novelty": 15, "timeliness": 15,
-    "amesi_fit": 10, "explainability": 10, "production_cost_fit": 5,
+    "audience_fit": 10, "explainability": 10, "production_cost_fit": 5,
 }
 SCORE_PENALTIES = {
     "discovery_only": -20, "recent_decision_similarity": -20,

@@ -37,7 +37,7 @@ def term_aggregates() -> list[Column]:
     ]
 
 
-def score_stories(stories: DataFrame, as_of: Column, recent: DataFrame | None = None) -> DataFrame:
+def score_stories(stories: DataFrame, as_of: Column, recent: DataFrame | None = None, audience: str = "本刊") -> DataFrame:
     """Seven additive components, four penalties and a total from 0 to 100.
 
     stories: event_id, canonical_title, evidence_status, source_ids and the
@@ -58,7 +58,7 @@ def score_stories(stories: DataFrame, as_of: Column, recent: DataFrame | None =
         "novelty": F.least(full("novelty"), 4 + 4 * F.size("source_ids")),
         "timeliness": F.when(age.isNull(), 0).when(age <= 1, full("timeliness")).when(age <= 3, share("timeliness", 0.75))
         .when(age <= 7, share("timeliness", 0.4)).otherwise(0),
-        "amesi_fit": F.when(work, full("amesi_fit")).otherwise(share("amesi_fit", 0.3)),
+        "audience_fit": F.when(work, full("audience_fit")).otherwise(share("audience_fit", 0.3)),
         "explainability": F.when(status == "primary", full("explainability")).otherwise(share("explainability", 0.5)),
         "production_cost_fit": F.when(status != "discovery_only", full("production_cost_fit")).otherwise(share("production_cost_fit", 0.6)),
     }
@@ -86,17 +86,21 @@ def score_stories(stories: DataFrame, as_of: Column, recent: DataFrame | None =
     return (
         scored.withColumn("penalties", F.map_from_entries(entries))
         .withColumn("penalty_reasons", reasons(*[(F.col(f"_hits.{n}"), K.PENALTY_REASONS[n]) for n in hits]))
-        .withColumn("recommendation", recommendation(title, status, F.col("total")))
+        .withColumn("recommendation", recommendation(title, status, F.col("total"), audience))
         .drop("_hits", "_recent")
     )
 
 
-def recommendation(title: Column, status: Column, total: Column) -> Column:
+def recommendation(title: Column, status: Column, total: Column, audience: str = "本刊") -> Column:
+    """Advice text; `audience` is the name of the publication the choice is for."""
     # The three recommendation texts.
+    unproven = f"仅作为发现信号：%s 还缺少可直接引用的一手证据，补齐后再判断是否适合 {audience}。"
+    proven = f"有一手证据：%s 可清楚说明变化、使用场景和限制，适合作为 {audience} 候选（%d 分）。"
+    partial = f"%s 有可追溯来源，但仍需补充交叉核验后再进入 {audience} 选题池（%d 分）。"
     return (
-        F.when(status == "discovery_only", F.format_string("仅作为发现信号：%s 还缺少可直接引用的一手证据，补齐后再判断是否适合 Amesi。", title))
-        .when(status == "primary", F.format_string("有一手证据：%s 可清楚说明变化、使用场景和限制，适合作为 Amesi 候选（%d 分）。", title, total))
-        .otherwise(F.format_string("%s 有可追溯来源，但仍需补充交叉核验后再进入 Amesi 选题池（%d 分）。", title, total))
+        F.when(status == "discovery_only", F.format_string(unproven, title))
+        .when(status == "primary", F.format_string(proven, title, total))
+        .otherwise(F.format_string(partial, title, total))
     )
 
 

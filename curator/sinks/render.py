@@ -23,8 +23,8 @@ def history_index(issues: DataFrame) -> DataFrame:
     return ordered_scan(issues, [newest], ["ranking_type"], position="place")
 
 
-def ranking_lines(candidates: DataFrame, run_date: str) -> DataFrame:
-    """Lines of the daily ranking report.
+def ranking_lines(candidates: DataFrame, run_date: str, audience: str = "本刊") -> DataFrame:
+    """Lines of the daily ranking report of the publication `audience`.
 
     candidates: rank, canonical_title, total, components STRUCT, penalties MAP,
     penalty_reasons[], recommendation, evidence_status, primary_source_url,
@@ -44,7 +44,7 @@ def ranking_lines(candidates: DataFrame, run_date: str) -> DataFrame:
         F.array(
             F.concat(F.lit("## "), F.col("rank").cast("string"), F.lit(". "), "canonical_title", F.lit(" — "), F.col("total").cast("string"), F.lit("/100")),
             F.lit(""), F.concat(F.lit("- 分项分数："), F.array_join(parts, "；")), F.concat(F.lit("- 惩罚："), joined(minus)),
-            F.concat(F.lit("- 惩罚原因："), joined(F.col("penalty_reasons"))), F.concat(F.lit("- 为什么适合 Amesi："), "recommendation"),
+            F.concat(F.lit("- 惩罚原因："), joined(F.col("penalty_reasons"))), F.concat(F.lit(f"- 为什么适合 {audience}："), "recommendation"),
             F.concat(F.lit("- 证据状态："), "evidence_status"), F.concat(F.lit("- 主证据链接："), F.coalesce("primary_source_url", F.lit("暂无"))), F.lit("- 所有来源链接："),
         ),
         F.transform("links", lambda x: F.concat(F.lit("  - ["), x["provenance"], F.lit(" / "), x["source_id"], F.lit("] "), x["url"])),
@@ -53,7 +53,7 @@ def ranking_lines(candidates: DataFrame, run_date: str) -> DataFrame:
     lines = candidates.select(F.lit(1).alias("section"), F.col("rank").cast("long").alias("place"), F.posexplode(body).alias("line_no", "line"))
     head = candidates.sparkSession.range(1).select(
         F.lit(0).alias("section"), F.lit(0).cast("long").alias("place"),
-        F.posexplode(F.array(F.lit(f"# Amesi 每日候选榜 — {run_date}"), F.lit(""), F.lit("本文件只列出待人工核验的候选，不代表已发布内容。"), F.lit(""))).alias("line_no", "line"),
+        F.posexplode(F.array(F.lit(f"# {audience} 每日候选榜 — {run_date}"), F.lit(""), F.lit("本文件只列出待人工核验的候选，不代表已发布内容。"), F.lit(""))).alias("line_no", "line"),
     )
     return head.unionByName(lines)
 

@@ -163,15 +163,15 @@ def read_atom(raw: DataFrame, default_owner: str = "") -> DataFrame:
 
 
 READERS = {
-    "aihot_selected": lambda raw: read_json_feed(raw, "selected"),
-    "aihot_hot_topics": lambda raw: read_json_feed(raw, "hot_topics"),
+    "selected": lambda raw: read_json_feed(raw, "selected"),
+    "hot_topics": lambda raw: read_json_feed(raw, "hot_topics"),
     "huggingface_models": lambda raw: read_json_feed(raw, "models"),
     "rss": read_rss,
     "atom": read_atom,
     "arxiv_atom": lambda raw: read_atom(raw, "arXiv"),
 }
 EXPECTED_SHAPE = {
-    "aihot_selected": "items", "aihot_hot_topics": "items", "huggingface_models": "array", "rss": "rss", "atom": "feed", "arxiv_atom": "feed",
+    "selected": "items", "hot_topics": "items", "huggingface_models": "array", "rss": "rss", "atom": "feed", "arxiv_atom": "feed",
 }
 
 

@@ -34,7 +34,7 @@ def test_model_feed(spark):
 
 def test_bad_payload_fails_its_own_source(spark):
     df = spark.createDataFrame([
-        ("a", "aihot_selected", '{"items":[]}'), ("b", "aihot_selected", "[]"), ("c", "huggingface_models", "{}"), ("d", "rss", "<rss><channel/></rss>"),
+        ("a", "selected", '{"items":[]}'), ("b", "selected", "[]"), ("c", "huggingface_models", "{}"), ("d", "rss", "<rss><channel/></rss>"),
         ("e", "atom", "<rss/>"), ("f", "rss", "<rss>"), ("g", "other", "x"), ("h", "atom", '<?xml version="1.0"?><!-- c --><feed xmlns="http://www.w3.org/2005/Atom"/>'),
     ], "source_id string, parser string, body string")
     good, failed = feeds.validate_payloads(df)
@@ -168,3 +168,17 @@ def test_snapshot_files(spark, tmp_path):
     files = writers.snapshot_files(spark, str(tmp_path))
     row = files.collect()[0]
     assert (row["bytes"], row["sha256"]) == (3, "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad")
+
+
+def test_ranking_report(spark):
+    from curator.constants import SCORE_WEIGHTS
+
+    parts = ",".join(f"{n}:int" for n in SCORE_WEIGHTS)
+    df = spark.createDataFrame(
+        [(1, "Title", 80, tuple(SCORE_WEIGHTS.values()), {"discovery_only": -20}, ["why"], "use it", "primary", None, [("https://a", "s", "c", "direct_source")])],
+        f"rank int, canonical_title string, total int, components struct<{parts}>, penalties map<string,int>, penalty_reasons array<string>, recommendation string, "
+        "evidence_status string, primary_source_url string, links array<struct<url:string,source_id:string,source_class:string,provenance:string>>",
+    )
+    lines = [r["line"] for r in render.ranking_lines(df, "2024-01-01", "Paper").orderBy("section", "place", "line_no").collect()]
+    assert lines[0] == "# Paper 每日候选榜 — 2024-01-01" and "## 1. Title — 80/100" in lines
+    assert "- 惩罚：discovery_only -20" in lines and "- 主证据链接：暂无" in lines and "  - [direct_source / s] https://a" in lines
