@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curator.llm.common import materialize, narrow
+from curator.llm.common import materialize, narrow, partitions
 from curator.llm.components import connected
 
 BITS = 64
@@ -87,20 +87,21 @@ def links(nodes: DataFrame, distance: int = 4, crowd: int = 256) -> DataFrame:
     variants = F.array(*[
         F.struct(F.lit(i).cast("tinyint").alias("slot"), F.lit(_signed(keep)).alias("keep")) for i, (_, keep) in enumerate(slots)
     ])
-    index = nodes.select("bits", F.explode(variants).alias("v")).select(
+    spread = nodes.select("bits").repartition(partitions(nodes.sparkSession))
+    index = spread.select("bits", F.explode(variants).alias("v")).select(
         F.col("v.slot").alias("slot"), F.col("bits").bitwiseAND(F.col("v.keep")).alias("part"), "bits")
-    held = index.groupBy("slot", "part").agg(F.count("*").alias("n")).where("n > 1")
-    index = materialize(
-        index.join(held, ["slot", "part"]).select("slot", "part", "bits", (F.col("n") > crowd).alias("crowded")), "variants")
-    sparse = index.where("not crowded")
-    a = sparse.select("slot", "part", F.col("bits").alias("a"))
-    b = sparse.select("slot", "part", F.col("bits").alias("b"))
-    pairs = a.join(b, ["slot", "part"]).where((F.col("a") < F.col("b")) & _near_here(spans, slots, distance)).select("a", "b")
-    crowds = index.where("crowded")
-    if crowds.isEmpty():
+    key = ["slot", "part"]
+    full = materialize(index.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select(key), "crowds")
+    some = not full.isEmpty()
+    sparse = index.join(full, key, "left_anti") if some else index
+    a, b = sparse.alias("a"), sparse.alias("b")
+    met = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.bits") < F.col("b.bits"))
+    near = _near_here(F.col("a.slot"), F.col("a.bits").bitwiseXOR(F.col("b.bits")), spans, slots, distance)
+    pairs = a.join(b, met & near).select(F.col("a.bits").alias("a"), F.col("b.bits").alias("b"))
+    if not some:
         return pairs
     near_values = [_signed(sum(1 << i for i in c)) for r in range(distance // 2 + 1) for c in combinations(range(BITS), r)]
-    balls = crowds.select("bits").distinct().repartition("bits").select(
+    balls = index.join(full, key, "left_semi").select("bits").distinct().repartition("bits").select(
         "bits", F.explode(F.array(*[F.lit(x) for x in near_values])).alias("x")
     ).select("bits", F.col("bits").bitwiseXOR(F.col("x")).alias("centre"))
     # A ball holds at most len(near_values) fingerprints, so a window over one is bounded.
@@ -108,14 +109,14 @@ def links(nodes: DataFrame, distance: int = 4, crowd: int = 256) -> DataFrame:
     return pairs.union(stars.where("a <> b").distinct())
 
 
-def _near_here(spans: list[int], slots: list[tuple[int, int]], distance: int) -> Column:
-    """a and b are within `distance` bits, and `slot` is the first variant that they share: each pair comes once."""
-    x = F.col("a").bitwiseXOR(F.col("b"))
+def _near_here(slot: Column, x: Column, spans: list[int], slots: list[tuple[int, int]], distance: int) -> Column:
+    """Values that differ by `x` are within `distance` bits, and `slot` is the first variant that they share: each
+    pair comes once."""
     differ = [F.bit_count(x.bitwiseAND(F.lit(_signed(span)))) for span in spans]
     first = F.lit(False)
     for seg in range(len(spans)):
         own = [i for i, (s, _) in enumerate(slots) if s == seg]
-        here = F.col("slot").between(own[0], own[-1]) & ((differ[seg] == 1) | (F.col("slot") == own[0]))
+        here = slot.between(own[0], own[-1]) & ((differ[seg] == 1) | (slot == own[0]))
         for earlier in differ[:seg]:
             here = here & (earlier > 1)
         first = first | here
