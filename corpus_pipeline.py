@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curator.llm import simhash
+from curator.llm import decontaminate, language, packing, simhash, toxicity
 from curator.llm.common import free_name, load, materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the classifier chain, fitted on all labelled ones among them, calls toxic."""
+    chain = toxicity.fit(docs, load(spark, sf_dir, "labels"))
+    name = free_name(docs, "toxicity")
+    return docs.withColumn(name, toxicity.scorer(chain)("text")).where(F.col(name)["predicted"] == 0).drop(name)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents without a letter and those too far from every centroid of the languages in `lang`."""
+    name = free_name(docs, "language")
+    found = docs.withColumn(name, language.identify(docs, language.fit(docs)))
+    return found.where(~F.col(name)["rejected"]).drop(name)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest id of each near-duplicate group (all rows of that id, if it is repeated)."""
     found = simhash.near_duplicates(docs)
@@ -20,7 +34,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup)]
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents of whose words a twentieth or more lies in benchmark windows; the others stay whole."""
+    return decontaminate.drop_contaminated(docs, load(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences of 1024 tokens; one row per piece."""
+    return packing.pack_documents(docs, capacity=1024)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("language", drop_unknown_language),
+    ("near_dedup", near_dedup),
+    ("decontamination", remove_benchmark),
+    ("packing", pack),
+]
 
 #: Learned classifiers, fingerprints and packing can't be expressed in SQL; see tests/llm for the brute-force checks.
 ORACLE_SQL: str | None = None

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curator.llm import binary, decontaminate, packing, simhash
-from curator.llm.common import load
+from curator.llm import binary, decontaminate, language, packing, simhash, toxicity
+from curator.llm.common import load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,3 +48,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), capacity=1024, end_id=2)
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(language.training_rows(docs))
+    found = docs.select("doc_id", language.identify(docs, model).alias("p"))
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "p.lang_pred", "p.score", "p.rejected")
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    chain = toxicity.fit(docs, labels.where(remainder("doc_id", 5) != 0))
+    found = docs.select("doc_id", toxicity.scorer(chain)("text").alias("p"))
+    return found.select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), F.col("p.broad").alias("broad_score"),
+        F.col("p.dense").alias("dense_score"), F.col("p.toxic").alias("score"), F.col("p.predicted").alias("predicted"),
+        (F.col("p.predicted") == 1).alias("toxic"))
