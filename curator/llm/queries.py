@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curator.llm import binary, decontaminate, language, packing, simhash, toxicity
+from curator.llm import binary, decontaminate, language, packing, quality, simhash, toxicity
 from curator.llm.common import load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), F.col("p.broad").alias("broad_score"),
         F.col("p.dense").alias("dense_score"), F.col("p.toxic").alias("score"), F.col("p.predicted").alias("predicted"),
         (F.col("p.predicted") == 1).alias("toxic"))
+
+
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    seen = remainder("doc_id", 5) != 0
+    model = quality.fit(docs.where(seen), labels.where(seen))
+    found = docs.select("doc_id", quality.scorer(model)("text").alias("score"))
+    return found.select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
