@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curator.llm import binary, decontaminate, language, packing, quality, simhash, toxicity
+from curator.llm import binary, decontaminate, fingerprints, language, licenses, packing, quality, simhash, toxicity
 from curator.llm.common import load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = docs.select("doc_id", quality.scorer(model)("text").alias("score"))
     return found.select(
         "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op1_document_fingerprints")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edits(load(spark, sf_dir, "documents"))
+
+
+@query("op6_license_scan", licenses.oracle())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(load(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_sentences", F.array_join("identifiers", " ").alias("identifiers"), F.array_join("licenses", ",").alias("licenses"))
