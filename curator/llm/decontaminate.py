@@ -201,14 +201,17 @@ def excise(
     """`docs` with every benchmark passage cut out of `text_col`, from its first word to its last; other texts stay."""
     out = docs
     for one in _window_sets(benchmark, item_col, item_text_col, window, block_bytes):
+        out = out.withColumn(text_col, _cutter(one)(F.col(text_col)))
+    return out
 
-        @F.arrow_udf("string")
-        def cut(batches: Iterator[pa.Array], one=one) -> Iterator[pa.Array]:
-            for batch in batches:
-                yield pa.array([_cut(one.value, text) for text in batch.to_pylist()], pa.string())
 
-        out = out.withColumn(text_col, cut(F.col(text_col)))
-    return out
+def _cutter(one):
+    @F.arrow_udf("string")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([_cut(one.value, text) for text in batch.to_pylist()], pa.string())
+
+    return cut
 
 
 def _cut(windows: WindowSet, text: str | None) -> str | None:

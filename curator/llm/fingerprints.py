@@ -132,7 +132,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     bands; classes that share a band are joined on (band, hash of the band) — a plain equality join, which Spark may
     split where many classes share one — and each pair is kept at its first common band and verified on the shingles
     themselves. Texts without shingles are one class without links. A pair just at the threshold shares a band with
-    probability 0.99995. Rows with a null id are left out of both results, as they can't be named.
+    probability 0.99995. Rows with a null id are left out of both results, as they can't be named; an id with several
+    texts is a member of the class of each.
     """
 
     @F.arrow_udf("struct<set_hash:bigint,bands:array<bigint>,hashes:array<bigint>>")

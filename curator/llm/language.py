@@ -97,7 +97,7 @@ def _accepted(similarity: np.ndarray, length: np.ndarray, slack: float) -> np.nd
     """By length: `slack` times the least similarity of all sample texts that are as long or longer; no limit below
     the lengths of the sample's shortest twentieth."""
     out = np.zeros(LENGTHS)
-    for at in range(int(np.quantile(length, 0.05)) + 1, LENGTHS):
+    for at in range(int(np.quantile(length, 0.05)), LENGTHS):
         longer = similarity[length >= at]
         out[at] = slack * longer.min() if len(longer) else out[at - 1]
     return out
@@ -136,7 +136,8 @@ def fit(
     def packed(texts: pa.Array) -> pa.Array:
         return pa.array([gram_counts(t).astype("<f4").tobytes() for t in texts.to_pylist()], pa.binary())
 
-    chosen = sample_ids(rows, "doc_id", "lang", per_language).select("lang", packed("text").alias("v")).orderBy("lang", "v").collect()
+    chosen = sample_ids(rows, "doc_id", "lang", per_language).select("lang", packed("text").alias("v")).collect()
+    chosen.sort(key=lambda r: (r["lang"], bytes(r["v"])))
     model = Centroids(idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.int64))
     centres, owner, sims = [], [], []
     for lang in sorted({r["lang"] for r in chosen}):

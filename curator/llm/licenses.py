@@ -9,7 +9,7 @@ from curator.llm.common import narrow
 
 #: Sentences of public licences and of the usual references to them, as `normalised` writes them, and
 #: the identifier of each. A sentence ends at a full stop, semicolon or colon before white space, or at a line end
-#: that the next line does not continue in lower case.
+#: that the next line does not continue in lower case or with a bracket.
 SENTENCES = {
     "released under the mit license": "mit-ref",
     "licensed under the mit license": "mit-ref",
@@ -61,7 +61,7 @@ COVERED = {"BSD-2-Clause": "BSD-3-Clause"}
 #: A sentence can only be known if it holds one of these, so all others are passed over before they are normalised.
 HINT = r"(?i)licen[sc]|permission|redistribut|free software|warrant|rights reserved|copyright|neither the name|obtain a copy"
 
-_CUT = r"[.;:]+\s+|\s*\n\s*(?![a-z\s])"
+_CUT = r"[.;:]+\s+|\s*\n\s*(?![a-z(\s])"
 
 
 def sentences(text: Column) -> Column:
@@ -111,12 +111,12 @@ def oracle(table: str = "documents") -> str:
     cases = [f"case when {hit + (f' and not {by[COVERED[n]]}' if n in COVERED else '')} then {quote(n)} end" for n, hit in by.items()]
     return f"""
 with known(sentence, identifier) as (values {known}),
--- A line that goes on in lower case is joined to the one before; RE2 has no look-ahead.
+-- A line that goes on in lower case or with a bracket is joined to the one before; RE2 has no look-ahead.
 cut as (
   select doc_id, unnest(string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''),
-    '\\s*\\n\\s*([a-z])', ' \\1', 'g'), '\\s*\\n\\s*', chr(10), 'g'), '[.;:]+\\s+|\\n')) as s,
+    '\\s*\\n\\s*([a-z(])', ' \\1', 'g'), '\\s*\\n\\s*', chr(10), 'g'), '[.;:]+\\s+|\\n')) as s,
     generate_subscripts(string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''),
-    '\\s*\\n\\s*([a-z])', ' \\1', 'g'), '\\s*\\n\\s*', chr(10), 'g'), '[.;:]+\\s+|\\n'), 1) as i
+    '\\s*\\n\\s*([a-z(])', ' \\1', 'g'), '\\s*\\n\\s*', chr(10), 'g'), '[.;:]+\\s+|\\n'), 1) as i
   from {table}),
 hits as (
   select doc_id, i, identifier from cut join known

@@ -137,15 +137,15 @@ def fit(
     good = sample_ids(known.where("good"), "label_id", "good", n_positive)
     text = narrow(docs, id_col, text_col)
     vector = _vector()
-    p = text.join(F.broadcast(good), text["doc_id"] == good["label_id"]).select(vector("text").alias("v")).orderBy("v").collect()
+    p = text.join(F.broadcast(good), text["doc_id"] == good["label_id"]).select(vector("text").alias("v")).collect()
     ids = docs.select(F.col(id_col).alias("doc_id")).join(known, F.col("doc_id") == F.col("label_id"), "left_anti")
     if ids.isEmpty():
         ids = docs.select(F.col(id_col).alias("doc_id"))
     free = sample_ids(ids.distinct().withColumn("any", F.lit(True)), "doc_id", "any", n_unlabelled).select(F.col("doc_id").alias("free_id"))
-    u = text.join(F.broadcast(free), text["doc_id"] == free["free_id"]).select(vector("text").alias("v")).orderBy("v").collect()
+    u = text.join(F.broadcast(free), text["doc_id"] == free["free_id"]).select(vector("text").alias("v")).collect()
     if not p or not u:
         return None
-    p, u = (np.stack([np.frombuffer(r["v"], np.float32) for r in rows]) for rows in (p, u))
+    p, u = (np.stack([np.frombuffer(v, np.float32) for v in sorted(bytes(r["v"]) for r in rows)]) for rows in (p, u))
     steps = np.linspace(0, 1, n_cuts + 2)[1:-1]
     tails = [0.005, 0.02, 0.98, 0.995]
     model = Quality(np.quantile(u, [*steps, *tails], axis=0).T, np.zeros(0))

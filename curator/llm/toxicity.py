@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curator.llm import linear
-from curator.llm.common import sample_ids
+from curator.llm.common import narrow, sample_ids
 
 GRAM = 5
 #: Bytes whose grams are looked up at once.
@@ -141,7 +141,7 @@ def fit(
     if set(sizes) != {0, 1}:
         return None
     chosen = F.broadcast(sample_ids(known, "label_id", "y", per_class))
-    rows = docs.join(chosen, docs[id_col] == F.col("label_id")).select(F.col(text_col).alias("text"), "y")
+    rows = narrow(docs, id_col, text_col).join(chosen, F.col("doc_id") == F.col("label_id")).select("text", "y")
     n = {y: min(sizes[y], per_class) for y in sizes}
     marks = _find_marks(rows, n[1], n[0], n_marks)
 
@@ -149,7 +149,7 @@ def fit(
     def vector(texts: pa.Array) -> pa.Array:
         return pa.array([marks.features(t).tobytes() for t in texts.to_pylist()], pa.binary())
 
-    found = rows.select("y", vector("text").alias("v")).orderBy("v").collect()
+    found = sorted(rows.select("y", vector("text").alias("v")).collect(), key=lambda r: (bytes(r["v"]), r["y"]))
     y = np.array([r["y"] for r in found])
     if len({*y.tolist()}) < 2:
         return None
