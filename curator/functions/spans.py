@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,51 +111,40 @@ def scope_violations(
     return F.array_compact(F.array(*[F.when(rule, F.lit(code)) for code, rule in rules.items()]))
 
 
-def _field_ranges(text: str, keys: frozenset[str]) -> list[dict]:
-    """Exact ranges of `"key": "text"` members at the top level of an object."""
-    decoder = json.JSONDecoder()
-    found, at = [], 0
-
-    def blank(i: int) -> int:
-        return i + len(text[i:]) - len(text[i:].lstrip())
-
-    at = blank(at)
-    if text[at:at + 1] != "{":
-        raise ValueError("not an object")
-    at = blank(at + 1)
-    while text[at:at + 1] != "}":
-        first = at
-        name, at = decoder.raw_decode(text, at)
-        at = blank(at)
-        if text[at:at + 1] != ":":
-            raise ValueError("member without a value")
-        value, at = decoder.raw_decode(text, blank(at + 1))
-        if name in keys and isinstance(value, str) and value.strip():
-            found.append({"start": first, "end": at})
-        at = blank(at)
-        if text[at:at + 1] == ",":
-            at = blank(at + 1)
-        elif text[at:at + 1] != "}":
-            raise ValueError("members without a separator")
-    return found
-
-
 # The metadata fields quoted as evidence.
 METADATA_KEYS = ("name", "full_name", "description", "homepage")
 
+# Tokens of a JSON text with the white space after them, so that their lengths add up to positions.
+_JSON_TOKENS = r"""(?s)(?:"(?:[^"\\]++|\\.)*+"|[{}\[\]:,]|[^\s"{}\[\]:,]++|^)\s*+"""
+_BLANK_STRING = r"""^"(?:\s|\\[tnrf]|\\u(?:0020|0009|000[aAdD]|00[aA]0))*"$"""
 
-def json_field_ranges(c: Column | str, keys: tuple[str, ...] = METADATA_KEYS) -> Column:
-    """Character ranges of selected top-level string members; null if not an object."""
-    wanted = frozenset(keys)
 
-    @F.pandas_udf(_SPAN_TYPE)
-    def ranges(values: pd.Series) -> pd.Series:
-        def one(text):
-            try:
-                return None if text is None else _field_ranges(text, wanted)
-            except ValueError:
-                return None
-
-        return values.map(one)
-
-    return ranges(_col(c))
+def json_field_ranges(c: Column | str, keys: tuple[str, ...] = METADATA_KEYS) -> Column:
+    """Character ranges of selected top-level members with a non-blank string; null if not an object.
+
+    A fold over the tokens keeps the position, the depth and the member name that stands open at depth 1.
+    """
+    c = _col(c)
+    wanted = F.array(*[F.lit(k) for k in keys])
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(-1).alias("since"), F.lit(False).alias("named"), F.array().cast(_SPAN_TYPE).alias("found"))
+
+    def step(s: Column, token: Column) -> Column:
+        mark = F.rtrim(F.regexp_replace(token, r"\s+$", ""))
+        depth = s["depth"] + F.when(mark.isin("{", "["), 1).when(mark.isin("}", "]"), -1).otherwise(0)
+        text = mark.startswith('"')
+        top = (s["depth"] == 1) & (depth == 1)
+        value = top & text & s["named"]
+        opens = top & text & ~s["named"] & (s["since"] < 0)
+        known = F.array_contains(wanted, F.get(F.from_json(F.concat(F.lit("["), mark, F.lit("]")), "array<string>"), 0))
+        span = F.struct(s["since"].alias("start"), (s["at"] + F.length(mark)).alias("end"))
+        kept = value & (s["since"] >= 0) & ~mark.rlike(_BLANK_STRING)
+        return F.struct(
+            (s["at"] + F.length(token)).alias("at"), depth.alias("depth"),
+            # -2 stands for a member that is not wanted, -1 for none.
+            F.when(opens & known, s["at"]).when(opens, -2).when(top & (mark == ","), -1).otherwise(s["since"]).alias("since"),
+            F.when(top & (mark == ":"), True).when(top & (mark == ","), False).otherwise(s["named"]).alias("named"),
+            F.when(kept, F.concat(s["found"], F.array(span).cast(_SPAN_TYPE))).otherwise(s["found"]).alias("found"))
+
+    found = F.aggregate(F.regexp_extract_all(c, F.lit(_JSON_TOKENS), F.lit(0)), start, step, lambda s: s["found"])
+    return F.when(c.rlike(r"^\s*\{") & F.try_parse_json(c).isNotNull(), found)
