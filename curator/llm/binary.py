@@ -64,7 +64,7 @@ class ShardWriter:
 
     def __init__(self, out, width: int, block: int = BLOCK):
         self.out, self.width, self.block = out, width, block
-        self.ids, self.sizes, self.offsets, self.rest, self.total = [], [], [len(MAGIC)], b"", 0
+        self.ids, self.sizes, self.offsets, self.rest, self.total = [], [], [len(MAGIC)], bytearray(), 0
         out.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -73,11 +73,10 @@ class ShardWriter:
         self.sizes.append(len(ids) // 4)
         self.total += len(ids) // 4
         self.rest += ids
-        at, step = 0, 4 * self.block
-        while len(self.rest) - at >= step:
-            self._write(self.rest[at : at + step])
-            at += step
-        self.rest = self.rest[at:]
+        step = 4 * self.block
+        while len(self.rest) >= step:
+            self._write(bytes(self.rest[:step]))
+            del self.rest[:step]
 
     def _write(self, ids: bytes) -> None:
         data = pack(np.frombuffer(ids, "<u4"), self.width)
@@ -86,7 +85,7 @@ class ShardWriter:
 
     def close(self) -> None:
         if self.rest:
-            self._write(self.rest)
+            self._write(bytes(self.rest))
         for part in (self.ids, self.sizes, self.offsets, [len(self.ids), self.total, self.width, self.block, self.offsets[-1]]):
             self.out.write(np.array(part, "<i8").tobytes())
         self.out.write(MAGIC)

@@ -7,8 +7,8 @@ import functools
 import os
 import re
 
-#: Pieces remembered by one Python worker (about 200 bytes each); the memory is emptied when it is full.
-REMEMBERED = 300_000
+#: Words, and pieces of words, that one Python worker remembers (about 160 bytes each); a full memory is emptied.
+WORDS, PIECES = 400_000, 60_000
 
 #: Texts of these characters only are cut into pieces here: for all of them the pattern below and the library's own
 #: splitter agree on what is a letter, a digit or a space. Any other text goes to the library whole.
@@ -24,11 +24,19 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_CONTROL = re.compile(r"[^\t\n\r -~\u0080-\U0010ffff]")
+
+#: White space that joins in ways that cutting at each space and line end would not reproduce.
+_JOINED = ("  ", " \n", "\n\n\n", "\n\n ", "\t", "\r")
+
+
 class Encoder(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers, filled as pieces appear.
+    """Word -> its ids as little-endian unsigned 32-bit integers, filled as words appear.
 
-    Byte-level BPE never merges across pieces, so a text's ids are its pieces' ids in order. Strings of special
-    tokens in a text are ordinary text, as the vocabulary's description advises.
+    Byte-level BPE never merges across the pieces that the split pattern cuts, so a text's ids are its pieces' ids in
+    order. Where no white space but single spaces before words and line ends occurs, pieces never reach across a
+    space, so a text can be cut there first: a key stands for the word with its space, or with the line end that it
+    starts with. Strings of special tokens in a text are ordinary text, as the vocabulary's description advises.
     """
 
     def __init__(self, path: str):
@@ -39,24 +47,55 @@ class Encoder(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.model = self.whole.model
         self.vocab_size = self.whole.get_vocab_size()
         self.split = regex.compile(_PIECES).findall
-        self.letters = _byte_letters()
+        self.pieces = Pieces(self.whole.model)
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORDS:
             self.clear()
-        found = self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))
-        self[piece] = ids = array.array("I", [t.id for t in found]).tobytes()
+        if word.isalpha():
+            ids = self.pieces.ids(f" {word}")
+        else:
+            ids = self._cut(word if word[:1] == "\n" else f" {word}")
+        self[word] = ids
         return ids
 
+    def _cut(self, text: str) -> bytes:
+        """Ids of the text's pieces; letters after a space are a word of their own."""
+        return b"".join([self[p[1:]] if p[0] == " " and p[1:].isalpha() else self.pieces[p] for p in self.split(text)])
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _PLAIN.search(text):
+        if not text.isascii() and _PLAIN.search(text) or not text.isprintable() and _CONTROL.search(text):
             return array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.__getitem__, self.split(text)))
+        if text.endswith((" ", "\n\n")) or any(x in text for x in _JOINED):
+            return self._cut(text)
+        words = text.replace("\n", " \n").split(" ")
+        return self._cut(words[0]) + b"".join(map(self.__getitem__, words[1:]))
+
+
+class Pieces(dict):
+    """Piece -> its ids, by the library's model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, _byte_letters()
+        self.space = chr(self.letters[0x20])
+
+    def ids(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            shown = piece.replace(" ", self.space)
+        else:
+            shown = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array.array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= PIECES:
+            self.clear()
+        self[piece] = ids = self.ids(piece)
+        return ids
 
 
 def _byte_letters() -> dict[int, int]:
