@@ -262,14 +262,14 @@ def f17(spark, root):
 
 
 @query("f18_extract_urls", """
-with c as (select page_id, url, text from pages join documents on page_id = doc_id)
-select page_id, 2 as n, url || ' ' || 'https://github.com/a/b' as urls from c""")
+with c as (select doc_id, coalesce(url, 'https://h.example/' || doc_id) as url, text from documents left join pages on page_id = doc_id)
+select doc_id, 2 as n, url || ' ' || 'https://github.com/a/b' as urls from c""")
 def f18(spark, root):
     pages, docs = load(spark, root, "pages"), load(spark, root, "documents")
-    both = pages.join(docs, pages.page_id == docs.doc_id)
+    both = docs.join(pages, pages.page_id == docs.doc_id, "left").withColumn("url", F.coalesce("url", F.concat(F.lit("https://h.example/"), F.col("doc_id").cast("string"))))
     message = F.concat("text", F.lit(" see <"), "url", F.lit("> and github.com/a/b; or again "), "url", F.lit(".;"))
     found = text.extract_urls(message)
-    return both.select("page_id", F.size(found).alias("n"), F.array_join(found, " ").alias("urls"))
+    return both.select("doc_id", F.size(found).alias("n"), F.array_join(found, " ").alias("urls"))
 
 
 @query("f19_title_features", f"""
@@ -282,17 +282,17 @@ def f19(spark, root):
 
 
 @query("f20_jaccard", f"""
-with b as (select p.page_id, {S.features(S.TITLE)} as a, {S.features('d.text')} as b
-           from pages p join documents d on p.page_id = d.doc_id)
-select page_id, round(case when len(a) = 0 or len(b) = 0 then 0.0
+with t as (select page_id, {S.features(S.TITLE)} as a from pages),
+     b as (select d.doc_id, coalesce(a, []) as a, {S.features('d.text')} as b from documents d left join t on t.page_id = d.doc_id)
+select doc_id, round(case when len(a) = 0 or len(b) = 0 then 0.0
        else len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) end, 6) as similarity from b""")
 def f20(spark, root):
     pages, docs = load(spark, root, "pages"), load(spark, root, "documents")
     title = text.unescape(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
-    both = pages.select("page_id", text.title_features(title).alias("a")).join(
-        docs.select("doc_id", text.title_features("text").alias("b")), F.col("page_id") == F.col("doc_id")
-    )
-    return both.select("page_id", F.round(text.jaccard("a", "b"), 6).alias("similarity"))
+    both = docs.select("doc_id", text.title_features("text").alias("b")).join(
+        pages.select("page_id", text.title_features(title).alias("a")), F.col("page_id") == F.col("doc_id"), "left"
+    ).withColumn("a", F.coalesce("a", F.array().cast("array<string>")))
+    return both.select("doc_id", F.round(text.jaccard("a", "b"), 6).alias("similarity"))
 
 
 @query("f21_doc_purpose", """
@@ -410,15 +410,17 @@ def f28(spark, root):
 
 
 @query("f28_remap", """
-with d as (select doc_id, length(text) as n from documents where length(text) >= 40)
+with d as (select doc_id, length(text) + 40 as n from documents)
 select doc_id, '5-' || (n // 2) || ' ' || (n - 4) || '-' || n as merged, (n // 2 - 5 + 4)::bigint as chars,
   '7-' || (n // 2) || ' ' || (n - 4) || '-' || (n - 3) as remapped from d""")
 def f28r(spark, root):
-    n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
+    # Forty characters more than the text, so that short texts have room for the ranges too.
+    n = F.length("text") + 40
+    half = F.floor(n / 2).cast("int")
     span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
     shown = lambda r: F.array_join(F.transform(r, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), " ")
     given = F.array(span(n - 4, n), span(F.lit(9), half), span(F.lit(5), F.lit(12)), span(F.lit(3), F.lit(3)))
-    merged = load(spark, root, "documents").where(n >= 40).select("doc_id", "text", spans.merge_ranges(given).alias("m"))
+    merged = load(spark, root, "documents").select("doc_id", "text", spans.merge_ranges(given).alias("m"))
     segments = spans.supplied_segments("m")
     # Drop the first two supplied characters and the last three.
     supplied = F.array(span(F.lit(2), F.try_element_at(segments, F.lit(-1))["supplied_end"] - 3))

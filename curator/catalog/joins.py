@@ -337,9 +337,9 @@ def evaluation(spark, root, split="dev"):
 
 @query("j17_missing_dates", """
 with d as (select unnest(generate_series(date '2023-12-25', date '2024-02-05', interval 1 day))::date as d)
-select strftime(d, '%Y-%m-%d') as missing_date from d where d not in (select ts::date from events where event_type = 'click' and value > 8 and user_id % 5 = 0)""")
+select strftime(d, '%Y-%m-%d') as missing_date from d where d not in (select ts::date from events)""")
 def j17(spark, root):
-    runs = load(spark, root, "events").where("event_type = 'click' and value > 8 and user_id % 5 = 0").select(F.to_date("ts").alias("day"))
+    runs = load(spark, root, "events").select(F.to_date("ts").alias("day"))
     found = joins.missing_dates(runs, "day", F.lit("2023-12-25").cast("date"), F.lit("2024-02-05").cast("date"))
     return found.select(F.col("missing_date").cast("string").alias("missing_date"))
 

@@ -171,6 +171,20 @@ def s07(spark, root):
     return entries.select("source_id", "url", "title", F.unix_seconds("published_at").alias("published"), F.unix_seconds("observed_at").alias("observed"))
 
 
+@query("s07_feed_counts", """
+select source, case when source = 'src0' then 3 end as max_items, count(*)::bigint as available, least(count(*), case when source = 'src0' then 3 else count(*) end)::bigint as read,
+  count(*) > case when source = 'src0' then 3 else count(*) end as truncated
+from documents group by 1""")
+def s07c(spark, root):
+    # One feed per source with an entry for each of its documents; one source has a reading limit.
+    docs = load(spark, root, "documents")
+    entry = cat("<item><title>d</title><link>https://h/", F.col("doc_id").cast("string"), "</link></item>")
+    raw = docs.groupBy(F.col("source").alias("source_id")).agg(F.array_join(F.collect_list(entry), "").alias("items")).select(
+        "source_id", F.lit("https://h/feed.xml").alias("final_url"), cat("<rss><channel>", F.col("items"), "</channel></rss>").alias("body"),
+        F.lit("reading").alias("kind"), F.when(F.col("source_id") == "src0", 3).alias("max_items"))
+    return feeds.feed_counts(raw).withColumnRenamed("source_id", "source")
+
+
 @query("s08_validate_payloads", """
 select p_partkey::varchar as source_id, case p_type when 'SMALL' then 'invalid JSON' when 'LARGE' then 'an object with an items list is required' when 'PROMO' then '<rss> XML is required, got <feed>' when 'MEDIUM' then 'invalid XML' end as error
 from part where p_type in ('SMALL', 'LARGE', 'PROMO', 'MEDIUM')""")
@@ -187,12 +201,16 @@ def s08(spark, root):
 
 
 @query("s09_land_or_replay", """
-select o_orderdate::date::varchar as dt, o_orderkey as source_id, case when o_orderstatus = 'F' and o_orderdate < timestamp '1996-01-01' then 'reuse' else 'fetch' end as action from orders where o_orderdate < timestamp '1996-01-01' and o_orderstatus = 'F'
+select 'complete' as run, o_orderkey as source_id, 'reuse' as action from orders
+union all select 'partial', o_orderkey, case when (select count(*) from orders where o_orderstatus <> 'F') = 0 then 'reuse' else 'fetch' end from orders
 """)
 def s09(spark, root):
-    sources = load(spark, root, "orders").where("o_orderdate < timestamp'1996-01-01' and o_orderstatus = 'F'").select(F.col("o_orderkey").alias("source_id"), F.to_date("o_orderdate").cast("string").alias("d"))
-    landed = sources.select(F.lit("1996-01-01").alias("dt"), "source_id", F.lit("c").alias("config_hash"), F.lit("ok").alias("status"), F.lit("body").alias("body"))
-    return landing.land_or_replay(sources, landed, "1996-01-01", "c").select(F.col("d").alias("dt"), "source_id", "action")
+    # The first day landed every order, the second failed for all that aren't finished.
+    orders = load(spark, root, "orders").select(F.col("o_orderkey").alias("source_id"), "o_orderstatus")
+    row = lambda dt, ok: orders.select(F.lit(dt).alias("dt"), "source_id", F.lit("c").alias("config_hash"), F.when(ok, "ok").otherwise("failed").alias("status"), F.lit("body").alias("body"))
+    landed = row("1996-01-01", F.lit(True)).unionByName(row("1996-01-02", F.col("o_orderstatus") == "F"))
+    runs = [landing.land_or_replay(orders, landed, dt, "c").select(F.lit(run).alias("run"), "source_id", "action") for run, dt in (("complete", "1996-01-01"), ("partial", "1996-01-02"))]
+    return runs[0].unionByName(runs[1])
 
 
 @query("s10_registry", """
@@ -289,12 +307,12 @@ def s16(spark, root):
     return decoded.select("page_id", F.sha2("d.text", 256).alias("digest"), "d.encoding", "d.origin", "d.error", F.col("c.text").isNull().alias("conflict_rejected"))
 
 
-@query("k01_write_run", "select o_orderkey, o_totalprice from orders where o_orderstatus = 'F'")
+@query("k01_write_run", "select o_orderkey, o_totalprice from orders where o_orderstatus <> 'O'")
 def k01(spark, root):
     path = scratch_path(spark, "run")
     orders = load(spark, root, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     # The second day fails after a good run: its rows must be gone.
-    for dt, status, kept in (("2024-01-01", "success", "F"), ("2024-01-02", "success", "O"), ("2024-01-02", "failed", "O")):
+    for dt, status, kept in (("2024-01-01", "success", "F"), ("2024-01-02", "success", "O"), ("2024-01-02", "failed", "O"), ("2024-01-03", "success", "P")):
         writers.write_run(orders.where(F.col("o_orderstatus") == kept).drop("o_orderstatus"), path, dt, status)
     return spark.read.schema("o_orderkey long, o_totalprice double, dt date").json(f"{path}/rows").drop("dt")
 

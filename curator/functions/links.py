@@ -9,31 +9,43 @@ from curator.constants import AGGREGATOR, LINK_KEYS, ORIGINAL_LINK_KEYS
 from curator.functions.urls import normalize_url
 
 
-
 def _no_links() -> Column:
     return F.array().cast("array<string>")
 
 
-def harvest(json_text: Column, depth: int = 3) -> Column:
-    """Every http(s) string inside a JSON value, preferred keys first.
+def _depth(json_text: Column) -> Column:
+    """Levels that opening a JSON value can take: its nesting, and every bracket inside strings, which may hold JSON."""
+    outside = F.regexp_replace(json_text, '(?s)"(?:[^"\\\\]++|\\\\.)*+"', "")
+    marks = F.split(F.regexp_replace(outside, r"[^\[\]{}]", ""), "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(s: Column, mark: Column) -> Column:
+        now = s["now"] + F.when(mark.isin("{", "["), 1).when(mark.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    opens = lambda c: F.length(F.regexp_replace(c, r"[^\[{]", ""))
+    return F.aggregate(marks, zero, step, lambda s: s["most"]) + opens(json_text) - opens(outside)
+
+
+def harvest(json_text: Column) -> Column:
+    """Every http(s) string inside a JSON value, preferred keys of an object first, however deep.
 
-    Objects and arrays are opened `depth` levels deep; the feeds that carry
-    links nest them two levels at most.
+    A list that starts with the value is opened one level at a time, each object or array giving way to its members in
+    place, as often as the value is deep.
     """
-    if depth == 0:
-        return F.when(json_text.rlike(r"^https?://"), F.array(json_text)).otherwise(_no_links())
-    fields = F.from_json(json_text, "map<string,string>")
-    preferred = F.transform(F.array(*[F.lit(k) for k in LINK_KEYS]), lambda k: F.try_element_at(fields, k))
-    others = F.map_values(F.map_filter(fields, lambda k, v: ~k.isin(*LINK_KEYS)))
-    children = F.when(json_text.startswith("{"), F.concat(preferred, others)).when(
-        json_text.startswith("["), F.from_json(json_text, "array<string>")
-    )
-    nested = F.flatten(
-        F.transform(F.filter(children, lambda x: x.isNotNull()), lambda x: harvest(x, depth - 1))
-    )
-    return F.when(json_text.rlike(r"^https?://"), F.array(json_text)).otherwise(
-        F.coalesce(nested, _no_links())
-    )
+    is_url = lambda x: x.rlike(r"^https?://")
+
+    def opened(x: Column) -> Column:
+        fields = F.from_json(x, "map<string,string>")
+        preferred = F.transform(F.array(*[F.lit(k) for k in LINK_KEYS]), lambda k: F.try_element_at(fields, k))
+        others = F.map_values(F.map_filter(fields, lambda k, v: ~k.isin(*LINK_KEYS)))
+        members = F.when(is_url(x), F.array(x)).when(x.startswith("{"), F.concat(preferred, others)).when(
+            x.startswith("["), F.from_json(x, "array<string>"))
+        return F.coalesce(F.filter(members, lambda m: m.isNotNull()), _no_links())
+
+    levels = F.when(json_text.isNotNull(), F.sequence(F.lit(1), F.greatest(_depth(json_text), F.lit(1))))
+    every = F.aggregate(levels, F.array(json_text), lambda held, _: F.flatten(F.transform(held, opened)))
+    return F.filter(every, is_url)
 
 
 def declared_links(*values: Column) -> Column:
@@ -44,7 +56,7 @@ def declared_links(*values: Column) -> Column:
     """
     originals = F.flatten(F.array(*[
         F.flatten(F.array(*[
-            F.coalesce(harvest(F.get_json_object(v, f"$.{k}"), 2), _no_links())
+            F.coalesce(harvest(F.get_json_object(v, f"$.{k}")), _no_links())
             for k in ORIGINAL_LINK_KEYS
         ])) for v in values
     ]))

@@ -215,24 +215,36 @@ def is_public_url(c: Column | str) -> Column:
     )
 
 
+def fold_dots(path: Column) -> Column:
+    """An absolute path with its '.' and '..' segments folded, however many; '..' at the root is dropped."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == ".", done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    # The first part is the empty text before the root.
+    folded = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"), step)
+    closed = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
+    return F.concat(F.lit("/"), F.array_join(closed, "/"))
+
+
 def resolve_url(base: Column, link: Column) -> Column:
-    """Join a possibly relative link to its page URL."""
+    """Join a possibly relative link to its page URL; dots are folded in the path, not in a query or fragment."""
 
     def join(u: Column) -> Column:
         root = F.concat(u["scheme"], F.lit("://"), u["authority"])
         folder = F.regexp_replace(u["path"], r"[^/]*$", "")
-        folded = F.regexp_replace(
-            F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), link), r"(?<=/)\./", ""
-        )
-        for _ in range(4):
-            folded = F.regexp_replace(folded, r"/(?!\.\./)[^/]+/\.\./", "/")
+        path, tail = F.regexp_extract(link, r"^[^?#]*", 0), F.regexp_extract(link, r"[?#].*$", 0)
+        whole = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path)
         return (
             F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
             .when(link.startswith("//"), F.concat(u["scheme"], F.lit(":"), link))
-            .when(link.startswith("/"), F.concat(root, link))
+            .when(link.startswith("/"), F.concat(root, fold_dots(path), tail))
             .when(link.rlike("^[#?]"), F.concat(root, u["path"], link))
             .when(link == "", base)
-            .otherwise(F.concat(root, folded))
+            .otherwise(F.concat(root, fold_dots(whole), tail))
         )
 
     return let(split_url(base), join)

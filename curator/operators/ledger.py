@@ -14,23 +14,33 @@ from curator.runtime import materialize
 
 
 def new_entries(batch: DataFrame, log: DataFrame, key: str, content_hash: str) -> tuple[DataFrame, DataFrame]:
-    """(rows to append, conflicts): the same key and hash is a replay, the same
-    key with another hash a conflict."""
+    """(rows to append, conflicts): the same key and hash is a replay, the same key with another hash a conflict,
+    whether the other one is in the log or in the batch itself. Replays inside the batch are appended once; their
+    other columns are those of the least row.
+    """
+    rest = [F.col(c) for c in batch.columns if c not in (key, content_hash)]
+    once = batch.groupBy(key, content_hash).agg(F.min(F.struct(*rest)).alias("_rest")) if rest else batch.distinct()
+    once = once.select(*[F.col("_rest")[c].alias(c) if c not in (key, content_hash) else F.col(c) for c in batch.columns])
+    # The hash that a key must have: the log's where it is known, else the least one of the batch.
     held = log.select(key, F.col(content_hash).alias("_held")).distinct()
-    joined = batch.join(held, key, "left")
-    fresh = joined.where("_held is null").drop("_held")
-    conflicts = joined.where(F.col("_held") != F.col(content_hash)).select(key, content_hash, F.col("_held").alias("recorded_hash")).distinct()
+    first = once.groupBy(key).agg(F.min(content_hash).alias("_first"))
+    joined = once.join(first, key).join(held, key, "left")
+    conflicts = joined.where(~F.col(content_hash).eqNullSafe(F.coalesce("_held", "_first"))).select(
+        key, content_hash, F.coalesce("_held", "_first").alias("recorded_hash")).distinct()
+    fresh = joined.where("_held is null").drop("_held", "_first")
     return fresh, conflicts
 
 
 def append_state(batch: DataFrame, path: str, key: str, content_hash: str) -> int:
-    """Append what is new to the parquet log at `path`; fail on a conflict."""
+    """Append what is new to the parquet log at `path`; fail on a conflict, in the log or inside the batch."""
     spark = batch.sparkSession
     log = spark.read.schema(batch.schema).parquet(path)
+    batch = materialize(batch, "batch")
     fresh, conflicts = new_entries(batch, log, key, content_hash)
     clash = conflicts.limit(1).collect()
     if clash:
         raise ValueError(f"{key} {clash[0][key]!r} already exists with different content")
+    fresh = materialize(fresh, "fresh")
     fresh.write.mode("append").parquet(path)
     return fresh.count()
 

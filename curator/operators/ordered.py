@@ -17,11 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SAMPLE_PER_RANGE = 64
-# A range below this many rows is not worth a cut; above the second, ranges are added.
-_MIN_RANGE_ROWS = 20_000
-_MAX_RANGE_ROWS = 5_000_000
-_MAX_RANGES = 4096
+_SAMPLE_PER_RANGE = 16
+# Rows of a range; for many rows both the number of ranges and their size grow with the square root.
+_MIN_RANGE_ROWS = 50_000
 
 
 def _sortable(df: DataFrame, order: Sequence[Column | str]) -> list[Column]:
@@ -39,51 +37,46 @@ def _sortable(df: DataFrame, order: Sequence[Column | str]) -> list[Column]:
     return out
 
 
-def _pick(bounds: list[Column], key: Column, low: int, high: int) -> Column:
-    """Number of bounds <= key, as a balanced tree of comparisons."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(key < bounds[mid], _pick(bounds, key, low, mid)).otherwise(
-        _pick(bounds, key, mid + 1, high)
-    )
+def _pick(bounds: Column, n: int, key: Column) -> Column:
+    """Number of the `n` sorted bounds that are <= key, by halving the open interval."""
+    halvings = F.sequence(F.lit(1), F.lit(max(1, n.bit_length())))
+    start = F.struct(F.lit(0).alias("low"), F.lit(n).alias("high"))
 
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.call_function("shiftright", s["low"] + s["high"], F.lit(1))
+        below = F.get(bounds, mid) <= key
+        return F.when(s["low"] >= s["high"], s).when(
+            below, F.struct((mid + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), mid.alias("high")))
 
-def _range_count(df: DataFrame, rows: int) -> int:
-    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    most = max(parallel, min(_MAX_RANGES, rows // _MAX_RANGE_ROWS))
-    return max(1, min(most, -(-rows // _MIN_RANGE_ROWS)))
+    return F.aggregate(halvings, start, halve, lambda s: s["low"])
+
+
+def range_count(rows: int) -> int:
+    return -(-rows // max(_MIN_RANGE_ROWS, int(10 * rows**0.5)))
 
 
 def range_bucket(df: DataFrame, keys: Sequence[Column]) -> Column | None:
     """A bucket number that follows the order of `keys` with balanced buckets.
 
-    None when the rows fit one range. Boundaries come from a bounded sample of
-    the keys (64 per bucket). They only decide how work is split: results do not
-    depend on which rows were sampled.
+    None when the rows make one range. Boundaries come from a sample of the keys, a few per range. They travel in the
+    plan as one literal, and a row finds its range by binary search, so thousands of ranges cost no planning. They
+    only decide how work is split: results do not depend on which rows were sampled.
     """
     key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
     keyed = df.select(key.alias("k"))
     rows = keyed.count()
-    buckets = _range_count(df, rows)
-    if buckets == 1:
+    buckets = range_count(rows)
+    if buckets <= 1:
         return None
     wanted = buckets * _SAMPLE_PER_RANGE
     if rows > wanted:
         keyed = keyed.sample(min(1.0, 1.2 * wanted / rows), seed=17)
-    sample = [r["k"] for r in keyed.orderBy("k").collect()]
-    types = keyed.schema["k"].dataType.fields
-    step = max(1, len(sample) // buckets)
-    seen, bounds = set(), []
-    for row in sample[step::step][: buckets - 1]:
-        values = tuple(row)
-        if values in seen:
-            continue
-        seen.add(values)
-        bounds.append(
-            F.struct(*[F.lit(v).cast(t.dataType).alias(t.name) for v, t in zip(values, types)])
-        )
-    return _pick(bounds, key, 0, len(bounds)) if bounds else None
+    sample = [r["k"] for r in keyed.orderBy("k").select(F.to_json("k", {"ignoreNullFields": "false"}).alias("k")).collect()]
+    bounds = list(dict.fromkeys(sample[len(sample) * i // buckets] for i in range(1, buckets) if sample))
+    if not bounds:
+        return None
+    kind = keyed.schema["k"].dataType.simpleString()
+    return _pick(F.from_json(F.lit("[" + ",".join(bounds) + "]"), f"array<{kind}>"), len(bounds), key)
 
 
 def with_ranges(df: DataFrame, keys: Sequence[Column], name: str) -> tuple[DataFrame, str | bool]:

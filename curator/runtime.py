@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -50,17 +53,21 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
+    """The shared folder for intermediate tables: `spark.checkpoint.dir`.
 
-    On a cluster this is `spark.checkpoint.dir`; only when that is unset (tests,
-    local runs) is a temporary folder made.
+    Where that is unset, a local session gets a temporary folder of its own, which goes when Python ends; on a cluster
+    executors would not see it, so the setting is required there.
     """
     global _local_scratch
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not re.match(r"local(\[[^\]]*\])?$", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _local_scratch is None or not os.path.isdir(_local_scratch):
         _local_scratch = tempfile.mkdtemp(prefix="curator-")
+        atexit.register(shutil.rmtree, _local_scratch, ignore_errors=True)
     return _local_scratch
 
 

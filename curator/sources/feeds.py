@@ -200,25 +200,41 @@ def validate_payloads(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.where("error is null").drop("error"), judged.where("error is not null").drop("body")
 
 
-def read_feed_entries(raw: DataFrame, limit: int = 80) -> DataFrame:
+_ENTRY = (
+    "struct<title:array<string>,guid:array<string>,published:array<string>,pubDate:array<string>,date:array<string>,updated:array<string>,"
+    "summary:array<string>,description:array<string>,content:array<string>,encoded:array<string>,"
+    "link:array<struct<_VALUE:string,_rel:string,_href:string>>>"
+)
+# Fixed value: characters kept of a feed's titles and summaries.
+FEED_TEXT = 1000
+
+
+def _feed_items(raw: DataFrame) -> DataFrame:
+    """All entries of each feed in one array, and how many of them its source reads."""
+    shape = f"channel struct<item:array<{_ENTRY}>>, item array<{_ENTRY}>, entry array<{_ENTRY}>, _bad string"
+    parsed = raw.withColumn("_x", F.from_xml("body", shape, {**_XML, "valueTag": "_VALUE"}))
+    every = F.coalesce("_x.channel.item", "_x.item", "_x.entry", F.array().cast(f"array<{_ENTRY}>"))
+    most = F.col("max_items") if "max_items" in raw.columns else F.lit(None).cast("int")
+    return parsed.withColumn("_items", every).withColumn("_read", F.least(F.size("_items"), most))
+
+
+def feed_counts(raw: DataFrame) -> DataFrame:
+    """source_id, max_items, available, read, truncated: what each fetched feed holds and how much of it is read."""
+    items = _feed_items(raw)
+    most = F.col("max_items") if "max_items" in raw.columns else F.lit(None).cast("int").alias("max_items")
+    return items.select(
+        "source_id", most, F.size("_items").cast("long").alias("available"), F.col("_read").cast("long").alias("read"),
+        (F.size("_items") > F.col("_read")).alias("truncated"))
+
+
+def read_feed_entries(raw: DataFrame, text_limit: int = FEED_TEXT) -> DataFrame:
     """Discovery entries of any feed that has `item` or `entry` elements.
 
-    raw: source_id, final_url, body, kind. The first value per tag counts,
-    relative links are resolved, an opaque guid is not a URL, and a refresh date
-    is an observation time but no publication date. `limit` is the feed's own
-    reading limit per fetch.
+    raw: source_id, final_url, body, kind and, where the registry sets one, max_items (null: all entries are read;
+    `feed_counts` reports what a limit leaves out). The first value per tag counts, relative links are resolved, an
+    opaque guid is not a URL, and a refresh date is an observation time but no publication date.
     """
-    schema = (
-        "struct<title:array<string>,guid:array<string>,published:array<string>,pubDate:array<string>,date:array<string>,updated:array<string>,"
-        "summary:array<string>,description:array<string>,content:array<string>,encoded:array<string>,"
-        "link:array<struct<_VALUE:string,_rel:string,_href:string>>>"
-    )
-    shape = f"channel struct<item:array<{schema}>>, item array<{schema}>, entry array<{schema}>, _bad string"
-    parsed = raw.select("source_id", "final_url", "kind", F.from_xml("body", shape, {**_XML, "valueTag": "_VALUE"}).alias("x"))
-    entries = parsed.select(
-        "source_id", "final_url", "kind",
-        F.posexplode(F.slice(F.coalesce("x.channel.item", "x.item", "x.entry"), 1, limit)).alias("place", "e"),
-    )
+    entries = _feed_items(raw).select("source_id", "final_url", "kind", F.posexplode(F.slice("_items", 1, F.col("_read"))).alias("place", "e"))
     one = lambda n: F.trim(F.coalesce(F.get(f"e.{n}", 0), F.lit("")))
     links = F.filter(
         F.transform(
@@ -233,7 +249,7 @@ def read_feed_entries(raw: DataFrame, limit: int = 80) -> DataFrame:
     refreshed = to_utc(one("updated"), naive="null", keep_fraction=True)
     body = F.coalesce(*[F.nullif(one(n), F.lit("")) for n in ("summary", "description", "content", "encoded")], F.lit(""))
     return entries.withColumn("_link", link).where("_link <> ''").select(
-        "source_id", "place", resolve_url(F.col("final_url"), F.col("_link")).alias("url"), plain_text(one("title"), 1000).alias("title"),
-        plain_text(body, 1000).alias("summary"), F.coalesce(stated, refreshed).alias("observed_at"),
+        "source_id", "place", resolve_url(F.col("final_url"), F.col("_link")).alias("url"), plain_text(one("title"), text_limit).alias("title"),
+        plain_text(body, text_limit).alias("summary"), F.coalesce(stated, refreshed).alias("observed_at"),
         F.when(F.col("kind").isin("reading", "news"), stated).alias("published_at"), "kind",
     )

@@ -238,3 +238,14 @@ def test_passages_keep_every_word(one):
     assert all(len(p["quote"]) <= 2400 and body[p["start"]:].startswith(p["quote"]) for p in found)
     assert found[0]["heading_path"] == ["A"] and ["A", "B"] in [p["heading_path"] for p in found]
     assert found[-1]["heading_path"] == ["Title"]
+
+
+def test_links_and_dots_have_no_depth_limit(one):
+    deep = '{"a":{"b":[{"c":{"d":{"e":{"f":["https://h/x", {"url":"https://h/y"}]}}}}]},"url":"https://h/first","z":"]}]}"}'
+    assert one(links.harvest(F.col("p")), p=deep) == ["https://h/first", "https://h/x", "https://h/y"]
+    assert one(links.harvest(F.col("p").cast("string")), p=None) is None and one(links.harvest(F.col("p")), p="plain") == []
+    join = lambda b, u: one(urls.resolve_url(F.lit(b), F.lit(u)))
+    assert join("https://h/1/2/3/4/5/6/7/x", "../../../../../../p") == "https://h/1/p"
+    assert join("https://h/a/b", "../../../p") == "https://h/p" and join("https://h/a/b/c", "..") == "https://h/a/"
+    assert join("https://h/a/b", "./c/./d?e=../f") == "https://h/a/c/d?e=../f" and join("https://h", "x") == "https://h/x"
+    assert join("https://h/a/b", "/c/../d/") == "https://h/d/"
