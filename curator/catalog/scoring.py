@@ -10,6 +10,7 @@ from curator.catalog.aggregates import members
 from curator.catalog.registry import query
 from curator.functions import spans, text
 from curator.operators import aggregates, ledger, scoring, validation
+from curator.policy import ScoreConfig, SelectionPolicy
 from curator.runtime import load
 
 _K = "cast(json_extract(props, '$.k') as bigint)"
@@ -23,35 +24,67 @@ def _terms(column, terms):
     return "(" + " or ".join(f"contains({column}, '{t}')" for t in terms) + ")"
 
 
-_STORIES = f"""
+def _stories(config):
+    c, w, p = config, config.weights, config.penalties
+    part = lambda n, x: round(w[n] * x)  # noqa: E731  ties to even
+    return f"""
 with m as (select regexp_extract(url, '//([^/]*)/', 1) as host, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]*)', 1) as lang, lpad(page_id::varchar, 12, '0') as id,
   {S.TITLE} as title, {S.normalize_url('url')} as url, starts_with(url, 'https:') as allowed, lower({S.collapse(S.unescape("regexp_replace(html, '<[^>]+>', ' ', 'g')"))}) as body, ts
   from pages left join events on event_id = page_id * 40),
 c as (select *, lang || '-' || substr(id, 11, 1) as cluster_id, split_part(host, '.', 1) as p from m),
 s as (select *, case when p = 'www' then 'aggregator' when p = 'blog' then 'primary_official' when p = 'm' then 'research' else 'community' end as cls from c),
 k as (select *, (coalesce(list_position(['primary_official', 'open_source', 'research'], cls), 4), {S.normalize_title('title')}, url, id) as pk, cls in ('primary_official', 'research') and allowed as prim from s),
-g as (select cluster_id, arg_min(title, pk) as t, bool_or({_terms('body', K.WORKFLOW_TERMS)}) as bw, bool_or({_terms('body', K.WEAK_EVIDENCE_TERMS)}) as bk, max(ts) as latest, count(distinct host) as n,
+g as (select cluster_id, arg_min(title, pk) as t, bool_or({_terms('body', c.workflow_terms)}) as bw, bool_or({_terms('body', c.weak_terms)}) as bk, max(ts) as latest, count(distinct host) as n,
   case when bool_or(prim) then 'primary' when bool_and(cls = 'aggregator') then 'discovery_only'
    when count(distinct case when allowed and cls <> 'aggregator' then host end) >= 2 then 'multi_source' else 'insufficient' end as st from k group by 1),
-w as (select *, {_terms('lower(t)', K.WORKFLOW_TERMS)} as tw, {_terms('lower(t)', K.WEAK_EVIDENCE_TERMS)} as tk, {_terms('lower(t)', K.NOISE_TERMS)} as tn,
+w as (select *, {_terms('lower(t)', c.workflow_terms)} as tw, {_terms('lower(t)', c.weak_terms)} as tk, {_terms('lower(t)', c.noise_terms)} as tn,
   greatest(0, (epoch_us(timestamp '2024-01-31') - epoch_us(latest)) / 86400000000.0) as age from g),
-p as (select cluster_id, case when bw or tw then 25 else 10 end as audience_value, case st when 'primary' then 20 when 'multi_source' then 14 when 'insufficient' then 7 else 0 end as evidence,
-  least(15, 4 + 4 * n) as novelty, case when age is null then 0 when age <= 1 then 15 when age <= 3 then 11 when age <= 7 then 6 else 0 end as timeliness,
-  case when bw or tw then 10 else 3 end as audience_fit, case when st = 'primary' then 10 else 5 end as explainability, case when st = 'discovery_only' then 3 else 5 end as cost,
-  case when st = 'discovery_only' then -20 else 0 end as p1, case when bk or tk then -15 else 0 end as p2, case when tn and not tw then -15 else 0 end as p3 from w)"""
+p as (select cluster_id, case when bw or tw then {w['audience_value']} else {part('audience_value', 0.4)} end as audience_value, case st when 'primary' then {w['evidence']} when 'multi_source' then {part('evidence', 0.7)} when 'insufficient' then {part('evidence', 0.35)} else 0 end as evidence,
+  least({w['novelty']}, 4 + 4 * n) as novelty, case when age is null then 0 when age <= 1 then {w['timeliness']} when age <= 3 then {part('timeliness', 0.75)} when age <= 7 then {part('timeliness', 0.4)} else 0 end as timeliness,
+  case when bw or tw then {w['audience_fit']} else {part('audience_fit', 0.3)} end as audience_fit, case when st = 'primary' then {w['explainability']} else {part('explainability', 0.5)} end as explainability, case when st = 'discovery_only' then {part('production_cost_fit', 0.6)} else {w['production_cost_fit']} end as cost,
+  case when st = 'discovery_only' then {p['discovery_only']} else 0 end as p1, case when bk or tk then {p['weak_evidence_language']} else 0 end as p2, case when tn and not tw then {p['non_workflow_noise']} else 0 end as p3 from w)"""
 
 
-@query("c01_score_stories", _STORIES + """
+_C01 = """
 select cluster_id, audience_value::bigint as audience_value, evidence::bigint as evidence, novelty::bigint as novelty, timeliness::bigint as timeliness, audience_fit::bigint as audience_fit,
  explainability::bigint as explainability, cost::bigint as production_cost_fit, (p1 + p2 + p3)::bigint as penalty,
- greatest(0, least(100, audience_value + evidence + novelty + timeliness + audience_fit + explainability + cost + p1 + p2 + p3))::bigint as total from p""")
+ greatest(0, least(100, audience_value + evidence + novelty + timeliness + audience_fit + explainability + cost + p1 + p2 + p3))::bigint as total from p"""
+_OTHER_RULES = [
+    ("2", "weight", "audience_value", "", "15"), ("2", "weight", "evidence", "", "30"), ("2", "penalty", "discovery_only", "", "-35"),
+    ("2", "penalty", "weak_evidence_language", "", "-5"), ("2", "workflow_term", "and", "", ""), ("2", "weak_term", "the", "", ""), ("2", "noise_term", "an", "", ""),
+    ("2", "profile", "practical", "value", "1"), ("2", "profile", "practical", "usability", "6"), ("2", "profile", "practical", "interest", "3"),
+    ("2", "profile", "news", "evidence", "7"), ("2", "profile", "news", "novelty", "3"), ("2", "profile", "play", "interest", "9"), ("2", "profile", "play", "value", "1"),
+    ("2", "cap", "unsupported_promotion", "value", "6"), ("2", "cap", "unsupported_promotion", "evidence", "5"), ("2", "cap", "unclear_usage", "usability", "1"),
+    ("2", "defer", "unclear_usage", "", ""), ("2", "threshold", "select_at", "", "70"), ("2", "threshold", "reject_below", "", "30"),
+    ("2", "threshold", "confidence_floor", "", "0.9"), ("2", "threshold", "threshold_margin", "", "2"),
+]
+_OTHER_CONFIG = ScoreConfig(
+    weights={**K.SCORE_WEIGHTS, "audience_value": 15, "evidence": 30}, penalties={**K.SCORE_PENALTIES, "discovery_only": -35, "weak_evidence_language": -5},
+    workflow_terms=("and",), weak_terms=("the",), noise_terms=("an",))
+
+
+def other_rules(spark):
+    """Another version of all rules, as the table that a user would keep."""
+    return spark.createDataFrame(_OTHER_RULES, "version string, section string, name string, item string, value string")
+
+
+@query("c01_score_stories", _stories(ScoreConfig()) + _C01)
 def c01(spark, root):
+    return _c01(spark, root, ScoreConfig())
+
+
+@query("c01_other_config", _stories(_OTHER_CONFIG) + _C01)
+def c01_other(spark, root):
+    return _c01(spark, root, ScoreConfig.from_table(other_rules(spark), "2"))
+
+
+def _c01(spark, root, config):
     pages = load(spark, root, "pages").join(load(spark, root, "events").select("event_id", "ts"), F.col("event_id") == F.col("page_id") * 40, "left").select(
         F.lpad(F.col("page_id").cast("string"), 12, "0").alias("id"), text.plain_text("html").alias("summary"), F.col("ts").alias("published_at"),
         F.array().cast("array<string>").alias("categories"),
     )
-    stories = aggregates.stories_from_clusters(members(spark, root).join(pages, "id"), scoring.term_aggregates())
-    scored = scoring.score_stories(stories, F.lit("2024-01-31").cast("timestamp"))
+    stories = aggregates.stories_from_clusters(members(spark, root).join(pages, "id"), scoring.term_aggregates(config))
+    scored = scoring.score_stories(stories, F.lit("2024-01-31").cast("timestamp"), config=config)
     penalty = F.aggregate(F.map_values("penalties"), F.lit(0), lambda a, x: a + x)
     return scored.select(
         "cluster_id", *[F.col(f"components.{n}").cast("long").alias(n) for n in K.SCORE_WEIGHTS],
@@ -59,12 +92,18 @@ def c01(spark, root):
     )
 
 
-_ORDERS = """
+def _orders(caps=(4, 3, 3), practical=(4, 1, 1, 3, 1), news=(3, 3, 3, 1, 0), play=(1, 2, 1, 2, 4)):
+    """caps: of value, evidence and usability; the profiles' weights in the order of the dimensions."""
+    total = lambda w, v, e, u: " + ".join(f"{x} * {n}" for x, n in zip((v, "n", e, u, "i"), w))
+    by = lambda v, e, u: f"case profile when 'practical' then {total(practical, v, e, u)} when 'news' then {total(news, v, e, u)} else {total(play, v, e, u)} end"
+    return f"""
 with o as (select o_orderkey, case o_orderstatus when 'F' then 'practical' when 'O' then 'news' else 'play' end as profile, o_orderkey % 11 as v, o_custkey % 11 as n, (o_orderkey * 7) % 11 as e, (o_custkey * 3) % 11 as u, (o_orderkey + o_custkey) % 11 as i,
    o_orderpriority = '1-URGENT' as f1, o_custkey % 3 = 0 as f2, o_orderpriority = '5-LOW' as nul from orders),
-c as (select *, case when f1 then least(v, 4) else v end as v2, case when f1 then least(e, 3) else e end as e2, case when f2 then least(u, 3) else u end as u2 from o),
-t as (select *, case profile when 'practical' then v * 4 + n + e + u * 3 + i when 'news' then v * 3 + n * 3 + e * 3 + u else v + n * 2 + e + u * 2 + i * 4 end as raw,
-   case profile when 'practical' then v2 * 4 + n + e2 + u2 * 3 + i when 'news' then v2 * 3 + n * 3 + e2 * 3 + u2 else v2 + n * 2 + e2 + u2 * 2 + i * 4 end as total from c)"""
+c as (select *, case when f1 then least(v, {caps[0]}) else v end as v2, case when f1 then least(e, {caps[1]}) else e end as e2, case when f2 then least(u, {caps[2]}) else u end as u2 from o),
+t as (select *, {by('v', 'e', 'u')} as raw, {by('v2', 'e2', 'u2')} as total from c)"""
+
+
+_OTHER_ORDERS = dict(caps=(6, 5, 1), practical=(1, 0, 0, 6, 3), news=(0, 3, 7, 0, 0), play=(1, 0, 0, 0, 9))
 
 
 def scored_orders(spark, root):
@@ -78,32 +117,72 @@ def scored_orders(spark, root):
     )
 
 
-@query("c02_weighted_score", _ORDERS + """
+def _c02_sql(caps):
+    v, e, u = caps
+    return f"""
 select o_orderkey, case when not nul then raw end as raw_score, case when not nul then total end as total_score,
-  case when nul then '' else concat_ws(' ', case when f1 and v > 4 then 'value:' || v || '>4' end, case when f1 and e > 3 then 'evidence:' || e || '>3' end, case when f2 and u > 3 then 'usability:' || u || '>3' end) end as caps from t""")
+  case when nul then '' else concat_ws(' ', case when f1 and v > {v} then 'value:' || v || '>{v}' end, case when f1 and e > {e} then 'evidence:' || e || '>{e}' end, case when f2 and u > {u} then 'usability:' || u || '>{u}' end) end as caps from t"""
+
+
+@query("c02_weighted_score", _orders() + _c02_sql((4, 3, 3)))
 def c02(spark, root):
-    scored = scoring.weighted_score(scored_orders(spark, root))
+    return _c02(spark, root, SelectionPolicy())
+
+
+@query("c02_other_policy", _orders(**_OTHER_ORDERS) + _c02_sql((6, 5, 1)))
+def c02_other(spark, root):
+    return _c02(spark, root, SelectionPolicy.from_table(other_rules(spark), "2"))
+
+
+def _c02(spark, root, policy):
+    scored = scoring.weighted_score(scored_orders(spark, root), policy)
     caps = F.transform("applied_caps", lambda c: F.concat(c["dimension"], F.lit(":"), c["from"].cast("string"), F.lit(">"), c["to"].cast("string")))
     return scored.select("o_orderkey", F.col("raw_score").cast("long").alias("raw_score"), F.col("total_score").cast("long").alias("total_score"), F.array_join(caps, " ").alias("caps"))
 
 
-@query("c03_decide", _ORDERS + """
-select o_orderkey, case when o_orderkey % 13 = 0 then 'reject' when o_orderkey % 17 = 0 or nul or o_orderkey % 19 = 0 or f1 or f2 then 'defer' when total >= 65 then 'select' when total < 45 then 'reject' else 'defer' end as decision from t""")
+def _c03_sql(doubt, select_at, reject_below):
+    return f"""
+select o_orderkey, case when o_orderkey % 13 = 0 then 'reject' when o_orderkey % 17 = 0 or nul or o_orderkey % 19 = 0 or {doubt} then 'defer' when total >= {select_at} then 'select' when total < {reject_below} then 'reject' else 'defer' end as decision from t"""
+
+
+@query("c03_decide", _orders() + _c03_sql("f1 or f2", 65, 45))
 def c03(spark, root):
-    scored = scoring.weighted_score(scored_orders(spark, root))
+    return _c03(spark, root, SelectionPolicy())
+
+
+@query("c03_other_policy", _orders(**_OTHER_ORDERS) + _c03_sql("f2", 70, 30))
+def c03_other(spark, root):
+    return _c03(spark, root, SelectionPolicy.from_table(other_rules(spark), "2"))
+
+
+def _c03(spark, root, policy):
+    scored = scoring.weighted_score(scored_orders(spark, root), policy)
     key = F.col("o_orderkey")
     precheck = F.when(key % 13 == 0, "BLOCK").when(key % 17 == 0, "UNKNOWN").otherwise("PASS")
     state = F.when(key % 19 == 0, "needs_evidence").otherwise("available")
-    return scored.select("o_orderkey", scoring.decide(precheck, state, F.col("flags"), F.col("total_score")).alias("decision"))
+    return scored.select("o_orderkey", scoring.decide(precheck, state, F.col("flags"), F.col("total_score"), policy).alias("decision"))
 
 
-@query("c04_escalation", """
+def _c04_sql(floor, margin, select_at, reject_below):
+    return f"""
 with e as (select vec_id, label, list_transform(embedding, lambda x: round(1 - abs(x::double), 6)) as c, (vec_id * 7) % 101 as score from embeddings)
-select vec_id, concat_ws(',', case when label = 0 then 'unknown' end, case when list_bool_or(list_transform(c, lambda x: x < 0.8)) then 'low_confidence' end,
-  case when abs(score - 65) <= 5 or abs(score - 45) <= 5 then 'near_threshold' end) as reasons from e""")
+select vec_id, concat_ws(',', case when label = 0 then 'unknown' end, case when list_bool_or(list_transform(c, lambda x: x < {floor})) then 'low_confidence' end,
+  case when abs(score - {select_at}) <= {margin} or abs(score - {reject_below}) <= {margin} then 'near_threshold' end) as reasons from e"""
+
+
+@query("c04_escalation", _c04_sql(0.8, 5, 65, 45))
 def c04(spark, root):
+    return _c04(spark, root, SelectionPolicy())
+
+
+@query("c04_other_policy", _c04_sql(0.9, 2, 70, 30))
+def c04_other(spark, root):
+    return _c04(spark, root, SelectionPolicy.from_table(other_rules(spark), "2"))
+
+
+def _c04(spark, root, policy):
     confidences = F.transform("embedding", lambda x: F.round(1 - F.abs(x.cast("double")), 6))
-    why = scoring.escalation_reasons(F.when(F.col("label") == 0, "UNKNOWN").otherwise("PASS"), confidences, (F.col("vec_id") * 7) % 101)
+    why = scoring.escalation_reasons(F.when(F.col("label") == 0, "UNKNOWN").otherwise("PASS"), confidences, (F.col("vec_id") * 7) % 101, policy)
     return load(spark, root, "embeddings").select("vec_id", F.array_join(why, ",").alias("reasons"))
 
 

@@ -9,6 +9,7 @@ from curator import constants as K
 from curator.functions.expr import let, reasons
 from curator.functions.text import has_term
 from curator.operators.ordered import ordered_scan
+from curator.policy import ScoreConfig, SelectionPolicy
 
 
 def _pick(key: Column, pairs: dict[str, str]) -> Column:
@@ -27,28 +28,31 @@ def profile_of(kind: Column, category: Column) -> Column:
     return F.when(kind == "news", F.lit("news")).otherwise(_pick(category, K.CATEGORY_PROFILES))
 
 
-def term_aggregates() -> list[Column]:
+def term_aggregates(config: ScoreConfig | None = None) -> list[Column]:
     """Aggregates over cluster members that `score_stories` needs."""
+    config = config or ScoreConfig()
     body = F.concat_ws(" ", F.col("summary"), F.array_join("categories", " "))
     return [
-        F.coalesce(F.bool_or(has_term(body, K.WORKFLOW_TERMS)), F.lit(False)).alias("body_workflow"),
-        F.coalesce(F.bool_or(has_term(body, K.WEAK_EVIDENCE_TERMS)), F.lit(False)).alias("body_weak"),
+        F.coalesce(F.bool_or(has_term(body, config.workflow_terms)), F.lit(False)).alias("body_workflow"),
+        F.coalesce(F.bool_or(has_term(body, config.weak_terms)), F.lit(False)).alias("body_weak"),
         F.max("published_at").alias("latest_published_at"),
     ]
 
 
-def score_stories(stories: DataFrame, as_of: Column, recent: DataFrame | None = None, audience: str = "本刊") -> DataFrame:
+def score_stories(stories: DataFrame, as_of: Column, recent: DataFrame | None = None, audience: str = "本刊", config: ScoreConfig | None = None) -> DataFrame:
     """Seven additive components, four penalties and a total from 0 to 100.
 
     stories: event_id, canonical_title, evidence_status, source_ids and the
-    `term_aggregates`; recent: event_id of stories like a recent decision.
+    `term_aggregates`; recent: event_id of stories like a recent decision;
+    config: weights, penalties and terms.
     """
-    weight, penalty = K.SCORE_WEIGHTS, K.SCORE_PENALTIES
+    config = config or ScoreConfig()
+    weight, penalty = config.weights, config.penalties
     share = lambda name, part: F.bround(F.lit(weight[name] * part)).cast("int")  # ties to even
     full = lambda name: F.lit(weight[name])
     status = F.col("evidence_status")
     title = F.col("canonical_title")
-    title_work = has_term(title, K.WORKFLOW_TERMS)
+    title_work = has_term(title, config.workflow_terms)
     work = F.col("body_workflow") | title_work
     age = F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros("latest_published_at")) / 86_400_000_000)
     components = {
@@ -69,8 +73,8 @@ def score_stories(stories: DataFrame, as_of: Column, recent: DataFrame | None =
     hits = {
         "discovery_only": status == "discovery_only",
         "recent_decision_similarity": F.coalesce("_recent", F.lit(False)),
-        "weak_evidence_language": F.col("body_weak") | has_term(title, K.WEAK_EVIDENCE_TERMS),
-        "non_workflow_noise": has_term(title, K.NOISE_TERMS) & ~title_work,
+        "weak_evidence_language": F.col("body_weak") | has_term(title, config.weak_terms),
+        "non_workflow_noise": has_term(title, config.noise_terms) & ~title_work,
     }
     scored = stories.select(
         "*",
@@ -104,35 +108,37 @@ def recommendation(title: Column, status: Column, total: Column, audience: str =
     )
 
 
-def _lowest_cap(flags: Column, dimension: str) -> Column:
-    caps = [(code, cap[dimension]) for code, cap in K.FLAG_CAPS.items() if dimension in cap]
+def _lowest_cap(flags: Column, dimension: str, policy: SelectionPolicy) -> Column:
+    caps = [(code, cap[dimension]) for code, cap in policy.flag_caps.items() if dimension in cap]
     return F.least(F.lit(10), *[F.when(F.array_contains(flags, code), cap).otherwise(10) for code, cap in caps], F.lit(10))
 
 
-def weighted_score(df: DataFrame) -> DataFrame:
+def weighted_score(df: DataFrame, policy: SelectionPolicy | None = None) -> DataFrame:
     """raw_score, effective_scores, total_score and applied caps of five 0-10 scores.
 
     df: profile, scores STRUCT of the five dimensions (null = not scored),
-    flags ARRAY<STRING>. Without scores every result is null.
+    flags ARRAY<STRING>; policy: the profiles' weights and the flags' caps.
+    Without scores every result is null.
     """
+    policy = policy or SelectionPolicy()
     dims = K.DIMENSIONS
     raw = {d: F.col(f"scores.{d}") for d in dims}
     scored = F.col("scores").isNotNull()
 
     def weight(d: str) -> Column:
         out = F.lit(None).cast("int")
-        for name, weights in K.PROFILES.items():
+        for name, weights in policy.profiles.items():
             out = F.when(F.col("profile") == name, weights[d]).otherwise(out)
         return out
 
-    effective = {d: F.least(raw[d], _lowest_cap(F.col("flags"), d)) for d in dims}
+    effective = {d: F.least(raw[d], _lowest_cap(F.col("flags"), d, policy)) for d in dims}
     capped = df.withColumn("_effective", F.struct(*[effective[d].cast("int").alias(d) for d in dims]))
     total = lambda values: sum((values[d] * weight(d) for d in dims[1:]), values[dims[0]] * weight(dims[0]))
 
     # Caps are listed flag by flag, each against what earlier flags left.
     steps = F.array(*[
         F.struct(F.lit(code).alias("flag"), F.lit(d).alias("dimension"), F.lit(cap).alias("to"))
-        for code, limits in K.FLAG_CAPS.items() for d, cap in limits.items()
+        for code, limits in policy.flag_caps.items() for d, cap in limits.items()
     ])
     ordered = F.flatten(F.transform("flags", lambda f: F.filter(steps, lambda s: s["flag"] == f)))
     state = F.map_from_arrays(F.array(*[F.lit(d) for d in dims]), F.array(*[raw[d].cast("int") for d in dims]))
@@ -158,25 +164,27 @@ def weighted_score(df: DataFrame) -> DataFrame:
     )
 
 
-def decide(precheck: Column, eligibility_state: Column, flags: Column, total: Column) -> Column:
+def decide(precheck: Column, eligibility_state: Column, flags: Column, total: Column, policy: SelectionPolicy | None = None) -> Column:
     """select / defer / reject. A hard block comes first, doubt before any threshold."""
+    policy = policy or SelectionPolicy()
     doubtful = (
         (precheck == "UNKNOWN") | total.isNull() | (eligibility_state != "available")
-        | F.arrays_overlap(flags, F.array(*[F.lit(f) for f in K.DEFER_FLAGS]))
+        | F.arrays_overlap(flags, F.array(*[F.lit(f) for f in policy.defer_flags]))
     )
     return (
         F.when(precheck == "BLOCK", F.lit("reject")).when(doubtful, F.lit("defer"))
-        .when(total >= K.SELECT_AT, F.lit("select")).when(total < K.REJECT_BELOW, F.lit("reject")).otherwise("defer")
+        .when(total >= policy.select_at, F.lit("select")).when(total < policy.reject_below, F.lit("reject")).otherwise("defer")
     )
 
 
-def escalation_reasons(precheck: Column, confidences: Column, score: Column) -> Column:
+def escalation_reasons(precheck: Column, confidences: Column, score: Column, policy: SelectionPolicy | None = None) -> Column:
     """Why a judgment should go to the stronger reviewer; empty = keep it.
 
     confidences: one value per core answer; a missing one counts as low.
     """
-    near = (F.abs(score - K.SELECT_AT) <= K.THRESHOLD_MARGIN) | (F.abs(score - K.REJECT_BELOW) <= K.THRESHOLD_MARGIN)
-    low = F.exists(confidences, lambda c: F.coalesce(c < K.CONFIDENCE_FLOOR, F.lit(True)))
+    policy = policy or SelectionPolicy()
+    near = F.least(F.abs(score - policy.select_at), F.abs(score - policy.reject_below)) <= policy.threshold_margin
+    low = F.exists(confidences, lambda c: F.coalesce(c < policy.confidence_floor, F.lit(True)))
     return reasons((precheck == "UNKNOWN", "unknown"), (low, "low_confidence"), (F.coalesce(near, F.lit(False)), "near_threshold"))
 
 
