@@ -42,16 +42,22 @@ def members(spark, root):
 
 
 @query("a01_stories_from_clusters", _MEMBERS + f"""
-, g as (select cluster_id, arg_min(title, pk) as t, arg_min(url, pk) as u, arg_min(url, pk) filter (where prim) as pu, string_agg(distinct host, ' ' order by host) as source_ids,
+, g as (select cluster_id, arg_min(title, pk) as t, arg_min(url, pk) as u, arg_min(url, pk) filter (where prim) as pu, count(distinct host)::bigint as source_count,
   string_agg(distinct cls, ' ' order by cls) as source_classes, count(*)::bigint as item_count from k group by 1)
-select cluster_id, sha256('event:' || coalesce(pu, u)) as event_id, t as canonical_title, pu as primary_source_url, source_ids, source_classes, item_count from g""")
+select cluster_id, sha256('event:' || coalesce(pu, u)) as event_id, t as canonical_title, pu as primary_source_url, source_count, source_classes, item_count from g""")
 def a01(spark, root):
     return aggregates.stories_from_clusters(members(spark, root)).select(
-        "cluster_id", "event_id", "canonical_title", "primary_source_url", F.array_join("source_ids", " ").alias("source_ids"),
+        "cluster_id", "event_id", "canonical_title", "primary_source_url", "source_count",
         F.array_join("source_classes", " ").alias("source_classes"), "item_count",
     )
 
 
+@query("a01_story_sources", _MEMBERS + """
+select cluster_id, host as source_id, count(*)::bigint as item_count from k group by 1, 2""")
+def a01s(spark, root):
+    return aggregates.story_sources(members(spark, root))
+
+
 @query("a02_evidence_status", _MEMBERS + """
 select cluster_id, case when bool_or(prim) then 'primary' when bool_and(cls = 'aggregator') then 'discovery_only'
   when count(distinct case when allowed and cls <> 'aggregator' then host end) >= 2 then 'multi_source' else 'insufficient' end as evidence_status from k group by 1""")

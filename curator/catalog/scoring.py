@@ -561,13 +561,28 @@ def f30(spark, root):
     return validation.scope_overclaims(claims, docs)
 
 
+@query("v05_uncovered_units", """
+with u as (select doc_id, text, substr(text, 1, length(text) // 2) as a, substr(text, length(text) // 2 + 1) as b from documents)
+select doc_id as unit_id, 'text_uncovered' as code from u where doc_id % 2 = 1 and a <> '' and regexp_matches(b, '[^\\p{P}\\p{C}\\p{Z}\\s]')
+  and regexp_matches(replace(text, a, ''), '[^\\p{P}\\p{C}\\p{Z}\\s]')
+union all select doc_id, 'text_uncovered' from documents where doc_id % 2 = 1 and length(text) < 2 and regexp_matches(text, '[^\\p{P}\\p{C}\\p{Z}\\s]')
+union all select doc_id, 'excerpt_not_in_text' from documents where doc_id % 5 = 0""")
+def v05u(spark, root):
+    # Every text is checked by its first half; even ones by their second half too, every fifth by words it lacks.
+    docs = load(spark, root, "documents").select(F.col("doc_id").alias("unit_id"), "text")
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, second = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    pieces = docs.select("unit_id", first.alias("text")).unionByName(docs.where("unit_id % 2 = 0").select("unit_id", second.alias("text"))).where("text <> ''")
+    return validation.uncovered_units(docs, pieces.unionByName(docs.where("unit_id % 5 = 0").select("unit_id", F.lit("never written here").alias("text"))))
+
+
 @query("f32_fit_budget", """
 with s as (select c, sum(20 + least(length(text), case when length(text) > c then c + 1 else length(text) end)) as total from documents, (values (1000000), (250), (125), (62), (31), (15)) v(c) group by 1),
 p as (select max(c) as c from s where total <= (select count(*) * 120 from documents))
 select doc_id, case when length(text) > c then substr(text, 1, c) || '…' else text end as text from documents, p""")
 def f32(spark, root):
     docs = load(spark, root, "documents").select("doc_id", "text")
-    return validation.fit_budget(docs, ["text"], docs.count() * 120, F.lit(20))
+    return validation.fit_budget(docs, ["text"], docs.agg(F.count(F.lit(1)) * 120).scalar(), F.lit(20))
 
 
 @query("k05_history_index", """

@@ -24,8 +24,9 @@ def stories_from_clusters(members: DataFrame, extra: Sequence[Column] = ()) -> D
     """One story per cluster: representative, sources, primary link, evidence status.
 
     members: cluster_id, id, title, url, source_id, source_class,
-    evidence_allowed. `extra` aggregates are added to the result. Distinct
-    sources and classes are bounded by the source registry.
+    evidence_allowed. `extra` aggregates are added to the result. Source classes
+    are few fixed names; sources may be many, so they are counted here and
+    listed as rows by `story_sources`.
     """
     priority = F.coalesce(
         F.nullif(F.array_position(F.array(*[F.lit(c) for c in PRIMARY_CLASSES]), F.col("source_class")), F.lit(0)),
@@ -42,7 +43,7 @@ def stories_from_clusters(members: DataFrame, extra: Sequence[Column] = ()) -> D
     grouped = keyed.groupBy("cluster_id").agg(
         F.min("_choice").alias("_rep"),
         F.min(F.when(F.col("_primary"), F.col("_choice"))).alias("_first"),
-        F.array_sort(F.collect_set("source_id")).alias("source_ids"),
+        F.count_distinct("source_id").alias("source_count"),
         F.array_sort(F.collect_set("source_class")).alias("source_classes"),
         F.count(F.lit(1)).alias("item_count"),
         F.bool_and(F.col("source_class") == AGGREGATOR).alias("_only_aggregators"),
@@ -61,6 +62,11 @@ def stories_from_clusters(members: DataFrame, extra: Sequence[Column] = ()) -> D
     )
 
 
+def story_sources(members: DataFrame) -> DataFrame:
+    """cluster_id, source_id, item_count: the sources of every story, one row each."""
+    return members.where("source_id is not null").groupBy("cluster_id", "source_id").agg(F.count(F.lit(1)).alias("item_count"))
+
+
 def evidence_status(has_primary: Column, only_aggregators: Column, low_source: Column, high_source: Column) -> Column:
     """primary / discovery_only / multi_source / insufficient.
 

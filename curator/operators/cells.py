@@ -11,10 +11,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LINES = 64
+MOST_LINES = 10_000_000
 
 
 def cells(start: Column, end: Column) -> Column:
-    """ARRAY<STRUCT<cell, mask>> of the closed line range; empty when end < start."""
+    """ARRAY<STRUCT<cell, mask>> of the closed line range; null when end < start.
+
+    A range of over `MOST_LINES` lines is no range of a source file and is refused, as it would make a row for every
+    64 lines.
+    """
     first, last = F.floor(start / LINES), F.floor(end / LINES)
 
     def piece(cell: Column) -> Column:
@@ -23,4 +28,5 @@ def cells(start: Column, end: Column) -> Column:
         ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), LINES - 1 - (high - low))
         return F.struct(cell.alias("cell"), F.call_function("shiftleft", ones, low).alias("mask"))
 
-    return F.when(end >= start, F.transform(F.sequence(first, last), piece))
+    refused = F.raise_error(F.concat(F.lit("a line range is too long: "), start.cast("string"), F.lit("-"), end.cast("string")))
+    return F.when(end - start > MOST_LINES, refused).when(end >= start, F.transform(F.sequence(first, last), piece))

@@ -79,11 +79,14 @@ def match_verified(items: DataFrame, obs: DataFrame) -> DataFrame:
     which is an error for the issue.
     items: item_id, canonical_url, kind, verified_at, level, event_key,
     evidence[]; obs: the same keys with obs_id, collected_at, evidence_status.
+    Observations are first reduced to the newest of each event and evidence
+    set, so a busy identity meets its different evidence sets only.
     """
     keys = ["canonical_url", "kind", "verified_at", "level"]
     side = obs.where("evidence_status = 'verified'").select(
-        *keys, F.col("event_key").alias("_event"), F.col("evidence").alias("_evidence"), "obs_id", "collected_at"
-    )
+        *keys, F.col("event_key").alias("_event"), F.array_sort(F.array_distinct("evidence")).alias("_evidence"), "obs_id", "collected_at"
+    ).groupBy(*keys, "_event", "_evidence").agg(F.max(F.struct("collected_at", "obs_id")).alias("_o")).select(
+        *keys, "_event", "_evidence", F.col("_o.obs_id").alias("obs_id"), F.col("_o.collected_at").alias("collected_at"))
     found = (
         items.join(side, keys)
         .where(F.col("event_key").eqNullSafe(F.col("_event")) & (F.size(F.array_except("evidence", "_evidence")) == 0))
@@ -164,15 +167,15 @@ def _path(c: Column) -> Column:
 def _path_suffix_join(observed: DataFrame, required: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pairs whose observed path equals the required path or ends with '/required'.
 
-    The file name is an equi key; the suffix is checked on what is left.
+    An observed path is listed once for each folder it can be cut at, so the whole required path is the join key: a
+    file name that every folder has meets nothing but its own path.
     """
-    o = observed.withColumn("o_path", _path(F.col("path"))).drop("path")
-    r = required.withColumn("r_path", _path(F.col("path"))).drop("path")
-    o = o.withColumn("_name", F.substring_index("o_path", "/", -1))
-    r = r.withColumn("_name", F.substring_index("r_path", "/", -1))
-    return o.join(r, [*keys, "_name"]).where(
-        (F.col("o_path") == F.col("r_path")) | F.endswith("o_path", F.concat(F.lit("/"), "r_path"))
-    ).drop("_name")
+    parts = F.split(_path(F.col("path")), "/")
+    endings = F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "/"))
+    o = observed.withColumn("_ending", F.explode(endings)).drop("path")
+    r = required.withColumn("_ending", _path(F.col("path"))).drop("path")
+    return o.join(r, [*keys, "_ending"]).drop("_ending")
 
 
 def match_evidence(pred: DataFrame, gold: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:

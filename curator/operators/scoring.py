@@ -42,7 +42,7 @@ def term_aggregates(config: ScoreConfig | None = None) -> list[Column]:
 def score_stories(stories: DataFrame, as_of: Column, recent: DataFrame | None = None, audience: str = "本刊", config: ScoreConfig | None = None) -> DataFrame:
     """Seven additive components, four penalties and a total from 0 to 100.
 
-    stories: event_id, canonical_title, evidence_status, source_ids and the
+    stories: event_id, canonical_title, evidence_status, source_count and the
     `term_aggregates`; recent: event_id of stories like a recent decision;
     config: weights, penalties and terms.
     """
@@ -59,7 +59,7 @@ def score_stories(stories: DataFrame, as_of: Column, recent: DataFrame | None =
         "audience_value": F.when(work, full("audience_value")).otherwise(share("audience_value", 0.4)),
         "evidence": F.when(status == "primary", full("evidence")).when(status == "multi_source", share("evidence", 0.7))
         .when(status == "insufficient", share("evidence", 0.35)).otherwise(0),
-        "novelty": F.least(full("novelty"), 4 + 4 * F.size("source_ids")),
+        "novelty": F.least(full("novelty"), 4 + 4 * F.col("source_count")),
         "timeliness": F.when(age.isNull(), 0).when(age <= 1, full("timeliness")).when(age <= 3, share("timeliness", 0.75))
         .when(age <= 7, share("timeliness", 0.4)).otherwise(0),
         "audience_fit": F.when(work, full("audience_fit")).otherwise(share("audience_fit", 0.3)),

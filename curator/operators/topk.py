@@ -19,10 +19,14 @@ def top_n(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
 
 
 def page(df: DataFrame, order: Sequence[Column | str], offset: int, limit: int) -> DataFrame:
-    """One page of a stable order with the total and the next offset."""
-    placed = ordered_scan(df, order, position="position", size="total")
+    """One page of a stable total order with the total and the next offset.
+
+    The page is cut by Spark's ordered limit; only its `limit` rows are numbered.
+    """
+    shown = df.orderBy(*order).offset(offset).limit(limit)
+    place = F.row_number().over(Window.orderBy(*order)).cast("long") + offset
     more = F.col("total") > offset + limit
-    return placed.where((F.col("position") > offset) & (F.col("position") <= offset + limit)).withColumn(
+    return shown.withColumn("position", place).withColumn("total", df.agg(F.count(F.lit(1))).scalar()).withColumn(
         "next_offset", F.when(more, F.lit(offset + limit).cast("long"))
     ).withColumn("truncated", more)
 

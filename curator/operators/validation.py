@@ -239,22 +239,28 @@ def uncovered_units(units: DataFrame, checks: DataFrame) -> DataFrame:
     text, piece = F.col("text"), F.col("excerpt")
 
     def all_places(t: Column, e: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(1), F.greatest(F.length(t) - F.length(e) + 1, F.lit(1))),
-            lambda i: F.substring(t, i, F.length(e)) == e,
-        )
-        return F.transform(starts, lambda i: F.struct((i - 1).cast("int").alias("start"), (i - 1 + F.length(e)).cast("int").alias("end")))
+        # Cut before every occurrence, overlapping ones too: each part but perhaps the first starts one.
+        quoted = F.concat(F.lit("(?=\\Q"), F.replace(e, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(
+            F.split(t, quoted), zero,
+            lambda s, part: F.struct((s["at"] + F.length(part)).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")),
+            lambda s: s["starts"])
+        held = F.filter(starts, lambda i: (F.length(e) > 0) & (F.substring(t, i + 1, F.length(e)) == e))
+        return F.transform(held, lambda i: F.struct(i.alias("start"), (i + F.length(e)).cast("int").alias("end")))
 
     excerpts = checks.select("unit_id", F.col("text").alias("excerpt"))
     placed = units.join(excerpts, "unit_id", "left").select("unit_id", "text", "excerpt", all_places(text, piece).alias("r"))
     unknown = placed.where(piece.isNotNull() & (F.size("r") == 0)).select("unit_id", F.lit("excerpt_not_in_text").alias("code"))
     # Excerpts of one explanation: a handful per unit.
     ranges = placed.groupBy("unit_id", "text").agg(merge_ranges(F.flatten(F.collect_list("r"))).alias("r"))
-    left = F.exists(
-        F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0))),
-        lambda i: F.substring(F.col("text"), i + 1, F.lit(1)).rlike(r"(?U)[^\p{P}\p{C}\p{Z}\s]")
-        & ~F.exists("r", lambda s: (s["start"] <= i) & (i < s["end"])),
-    )
+    # What lies between the merged ranges, and after the last one.
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("rest"))
+    between = F.aggregate(
+        F.coalesce("r", F.array().cast("array<struct<start:int,end:int>>")), zero,
+        lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["rest"], F.substring(text, s["at"] + 1, x["start"] - s["at"])).alias("rest")),
+        lambda s: F.concat(s["rest"], F.substring(text, s["at"] + 1, F.length(text))))
+    left = between.rlike(r"(?U)[^\p{P}\p{C}\p{Z}\s]")
     return unknown.unionByName(ranges.where(left).select("unit_id", F.lit("text_uncovered").alias("code")))
 
 
@@ -311,11 +317,12 @@ def scope_overclaims(claims: DataFrame, documents: DataFrame) -> DataFrame:
     return judged.join(only.where("_only"), "claim_id").select("claim_id", "evidence_url", "coverage")
 
 
-def fit_budget(df: DataFrame, columns: Sequence[str], budget: int, overhead: Column, ceiling: int = 500, lowest: int = 8) -> DataFrame:
+def fit_budget(df: DataFrame, columns: Sequence[str], budget: int | Column, overhead: Column, ceiling: int = 500, lowest: int = 8) -> DataFrame:
     """Shorten prose columns by one common ceiling until the whole set fits.
 
     Text is left whole if it fits, else the ceiling halves down to `lowest`; the
-    size at every step comes from one aggregate. `overhead` is the size of a row
+    size at every step comes from one aggregate. `budget` is a number or a
+    scalar subquery, `overhead` is the size of a row
     without its prose; rows are never dropped. No ceiling that fits leaves all
     text null, which callers must treat as an error.
     """

@@ -49,5 +49,5 @@ def page_ranking(spark: SparkSession, root: str, top: int = 10) -> DataFrame:
     ranked = rank_stories(page_items(spark, root), F.lit("2024-01-31").cast("timestamp"), top)
     return ranked.select(
         F.col("rank").cast("long").alias("rank"), "event_id", "canonical_title", F.col("total").cast("long").alias("total"),
-        "evidence_status", "primary_source_url", F.col("item_count").alias("items"), F.size("source_ids").cast("long").alias("sources"),
+        "evidence_status", "primary_source_url", F.col("item_count").alias("items"), F.col("source_count").cast("long").alias("sources"),
     )

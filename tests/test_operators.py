@@ -35,8 +35,8 @@ def test_late_news_needs_its_own_page(one):
 ])
 def test_additive_score(spark, work, status, sources, age, total):
     df = spark.createDataFrame(
-        [("e", "An agent tool" if work else "Plain words", status, [f"s{i}" for i in range(sources)], False, False, datetime.fromtimestamp(1_700_000_000 - int(age * 86400)))],
-        "event_id string, canonical_title string, evidence_status string, source_ids array<string>, body_workflow boolean, body_weak boolean, latest_published_at timestamp",
+        [("e", "An agent tool" if work else "Plain words", status, sources, False, False, datetime.fromtimestamp(1_700_000_000 - int(age * 86400)))],
+        "event_id string, canonical_title string, evidence_status string, source_count bigint, body_workflow boolean, body_weak boolean, latest_published_at timestamp",
     )
     row = scoring.score_stories(df, F.timestamp_seconds(F.lit(1_700_000_000))).collect()[0]
     assert row["total"] == total
@@ -45,8 +45,8 @@ def test_additive_score(spark, work, status, sources, age, total):
 
 
 def test_recent_decision_costs_twenty(spark):
-    df = spark.createDataFrame([("e", "Stock news rumor", "primary", ["s"], False, False, None)],
-                               "event_id string, canonical_title string, evidence_status string, source_ids array<string>, body_workflow boolean, body_weak boolean, latest_published_at timestamp")
+    df = spark.createDataFrame([("e", "Stock news rumor", "primary", 1, False, False, None)],
+                               "event_id string, canonical_title string, evidence_status string, source_count bigint, body_workflow boolean, body_weak boolean, latest_published_at timestamp")
     plain = scoring.score_stories(df, F.current_timestamp()).collect()[0]
     recent = scoring.score_stories(df, F.current_timestamp(), df.select("event_id")).collect()[0]
     assert plain["total"] - recent["total"] == 20 and len(recent["penalty_reasons"]) == 3
@@ -164,3 +164,41 @@ def test_line_cells(spark):
     for f, i, a, b, _ in facts:
         n = sum((f, x) in held for x in range(a, b + 1))
         assert got[i] == (n, n == b - a + 1)
+
+
+def test_one_file_name_in_all_folders(spark):
+    schema = "project_id string, path string, line_start int, line_end int, symbol string"
+    pred = spark.createDataFrame([("p", f"repo/m{i}/__init__.py", 1, 5, "") for i in range(300)], schema)
+    gold = spark.createDataFrame([(f"m{i}/__init__.py", i, 3 if i % 2 else 9) for i in range(300)], "path string, gold_id int, line_start int").selectExpr(
+        "'p' as project_id", "path", "gold_id", "line_start", "line_start as line_end", "'' as symbol")
+    found = joins.match_evidence(pred, gold)
+    assert {r["gold_id"] for r in found.collect()} == {i for i in range(300) if i % 2}
+    bogus = pred.limit(1).withColumn("line_end", F.lit(2_000_000_000))
+    with pytest.raises(Exception, match="line range is too long"):
+        joins.match_evidence(bogus, gold).collect()
+
+
+def test_a_batch_that_contradicts_itself_is_refused(spark, tmp_path):
+    from curator.operators import ledger
+
+    path = str(tmp_path / "log")
+    rows = lambda *r: spark.createDataFrame(r, "run_id string, content_hash string")
+    rows(("a", "1")).write.parquet(path)
+    assert ledger.append_state(rows(("a", "1"), ("b", "2"), ("b", "2")), path, "run_id", "content_hash") == 1
+    for bad in (rows(("c", "1"), ("c", "2"), ("c", "1")), rows(("a", "2"))):
+        with pytest.raises(ValueError, match="already exists with different content"):
+            ledger.append_state(bad, path, "run_id", "content_hash")
+    assert sorted(r["run_id"] for r in spark.read.parquet(path).collect()) == ["a", "b"]
+
+
+def test_rules_come_from_a_table(spark):
+    from curator.policy import ScoreConfig, SelectionPolicy
+
+    table = spark.createDataFrame([("7", "weight", "novelty", "", "1"), ("7", "noise_term", "x", "", ""), ("7", "threshold", "select_at", "", "90"), ("8", "weight", "no", "", "1")],
+                                  "version string, section string, name string, item string, value string")
+    config, policy = ScoreConfig.from_table(table, "7"), SelectionPolicy.from_table(table, "7")
+    assert config.weights["novelty"] == 1 and config.noise_terms == ("x",) and config.penalties == K.SCORE_PENALTIES
+    assert policy.select_at == 90 and policy.profiles == K.PROFILES
+    for version in ("8", "9"):
+        with pytest.raises(ValueError):
+            ScoreConfig.from_table(table, version)
