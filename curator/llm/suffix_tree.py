@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curator.llm.common import materialize
@@ -17,12 +17,12 @@ from curator.llm.common import materialize
 DEPTH = 5
 #: Ends every text and stands for what is before it; no word holds a line end.
 END = 10
-#: Bytes whose windows are counted together in one task.
-COUNTED = 24 << 20
+#: Bytes whose windows are sorted at once in a task, and different windows that it holds before it hands them over.
+COUNTED, HELD = 6 << 20, 3 << 20
 #: Texts are scored in pieces of this many bytes, all pieces of a batch in step.
 PIECE = 1024
 #: Tokens and documents whose words are counted together; a document number takes 16 bits.
-CHUNK_TOKENS, CHUNK_DOCS = 4 << 20, 1 << 16
+CHUNK_TOKENS, CHUNK_DOCS = 3 << 20, 1 << 16
 NO_ID = np.iinfo(np.int64).min  # stands for a null doc_id
 
 
@@ -80,15 +80,27 @@ class Tree:
         return out
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different windows and their counts, from several such lists."""
+    keys = np.concatenate([k for k, _ in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], np.concatenate([c for _, c in parts])[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(n, first)
+
+
 def count_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(window, n) over all rows. Each task counts blocks of text in numpy; Spark adds the counts."""
+    """(window, n) over all rows. A task counts blocks of text in numpy and adds them up; Spark adds the tasks'."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, total = [], 0, None
 
-        def emit():
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["window", "n"])
+        def add():
+            block = np.unique(np.concatenate(held), return_counts=True)
+            return block if total is None else _merged([total, block])
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(total[0]), pa.array(total[1])], ["window", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -99,82 +111,101 @@ def count_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     held.append(found)
                     size += len(found)
                     if size >= COUNTED:
-                        yield emit()
-                        held, size = [], 0
+                        total, held, size = add(), [], 0
+                        if len(total[0]) >= HELD:
+                            yield rows()
+                            total = None
         if held:
-            yield emit()
+            total = add()
+        if total is not None:
+            yield rows()
 
     return docs.select(text_col).mapInArrow(counted, "window bigint, n bigint").groupBy("window").agg(F.sum("n").alias("n"))
 
 
-def grow(counts: DataFrame, strictness: float = 0.5, max_states: int = 60_000) -> Tree:
+def _shorter(depth: int):
+    """A context of `depth` bytes without its oldest one."""
+    return F.col("context").bitwiseAND((1 << 8 * (depth - 1)) - 1)
+
+
+def grow(counts: DataFrame, strictness: float = 0.5, max_states: int = 32_000) -> Tree:
     """Build the tree from (window, n).
 
     A context is retained if its next-byte distribution diverges from that of its parent (the context without its
     oldest byte): the log-likelihood gain over all its occurrences must exceed `strictness` * ln(N) / 2 for each next
     byte it has, N being all counted bytes. Ancestors of retained contexts stay too. Probabilities are interpolated
     with the parent's by the number of different next bytes. The counts, levels and tests are Spark jobs over all
-    windows; the tree that every task holds has at most `max_states` retained contexts, those of most gain (a
-    documented capacity, 256 cells each).
+    windows; every window frame has at most 256 rows, as the oldest byte is all in which siblings differ. The tree
+    that every task holds has at most `max_states` retained contexts, those of most gain (a documented capacity).
     """
-    level = counts.select(F.lit(DEPTH).alias("depth"), F.shiftright("window", 8).alias("context"), F.col("window").bitwiseAND(255).alias("next"), "n")
-    levels = level
-    for depth in range(DEPTH - 1, -1, -1):
-        level = level.groupBy(F.col("context").bitwiseAND((1 << 8 * depth) - 1).alias("context"), "next").agg(F.sum("n").alias("n"))
-        level = level.select(F.lit(depth).alias("depth"), "context", "next", "n")
-        levels = levels.unionByName(level)
-    levels = materialize(levels, "levels")
-    sizes = levels.groupBy("depth", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    here = levels.join(sizes, ["depth", "context"]).withColumn("share", F.col("n") / F.col("total"))
-    above = here.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("parent"), "next", F.col("share").alias("parent_share"))
-    parent = F.expr("context & (shiftleft(1L, 8 * (depth - 1)) - 1)")
-    tested = here.where("depth > 0").withColumn("parent", parent).join(above, ["depth", "parent", "next"])
-    gains = tested.groupBy("depth", "context").agg(
-        F.sum(F.col("n") * F.log(F.col("share") / F.col("parent_share"))).alias("gain"), F.first("kinds").alias("kinds"))
-    n = levels.where("depth = 0").agg(F.sum("n").alias("n")).first()["n"] or 0
-    kept = gains.where(F.col("gain") > strictness * 0.5 * math.log(max(n, 2)) * F.col("kinds"))
-    kept = kept.orderBy(F.desc("gain"), "depth", "context").limit(max_states)
-    family = kept.select(F.explode(F.expr("sequence(0, depth)")).alias("depth"), "context").select(
+    level = materialize(counts.select(
+        F.shiftright("window", 8).alias("context"), F.col("window").bitwiseAND(255).cast("int").alias("next"), "n"), "level")
+    n = level.agg(F.sum("n").alias("n")).first()["n"] or 0
+    levels, kept = {DEPTH: level}, None
+    for depth in range(DEPTH, 0, -1):
+        siblings = Window.partitionBy("parent", "next")
+        rows = level.withColumn("parent", _shorter(depth)).withColumn("parent_n", F.sum("n").over(siblings))
+        level = materialize(rows.groupBy("parent", "next").agg(F.sum("n").alias("n")).withColumnRenamed("parent", "context"), "level")
+        levels[depth - 1] = level
+        each = rows.groupBy("context").agg(
+            F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") / F.col("parent_n"))).alias("inner"))
+        each = each.withColumn("parent_total", F.sum("total").over(Window.partitionBy(_shorter(depth))))
+        gain = F.col("inner") - F.col("total") * F.log(F.col("total") / F.col("parent_total"))
+        found = each.select(F.lit(depth).alias("depth"), "context", gain.alias("gain")).where(
+            F.col("gain") > strictness * 0.5 * math.log(max(n, 2)) * F.col("kinds"))
+        kept = found if kept is None else kept.unionByName(found)
+    kept = materialize(kept.orderBy(F.desc("gain"), "depth", "context").limit(max_states), "kept")
+    family = kept.select(F.explode(F.expr("sequence(1, depth)")).alias("depth"), "context").select(
         "depth", F.expr("context & (shiftleft(1L, 8 * depth) - 1)").alias("context")).distinct()
-    root = levels.where("depth = 0")
-    rows = levels.where("depth > 0").join(family, ["depth", "context"]).unionByName(root).select("depth", "context", "next", "n").collect()
-    found: dict[bytes, dict[int, int]] = {b"": {}}
-    for r in rows:
-        found.setdefault(int(r["context"]).to_bytes(DEPTH, "big")[DEPTH - r["depth"] :], {})[r["next"]] = r["n"]
-    return _table(found)
-
-
-def _table(found: dict[bytes, dict[int, int]]) -> Tree:
-    seen = sorted(found[b""])
+    rows = levels[0].select(F.lit(0).alias("depth"), "context", "next", "n")
+    for depth in range(1, DEPTH + 1):
+        own = F.broadcast(family.where(F.col("depth") == depth))  # at most max_states rows
+        rows = rows.unionByName(levels[depth].join(own, "context").select("depth", "context", "next", "n"))
+    table = rows.toArrow()
+    return _table(*(table[c].to_numpy() for c in ("depth", "context", "next", "n")))
+
+
+def _table(depth: np.ndarray, context: np.ndarray, following: np.ndarray, n: np.ndarray) -> Tree:
+    """The table of states from the next-byte counts of the retained contexts; depth 0 is the root."""
+    order = np.lexsort((following, context, depth))
+    depth, context, following, n = (x[order] for x in (depth, context, following, n))
+    starts = np.flatnonzero(np.concatenate(([True], (depth[1:] != depth[:-1]) | (context[1:] != context[:-1])))[: len(depth)])
+    found = {
+        int(c).to_bytes(DEPTH, "big")[DEPTH - int(d) :]: slice(a, b)
+        for c, d, a, b in zip(context[starts], depth[starts], starts, [*starts[1:], len(depth)])
+    }
+    seen = np.unique(following)
     classes = np.full(256, len(seen) + 1, np.int64)
     classes[seen] = np.arange(1, len(seen) + 1)
-    unseen = max(1, 256 - len(seen))
+    unseen, width = max(1, 256 - len(seen)), len(seen) + 2
     # The longest retained suffix after one more byte follows from the state alone if every state's context without
     # its newest byte is a state too; such added states predict like their longest retained suffix.
-    states = {c[:k] for c in found for k in range(len(c) + 1)}
-    order = sorted(states, key=lambda c: (len(c), c))
-    number = {c: i for i, c in enumerate(order)}
-    width = len(seen) + 2
-    share, go = np.zeros((len(order), width)), np.zeros((len(order), width), np.int32)
-    for i, context in enumerate(order):
-        base = context[1:]
-        while base not in number:
-            base = base[1:]
-        lower = share[number[base]] if context else np.concatenate(([0], np.full(width - 1, 1 / 256)))
-        if not context:
-            lower[-1] = unseen / 256
-        row = found.get(context)
-        if row:
-            n = np.zeros(width)
-            n[classes[list(row)]] = list(row.values())
-            share[i] = (n + len(row) * lower) / (n.sum() + len(row))
-        else:
-            share[i] = lower
-        for a, byte in enumerate(seen, 1):
-            after = context + bytes([byte])
-            while after not in number:
-                after = after[1:]
-            go[i, a] = number[after]
+    states = sorted({c[:k] for c in found for k in range(len(c) + 1)} | {b""}, key=lambda c: (len(c), c))
+    number = {c: i for i, c in enumerate(states)}
+    share, go = np.zeros((len(states), width), np.float64), np.zeros((len(states), width), np.int32)
+    share[0, 1:-1], share[0, -1] = 1 / 256, unseen / 256
+    for i, own in enumerate(states):
+        if own:
+            base = own[1:]
+            while base not in number:
+                base = base[1:]
+            share[i] = share[number[base]]
+        if own in found:
+            at = found[own]
+            total, kinds = n[at].sum(), at.stop - at.start
+            share[i] *= kinds / (total + kinds)
+            share[i, classes[following[at]]] += n[at] / (total + kinds)
+    for i, own in enumerate(states):
+        if own:
+            go[number[own[:-1]], classes[own[-1]]] = i
+    # A transition that no longer state takes is that of the longest retained proper suffix.
+    for i, own in enumerate(states):
+        if own:
+            base = own[1:]
+            while base not in number:
+                base = base[1:]
+            row = go[i]
+            go[i] = np.where(row > 0, row, go[number[base]])
     share[:, -1] /= unseen
     share[:, 0] = 1
     return Tree(classes, go, np.log10(np.maximum(share, 1e-300)).astype(np.float32))
@@ -202,20 +233,20 @@ def _word_posts(docs: DataFrame, tree: Tree) -> DataFrame:
         numbers, ids, docs_of, train, size = _Numbers(), [], [], [], 0
 
         def emit():
-            flat = np.concatenate(ids).astype(np.int64)
             sizes = np.array([len(x) for x in ids])
-            doc = np.repeat(np.arange(len(ids)), sizes)
-            code = np.sort((flat << 16) | doc)
-            word, doc = code >> 16, code & 0xFFFF
-            ends = np.searchsorted(word, np.arange(len(numbers)), "right")
-            known = np.cumsum(np.array(train)[doc])
-            upto = np.concatenate(([0], known))[ends]
+            code = np.concatenate(ids).astype(np.int64)
+            code <<= 16
+            code |= np.repeat(np.arange(len(ids)), sizes)
+            code.sort()
+            ends = np.searchsorted(code, np.arange(1, len(numbers) + 1) << 16, "left")
+            doc = (code & 0xFFFF).astype("<u2")
+            known = np.add.reduceat(np.array(train, np.int64)[doc], np.concatenate(([0], ends[:-1])))
             offsets = np.concatenate(([0], ends * 2)).astype(np.int32)
-            lists = pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(offsets), pa.py_buffer(doc.astype("<u2").tobytes())])
+            lists = pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(offsets), pa.py_buffer(doc.tobytes())])
             table = np.array([(d, n, s) for (d, s), n in zip(docs_of, sizes.tolist())], [("d", "<i8"), ("n", "<i8"), ("s", "<f8")])
             chunk = pa.array(np.full(len(numbers) + 1, (task << 24) + turn, np.int64))
             return pa.RecordBatch.from_arrays([
-                chunk, pa.array([*numbers, None], pa.binary()), pa.array(np.append(np.diff(upto, prepend=0), 0)),
+                chunk, pa.array([*numbers, None], pa.binary()), pa.array(np.append(known, 0)),
                 pa.concat_arrays([lists, pa.array([table.tobytes()], pa.binary())])], ["chunk", "word", "train", "posts"])
 
         for batch in batches:
@@ -255,7 +286,7 @@ def _sum_chunk(table: pa.Table) -> pa.Table:
         "log_sum": np.bincount(doc, weights=np.log10(c + 0.5), minlength=len(docs)), "score": docs["s"].copy()})
 
 
-def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", strictness: float = 0.5, max_states: int = 60_000) -> DataFrame:
+def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", strictness: float = 0.5, max_states: int = 32_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row, learned from rows where `train` holds.
 
     Tokens are the text's words and one end. base_score adds log10((c + 0.5) / (N + 0.5 (V + 1))) over the tokens; c

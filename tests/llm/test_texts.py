@@ -90,6 +90,11 @@ def plain_tree_score(found, line, seen):
     return total
 
 
+def as_table(found):
+    rows = [(len(c), int.from_bytes(c, "big"), byte, n) for c, row in found.items() for byte, n in row.items()]
+    return st._table(*(np.array(x, np.int64) for x in zip(*rows)))
+
+
 def test_a_tree_scores_by_longest_retained_contexts():
     lines = [b"abab abba baab\n", b"abc abc\n" * 30, b"", b"zz\n", b"\xff\xfe a\n"]
     counts = collections.Counter(w for line in lines[:2] for w in st.windows(line).tolist())
@@ -100,7 +105,7 @@ def test_a_tree_scores_by_longest_retained_contexts():
         for context in (raw[-2:-1], raw[-3:-1], raw[-4:-1]):
             if context in (b"b", b"ab", b" ab", b"a", b"c\n"):
                 found.setdefault(context, collections.Counter())[raw[-1]] += n
-    tree = st._table(found)
+    tree = as_table(found)
     want = [plain_tree_score(found, line, None) for line in lines]
     assert np.allclose(tree.score(lines), want, rtol=1e-5)
     share = 10 ** tree.log.astype(float)
@@ -115,7 +120,7 @@ def test_pieces_of_long_texts_keep_their_context(monkeypatch):
         raw = w.to_bytes(st.DEPTH + 1, "big")
         for k in range(3):
             found.setdefault(raw[st.DEPTH - k : st.DEPTH], collections.Counter())[raw[-1]] += n
-    tree = st._table(found)
+    tree = as_table(found)
     whole = tree.score(lines)
     monkeypatch.setattr(st, "PIECE", 7)
     assert np.allclose(tree.score(lines), whole)
