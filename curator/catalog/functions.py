@@ -69,6 +69,16 @@ def f07(spark, root):
     )
 
 
+@query("f07_epoch_seconds", """
+select event_id, case when event_id % 2 = 0 then epoch_us(ts) else epoch_us(date_trunc('second', ts)) end::bigint as at_us, (event_id % 2 = 0) as fractional from events""")
+def f07e(spark, root):
+    # Odd events state whole seconds.
+    even = F.col("event_id") % 2 == 0
+    given = F.when(even, F.format_string("%.6f", F.unix_micros("ts") / 1_000_000)).otherwise(F.unix_seconds("ts").cast("string"))
+    at = times.to_utc(given, keep_fraction=True, epoch=True)
+    return load(spark, root, "events").select("event_id", F.unix_micros(at).alias("at_us"), even.alias("fractional"))
+
+
 @query("f08_parse_publication", """
 select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day, 'date' as day_precision,
        epoch(o_orderdate)::bigint as moment, 'timestamp' as moment_precision, true as naive_is_unknown

@@ -185,6 +185,52 @@ def s07c(spark, root):
     return feeds.feed_counts(raw).withColumnRenamed("source_id", "source")
 
 
+@query("s01_show_hn", """
+select event_type as source_id, case when event_id % 2 = 0 then 'https://github.com/o/' || event_id else 'https://h.example/' || event_id end as url, 'T ' || event_id as title,
+  'https://news.ycombinator.com/item?id=' || event_id as source_url, epoch(date_trunc('second', ts))::bigint as seconds, case when event_id % 2 = 0 then '开源项目' else 'AI 应用' end as category
+from events where event_id % 11 not in (1, 2, 3, 4)""")
+def s01hn(spark, root):
+    return _show_hn(spark, root)[0].select("source_id", "url", "title", "source_url", F.unix_seconds("observed_at").alias("seconds"), "category")
+
+
+@query("s01_show_hn_errors", """
+select event_type as source_id, event_id::varchar as entry, case event_id % 11 when 4 then 'item has not landed' else 'item is no JSON object' end as error from events where event_id % 11 in (3, 4)
+union all select distinct event_type, 'bad', 'invalid item number' from events""")
+def s01hne(spark, root):
+    return _show_hn(spark, root)[1].select("source_id", "entry", "error")
+
+
+def _show_hn(spark, root):
+    """One index per event type over all its events; some items are deleted, dead, broken or missing."""
+    events, n = load(spark, root, "events"), F.col("event_id")
+    ids = F.concat(F.array_join(F.sort_array(F.collect_list(n)).cast("array<string>"), ","), F.lit(',"bad"'))
+    index = events.groupBy(F.col("event_type").alias("source_id")).agg(F.concat(F.lit("["), ids, F.lit("]")).alias("body"))
+    link = F.concat(F.when(n % 2 == 0, "https://github.com/o/").otherwise("https://h.example/"), n.cast("string"))
+    body = F.to_json(F.struct(
+        link.alias("url"), F.concat(F.lit("<b>T</b> "), n.cast("string")).alias("title"), F.unix_seconds("ts").alias("time"),
+        F.when(n % 11 == 1, True).alias("deleted"), F.when(n % 11 == 2, True).alias("dead")))
+    items = events.where(n % 11 != 4).select(n.alias("item_id"), F.when(n % 11 == 3, "[1]").otherwise(body).alias("body"))
+    return feeds.read_show_hn(index, items)
+
+
+@query("s01_hub_index", """
+select case when doc_id % 2 = 0 then 'hf_models' else 'hf_spaces' end as source_id, 'https://huggingface.co/' || case when doc_id % 2 = 0 then '' else 'spaces/' end || lang || '/d' || doc_id as url,
+  lang || '/d' || doc_id as title, case when doc_id % 3 = 0 then 'About ' || doc_id when doc_id % 2 = 0 then 'Hugging Face 模型发现线索；具体用途、运行条件和许可待原文核验。' else 'Hugging Face Space发现线索；具体用途、运行条件和许可待原文核验。' end as summary,
+  1704067200 + doc_id as seconds, case when doc_id % 2 = 0 then '模型与运行工具' else 'AI 应用' end as category
+from documents where doc_id % 7 <> 0""")
+def s01hub(spark, root):
+    n = F.col("doc_id")
+    # Every seventh entry has no owner.
+    entry = F.to_json(F.struct(
+        F.when(n % 7 == 0, "nameless").otherwise(F.concat("lang", F.lit("/d"), n.cast("string"))).alias("id"),
+        F.when(n % 3 == 0, F.concat(F.lit("About "), n.cast("string"))).alias("description"),
+        F.date_format(F.timestamp_seconds(F.lit(1704067200) + n), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("lastModified")))
+    raw = load(spark, root, "documents").groupBy(F.when(n % 2 == 0, "hf_models").otherwise("hf_spaces").alias("type")).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list(entry), ","), F.lit("]")).alias("body")).select(
+        F.col("type").alias("source_id"), F.lit("https://huggingface.co/api").alias("final_url"), "type", "body")
+    return feeds.read_hub_index(raw).select("source_id", "url", "title", "summary", F.unix_seconds("observed_at").alias("seconds"), "category")
+
+
 @query("s08_validate_payloads", """
 select p_partkey::varchar as source_id, case p_type when 'SMALL' then 'invalid JSON' when 'LARGE' then 'an object with an items list is required' when 'PROMO' then '<rss> XML is required, got <feed>' when 'MEDIUM' then 'invalid XML' end as error
 from part where p_type in ('SMALL', 'LARGE', 'PROMO', 'MEDIUM')""")

@@ -68,13 +68,21 @@ def _mail(c: Column, naive: str) -> Column:
     return let(regex_groups(c, _MAIL, 7), build)
 
 
-def to_utc(c: Column | str, naive: str = "utc", keep_fraction: bool = False) -> Column:
+_EPOCH = r"^[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?$"
+
+
+def to_utc(c: Column | str, naive: str = "utc", keep_fraction: bool = False, epoch: bool = False) -> Column:
     """Tolerant timestamp: ISO 8601 or RFC 2822 text; unparsable text is null.
 
     `naive` says what a time without a zone means: 'utc', or 'null' for unknown.
+    With `epoch`, a bare number is seconds since 1970, as in JSON payloads.
     """
     c = F.trim(_col(c))
     value = F.coalesce(_iso(c, naive), _mail(c, naive))
+    if epoch:
+        # Seconds beyond the calendar are no time.
+        seconds = c.try_cast("double")
+        value = F.when(c.rlike(_EPOCH), F.when(F.abs(seconds) < 253402300800, epoch_to_utc(seconds))).otherwise(value)
     return value if keep_fraction else F.date_trunc("second", value)
 
 

@@ -227,6 +227,61 @@ def feed_counts(raw: DataFrame) -> DataFrame:
         (F.size("_items") > F.col("_read")).alias("truncated"))
 
 
+# What discovery records of two indexes are called.
+_HN_PAGE = "https://news.ycombinator.com/item?id="
+_HF_SITE = "https://huggingface.co/"
+_HF_HINT = "Hugging Face %s发现线索；具体用途、运行条件和许可待原文核验。"
+_DISCOVERY = ("source_id", "place", "url", "title", "summary", "source_url", "observed_at", "kind", "category")
+
+
+def _indexed(raw: DataFrame) -> DataFrame:
+    """source_id, place, entry: the entries of a JSON array that the source reads."""
+    entries = F.from_json(F.trim("body"), "array<string>")
+    most = F.col("max_items") if "max_items" in raw.columns else F.lit(None).cast("int")
+    return raw.select("source_id", F.posexplode(F.slice(entries, 1, F.least(F.size(entries), most))).alias("place", "entry"))
+
+
+def read_show_hn(index: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(discovery records, errors) of an index of item numbers and the landed items.
+
+    index: source_id, body (an array of numbers), max_items where the registry sets one; items: item_id, body. Deleted
+    and dead items and those without a link are passed over; an entry that is no number, or whose item has not landed
+    or is no JSON object, is an error of that entry only.
+    """
+    entries = _indexed(index).withColumn("item_id", F.when(F.col("entry").rlike(r"^-?\d+$"), F.col("entry").cast("long")))
+    joined = entries.join(items.select("item_id", F.col("body").alias("item")), "item_id", "left")
+    field = lambda n: F.get_json_object("item", f"$.{n}")
+    error = F.when(F.col("item_id").isNull(), "invalid item number").when(F.col("item").isNull(), "item has not landed").when(
+        F.trim("item") == "null", None).when(F.from_json("item", "map<string,string>").isNull() | ~F.trim("item").startswith("{"), "item is no JSON object")
+    judged = joined.withColumn("error", error)
+    gone = F.coalesce(field("deleted"), F.lit("false")) == "true"
+    dead = F.coalesce(field("dead"), F.lit("false")) == "true"
+    live = judged.where(F.col("error").isNull() & ~gone & ~dead & (F.coalesce(field("url"), F.lit("")) != ""))
+    url = field("url")
+    records = live.select(
+        "source_id", "place", url.alias("url"), plain_text(field("title"), FEED_TEXT).alias("title"), plain_text(field("text"), FEED_TEXT).alias("summary"),
+        F.concat(F.lit(_HN_PAGE), F.col("item_id").cast("string")).alias("source_url"), to_utc(field("time"), naive="null", epoch=True).alias("observed_at"),
+        F.lit("project").alias("kind"), F.when(split_url(url)["host"] == "github.com", "开源项目").otherwise("AI 应用").alias("category"))
+    return records.select(*_DISCOVERY), judged.where("error is not null").select("source_id", "place", "entry", "error")
+
+
+def read_hub_index(raw: DataFrame) -> DataFrame:
+    """Discovery records of a hub's index of models or spaces.
+
+    raw: source_id, final_url, type ('hf_models' or 'hf_spaces'), body, max_items where the registry sets one. Entries
+    without an owner/name identifier are passed over.
+    """
+    entries = _indexed(raw).join(raw.select("source_id", "final_url", "type"), "source_id")
+    field = lambda n: F.get_json_object("entry", f"$.{n}")
+    name, model = F.coalesce(F.nullif(field("id"), F.lit("")), field("modelId")), F.col("type") == "hf_models"
+    said = plain_text(field("description"), FEED_TEXT)
+    return entries.where(name.rlike(r"^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$")).select(
+        "source_id", "place", F.concat(F.lit(_HF_SITE), F.when(model, "").otherwise("spaces/"), name).alias("url"), name.alias("title"),
+        F.when(said != "", said).otherwise(F.format_string(_HF_HINT, F.when(model, "模型").otherwise("Space"))).alias("summary"),
+        F.col("final_url").alias("source_url"), to_utc(field("lastModified"), naive="null").alias("observed_at"), F.lit("project").alias("kind"),
+        F.when(model, "模型与运行工具").otherwise("AI 应用").alias("category")).select(*_DISCOVERY)
+
+
 def read_feed_entries(raw: DataFrame, text_limit: int = FEED_TEXT) -> DataFrame:
     """Discovery entries of any feed that has `item` or `entry` elements.
 
