@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curator.catalog.registry import query
@@ -89,13 +90,24 @@ _periods("t04_monthly_periods", "monthly", "strftime(ts + interval 8 hour, '%Y-%
 
 @query("t05_lifecycle", """
 with f as (select *, row_number() over (partition by o_custkey order by o_orderkey) as n from orders)
-select o_custkey::varchar as release_key, o_orderkey as seq, 'filtered' as status, '1' as policy_version from f where n = 1""")
+select o_custkey::varchar as release_key, o_orderkey as seq,
+  case when n = 1 then 'pending_review' when n = 2 and o_custkey % 2 = 0 then 'accepted' when n = 2 then 'rejected' when n = 3 then 'filtered' else 'withdrawn' end as status,
+  case when n < 3 then '1' else '2' end as policy_version from f where n <= 3 or (n = 5 and o_custkey % 3 = 0)""")
 def t05(spark, root):
-    # The first record of a customer settles it; later ones change nothing.
+    # Per customer: a record waits for review, is decided, re-opens under another policy, is past deciding, and (where
+    # it is a security item) re-opens with other content; nothing later changes anything.
     base = scratch_path(spark, "lifecycle")
-    rows = stream(spark, root, "orders").select(
-        F.col("o_custkey").cast("string").alias("release_key"), F.col("o_orderkey").alias("seq"), F.lit("record").alias("event"), F.lit("filtered").alias("verdict"),
-        F.lit("1").alias("policy_version"), F.lit("h").alias("content_hash"), F.lit("release").alias("item_type"),
+    numbered = load(spark, root, "orders").select(
+        "o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("n"))
+    numbered.write.parquet(f"{base}/records")
+    n = F.col("n")
+    rows = core.read_stream(spark, f"{base}/records").select(
+        F.col("o_custkey").cast("string").alias("release_key"), F.col("o_orderkey").alias("seq"),
+        F.when(n.isin(2, 4), "decision").otherwise("record").alias("event"),
+        F.when(n == 1, "pending_review").when(n == 2, F.when(F.col("o_custkey") % 2 == 0, "accept").otherwise("reject")).when(n == 3, "filtered")
+        .when(n == 4, "accept").otherwise("withdrawn").alias("verdict"),
+        F.when(n < 3, "1").otherwise("2").alias("policy_version"), F.when(n < 5, "h").otherwise("i").alias("content_hash"),
+        F.when(F.col("o_custkey") % 3 == 0, "security").otherwise("release").alias("item_type"),
     )
     jobs.stream_ledger(rows, f"{base}/table", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/table")

@@ -137,21 +137,32 @@ def ranking_gate(good_sources: DataFrame, linked: DataFrame, minimum: int = 3) -
     return counts.withColumn("failure_reason", F.array_join(why, "; ")).withColumn("passed", F.size(why) == 0)
 
 
+def success_days(log: DataFrame, key: str, at: str, days: int) -> DataFrame:
+    """key, _ask, _before, _same: what a row of day `_ask` must know of the log, one row per key and day.
+
+    `_before` is the last success of the `days` days before, `_same` the first one of the day itself.
+    """
+    moment = F.unix_micros(at)
+    success = log.groupBy(key, F.to_date(at).alias("_day")).agg(F.max(moment).alias("_last"), F.min(moment).alias("_first"))
+    return success.withColumn("_ask", F.explode(F.sequence("_day", F.date_add("_day", days)))).groupBy(key, "_ask").agg(
+        F.max(F.when(F.col("_day") < F.col("_ask"), F.col("_last"))).alias("_before"),
+        F.min(F.when(F.col("_day") == F.col("_ask"), F.col("_first"))).alias("_same"),
+    )
+
+
 def cooled_down(df: DataFrame, log: DataFrame, key: str, at: str, days: int) -> DataFrame:
     """Rows whose key had no success in the `days` days up to their time.
 
     The log is reduced to one row per key and day before it is joined, so a busy
     key costs its rows once and nothing is multiplied.
     """
+    return unblocked(df, success_days(log, key, at, days), key, at, days)
+
+
+def unblocked(df: DataFrame, near: DataFrame, key: str, at: str, days: int) -> DataFrame:
+    """Rows that nothing in `near` (see `success_days`) blocks; `df` may be a stream."""
     width = days * 86_400_000_000
     moment = F.unix_micros(at)
-    success = log.groupBy(key, F.to_date(at).alias("_day")).agg(F.max(moment).alias("_last"), F.min(moment).alias("_first"))
-    # What a row of day `_ask` must know: the last success of the days before,
-    # and the first one of its own day. One row per key and day.
-    near = success.withColumn("_ask", F.explode(F.sequence("_day", F.date_add("_day", days)))).groupBy(key, "_ask").agg(
-        F.max(F.when(F.col("_day") < F.col("_ask"), F.col("_last"))).alias("_before"),
-        F.min(F.when(F.col("_day") == F.col("_ask"), F.col("_first"))).alias("_same"),
-    )
     blocked = (moment - F.col("_before") <= width) | (F.col("_same") < moment)
     joined = df.withColumn("_ask", F.to_date(at)).join(near, [key, "_ask"], "left")
     return joined.where(~F.coalesce(blocked, F.lit(False))).select(*df.columns)

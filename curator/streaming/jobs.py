@@ -10,35 +10,43 @@ from pyspark.sql import types as T
 
 from curator import constants as K
 from curator.functions.times import period_of
-from curator.operators.filters import cooled_down, window_filter, window_state
+from curator.operators.filters import success_days, unblocked, window_filter, window_state
 from curator.operators.ledger import period_label
+from curator.runtime import materialize
 from curator.streaming.core import append_table, each_batch, keyed_state, write_updates
 
 
+# Folders of the ingest log.
+_PARTS = 64
+
+
 def stream_ingest(stream: DataFrame, path: str, checkpoint: str, key: str, content_hash: str):
     """Idempotent ingest: a replay is a no-op, changed content is a conflict.
 
-    Rows go to `path/log`, conflicts to `path/conflicts`. Exact replays end in
-    the state store; only what is left is compared with the log.
+    Rows go to `path/log`, conflicts to `path/conflicts`. The log lies in folders
+    by a hash of the key, and a micro-batch reads those of its own keys. Nothing
+    is held between batches. Of several contents of a key in one micro-batch,
+    which has no order, the least hash is its content.
     """
     spark = stream.sparkSession
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType()), T.StructField("part", T.IntegerType())])
+    part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(_PARTS)).cast("int")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         from curator.streaming.core import previous_state
 
-        batch = batch.persist()  # read three times below
-        log = previous_state(spark, f"{path}/log", batch_id, schema).groupBy(key).agg(F.min(content_hash).alias("_held"))
-        # The first content of a key inside the batch is its content.
+        batch = batch.dropDuplicates([key, content_hash]).withColumn("part", part).persist()  # read several times below
+        touched = [r["part"] for r in batch.select("part").distinct().collect()]  # at most _PARTS
+        log = previous_state(spark, f"{path}/log", batch_id, schema).where(F.col("part").isin(touched)).groupBy(key).agg(F.min(content_hash).alias("_held"))
         first = batch.groupBy(key).agg(F.min(content_hash).alias("_first"))
         judged = batch.join(first, key).join(log, key, "left").withColumn("_valid", F.coalesce("_held", "_first"))
         fresh = judged.where(F.col("_held").isNull() & (F.col(content_hash) == F.col("_first")))
         clash = judged.where(F.col(content_hash) != F.col("_valid"))
-        fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
+        fresh.select(*batch.columns).write.mode("overwrite").partitionBy("part").parquet(f"{path}/log/batch={batch_id}")
         clash.select(key, content_hash, F.col("_valid").alias("recorded_hash")).write.mode("overwrite").parquet(f"{path}/conflicts/batch={batch_id}")
         batch.unpersist()
 
-    return each_batch(stream.dropDuplicates([key, content_hash]), handle, checkpoint)
+    return each_batch(stream, handle, checkpoint)
 
 
 def stream_first_seen(stream: DataFrame, path: str, checkpoint: str, key: Sequence[str], discovered: str, payload: Sequence[str] = ()):
@@ -212,12 +220,12 @@ def stream_late_label(stream: DataFrame, path: str, checkpoint: str, event_at: s
 
 
 def stream_suppress(stream: DataFrame, log: DataFrame, path: str, checkpoint: str, key: str, at: str, days: int):
-    """Rows whose key had no success in the `days` days before them (see `cooled_down`)."""
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        cooled_down(batch, log, key, at, days).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    """Rows whose key had no success in the `days` days before them (see `cooled_down`).
 
-    return each_batch(stream, handle, checkpoint)
+    The log is reduced once, when the job starts; every micro-batch is joined with that table.
+    """
+    near = materialize(success_days(log, key, at, days), "success-days")
+    return append_table(unblocked(stream, near, key, at, days), path, checkpoint)
 
 
 def notice_id(issue_key: Column, items: Column, failures: Column, rest: dict[str, Column] | None = None) -> Column:
@@ -228,7 +236,15 @@ def notice_id(issue_key: Column, items: Column, failures: Column, rest: dict[str
     return canonical_hash({"issue_key": issue_key, "items": clean(items), "failures": clean(failures), **(rest or {})})
 
 
-def stream_notices(stream: DataFrame, path: str, checkpoint: str):
-    """Change notices that say something new. stream: issue_key, items[], failures[]."""
+def stream_notices(stream: DataFrame, path: str, checkpoint: str, at: str | None = None, remember: str = "30 days"):
+    """Change notices that say something new. stream: issue_key, items[], failures[].
+
+    With an event time `at`, a notice is remembered for `remember` after it, so the state is bounded and an equal notice
+    may be sent again later. Without one every notice is remembered for good, which suits a replay of a closed log.
+    """
     named = stream.withColumn("notice_id", notice_id(F.col("issue_key"), F.col("items"), F.col("failures")))
-    return append_table(named.dropDuplicates(["notice_id"]).select("notice_id", "issue_key"), path, checkpoint)
+    if at is None:
+        new = named.dropDuplicates(["notice_id"])
+    else:
+        new = named.withWatermark(at, remember).dropDuplicatesWithinWatermark(["notice_id"])
+    return append_table(new.select("notice_id", "issue_key"), path, checkpoint)
