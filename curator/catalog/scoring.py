@@ -338,6 +338,55 @@ def ledger_tables(spark, root):
     return obs, history
 
 
+_BEST = """qualify row_number() over (partition by canonical_url order by case status when 'available' then 2 when 'needs_evidence' then 1 else 0 end desc, coalesce(low, discovered_at) desc, coalesce(lastv, collected_at) desc, kind desc, event_key desc) = 1"""
+
+
+def _best_candidates(spark, root):
+    return ledger.candidate_query(*ledger_tables(spark, root), "weekly", "2024-01-08")[0]
+
+
+@query("c08_page", _C8 + f""", b as (select * from ss {_BEST}), l as (select *, row_number() over (order by canonical_url) as position, count(*) over () as total from b where status <> 'blocked')
+select canonical_url, kind, event_key, position::bigint as position, total::bigint as total, case when total > 30 then 30::bigint end as next_offset, total > 30 as truncated from l where position > 10 and position <= 30""")
+def c08p(spark, root):
+    shown = ledger.candidate_page(_best_candidates(spark, root), 20, 10)
+    return shown.select("canonical_url", "kind", "event_key", "position", "total", "next_offset", "truncated")
+
+
+@query("c08_blocked", _C8 + f""", b as (select * from ss {_BEST})
+select canonical_url, kind, event_key, status as selection_status, block as selection_block from b where status = 'blocked'""")
+def c08b(spark, root):
+    return ledger.blocked_candidates(_best_candidates(spark, root))
+
+
+@query("c08_counts", _C8 + f""", b as (select * from ss {_BEST})
+select count(*)::bigint as total, count(*) filter (where status <> 'blocked')::bigint as eligible, count(*) filter (where status = 'available')::bigint as available,
+  count(*) filter (where status = 'needs_evidence')::bigint as needs_evidence, count(*) filter (where status = 'blocked')::bigint as blocked from b""")
+def c08n(spark, root):
+    return ledger.candidate_counts(_best_candidates(spark, root))
+
+
+@query("c08_source_urls", _C8 + f""", b as (select * from ss {_BEST})
+select distinct canonical_url, u as source_url from (select canonical_url, unnest(['s' || k % 7, page_url]) as u from p) where canonical_url in (select canonical_url from b)""")
+def c08u(spark, root):
+    obs, history = ledger_tables(spark, root)
+    numbers = load(spark, root, "events").select(F.col("event_id").alias("obs_id"), (k() % 7).cast("string").alias("n"))
+    sourced = obs.join(numbers, "obs_id").withColumn("source_urls", F.array(F.concat(F.lit("s"), "n"), "page_url"))
+    best, _ = ledger.candidate_query(obs, history, "weekly", "2024-01-08")
+    return ledger.candidate_sources(best, sourced)
+
+
+@query("c08_window", _C8.split("vn as")[0] + """cd as (select *, (collected_at + interval 8 hour)::date as day from p),
+act as (select distinct canonical_url from cd where day between date '2024-01-10' and date '2024-01-12'),
+g as (select *, coalesce(event_url, case when kind = 'news' then page_url end, '') as event_key from cd where canonical_url in (select canonical_url from act) and day <= date '2024-01-12'),
+eff as (select *, case when st = 'verified' then verified_at end as lastv, low as earliest from g
+   qualify row_number() over (partition by canonical_url, kind, event_key order by (st = 'verified') desc, case when st = 'verified' then verified_at else collected_at end desc, collected_at desc, obs_id desc) = 1)
+select canonical_url, kind, event_key, obs_id, case when lastv is not null then 'available' else 'needs_evidence' end as selection_status from eff""")
+def c08w(spark, root):
+    obs, _ = ledger_tables(spark, root)
+    _, events = ledger.window_candidates(obs, F.lit("2024-01-10").cast("date"), F.lit("2024-01-12").cast("date"))
+    return events.select("canonical_url", "kind", "event_key", "obs_id", "selection_status")
+
+
 @query("c08_candidate_events", _C8 + """
 select canonical_url, kind, event_key, obs_id, status as selection_status, block as selection_block from ss""")
 def c08e(spark, root):

@@ -9,6 +9,7 @@ from curator import constants as K
 from curator.functions.times import event_bounds, local_date, local_time, period_window
 from curator.operators.filters import period_eligible
 from curator.operators.scoring import dedup_verdict
+from curator.operators.topk import page
 from curator.operators.windows import event_candidates, representative
 from curator.runtime import materialize
 
@@ -85,17 +86,32 @@ def candidate_query(obs: DataFrame, history: DataFrame, ranking_type: str, perio
         F.col("kind"), pick("evidence_status"), pick("occurred_at"), pick("occurred_on"), pick("event_url"), pick("evidence"),
         F.col("first_discovered_at"), start, end,
     )).drop("_v", "first_discovered_at")
+    return _judged_candidates(obs, eligible, history, start, end)
+
+
+def window_candidates(obs: DataFrame, since: Column, until: Column) -> tuple[DataFrame, DataFrame]:
+    """(candidates, events) of a span of collection dates, both ends included, without publication history.
+
+    An identity takes part if any of its observations was collected in the span; all that were collected up to its
+    end count. obs: as for `candidate_query`.
+    """
+    day = local_date(F.col("collected_at"))
+    active = obs.where(day.between(since, until)).select("canonical_url").distinct()
+    seen = obs.join(active, "canonical_url", "left_semi")
+    return _judged_candidates(seen, seen.where(day <= until), None, since, until)
+
+
+def _judged_candidates(obs: DataFrame, eligible: DataFrame, history: DataFrame | None, start: Column, end: Column) -> tuple[DataFrame, DataFrame]:
+    """One effective record per event with its status, and one representative per identity."""
     keyed = eligible.withColumn(
         "event_key", F.coalesce("event_url", F.when(F.col("kind") == "news", F.col("page_url")), F.lit(""))
     )
     # Candidates are read by several joins and a scan; computing them is the costly part.
     effective = materialize(event_candidates(keyed, ["canonical_url", "kind", "event_key"]), "candidates")
-    judged = dedup_verdict(
-        effective.withColumn("row_id", F.concat_ws("|", "canonical_url", "kind", "event_key")).withColumn(
-            "reported_url", F.coalesce("event_url", F.when(F.col("kind") == "news", F.col("page_url")))
-        ).withColumn("earliest", event_bounds("occurred_at", "occurred_on")["earliest"]),
-        history,
-    )
+    named = effective.withColumn("row_id", F.concat_ws("|", "canonical_url", "kind", "event_key")).withColumn(
+        "reported_url", F.coalesce("event_url", F.when(F.col("kind") == "news", F.col("page_url")))
+    ).withColumn("earliest", event_bounds("occurred_at", "occurred_on")["earliest"])
+    judged = named.withColumn("selection_block", F.lit(None).cast("string")) if history is None else dedup_verdict(named, history)
     events = judged.withColumn(
         "selection_status",
         F.when(F.col("selection_block").isNotNull(), "blocked").when(F.col("last_verified_at").isNotNull(), "available").otherwise("needs_evidence"),
@@ -105,6 +121,32 @@ def candidate_query(obs: DataFrame, history: DataFrame, ranking_type: str, perio
     return best.withColumn("period_label", period_label(F.col("first_discovered_at"), start, end)), events
 
 
+def candidate_page(candidates: DataFrame, limit: int = 80, offset: int = 0) -> DataFrame:
+    """One review page of the candidates that nothing blocks, by canonical URL (a stable order, not a value)."""
+    if not (1 <= limit <= 1000 and offset >= 0):
+        raise ValueError("limit must be 1 to 1000 and offset 0 or more")
+    return page(candidates.where("selection_status <> 'blocked'"), ["canonical_url"], offset, limit)
+
+
+def blocked_candidates(candidates: DataFrame) -> DataFrame:
+    """The candidates that history blocks, compact; they never take up the review limit."""
+    return candidates.where("selection_status = 'blocked'").select("canonical_url", "kind", "event_key", "selection_status", "selection_block")
+
+
+def candidate_counts(candidates: DataFrame) -> DataFrame:
+    """One row: total, eligible, available, needs_evidence and blocked candidates."""
+    status = F.col("selection_status")
+    return candidates.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(status != "blocked").alias("eligible"), F.count_if(status == "available").alias("available"),
+        F.count_if(status == "needs_evidence").alias("needs_evidence"), F.count_if(status == "blocked").alias("blocked"))
+
+
+def candidate_sources(candidates: DataFrame, obs: DataFrame) -> DataFrame:
+    """canonical_url, source_url: all source URLs of each candidate's observations, one row each. obs: canonical_url, source_urls[]."""
+    each = obs.select("canonical_url", F.explode("source_urls").alias("source_url")).distinct()
+    return each.join(candidates.select("canonical_url").distinct(), "canonical_url", "left_semi")
+
+
 def due_periods(now: Column, issues: DataFrame, drafts: DataFrame) -> DataFrame:
     """The latest complete period per level: is it due, archived, drafted?
 
