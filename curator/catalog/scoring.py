@@ -610,6 +610,89 @@ def f30(spark, root):
     return validation.scope_overclaims(claims, docs)
 
 
+@query("v01_issue_items", """
+with o as (select o_orderkey, case o_orderstatus when 'F' then 'daily' when 'O' then 'weekly' else 'monthly' end as level, o_orderdate + interval 36 hour as prepared,
+  case o_orderstatus when 'F' then o_orderdate::date when 'O' then date_trunc('week', o_orderdate)::date else date_trunc('month', o_orderdate)::date end as start from orders),
+i as (select l_orderkey, l_linenumber as n, l_partkey % 13 as p, case l_partkey % 4 when 0 then 'project' when 1 then 'update' when 2 then 'reading' else 'news' end as kind, level, start,
+  prepared - to_hours((l_suppkey % 40)::int) + interval 1 hour as verified, prepared from lineitem join o on l_orderkey = o_orderkey)
+select l_orderkey as issue_id, n as item_id, path, code from (
+  select *, unnest(list_filter([
+    case when p = 1 then {path: 'category', code: 'enum'} end, case when p = 2 then {path: 'audience', code: 'required'} end,
+    case when kind = 'reading' and p = 3 then {path: 'featured', code: 'featured_reading'} end,
+    case when p = 4 then {path: 'evidence_urls', code: 'required'} end,
+    case when verified > prepared then {path: 'verified_at', code: 'order'} end,
+    case when verified < prepared - interval 24 hour then {path: 'verified_at', code: 'stale'} end,
+    case when (verified + interval 8 hour)::date < start then {path: 'verified_at', code: 'before_period'} end,
+    case when kind = 'update' and p = 5 then {path: 'change_note', code: 'update_unexplained'} end,
+    case when kind in ('update', 'news') and p = 6 then {path: 'event', code: 'required'} end,
+    case when p <> 6 and p in (4, 7) then {path: 'evidence_urls', code: 'event_missing'} end,
+    case when p = 8 and kind in ('project', 'update') then {path: 'event', code: 'home_page'} end,
+    case when kind = 'reading' and p = 9 then {path: 'author', code: 'required'} end, case when kind = 'reading' and p = 10 then {path: 'original_date', code: 'required'} end,
+    case when level = 'weekly' and p = 11 then {path: 'detail', code: 'required'} end, case when level = 'monthly' and p = 12 then {path: 'retention_reason', code: 'required'} end
+  ], lambda x: x is not null)) as v from i), lateral (select v.path as path, v.code as code)""")
+def v01i(spark, root):
+    p, n = F.col("l_partkey") % 13, F.col("l_partkey") % 4
+    text = lambda broken: F.when(~broken, "x").otherwise(" ")
+    issues = _order_issues(spark, root)
+    lines = load(spark, root, "lineitem").join(issues.select("issue_id", "prepared_at"), F.col("l_orderkey") == F.col("issue_id"))
+    home = F.lit("https://h.example/p")
+    event = F.when(p != 6, F.when(p == 8, home).otherwise(F.lit("https://h.example/e")))
+    items = lines.select(
+        "issue_id", F.col("l_linenumber").alias("item_id"), F.when(n == 0, "project").when(n == 1, "update").when(n == 2, "reading").otherwise("news").alias("kind"),
+        F.when(p == 1, "other").otherwise(K.CATEGORIES[0]).alias("category"), ((p == 3) & (n == 2)).alias("featured"),
+        *[F.lit("x").alias(c) for c in ("title", "summary", "reason", "usage_conditions")], text(p == 2).alias("audience"), F.lit("tested").alias("verification_level"),
+        (F.col("prepared_at") - F.make_dt_interval(hours=F.col("l_suppkey") % 40) + F.expr("INTERVAL 1 HOUR")).alias("verified_at"),
+        F.when(p == 4, F.array().cast("array<string>")).when(p == 7, F.array(F.lit("https://h.example/other"))).otherwise(F.array(F.lit("https://h.example/e"), home)).alias("evidence_urls"),
+        text((p == 5) & (n == 1)).alias("change_note"), event.alias("event_url"), home.alias("canonical_url"), text(p == 9).alias("author"),
+        F.when(p != 10, F.lit("2024-01-01").cast("date")).alias("original_date"), text(p == 11).alias("detail"), text(p == 12).alias("retention_reason"),
+    )
+    return validation.validate_issue_items(items, issues).select("issue_id", "item_id", "path", "code")
+
+
+def _order_issues(spark, root):
+    """Every order as an issue, prepared 36 hours after the start of its day."""
+    level = F.when(F.col("o_orderstatus") == "F", "daily").when(F.col("o_orderstatus") == "O", "weekly").otherwise("monthly")
+    day = F.to_date("o_orderdate")
+    period = F.when(level == "daily", day.cast("string")).when(level == "weekly", F.to_date(F.date_trunc("week", day)).cast("string")).otherwise(F.date_format(day, "yyyy-MM"))
+    return load(spark, root, "orders").select(
+        F.col("o_orderkey").alias("issue_id"), level.alias("ranking_type"), period.alias("period"), (F.col("o_orderdate") + F.expr("INTERVAL 36 HOURS")).alias("prepared_at"),
+        F.lit(None).cast("int").alias("screened_count"), (F.col("o_orderkey") % 5).cast("int").alias("verified_count"))
+
+
+@query("v02_final_issues", """
+with c as (select o_orderkey, o_orderstatus as s, o_orderdate as d, (select count(*) from lineitem where l_orderkey = o_orderkey) as n from orders),
+e as (select *, case s when 'F' then d::date when 'O' then date_trunc('week', d)::date + 6 else (date_trunc('month', d) + interval 1 month)::date - 1 end as ends from c)
+select o_orderkey as issue_id, 'no_items' as code from e where n = 0 union all select o_orderkey, 'monthly_short' from e where s = 'P' and n between 1 and 19
+union all select o_orderkey, 'open' from e where (d + interval 44 hour)::date <= ends union all select o_orderkey, 'below_selection' from e where o_orderkey % 5 < n""")
+def v02f(spark, root):
+    items = load(spark, root, "lineitem").select(F.col("l_orderkey").alias("issue_id"))
+    return validation.validate_final_issues(items, _order_issues(spark, root)).select("issue_id", "code")
+
+
+@query("v02_opportunities", """
+with l as (select l_orderkey, l_linenumber, l_partkey, o_orderdate from lineitem join orders on l_orderkey = o_orderkey)
+select l_orderkey as issue_id, 'required' as code from l where l_partkey % 5 = 0 union all select l_orderkey, 'required' from l where l_partkey % 7 = 0
+union all select l_orderkey, 'url' from l where l_partkey % 7 = 1 union all select l_orderkey, 'future' from l where l_partkey % 3 = 0
+union all select l_orderkey, 'too_many' from l group by 1 having count(*) > 2""")
+def v02o(spark, root):
+    p, issues = F.col("l_partkey"), _order_issues(spark, root)
+    rows = load(spark, root, "lineitem").join(issues.select("issue_id", "prepared_at"), F.col("l_orderkey") == F.col("issue_id")).select(
+        "issue_id", F.when(p % 5 != 0, "x").alias("problem"), *[F.lit("x").alias(c) for c in ("audience", "existing_solutions", "validation")],
+        F.when(p % 7 == 0, F.array().cast("array<string>")).when(p % 7 == 1, F.array(F.lit("ftp://h"))).otherwise(F.array(F.lit("https://h.example/"))).alias("evidence_urls"),
+        F.date_add(F.to_date("prepared_at"), F.when(p % 3 == 0, 9).otherwise(-9)).alias("evidence_date"))
+    return validation.validate_opportunities(rows, issues).select("issue_id", "code")
+
+
+@query("v01_batch_sources", """
+select s_suppkey, case when s_nationkey = 1 then 'name' when s_nationkey = 2 then 'url' when s_nationkey = 3 then 'status' else 'detail' end as path from supplier where s_nationkey between 1 and 4""")
+def v01b(spark, root):
+    n = F.col("s_nationkey")
+    rows = load(spark, root, "supplier").select(
+        "s_suppkey", F.when(n != 1, F.col("s_name")).alias("name"), F.when(n == 2, "https://u:p@h.example/").otherwise("https://h.example/").alias("url"),
+        F.when(n == 3, "late").otherwise("ok").alias("status"), F.when(n != 4, "").alias("detail"))
+    return validation.validate_batch_sources(rows, ["s_suppkey"]).select("s_suppkey", "path")
+
+
 @query("v05_uncovered_units", """
 with u as (select doc_id, text, substr(text, 1, length(text) // 2) as a, substr(text, length(text) // 2 + 1) as b from documents)
 select doc_id as unit_id, 'text_uncovered' as code from u where doc_id % 2 = 1 and a <> '' and regexp_matches(b, '[^\\p{P}\\p{C}\\p{Z}\\s]')

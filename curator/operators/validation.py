@@ -97,6 +97,103 @@ def validate_issues(items: DataFrame, issues: DataFrame) -> DataFrame:
     ).unionByName(double("event_url", "event_repeated", "the same original event occurs twice"))
 
 
+def validate_issue_items(items: DataFrame, issues: DataFrame) -> DataFrame:
+    """Row contract of the items of an issue, by its level, period and preparation time.
+
+    issues: issue_id, ranking_type, period, prepared_at; items: issue_id, item_id, url, kind, category, featured, title,
+    summary, reason, audience, usage_conditions, verification_level, verified_at, evidence_urls[], change_note, event_url,
+    canonical_url, author, original_date, detail, retention_reason.
+    """
+    from curator.functions.times import local_date, period_window
+    from curator.functions.urls import is_http_url
+
+    window = F.coalesce(*[F.when(F.col("ranking_type") == r, period_window("period", r)["start_date"]) for r in K.RANKINGS])
+    rows = items.join(issues.select("issue_id", "ranking_type", "period", "prepared_at", window.alias("_start")), "issue_id")
+    kind, level = F.col("kind"), F.col("ranking_type")
+    empty = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    event = F.col("event_url").isNotNull()
+    rules = [
+        one_of("kind", K.KINDS), one_of("category", K.CATEGORIES), one_of("verification_level", K.VERIFICATION_LEVELS),
+        *[required(c) for c in ("title", "summary", "reason", "audience", "usage_conditions")],
+        cross("featured", "required", F.col("featured").isNull(), "featured must be true or false"),
+        cross("featured", "featured_reading", F.col("featured") & (kind == "reading"), "a reading cannot be featured"),
+        cross("change_note", "type", F.col("change_note").isNull(), "change_note must be text, which may be empty"),
+        cross("evidence_urls", "required", F.coalesce(F.size("evidence_urls"), F.lit(0)) < 1, "evidence_urls must be a nonempty array"),
+        cross("evidence_urls", "url", F.exists("evidence_urls", lambda u: ~is_http_url(u)), "evidence_urls holds an invalid URL"),
+        cross("verified_at", "required", F.col("verified_at").isNull(), "verified_at must be a time"),
+        cross("verified_at", "order", F.col("verified_at") > F.col("prepared_at"), "verification cannot be after preparation"),
+        cross("verified_at", "stale", F.unix_micros("prepared_at") - F.unix_micros("verified_at") > 86_400_000_000, "originals must be read again within a day before preparation"),
+        cross("verified_at", "before_period", local_date(F.col("verified_at")) < F.col("_start"), "originals must be read again in this period or later"),
+        cross("change_note", "update_unexplained", (kind == "update") & empty("change_note"), "an important update needs a change note"),
+        cross("event", "required", kind.isin("update", "news") & ~event, "an update or news needs a stable event"),
+        cross("evidence_urls", "event_missing", event & ~F.array_contains("evidence_urls", F.col("event_url")), "the event URL must be among the evidence"),
+        cross("event", "home_page", event & ~kind.isin("reading", "news") & (F.col("event_url") == F.col("canonical_url")), "the event URL must be that of a release or update"),
+        cross("author", "required", (kind == "reading") & empty("author"), "a reading needs its author"),
+        cross("original_date", "required", (kind == "reading") & F.col("original_date").isNull(), "a reading needs its original date"),
+        cross("detail", "required", (level == "weekly") & empty("detail"), "a weekly item needs detail"),
+        cross("retention_reason", "required", (level == "monthly") & empty("retention_reason"), "a monthly item needs a retention reason"),
+    ]
+    return validate(rows, ["issue_id", "item_id"], rules)
+
+
+MOST_OPPORTUNITIES = 2
+
+
+def validate_final_issues(items: DataFrame, issues: DataFrame) -> DataFrame:
+    """What a formal issue needs beyond a draft: items, the monthly minimum, and a period that has ended.
+
+    issues: issue_id, ranking_type, period, prepared_at, screened_count, verified_count (null: not stated); items: issue_id.
+    """
+    from curator.functions.times import local_date, period_window
+
+    end = F.coalesce(*[F.when(F.col("ranking_type") == r, period_window("period", r)["end_date"]) for r in K.RANKINGS])
+    counted = issues.join(items.groupBy("issue_id").agg(F.count(F.lit(1)).alias("items")), "issue_id", "left").fillna(0, ["items"])
+    low = lambda c: cross(c, "below_selection", F.col(c) < F.col("items"), f"{c} cannot be below the selected count")
+    rules = [
+        cross("items", "no_items", F.col("items") == 0, "an issue without items stays a draft"),
+        cross("items", "monthly_short", (F.col("ranking_type") == "monthly") & F.col("items").between(1, ISSUE_SIZE["monthly"][0] - 1), "a monthly issue needs more items"),
+        cross("period", "open", local_date(F.col("prepared_at")) <= F.col("_end"), "the natural period has not ended"),
+        low("screened_count"), low("verified_count"),
+    ]
+    return validate(counted.withColumn("_end", end), ["issue_id"], rules)
+
+
+def validate_opportunities(opportunities: DataFrame, issues: DataFrame) -> DataFrame:
+    """Development opportunities of an issue: at most two, explained, and with evidence that is not from the future.
+
+    opportunities: issue_id, problem, audience, existing_solutions, validation, evidence_urls[], evidence_date.
+    """
+    from curator.functions.times import local_date
+    from curator.functions.urls import is_http_url
+
+    rows = opportunities.join(issues.select("issue_id", local_date(F.col("prepared_at")).alias("_day")), "issue_id")
+    each = validate(rows, ["issue_id"], [
+        *[required(c) for c in ("problem", "audience", "existing_solutions", "validation")],
+        cross("evidence_urls", "required", F.coalesce(F.size("evidence_urls"), F.lit(0)) < 1, "evidence_urls must be a nonempty array"),
+        cross("evidence_urls", "url", F.exists("evidence_urls", lambda u: ~is_http_url(u)), "evidence_urls holds an invalid URL"),
+        cross("evidence_date", "future", F.col("evidence_date") > F.col("_day"), "evidence cannot be from the future"),
+    ])
+    return each.unionByName(validate_groups(opportunities, ["issue_id"], {"_n": F.count(F.lit(1))}, [
+        cross("opportunities", "too_many", F.col("_n") > MOST_OPPORTUNITIES, "an issue has two opportunities at most")]))
+
+
+def validate_batch_sources(sources: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Row contract of the sources of a collection batch: name, url, status, detail (which may be empty)."""
+    from curator.functions.urls import is_http_url
+
+    return validate(sources, key, [
+        required("name"), ("url", "url", ~is_http_url("url"), "url must be an HTTP(S) URL without credentials"),
+        one_of("status", ("ok", "empty", "failed")), cross("detail", "type", F.col("detail").isNull(), "detail must be text, which may be empty"),
+    ])
+
+
+def publication_form(name: str = "published_at") -> Rule:
+    """A stated publication is a date or a time with a zone; null is allowed."""
+    day = F.col(name).rlike(r"^\d{4}-\d{2}-\d{2}$") & F.col(name).try_cast("date").isNotNull()
+    time = F.col(name).rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$") & F.col(name).try_cast("timestamp").isNotNull()
+    return (name, "form", ~(day | time), f"{name} must be a date or a time with a zone")
+
+
 def validate_candidates(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Row contract of collected candidates.
 
@@ -122,6 +219,7 @@ def validate_candidates(df: DataFrame, key: Sequence[str]) -> DataFrame:
         cross("verified_at", "unverified", ~verified & F.col("verified_at").isNotNull(), "unverified candidates require verified_at=null"),
         one_of("verification_level", K.VERIFICATION_LEVELS),
         cross("event", "required", verified & F.col("kind").isin("update", "news") & ~has_event, "a verified update or news requires a stable event"),
+        *([publication_form()] if "published_at" in df.columns else []),
         cross("evidence_urls", "event_missing", verified & (F.col("kind") == "news") & has_event & ~F.array_contains("evidence_urls", F.col("event_url")), "news event URL must be included in evidence_urls"),
     ]
     return validate(df, key, rules)
