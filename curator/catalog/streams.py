@@ -73,6 +73,25 @@ def t03(spark, root):
     return spark.read.parquet(f"{base}/table").select("source_id", F.substring("polled_at", 1, 10).alias("day"), "has_gap", "reason")
 
 
+@query("t03_backfilled_gaps", """
+with p as (select event_type as source, ts::date as day from events group by 1, 2), l as (select *, row_number() over (partition by source order by day) as n from p)
+select source as source_id, strftime(day, '%Y-%m-%d') as day, n > 1 and n % 3 <> 0 as has_gap,
+  case when n = 1 or n % 3 = 0 then '' when n % 3 = 1 then 'rest_backfill_unclosed' else 'rest_backfill_failed: timeout' end as reason from l
+union all select source, strftime(day, '%Y-%m-%d'), true, 'baseline_not_established' from l where n = 1""")
+def t03b(spark, root):
+    # One poll per event type and day, none of which overlaps; every third backfill closes, the others don't or fail.
+    days = load(spark, root, "events").groupBy(F.col("event_type").alias("source_id"), F.to_date("ts").cast("string").alias("day")).agg(F.min("event_id").alias("first"))
+    n = F.row_number().over(Window.partitionBy("source_id").orderBy("day"))
+    polls = days.select(
+        "source_id", F.concat("day", F.lit("T23:59:59")).alias("polled_at"),
+        F.array(F.struct(F.col("first").cast("string").alias("key"), F.concat("day", F.lit("T00:00:00")).alias("published_at"))).alias("entries"),
+        F.when(n % 3 == 0, "closed").when(n % 3 == 1, "unclosed").otherwise("timeout").alias("backfill"), (n > 1).alias("baseline"))
+    base = scratch_path(spark, "gaps")
+    polls.write.parquet(f"{base}/polls")
+    jobs.stream_gaps(core.read_stream(spark, f"{base}/polls"), f"{base}/table", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/table").select("source_id", F.substring("polled_at", 1, 10).alias("day"), "has_gap", "reason")
+
+
 def _periods(name, ranking_type, sql):
     @query(name, f"select {sql} as period, event_type, count(*)::bigint as n from events group by 1, 2")
     def run(spark, root):

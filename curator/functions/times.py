@@ -15,6 +15,7 @@ _ZONES = {
     "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
     "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
 }
+# The accepted forms of ISO 8601 and RFC 2822 times.
 _ISO = (
     r"^(\d{4}-\d{2}-\d{2})(?:[Tt ](\d{2}:\d{2})(:\d{2})?(?:[.,](\d{1,9}))?)?"
     r"\s*([Zz]|[+-]\d{2}(?::?\d{2})?)?$"
@@ -95,6 +96,7 @@ def iso_text(c: Column | str) -> Column:
     return F.date_format(_col(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+# The accepted forms of a stated publication date.
 _DATE_ONLY = r"^\d{4}-\d{2}-\d{2}$"
 _STATED_ISO = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:[Zz]|[+-]\d{2}(?::?\d{2})?)$"
 _ISO_THEN_UTC = r"(?i)^(\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)\s+(?:GMT|UTC)$"
@@ -123,6 +125,7 @@ def parse_publication(c: Column | str) -> Column:
     )
 
 
+# Fixed value: a time with its zone inside running text.
 _STAMP = r"(\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:[Zz]|[+-]\d{2}(?::?\d{2})?)(?![\d:]))"
 _LONG_MONTHS = (
     "january", "february", "march", "april", "may", "june", "july",

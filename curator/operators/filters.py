@@ -84,16 +84,23 @@ def period_eligible(
     )
 
 
+# Why a candidate isn't eligible.
+_UNVERIFIED = "original-source verification has not been recorded in the digest ledger"
+_NO_CONTEXT = "no readable original-source context was supplied for scoring"
+_MORE_EVIDENCE = "digest candidate requires further evidence"
+_BLOCKED = "same-level or period eligibility blocked"
+
+
 def eligibility(block: Column, selection_status: Column, evidence_status: Column, has_context: Column) -> Column:
     """STRUCT<state, reasons> before publication: blocked, needs_evidence or available."""
     blocked = F.coalesce((F.coalesce(block, F.lit("")) != "") | (selection_status == "blocked"), F.lit(False))
     unverified = F.coalesce(evidence_status != "verified", F.lit(True))
     missing = reasons(
-        (unverified, "original-source verification has not been recorded in the digest ledger"),
-        (~has_context, "no readable original-source context was supplied for scoring"),
-        ((selection_status == "needs_evidence") & ~unverified & has_context, "digest candidate requires further evidence"),
+        (unverified, _UNVERIFIED),
+        (~has_context, _NO_CONTEXT),
+        ((selection_status == "needs_evidence") & ~unverified & has_context, _MORE_EVIDENCE),
     )
-    why = F.when(blocked, F.array(F.coalesce(F.nullif(block, F.lit("")), F.lit("same-level or period eligibility blocked")))).otherwise(missing)
+    why = F.when(blocked, F.array(F.coalesce(F.nullif(block, F.lit("")), F.lit(_BLOCKED)))).otherwise(missing)
     state = F.when(blocked, F.lit("blocked")).when(F.size(missing) > 0, F.lit("needs_evidence")).otherwise("available")
     return F.struct(state.alias("state"), why.alias("reasons"))
 

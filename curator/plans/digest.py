@@ -12,8 +12,9 @@ from curator.operators.scoring import decide, profile_of, weighted_score
 from curator.operators.topk import rotating_page, select_issue
 from curator.runtime import materialize
 
-# Fixed values: (screened, deeply read, published) per ranking level.
-BUDGETS = {"daily": (30, 12, 8), "weekly": (80, 35, 25), "monthly": (150, 60, 30)}
+# Candidates screened and items published per ranking level.
+SCREENED = {"daily": 30, "weekly": 80, "monthly": 150}
+PUBLISHED = {"daily": 8, "weekly": 25, "monthly": 30}
 
 
 def screening_page(candidates: DataFrame, ranking_type: str, period: str) -> DataFrame:
@@ -23,7 +24,7 @@ def screening_page(candidates: DataFrame, ranking_type: str, period: str) -> Dat
         candidates.where("selection_status <> 'blocked'").withColumn("ranking_type", F.lit(ranking_type)).withColumn("period", F.lit(period)),
         "open-candidates",
     )
-    return materialize(rotating_page(open_, ["ranking_type", "period"], ["canonical_url"], BUDGETS[ranking_type][0]), "screening-page")
+    return materialize(rotating_page(open_, ["ranking_type", "period"], ["canonical_url"], SCREENED[ranking_type]), "screening-page")
 
 
 def judged(candidates: DataFrame, assessments: DataFrame) -> DataFrame:
@@ -49,4 +50,4 @@ def issue(obs: DataFrame, history: DataFrame, assessments: DataFrame, ranking_ty
     candidates, _ = candidate_query(obs, history, ranking_type, period)
     page = screening_page(candidates, ranking_type, period)
     selected = judged(page, assessments).where("decision = 'select'").withColumn("total", F.col("total_score"))
-    return select_issue(selected, BUDGETS[ranking_type][2])
+    return select_issue(selected, PUBLISHED[ranking_type])

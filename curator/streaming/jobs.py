@@ -60,6 +60,11 @@ def stream_first_seen(stream: DataFrame, path: str, checkpoint: str, key: Sequen
     return write_updates(seen, path, checkpoint)
 
 
+# Why a feed may have lost releases.
+NO_OVERLAP, LATE_WINDOW = "no_ledger_overlap", "feed_window_after_last_success"
+UNCLOSED, FAILED, NO_BASELINE = "rest_backfill_unclosed", "rest_backfill_failed", "baseline_not_established"
+
+
 class _GapState:
     """One source's anchor, last success and open gap, folded over its polls."""
 
@@ -82,20 +87,23 @@ class _GapState:
             found = None
             if last and anchors:
                 if not {k for k, _ in entries} & set(anchors):
-                    found = "no_ledger_overlap"
+                    found = NO_OVERLAP
                 elif stamps and stamps[0] > last:
-                    found = "feed_window_after_last_success"
-            if found and poll.backfilled:
-                found = None
-            out.append({"source_id": key[0], "polled_at": poll.polled_at, "has_gap": found is not None, "reason": found or "",
-                        "oldest": stamps[0] if stamps else "", "newest": stamps[-1] if stamps else ""})
+                    found = LATE_WINDOW
+            if found and isinstance(poll.backfill, str):
+                # What the backfill of a gap came to takes the place of the gap's own reason.
+                found = {"closed": None, "unclosed": UNCLOSED}.get(poll.backfill, f"{FAILED}: {poll.backfill}")
+            row = {"source_id": key[0], "polled_at": poll.polled_at, "oldest": stamps[0] if stamps else "", "newest": stamps[-1] if stamps else ""}
+            out.append(row | {"has_gap": found is not None, "reason": found or ""})
+            if not poll.baseline:
+                out.append(row | {"has_gap": True, "reason": NO_BASELINE})
             reason = found
             if not found:
                 # Only a closed feed moves the anchor; an open gap keeps the old one.
                 anchors = [entries[0][0]] if entries else anchors
                 last = poll.polled_at
         self.state.update((anchors, last, reason))
-        yield pd.DataFrame(out)
+        yield pd.DataFrame(out, columns=GAP_SCHEMA.names)
 
     def close(self) -> None:
         pass
@@ -118,9 +126,14 @@ def stream_gaps(polls: DataFrame, path: str, checkpoint: str):
     the last success. A gap stays open, with its anchor, until a poll closes it.
 
     polls: source_id, polled_at (ISO text), entries ARRAY<STRUCT<key,
-    published_at>> newest first, backfilled. One row per poll: a feed page has a
-    bounded number of entries.
+    published_at>> newest first, and either backfilled (a gap was closed by a
+    backfill) or backfill: 'closed', 'unclosed', an error text, null for none. A
+    poll with baseline = false has its own row, as nothing before it is known.
+    One row per poll: a feed page has a bounded number of entries.
     """
+    outcome = F.col("backfill") if "backfill" in polls.columns else F.when(F.col("backfilled"), "closed")
+    baseline = F.coalesce("baseline", F.lit(False)) if "baseline" in polls.columns else F.lit(True)
+    polls = polls.select("source_id", "polled_at", "entries", outcome.cast("string").alias("backfill"), baseline.alias("baseline"))
     gaps = polls.groupBy("source_id").transformWithStateInPandas(
         statefulProcessor=_processor(_GapState), outputStructType=GAP_SCHEMA, outputMode="append", timeMode="none"
     )
