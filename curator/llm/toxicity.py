@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from curator.llm import linear
 from curator.llm.common import narrow, sample_ids
 
-GRAM = 5
+#: Lengths of the grams in bytes; codes of different lengths can't be equal.
+GRAMS = (5, 7)
 #: Bytes whose grams are looked up at once.
 BLOCK = 1 << 18
 #: ASCII that is not a letter separates words.
@@ -25,18 +26,22 @@ CATEGORIES = ("broad", "dense", "toxic")
 
 
 def grams(text: str | None) -> Iterator[np.ndarray]:
-    """The exact codes of the text's 5-byte grams, lower-cased, words apart by one space, block by block."""
+    """The exact codes of the text's 5- and 7-byte grams, lower-cased, words apart by one space, block by block."""
     raw = (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACED)
     raw = b" ".join([b"", *raw.split(), b""])
-    for at in range(0, max(1, len(raw) - GRAM + 1), BLOCK):
-        x = np.frombuffer(raw[at : at + BLOCK + GRAM - 1], np.uint8).astype(np.uint64)
-        if len(x) < GRAM:
-            return
-        n = len(x) - GRAM + 1
-        out = np.zeros(n, np.uint64)
-        for j in range(GRAM):
-            out = (out << np.uint64(8)) | x[j : j + n]
-        yield out
+    for at in range(0, len(raw), BLOCK):
+        x = np.frombuffer(raw[at : at + BLOCK + GRAMS[-1] - 1], np.uint8).astype(np.uint64)
+        own = min(BLOCK, len(raw) - at)
+        code, parts = np.zeros(len(x), np.uint64), []
+        for k in range(1, GRAMS[-1] + 1):
+            n = len(x) - k + 1
+            if n < 1:
+                break
+            code = (code[:n] << np.uint64(8)) | x[k - 1 :]
+            if k in GRAMS:
+                parts.append(code[:own])
+        if parts:
+            yield np.concatenate(parts)
 
 
 @dataclass
@@ -55,7 +60,8 @@ class Marks:
         return (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
 
     def features(self, text: str | None) -> np.ndarray:
-        """Log counts of every mark, of different marks, and of marks in a thousand bytes."""
+        """Of every mark how often it occurs in a thousand grams, then how many different ones occur and how often any
+        does, all as logarithms: a long text holds some marks by chance."""
         counts, n = np.zeros(len(self.codes), np.int64), 0
         for block in grams(text):
             n += len(block)
@@ -63,7 +69,8 @@ class Marks:
             if len(block) and len(self.codes):
                 at = np.minimum(np.searchsorted(self.codes, block), len(self.codes) - 1)
                 counts += np.bincount(at[self.codes[at] == block], minlength=len(self.codes))
-        return np.log1p([*counts, (counts > 0).sum(), 1000 * counts.sum() / max(n, 1)]).astype(np.float32)
+        rate = 1000 / max(n, 1)
+        return np.log1p([*(counts * rate), (counts > 0).sum(), counts.sum() * rate]).astype(np.float32)
 
 
 @dataclass
@@ -127,7 +134,7 @@ def _find_marks(texts: DataFrame, toxic: int, clean: int, n_marks: int) -> Marks
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    per_class: int = 3000, n_marks: int = 256,
+    per_class: int = 3000, n_marks: int = 512,
 ) -> Chain | None:
     """Learn from the labelled rows; None if they don't have both classes.
 

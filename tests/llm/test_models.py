@@ -111,10 +111,10 @@ def test_quality_edges(spark):
 
 def test_grams_in_blocks_equal_those_at_once(monkeypatch):
     text = "A vile Word, ñandú " * 30
-    whole = np.concatenate([*toxicity.grams(text)])
-    assert int.from_bytes(b" a vi", "big") == whole[0]
+    whole = sorted(np.concatenate([*toxicity.grams(text)]).tolist())
+    assert int.from_bytes(b" a vi", "big") in whole and int.from_bytes(b" a vile", "big") in whole
     monkeypatch.setattr(toxicity, "BLOCK", 13)
-    assert (np.concatenate([*toxicity.grams(text)]) == whole).all()
+    assert sorted(np.concatenate([*toxicity.grams(text)]).tolist()) == whole
     assert [*toxicity.grams("a")] == [] and [*toxicity.grams(None)] == []
 
 
