@@ -105,7 +105,7 @@ def _accepted(similarity: np.ndarray, length: np.ndarray, slack: float) -> np.nd
 
 def fit(
     docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = 500,
-    clusters: int = 4, slack: float = 0.5,
+    clusters: int = 4, slack: float = 0.25,
 ) -> Centroids:
     """Learn from the rows of `docs` with a language.
 
