@@ -83,7 +83,8 @@ def _c01(spark, root, config):
         F.lpad(F.col("page_id").cast("string"), 12, "0").alias("id"), text.plain_text("html").alias("summary"), F.col("ts").alias("published_at"),
         F.array().cast("array<string>").alias("categories"),
     )
-    stories = aggregates.stories_from_clusters(members(spark, root).join(pages, "id"), scoring.term_aggregates(config))
+    marked = pages.select("id", "published_at", *scoring.term_marks(config))
+    stories = aggregates.stories_from_clusters(members(spark, root).join(marked, "id"), scoring.mark_aggregates())
     scored = scoring.score_stories(stories, F.lit("2024-01-31").cast("timestamp"), config=config)
     penalty = F.aggregate(F.map_values("penalties"), F.lit(0), lambda a, x: a + x)
     return scored.select(

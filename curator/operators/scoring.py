@@ -28,13 +28,18 @@ def profile_of(kind: Column, category: Column) -> Column:
     return F.when(kind == "news", F.lit("news")).otherwise(_pick(category, K.CATEGORY_PROFILES))
 
 
-def term_aggregates(config: ScoreConfig | None = None) -> list[Column]:
-    """Aggregates over cluster members that `score_stories` needs."""
+def term_marks(config: ScoreConfig | None = None) -> list[Column]:
+    """workflow_mark and weak_mark of an item's summary and categories: all that scoring needs of its text."""
     config = config or ScoreConfig()
     body = F.concat_ws(" ", F.col("summary"), F.array_join("categories", " "))
+    return [has_term(body, config.workflow_terms).alias("workflow_mark"), has_term(body, config.weak_terms).alias("weak_mark")]
+
+
+def mark_aggregates() -> list[Column]:
+    """Aggregates over cluster members, marked by `term_marks`, that `score_stories` needs."""
     return [
-        F.coalesce(F.bool_or(has_term(body, config.workflow_terms)), F.lit(False)).alias("body_workflow"),
-        F.coalesce(F.bool_or(has_term(body, config.weak_terms)), F.lit(False)).alias("body_weak"),
+        F.coalesce(F.bool_or("workflow_mark"), F.lit(False)).alias("body_workflow"),
+        F.coalesce(F.bool_or("weak_mark"), F.lit(False)).alias("body_weak"),
         F.max("published_at").alias("latest_published_at"),
     ]
 
@@ -43,7 +48,7 @@ def score_stories(stories: DataFrame, as_of: Column, recent: DataFrame | None =
     """Seven additive components, four penalties and a total from 0 to 100.
 
     stories: event_id, canonical_title, evidence_status, source_count and the
-    `term_aggregates`; recent: event_id of stories like a recent decision;
+    `mark_aggregates`; recent: event_id of stories like a recent decision;
     config: weights, penalties and terms.
     """
     config = config or ScoreConfig()

@@ -9,10 +9,11 @@ from curator.constants import RECENT_DAYS, RECENT_THRESHOLD, TITLE_THRESHOLD, WI
 from curator.functions.text import title_features
 from curator.operators.aggregates import stories_from_clusters
 from curator.operators.clustering import cluster_items
-from curator.operators.scoring import score_stories, term_aggregates
+from curator.operators.scoring import mark_aggregates, score_stories, term_marks
 from curator.operators.similarity import recently_decided
 from curator.operators.topk import top_n
 from curator.plans.items import page_items
+from curator.policy import ScoreConfig
 from curator.runtime import materialize
 
 
@@ -22,16 +23,18 @@ def story_members(items: DataFrame, threshold: float = TITLE_THRESHOLD, hours: f
     return items.join(cluster_items(slim, threshold, hours), "id")
 
 
-def rank_stories(items: DataFrame, as_of: Column, top: int, decisions: DataFrame | None = None) -> DataFrame:
+def rank_stories(items: DataFrame, as_of: Column, top: int, decisions: DataFrame | None = None, config: ScoreConfig | None = None) -> DataFrame:
     """The best `top` linked stories with their score explained.
 
-    items: see plans.items; decisions: title, decided_on of earlier choices.
+    items: see plans.items; decisions: title, decided_on of earlier choices;
+    config: weights, penalties and terms.
     """
-    # Clustering reads the items several times: parse pages once.
-    items = materialize(items, "items")
-    members = story_members(items)
-    linked = F.bool_or((F.col("url") != "") | (F.size("source_links") > 0)).alias("linked")
-    stories = stories_from_clusters(members, [*term_aggregates(), linked]).where("linked")
+    # Clustering reads the items several times: parse pages once, and keep marks instead of texts.
+    slim = items.select(
+        "id", "title", "url", "source_id", "source_class", "evidence_allowed", "published_at", "features",
+        ((F.col("url") != "") | (F.size("source_links") > 0)).alias("has_link"), *term_marks(config))
+    members = story_members(materialize(slim, "items"))
+    stories = stories_from_clusters(members, [*mark_aggregates(), F.bool_or("has_link").alias("linked")]).where("linked")
     recent = None
     if decisions is not None:
         stories = materialize(stories, "stories")
@@ -40,7 +43,7 @@ def rank_stories(items: DataFrame, as_of: Column, top: int, decisions: DataFrame
             decisions.select(title_features("title").alias("features"), "decided_on"),
             RECENT_THRESHOLD, RECENT_DAYS,
         )
-    scored = score_stories(stories, as_of, recent)
+    scored = score_stories(stories, as_of, recent, config=config)
     return top_n(scored, top, [F.col("total").desc(), F.col("event_id").asc()])
 
 
