@@ -95,5 +95,5 @@ def weekly_issue(spark, root):
     page = digest.screening_page(candidates, "weekly", "2024-01-08")
     assessments = page.select("candidate_id", F.lit("PASS").alias("precheck"), scores.alias("scores"), F.array().cast("array<string>").alias("flags"), F.lit(True).alias("has_context"))
     selected = digest.judged(page, assessments).where("decision = 'select'").withColumn("total", F.col("total_score"))
-    chosen = digest.select_issue(selected, digest.BUDGETS["weekly"][2])
+    chosen = digest.select_issue(selected, digest.PUBLISHED["weekly"])
     return chosen.select("canonical_url", "kind", F.col("total").cast("long").alias("total"), F.col("rank").cast("long").alias("rank"), "featured")
