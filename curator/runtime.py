@@ -25,6 +25,10 @@ def configure(spark: SparkSession) -> SparkSession:
     Timestamps are instants in UTC everywhere; parquet timestamps without a
     zone are read as UTC instants so that range filters still reach the scan.
     """
+    # Python workers find the package where the driver has it; elsewhere it is shipped with the job.
+    home, known = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    if home not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [home, known.get("PYTHONPATH", "")]))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
