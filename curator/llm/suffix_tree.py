@@ -21,6 +21,8 @@ END = 10
 COUNTED, HELD = 6 << 20, 3 << 20
 #: Texts are scored in pieces of this many bytes, all pieces of a batch in step.
 PIECE = 1024
+#: Retained contexts that a broadcast join meets; more are joined plainly.
+BROADCAST = 1 << 20
 #: Tokens and documents whose words are counted together; a document number takes 16 bits.
 CHUNK_TOKENS, CHUNK_DOCS = 3 << 20, 1 << 16
 NO_ID = np.iinfo(np.int64).min  # stands for a null doc_id
@@ -80,6 +82,96 @@ class Tree:
         return out
 
 
+@dataclass
+class Lists:
+    """The same model as sorted lists, some 12 bytes for each next byte of a retained context.
+
+    `windows[d]` are the retained contexts of d bytes with each next byte they have, `log[d]` the log10 probability
+    there. Any other next byte has `back[d]` of `contexts[d]` more than after the context without its oldest byte.
+    """
+
+    root: np.ndarray
+    contexts: list[np.ndarray]
+    back: list[np.ndarray]
+    windows: list[np.ndarray]
+    log: list[np.ndarray]
+
+    def of(self, windows: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of every window, after the longest retained of its contexts."""
+        out, left = np.zeros(len(windows)), np.arange(len(windows))
+        for d in range(len(self.windows) - 1, 0, -1):
+            key = windows[left] & ((1 << 8 * (d + 1)) - 1)
+            at, hit = _find(self.windows[d], key)
+            out[left[hit]] += self.log[d][at[hit]]
+            left, key = left[~hit], key[~hit] >> 8
+            at, hit = _find(self.contexts[d], key)
+            out[left[hit]] += self.back[d][at[hit]]
+        out[left] += self.root[windows[left] & 255]
+        return out
+
+    def score(self, lines: list[bytes]) -> np.ndarray:
+        """log10 probability of each line, END included."""
+        out, held, size = np.zeros(len(lines)), [], 0
+
+        def add():
+            code = np.concatenate(held)
+            code.sort()
+            window = code >> np.uint64(16)
+            starts = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
+            each = np.repeat(self.of(window[starts].astype(np.int64)), np.diff(np.append(starts, len(code))))
+            out[base : base + (1 << 16)] += np.bincount(
+                (code & np.uint64(0xFFFF)).astype(np.int64), weights=each, minlength=1 << 16)[: len(lines) - base]
+
+        # A window takes 48 bits and the line's number the other 16.
+        for base in range(0, len(lines), 1 << 16):
+            for i, line in enumerate(lines[base : base + (1 << 16)]):
+                for at in range(0, len(line), COUNTED):
+                    lead = line[max(0, at - DEPTH) : at]
+                    found = windows(lead + line[at : at + COUNTED])[len(lead) :].astype(np.uint64)
+                    held.append((found << np.uint64(16)) | np.uint64(i))
+                    size += len(found)
+                    if size >= COUNTED:
+                        add()
+                        held, size = [], 0
+            if held:
+                add()
+                held, size = [], 0
+        return out
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted values in sorted keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _lists(levels: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Lists:
+    """Lists from (context, next, n) of each depth, the root's first."""
+    empty = np.zeros(0, np.int64)
+    model = Lists(np.zeros(0), [empty], [np.zeros(0)], [empty], [np.zeros(0)])
+    for depth, (context, following, n) in enumerate(levels):
+        order = np.lexsort((following, context))
+        context, following, n = (x[order].astype(np.int64) for x in (context, following, n))
+        if not depth:
+            share = np.full(256, len(n) / 256 if len(n) else 1 / 256)
+            share[following] += n
+            model.root = np.log10(share / (n.sum() + len(n) if len(n) else 1))
+            continue
+        window = (context << 8) | following
+        starts = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))[: len(context)])
+        kinds = np.diff(np.append(starts, len(context)))
+        total = np.add.reduceat(n, starts) if len(starts) else empty
+        lower = 10 ** model.of(window & ((1 << 8 * depth) - 1))
+        k, both = np.repeat(kinds, kinds), np.repeat(total + kinds, kinds)
+        model.contexts.append(context[starts])
+        model.back.append(np.log10(kinds / (total + kinds)).astype(np.float32))
+        model.windows.append(window)
+        model.log.append(np.log10((n + k * lower) / both).astype(np.float32))
+    return model
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Different windows and their counts, from several such lists."""
     keys = np.concatenate([k for k, _ in parts])
@@ -128,15 +220,15 @@ def _shorter(depth: int):
     return F.col("context").bitwiseAND((1 << 8 * (depth - 1)) - 1)
 
 
-def grow(counts: DataFrame, strictness: float = 0.5, max_states: int = 32_000) -> Tree:
+def grow(counts: DataFrame, strictness: float = 0.5, max_states: int = 32_000) -> Tree | Lists:
     """Build the tree from (window, n).
 
     A context is retained if its next-byte distribution diverges from that of its parent (the context without its
     oldest byte): the log-likelihood gain over all its occurrences must exceed `strictness` * ln(N) / 2 for each next
     byte it has, N being all counted bytes. Ancestors of retained contexts stay too. Probabilities are interpolated
     with the parent's by the number of different next bytes. The counts, levels and tests are Spark jobs over all
-    windows; every window frame has at most 256 rows, as the oldest byte is all in which siblings differ. The tree
-    that every task holds has at most `max_states` retained contexts, those of most gain (a documented capacity).
+    windows; every window frame has at most 256 rows, as the oldest byte is all in which siblings differ. All
+    passing contexts are retained: up to `max_states` become a table of states, more become lists, which score alike.
     """
     level = materialize(counts.select(
         F.shiftright("window", 8).alias("context"), F.col("window").bitwiseAND(255).cast("int").alias("next"), "n"), "level")
@@ -154,15 +246,24 @@ def grow(counts: DataFrame, strictness: float = 0.5, max_states: int = 32_000) -
         found = each.select(F.lit(depth).alias("depth"), "context", gain.alias("gain")).where(
             F.col("gain") > strictness * 0.5 * math.log(max(n, 2)) * F.col("kinds"))
         kept = found if kept is None else kept.unionByName(found)
-    kept = materialize(kept.orderBy(F.desc("gain"), "depth", "context").limit(max_states), "kept")
-    family = kept.select(F.explode(F.expr("sequence(1, depth)")).alias("depth"), "context").select(
-        "depth", F.expr("context & (shiftleft(1L, 8 * depth) - 1)").alias("context")).distinct()
-    rows = levels[0].select(F.lit(0).alias("depth"), "context", "next", "n")
-    for depth in range(1, DEPTH + 1):
-        own = F.broadcast(family.where(F.col("depth") == depth))  # at most max_states rows
-        rows = rows.unionByName(levels[depth].join(own, "context").select("depth", "context", "next", "n"))
-    table = rows.toArrow()
-    return _table(*(table[c].to_numpy() for c in ("depth", "context", "next", "n")))
+    family = materialize(kept.select(F.explode(F.expr("sequence(1, depth)")).alias("depth"), "context").select(
+        "depth", F.expr("context & (shiftleft(1L, 8 * depth) - 1)").alias("context")).distinct(), "kept")
+    states = family.count()
+
+    def counted(depth: int) -> tuple[np.ndarray, ...]:
+        rows = levels[depth]
+        if depth:
+            own = family.where(F.col("depth") == depth).select("context")
+            rows = rows.join(F.broadcast(own) if states <= BROADCAST else own, "context")
+        found = rows.select("context", F.col("next").cast("smallint").alias("next"), "n").toArrow()
+        return tuple(found[c].to_numpy() for c in ("context", "next", "n"))
+
+    each = map(counted, range(DEPTH + 1))
+    if states > max_states:
+        return _lists(each)
+    each = list(each)
+    depths = np.repeat(np.arange(len(each)), [len(x[0]) for x in each])
+    return _table(depths, *(np.concatenate(x).astype(np.int64) for x in zip(*each)))
 
 
 def _table(depth: np.ndarray, context: np.ndarray, following: np.ndarray, n: np.ndarray) -> Tree:
@@ -220,7 +321,7 @@ class _Numbers(dict):
 _POSTS = "chunk bigint, word binary, train bigint, posts binary"
 
 
-def _word_posts(docs: DataFrame, tree: Tree) -> DataFrame:
+def _word_posts(docs: DataFrame, tree: Tree | Lists) -> DataFrame:
     """Rows of (chunk, word, train, posts): for every chunk of documents and word, its count in training documents and
     the numbers of the documents it is in, repeated as often as it occurs. One row of each chunk has no word; its
     posts are the chunk's documents: id, tokens and tree score."""

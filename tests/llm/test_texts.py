@@ -126,6 +126,22 @@ def test_pieces_of_long_texts_keep_their_context(monkeypatch):
     assert np.allclose(tree.score(lines), whole)
 
 
+def test_contexts_beyond_the_state_table_score_alike(spark, monkeypatch):
+    docs = frame(spark, [(i, " ".join(f"{chr(97 + i % 7)}{j % (i + 3)}{chr(97 + j % 5)}" for j in range(400))) for i in range(12)])
+    counts = st.materialize(st.count_windows(docs), "windows")
+    table, lists = st.grow(counts), st.grow(counts, max_states=5)
+    assert isinstance(table, st.Tree) and sum(map(len, lists.contexts)) > 50
+    lines = [b" ".join(st.words_of(r.text)) + b"\n" for r in docs.collect()] + [b"", b"zz\xff a\n", b"a0a b1b\n"]
+    want = table.score(lines)
+    assert np.allclose(lists.score(lines), want, rtol=1e-5)
+    monkeypatch.setattr(st, "COUNTED", 100)
+    assert np.allclose(lists.score(lines), want, rtol=1e-5)
+    monkeypatch.setattr(st, "BROADCAST", 0)
+    assert np.allclose(st.grow(counts, max_states=0).score(lines), want, rtol=1e-5)
+    none = st.count_windows(frame(spark, []))
+    assert np.allclose(st.grow(none, max_states=-1).score([b"ab\n"]), st.grow(none).score([b"ab\n"]))
+
+
 def test_window_counts_do_not_depend_on_blocks(spark, monkeypatch):
     docs = frame(spark)
     want = collections.Counter(w for _, t in edge_rows() for w in st.windows(b" ".join(st.words_of(t)) + b"\n").tolist())
