@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from curator.llm.common import narrow
 
 #: Sentences of public licences and of the usual references to them, as `normalised` writes them, and
-#: the identifier of each. A sentence ends at a full stop, semicolon or colon before white space, or at a line end
-#: that the next line does not continue in lower case or with a bracket.
+#: the identifier of each. A sentence ends at a full stop, semicolon or colon before white space. It may end, or go on,
+#: at any line end that the next line does not continue in lower case or with a bracket, at a blank line, and at the
+#: mark of a list item or comment; it may be followed by a URL.
 SENTENCES = {
     "released under the mit license": "mit-ref",
     "licensed under the mit license": "mit-ref",
@@ -55,24 +56,49 @@ RULES = (
     ("LicenseRef-all-rights-reserved", ("reserved",)),
 )
 
+#: Rules of headings, a line by themselves; the SQL twin doesn't have them.
+TITLES = (("MIT", ("mit-title",)),)
+
 #: A rule that another one completes: where the longer one holds, the shorter one is not reported.
 COVERED = {"BSD-2-Clause": "BSD-3-Clause"}
 
-#: A sentence can only be known if it holds one of these, so all others are passed over before they are normalised.
+#: A sentence can only be known if it holds one of these, so texts without any are passed over.
 HINT = r"(?i)licen[sc]|permission|redistribut|free software|warrant|rights reserved|copyright|neither the name|obtain a copy"
 
-_CUT = r"[.;:]+\s+|\s*\n\s*(?![a-z(\s])"
+#: Marks in a text that is being scanned: a sentence must end here, or may.
+_HARD, _SOFT = "\x01", "\x02"
+
+#: Replaced one after the other: marks of list items and comments with letters or numbers, ends of sentences, line ends.
+_BREAKS = (
+    (r"(?i)\s*\n(?:[\s#*/;%>-]*(?:\(?(?:[0-9]{1,2}|[a-z]|[ivx]{1,4})\)|(?:dnl|rem)(?=\s))[ \t]*)+", _SOFT),
+    (r"[.;:]+\s+", _HARD),
+    (r"\s*\n\s*(?![a-z(\s])|\s*\n\s*\n\s*", _SOFT),
+)
+
 
+def marked(text: Column) -> Column:
+    """The text as `normalised` writes it, with a mark wherever a sentence ends or may end."""
+    out = F.translate(text, _HARD + _SOFT, "  ")
+    for pattern, mark in _BREAKS:
+        out = F.regexp_replace(out, pattern, mark)
+    out = F.regexp_replace(_lower(out), f"[^a-z0-9{_HARD}{_SOFT}]+", " ")
+    out = F.regexp_replace(out, f"[ {_SOFT}]*{_HARD}[ {_HARD}{_SOFT}]*", _HARD)
+    return F.trim(F.regexp_replace(out, f" ?{_SOFT}[ {_SOFT}]*", _SOFT))
 
-def sentences(text: Column) -> Column:
-    """The text's sentences that hold a hint, normalised (ASCII lower case, runs of other characters one space)."""
-    likely = F.filter(F.split(text, _CUT), lambda s: s.rlike(HINT))
-    return F.transform(likely, normalised)
+
+def _sentence() -> str:
+    """A known sentence between two marks, the longest that fits; lines inside it may be cut anywhere."""
+    known = "|".join(s.replace(" ", f"[ {_SOFT}]") for s in sorted(SENTENCES, key=len, reverse=True))
+    return f"(?<![^{_HARD}{_SOFT}])(?:{known})(?=[{_HARD}{_SOFT}]|$| (?:https?|www) )"
 
 
 def normalised(sentence: Column) -> Column:
-    lower = F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(lower, "[^a-z0-9]+", " "))
+    """ASCII lower case, runs of other characters one space."""
+    return F.trim(F.regexp_replace(_lower(sentence), "[^a-z0-9]+", " "))
+
+
+def _lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,12 +108,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     in the order of RULES. A text is searched only if it holds a hint. Null and empty texts have neither.
     """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    found = F.when(
-        F.col("text").rlike(HINT), F.filter(F.transform(sentences(F.col("text")), lambda s: known[s]), lambda i: i.isNotNull()))
+    matches = F.regexp_extract_all(marked(F.col("text")), F.lit(_sentence()), F.lit(0))
+    found = F.when(F.col("text").rlike(HINT), F.transform(matches, lambda s: known[F.translate(s, _SOFT, " ")]))
     rows = narrow(docs, id_col, text_col).select("doc_id", F.coalesce(found, F.array().cast("array<string>")).alias("identifiers"))
     line = F.concat(F.lit(" "), F.array_join("identifiers", " "), F.lit(" "))
     holds: dict[str, Column] = {}
-    for name, ids in RULES:
+    for name, ids in (*RULES, *TITLES):
         match = line.rlike(_rule(ids))
         holds[name] = holds[name] | match if name in holds else match
     names = [F.when(hit & ~holds[COVERED[n]] if n in COVERED else hit, F.lit(n)) for n, hit in holds.items()]
@@ -101,7 +127,9 @@ def _rule(ids: tuple[str, ...]) -> str:
 
 
 def oracle(table: str = "documents") -> str:
-    """The same scan in DuckDB SQL, sentence by sentence, with the matching identifiers joined from a table."""
+    """The scan in DuckDB SQL, sentence by sentence, with the matching identifiers joined from a table. It cuts at every
+    line end that the next line does not continue in lower case or with a bracket, so it misses sentences that `scan`
+    joins there."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in SENTENCES.items())
     by: dict[str, str] = {}

@@ -252,6 +252,60 @@ def test_licenses_and_their_sql(spark):
     assert licenses.scan(frame(spark, license_rows())).count() == len(license_rows())
 
 
+WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER"""
+
+APACHE = """Copyright 2020 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+BSD_FILE = """Copyright (c) 2020, Somebody
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+
+
+def test_licence_files_as_they_are_published(spark):
+    mit = "MIT License\n\n" + MIT[: MIT.index("The software is provided")] + WARRANTY
+    texts = {"MIT": [mit, mit[13:], "About\n\nMIT License\n\nmore"], "Apache-2.0": [APACHE], "BSD-3-Clause": [BSD_FILE, BSD_FILE.replace("1. ", "a) ").replace("2. ", "(b) ")]}
+    rows, want = [], {}
+    for name, some in texts.items():
+        for text in some:
+            for lead in ("", "# ", " * ", "// ", "dnl "):
+                want[len(rows)] = [name]
+                rows.append((len(rows), f"x = 1\n{lead}" + text.replace("\n", f"\n{lead}") if lead else text))
+    glued = APACHE.replace("at\n\n    http", "at http")
+    want[len(rows)] = ["Apache-2.0"]
+    rows.append((len(rows), glued))
+    assert {r.doc_id: r.licenses for r in licenses.scan(frame(spark, rows)).collect()} == want
+
+
 def test_sentences_are_written_as_they_are_compared(spark):
     rows = spark.createDataFrame([(s,) for s in licenses.SENTENCES], "s string")
     assert all(r.s == r.n and r.h for r in rows.select("s", licenses.normalised(rows["s"]).alias("n"), rows["s"].rlike(licenses.HINT).alias("h")).collect())
