@@ -104,7 +104,7 @@ def _pack_groups(pieces: DataFrame, groups: int, stage: int, capacity: int) -> D
         sizes = table["length"].to_numpy()
         bins, offsets, free = best_fit(sizes, capacity)
         gap = len(free) - lower_bound(*np.unique(sizes, return_counts=True), capacity)
-        first = (stage << 56) + (key[0].as_py() << 24)
+        first = (stage << 52) + (key[0].as_py() << 24)
         table = table.select([c.split(" ")[0] for c in _PIECE.split(", ")])
         for name, values in (
             ("sequence_id", first + bins), ("offset", offsets), ("free", free[bins]),
@@ -123,7 +123,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, group_rows: int = GROUP
     Full pieces are sequences by themselves. The rest is dealt into groups of about `group_rows` and packed by
     best-fit decreasing; a dual-feasible lower bound certifies each group's number of bins. While all bins together
     exceed the bound over the whole table, groups with a gap give the pieces of all their bins that have space left,
-    and certified groups those of their emptiest bin; the pool is dealt into at most half as many groups, which mixes
+    and certified groups those of their emptiest bin; the pool is dealt anew into groups of about `group_rows`, which mixes
     the pieces of different groups, and packed again. A round that saves no bin is discarded and ends the search.
     The driver holds the counts of the `capacity` possible lengths and nothing else.
     """
@@ -144,7 +144,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, group_rows: int = GROUP
         moves = ((F.col("gap") > 0) & (F.col("free") > 0)) | F.col("emptiest")
         pool = now.where(moves)
         counted = pool.agg(F.count("*").alias("n"), F.count(F.when(F.col("offset") == 0, 1)).alias("bins")).first()
-        groups = max(1, min(-(-counted["n"] // group_rows), groups // 2))
+        groups = -(-counted["n"] // group_rows)
         again = _pack_groups(pool, groups, stage, capacity)
         fewer = _bins(again)
         if fewer >= counted["bins"]:

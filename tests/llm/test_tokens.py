@@ -145,3 +145,23 @@ def test_the_bound_never_exceeds_the_optimum(sizes):
 def test_the_bound_sees_more_than_the_sum():
     sizes, counts = np.array([7, 6]), np.array([3, 2])
     assert packing.lower_bound(sizes, counts, 12) == 4 and -(-int((sizes * counts).sum()) // 12) == 3
+
+
+def test_no_round_packs_a_larger_group(spark, monkeypatch):
+    rng, seen, pack_groups = np.random.default_rng(5), [], packing._pack_groups
+
+    def watched(pieces, groups, stage, capacity):
+        seen.append((pieces.count(), groups))
+        return pack_groups(pieces, groups, stage, capacity)
+
+    monkeypatch.setattr(packing, "_pack_groups", watched)
+    sizes = rng.integers(300, 421, 3000).tolist()
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    bins = {}
+    for r in packing.pack_pieces(pieces, 1024, group_rows=60).collect():
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sum(map(len, bins.values())) == len(sizes)
+    for own in bins.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(own)]).tolist()]
+        assert [at for at, _ in sorted(own)] == ends[:-1] and ends[-1] <= 1024
+    assert len(seen) > 1 and all(n <= 60 * groups for n, groups in seen)
