@@ -28,10 +28,21 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each near-duplicate group (all rows of that id, if it is repeated)."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Keep the document of smallest id of each near-duplicate group (all rows of that id, if it is repeated).
+
+    A row without an id is a document of its own that comes after all with one: it is kept if its group has no id and
+    no earlier such row.
+    """
+    key = free_name(docs, "key")
+    unnamed = materialize(docs.where("doc_id is null").withColumn(key, F.monotonically_increasing_id()), "unnamed")
+    if unnamed.isEmpty():
+        rows = docs.withColumn(key, F.col("doc_id"))
+    else:
+        rows = docs.where("doc_id is not null").withColumn(key, F.struct(F.lit(0).alias("kind"), F.col("doc_id").cast("bigint").alias("id")))
+        rows = rows.unionByName(unnamed.withColumn(key, F.struct(F.lit(1).alias("kind"), F.col(key).alias("id"))))
+    found = simhash.near_duplicates(rows, id_col=key)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(kept, key, "left_semi").select(docs.columns)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

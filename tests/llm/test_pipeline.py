@@ -56,6 +56,14 @@ def test_stages_take_odd_rows_and_empty_tables(spark):
             assert len(out.collect()) <= (10_000 if rows is None else 0)
 
 
+def test_rows_without_an_id_stay_unless_they_are_copies(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(1, texts[0]), (2, texts[1]), (None, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (5, texts[0])]
+    out = corpus_pipeline.near_dedup(spark, frame(spark, rows), SMALL)
+    assert out.columns == frame(spark, []).columns
+    assert sorted((r.doc_id or 0, r.text[0]) for r in out.collect()) == [(0, "c"), (0, "d"), (1, "a"), (2, "b")]
+
+
 def test_run_equals_its_stages(spark):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} == set(rows[0].asDict())
