@@ -17,6 +17,9 @@ UNKNOWN = "und"
 BUCKETS_BITS = 12
 BUCKETS = 1 << BUCKETS_BITS
 LENGTHS = 40
+#: Where the sample has too few texts of a length, a text is accepted down to SHARE of the similarity that
+#: all but LOWEST of the sample's cut pieces of that length reach.
+SHARE, LOWEST = 0.75, 0.02
 #: Bytes whose n-grams are counted at once.
 BLOCK = 1 << 18
 
@@ -93,14 +96,31 @@ def _length(counts: np.ndarray) -> np.ndarray:
     return np.log2(counts.sum(axis=-1) + 1).astype(np.int64).clip(0, LENGTHS - 1)
 
 
-def _accepted(similarity: np.ndarray, length: np.ndarray, slack: float) -> np.ndarray:
-    """By length: `slack` times the least similarity of all sample texts that are as long or longer; no limit below
-    the lengths of the sample's shortest twentieth."""
-    out = np.zeros(LENGTHS)
-    for at in range(int(np.quantile(length, 0.05)), LENGTHS):
+def pieces(text: str | None) -> Iterator[str]:
+    """Starts of the text of rising length, one for each power of two of n-grams below its own."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    for power in range(2, LENGTHS):
+        size = round(1.4 * 2**power / 3)  # each byte starts three n-grams
+        if size >= len(raw):
+            return
+        yield raw[:size].decode("utf-8", "ignore")
+
+
+def _accepted(similarity: np.ndarray, length: np.ndarray, slack: float) -> tuple[np.ndarray, int]:
+    """By length: `slack` times the least similarity of all sample texts that are as long or longer; and the length
+    of the sample's shortest twentieth, below which that says nothing."""
+    out, start = np.zeros(LENGTHS), int(np.quantile(length, 0.05))
+    for at in range(start, LENGTHS):
         longer = similarity[length >= at]
         out[at] = slack * longer.min() if len(longer) else out[at - 1]
-    return out
+    return out, start
+
+
+def _short(out: np.ndarray, start: int, similarity: np.ndarray, length: np.ndarray) -> None:
+    """Fill the limits of lengths below `start` from cut pieces of sample texts."""
+    for at in range(start):
+        own = similarity[length == at]
+        out[at] = SHARE * np.quantile(own, LOWEST) if len(own) else out[at - 1] if at else 0
 
 
 def fit(
@@ -111,8 +131,8 @@ def fit(
 
     Document frequencies are counted over all rows. The centroids come from about `per_language` rows of each
     language (this documented bound is the size of the sample that the driver holds). A language accepts texts down
-    to `slack` times the least similarity of its own sample texts of that length or more; what lies farther from all
-    centroids is rejected.
+    to `slack` times the least similarity of its own sample texts of that length or more, and texts shorter than nearly
+    all of those down to a limit that starts of the sample texts give; what lies farther from all centroids is rejected.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -136,7 +156,8 @@ def fit(
     def packed(texts: pa.Array) -> pa.Array:
         return pa.array([gram_counts(t).astype("<f4").tobytes() for t in texts.to_pylist()], pa.binary())
 
-    chosen = sample_ids(rows, "doc_id", "lang", per_language).select("lang", packed("text").alias("v")).collect()
+    sample = sample_ids(rows, "doc_id", "lang", per_language)
+    chosen = sample.select("lang", packed("text").alias("v")).collect()
     chosen.sort(key=lambda r: (r["lang"], bytes(r["v"])))
     model = Centroids(idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.int64))
     centres, owner, sims = [], [], []
@@ -148,8 +169,28 @@ def fit(
         owner += [len(model.langs)] * len(own)
         centres.append(own)
         model.langs.append(lang)
-    if centres:
-        model.centres, model.owner, model.least = np.vstack(centres).astype(np.float32), np.array(owner), np.stack(sims)
+    if not centres:
+        return model
+    model.centres, model.owner = np.vstack(centres).astype(np.float32), np.array(owner)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = model.centres[model.owner == model.langs.index(lang)]
+                for piece in pieces(text):
+                    counts = gram_counts(piece)
+                    found.append((lang, int(_length(counts)), float((model.vectors(counts) @ own.T).max())))
+            columns = zip(*found) if found else [[]] * 3
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.float64()))], ["lang", "length", "similarity"])
+
+    # Some ten numbers for each sample row.
+    found = sample.select("lang", "text").mapInArrow(cut, "lang string, length int, similarity double").toArrow()
+    names, length, similarity = (found[c].to_numpy(zero_copy_only=False) for c in ("lang", "length", "similarity"))
+    for lang, (least, start) in zip(model.langs, sims):
+        _short(least, start, similarity[names == lang], length[names == lang])
+    model.least = np.stack([least for least, _ in sims])
     return model
 
 

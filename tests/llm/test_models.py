@@ -157,3 +157,15 @@ def test_toxicity_finds_marks_in_held_out_rows(spark):
     rows = queries.op10(spark, MEDIUM).join(labels, "doc_id").where("held_out").collect()
     clean = [r.predicted for r in rows if r.label == 0]
     assert sum(clean) <= 0.03 * len(clean) and sum(r.predicted for r in rows if r.label == 1) >= 0.5 * sum(r.label for r in rows)
+
+
+def test_short_texts_far_from_all_languages_are_rejected(spark):
+    rng = random.Random(4)
+    stems = {"xx": "haus baum strasse wasser licht garten fenster morgen".split(), "yy": "casa arbol calle agua luz jardin ventana manana".split()}
+    rows = [(i, " ".join(rng.choice(stems[lang]) for _ in range(200))) for i, lang in zip(range(120), ["xx", "yy"] * 60)]
+    docs = frame(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "xx").otherwise("yy"))
+    model = language.fit(docs)
+    far = ["Привет как дела сегодня утром", "Καλημέρα τι κάνεις σήμερα φίλε", "今天天气很好我们去公园", "안녕하세요 오늘 날씨가 좋네요"]
+    assert model.predict(far)[2].all()
+    near = ["garten haus morgen licht baum", "agua luz casa", "haus baum strasse", "calle jardin ventana"]
+    assert not model.predict(near)[2].any()
