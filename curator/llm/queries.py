@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curator.llm import binary, decontaminate, fingerprints, language, licenses, packing, quality, simhash, suffix_tree, toxicity
+from curator.llm import binary, decontaminate, fingerprints, histogram_packing, language, licenses, packing, quality, simhash, suffix_tree, toxicity
 from curator.llm.common import load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_tree.score_documents(load(spark, sf_dir, "documents"), remainder("doc_id", 5) != 1)
     return found.select(
         "doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_histogram_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_packing.pack_documents(load(spark, sf_dir, "documents"), capacity=4096, end_id=2)
