@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curator.llm import binary, decontaminate, fingerprints, histogram_packing, language, licenses, packing, quality, simhash, suffix_tree, toxicity
+from curator.llm import binary, decontaminate, fingerprints, histogram_packing, language, licenses, merkle, packing, quality, simhash, suffix_tree, toxicity
 from curator.llm.common import load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_histogram_packing")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_packing.pack_documents(load(spark, sf_dir, "documents"), capacity=4096, end_id=2)
+
+
+@query("op12_merkle_manifest", merkle.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one_more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("decimal(20,0)")
+    found = merkle.manifest(
+        load(spark, sf_dir, "documents"), {"n_chars": one_more}, F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+    folded = merkle.fold(F.col("checked_leaf"), F.col("path"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
