@@ -57,19 +57,20 @@ def _numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
 
 def _parents(level: Column) -> Column:
     pairs = F.sequence(F.lit(0), F.ceil(F.length(level) / F.lit(2 * WIDTH)).cast("int") - 1)
-    return F.array_join(F.transform(pairs, lambda i: F.sha2(F.substring(level, i * 2 * WIDTH + 1, F.lit(2 * WIDTH)), 256)), "")
+    return F.array_join(F.transform(pairs, lambda i: F.sha2(F.substring(level, i * 2 * WIDTH + 1, F.lit(2 * WIDTH)), 256)), "").cast("binary")
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
     """(g, block, n, nodes, levels) of nodes (g, at, n, h, load): `levels` has one string a level, up to the block's root.
 
+    The strings of hexadecimal digits are kept as bytes, of which a substring is found without counting characters.
     A group that is one block goes up to its root, a block of a larger group up `LEVELS` levels, alone or not.
     """
     height = F.when(F.col("n") > BLOCK, LEVELS).when(F.col("n") > 1, F.length(F.bin(F.col("n") - 1))).otherwise(0)
     steps = F.slice(F.array(*[F.lit(i) for i in range(1, LEVELS + 1)]), F.lit(1), height)
     listed = nodes.groupBy("g", _shift(F.col("at"), F.lit(LEVELS)).alias("block")).agg(
         F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "h", "load"))).alias("nodes"))
-    lowest = F.array(F.array_join(F.col("nodes")["h"], ""))
+    lowest = F.array(F.array_join(F.col("nodes")["h"], "").cast("binary"))
     levels = F.aggregate(steps, lowest, lambda found, _: F.array_append(found, _parents(F.element_at(found, -1))))
     return listed.withColumn("levels", levels)
 
@@ -84,7 +85,7 @@ def _tiers(nodes: DataFrame) -> list[DataFrame]:
         if largest is None or largest <= BLOCK:
             return tiers
         nodes = tiers[-1].select(
-            "g", F.col("block").alias("at"), F.ceil(F.col("n") / BLOCK).alias("n"), F.element_at("levels", -1).alias("h"), nothing.alias("load"))
+            "g", F.col("block").alias("at"), F.ceil(F.col("n") / BLOCK).alias("n"), F.element_at("levels", -1).cast("string").alias("h"), nothing.alias("load"))
 
 
 def _own_path(i: Column) -> Column:
@@ -95,7 +96,7 @@ def _own_path(i: Column) -> Column:
         at = _shift(i, depth)
         left = at % 2 == 1
         beside = F.when(left, at - 1).otherwise(at + 1)
-        return F.struct(left.alias("left"), F.substring(level, beside * WIDTH + 1, F.lit(WIDTH)).alias("sibling"))
+        return F.struct(left.alias("left"), F.substring(level, beside * WIDTH + 1, F.lit(WIDTH)).cast("string").alias("sibling"))
 
     return F.transform(below, sibling)
 
@@ -105,7 +106,7 @@ def _paths(tiers: list[DataFrame], above: DataFrame | None, root: str) -> DataFr
 
     `above` has the path (and more columns) from each group's root on, by `g`.
     """
-    top = tiers[-1].withColumn(root, F.element_at("levels", -1))
+    top = tiers[-1].withColumn(root, F.element_at("levels", -1).cast("string"))
     if above is None:
         at = top.withColumn("path", F.array().cast("array<struct<left:boolean,sibling:string>>"))
     else:
@@ -116,8 +117,10 @@ def _paths(tiers: list[DataFrame], above: DataFrame | None, root: str) -> DataFr
             upper = at.select(F.col("g").alias("above_g"), F.col("at").alias("above_block"), "path", *kept)
             on = F.col("g").eqNullSafe(F.col("above_g")) & (F.col("block") == F.col("above_block"))
             at = tiers[k].join(upper, on)
-        each = at.select("g", "levels", "path", *kept, F.posexplode("nodes").alias("i", "node"))
-        at = each.select("g", "node.at", "node.h", "node.load", F.concat(_own_path(F.col("i")), F.col("path")).alias("path"), *kept)
+        # Paths are cut inside the block, so that no row carries the block's levels.
+        placed = F.transform("nodes", lambda node, i: F.struct(node["at"].alias("at"), node["h"].alias("h"), node["load"].alias("load"), _own_path(i).alias("own")))
+        each = at.select("g", "path", *kept, F.explode(placed).alias("node"))
+        at = each.select("g", "node.at", "node.h", "node.load", F.concat("node.own", "path").alias("path"), *kept)
     return at
 
 
@@ -148,7 +151,7 @@ def manifest(
         F.col(group_col).alias("g"), leaf.alias("h"), F.struct(F.col(id_col).alias("doc_id"), checked.alias("checked")).alias("load"))
     slim = materialize(slim.withColumn("key", F.col("load.doc_id")), "leaves")
     tiers = _tiers(_numbered(slim, ["key", "h"]))
-    roots = tiers[-1].select(F.lit(0).alias("g"), F.element_at("levels", -1).alias("h"), F.struct(F.col("g").alias("group")).alias("load"))
+    roots = tiers[-1].select(F.lit(0).alias("g"), F.element_at("levels", -1).cast("string").alias("h"), F.struct(F.col("g").alias("group")).alias("load"))
     top = _paths(_tiers(_numbered(roots.withColumn("key", F.col("load.group")), ["key"])), None, "root")
     above = materialize(top.select(F.col("load.group").alias("g"), "path", "root"), "subroots")
     rows = _paths(tiers, above, "subroot")

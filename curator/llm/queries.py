@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curator.llm import binary, decontaminate, fingerprints, histogram_packing, language, licenses, merkle, packing, quality, simhash, suffix_tree, toxicity
+from curator.llm import binary, conversations, decontaminate, fingerprints, histogram_packing, language, licenses, merkle, packing, quality, simhash, suffix_tree, toxicity
 from curator.llm.common import load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_conversation_repair", conversations.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(load(spark, sf_dir, "conversations")))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import array
 import functools
 import os
 import re
 
 import numpy as np
 
+from curator.llm.tokens import _byte_letters
+
 #: Words that one Python worker remembers (about 160 bytes each); a full memory is emptied.
 WORDS = 600_000
 
@@ -28,7 +31,8 @@ class WordEncoder(dict):
     """Word between white space -> its ids as little-endian unsigned 32-bit integers, filled as words appear.
 
     The vocabulary drops white space and never reaches across it, so the ids of a text are those of its words in
-    order. Inside a word, letters and a mark after them are pieces of their own, and ASCII letters count in lower case.
+    order. Inside a word, letters and a mark after them are pieces of their own, and letters count in lower case. A word
+    of plain letters goes to the library's model directly; it is composed already, and its lower case is letter by letter.
     Strings of special tokens in a text are ordinary text, as the vocabulary's description advises.
     """
 
@@ -40,6 +44,7 @@ class WordEncoder(dict):
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.vocab_size = self.whole.get_vocab_size()
+        self.model, self.letters = self.whole.model, _byte_letters()
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -47,8 +52,13 @@ class WordEncoder(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= WORDS:
             self.clear()
-        if word.isascii() and word != word.lower():
-            ids = self[word.lower()]
+        if word.isalpha() and "İ" not in word:
+            low = word.lower()
+            if low != word:
+                ids = self[low]
+            else:
+                shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = array.array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         elif word[-1] in _MARKS and word[:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1]]
         else:
