@@ -20,20 +20,53 @@ def _span(a: Column, b: Column) -> Column:
     return F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
 
 
+def _let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def merge_ranges(ranges: Column | str) -> Column:
-    """Sorted disjoint union; touching ranges join, empty ranges vanish."""
-    ordered = F.array_sort(F.filter(_col(ranges), lambda r: r["end"] > r["start"]))
+    """Sorted disjoint union; touching ranges join, empty ranges vanish.
+
+    A sweep over sorted starts and sorted ends: a merged range begins at the i-th start if all i ranges before it have
+    ended, that is if it lies beyond the i-th end. Linear after the sorts.
+    """
+    solid = F.filter(_col(ranges), lambda r: r["end"] > r["start"])
+    sides = _let(solid, lambda given: F.struct(
+        F.array_sort(F.transform(given, lambda r: r["start"])).alias("a"), F.array_sort(F.transform(given, lambda r: r["end"])).alias("b")))
+
+    def union(s: Column) -> Column:
+        low = F.filter(s["a"], lambda x, i: (i == 0) | (x > F.get(s["b"], i - 1)))
+        high = F.filter(s["b"], lambda x, i: F.coalesce(F.get(s["a"], i + 1) > x, F.lit(True)))
+        return F.zip_with(low, high, _span)
 
-    def fold(done: Column, r: Column) -> Column:
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (r["start"] <= F.try_element_at(done, F.lit(-1))["end"])
-        grown = F.concat(
-            F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
-            F.array(_span(last["start"], F.greatest(last["end"], r["end"]))),
-        )
-        return F.when(joins, grown).otherwise(F.concat(done, F.array(_span(r["start"], r["end"]))))
+    return _let(sides, union)
 
-    return F.aggregate(ordered, F.array().cast(_SPANS), fold)
+
+#: Elements that one step of a running sum handles.
+_STEP = 256
+
+
+def running_sums(lengths: Column | str) -> Column:
+    """The sum of all elements before each element of an int array.
+
+    Blocks of `_STEP` elements are summed by themselves and moved by the sums of the blocks before, so no step copies more
+    than a block.
+    """
+    def sums(values: Column, zero: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(
+            values, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"])
+
+    def blocks(values: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(_STEP))
+        return F.transform(firsts, lambda i: F.slice(values, i, F.lit(_STEP)))
+
+    def moved(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + x))
+        return _let(sums(totals, F.lit(0)), lambda before: F.flatten(F.transform(parts, lambda p, i: sums(p, F.get(before, i)))))
+
+    return _let(F.transform(_col(lengths), lambda x: x.cast("int")), lambda v: _let(blocks(v), moved))
 
 
 def covered(ranges: Column | str) -> Column:
@@ -43,38 +76,47 @@ def covered(ranges: Column | str) -> Column:
 
 def supplied_segments(ranges: Column | str) -> Column:
     """Where each original range lies in an excerpt joined by two newlines."""
-    empty = F.array().cast("array<struct<supplied_start:int,supplied_end:int,original_start:int>>")
+    def placed(given: Column) -> Column:
+        starts = running_sums(F.transform(given, lambda r: r["end"] - r["start"] + 2))
+        return F.zip_with(given, starts, lambda r, at: F.struct(
+            at.cast("int").alias("supplied_start"), (at + r["end"] - r["start"]).cast("int").alias("supplied_end"), r["start"].cast("int").alias("original_start")))
+
+    return _let(_col(ranges), placed)
+
 
-    def place(done: Column, r: Column) -> Column:
-        at = F.when(F.size(done) > 0, F.try_element_at(done, F.lit(-1))["supplied_end"] + 2).otherwise(0)
-        return F.concat(
-            done,
-            F.array(F.struct(
-                at.cast("int").alias("supplied_start"),
-                (at + r["end"] - r["start"]).cast("int").alias("supplied_end"),
-                r["start"].cast("int").alias("original_start"),
-            )),
-        )
+def _before(values: Column, limit: Column) -> Column:
+    """How many elements of an ascending array are at most `limit`, by halving."""
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.size(values).cast("bigint"))))
+    start = F.struct(F.lit(0).alias("low"), F.size(values).alias("high"))
 
-    return F.aggregate(_col(ranges), empty, place)
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        within = F.get(values, mid) <= limit
+        return F.when(s["low"] >= s["high"], s).when(
+            within, F.struct((mid + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), mid.alias("high")))
+
+    return F.aggregate(steps, start, halve, lambda s: s["low"])
 
 
 def remap(ranges: Column | str, segments: Column | str) -> Column:
-    """Ranges of the supplied text expressed in the original document."""
-    segments = _col(segments)
-    pieces = F.flatten(
-        F.transform(
-            merge_ranges(ranges),
-            lambda r: F.transform(
-                segments,
-                lambda s: _span(
-                    s["original_start"] + F.greatest(r["start"], s["supplied_start"]) - s["supplied_start"],
-                    s["original_start"] + F.least(r["end"], s["supplied_end"]) - s["supplied_start"],
-                ),
-            ),
-        )
-    )
-    return merge_ranges(pieces)
+    """Ranges of the supplied text expressed in the original document.
+
+    Each merged range meets only the segments that it overlaps, found by halving.
+    """
+    def cut(x: Column) -> Column:
+        def pieces(r: Column) -> Column:
+            first, last = _before(x["ends"], r["start"]), _before(x["starts"], r["end"] - 1)
+            return F.transform(F.slice(x["segments"], first + 1, F.greatest(last - first, F.lit(0))), lambda s: _span(
+                s["original_start"] + F.greatest(r["start"], s["supplied_start"]) - s["supplied_start"],
+                s["original_start"] + F.least(r["end"], s["supplied_end"]) - s["supplied_start"]))
+
+        return F.flatten(F.transform(x["ranges"], pieces))
+
+    bound = F.struct(merge_ranges(ranges).alias("ranges"), _col(segments).alias("segments"))
+    ends = lambda x: F.transform(x["segments"], lambda s: s["supplied_end"])
+    starts = lambda x: F.transform(x["segments"], lambda s: s["supplied_start"])
+    return merge_ranges(_let(_let(bound, lambda x: F.struct(
+        x["ranges"].alias("ranges"), x["segments"].alias("segments"), starts(x).alias("starts"), ends(x).alias("ends"))), cut))
 
 
 def scope_violations(

@@ -332,34 +332,28 @@ def uncovered_units(units: DataFrame, checks: DataFrame) -> DataFrame:
     units: unit_id, text; checks: unit_id, text (an exact excerpt). Every
     occurrence of an excerpt counts; punctuation and space need no check.
     """
-    from curator.functions.spans import merge_ranges
+    from curator.functions.spans import running_sums
+    from curator.operators.windows import merge_intervals
 
     text, piece = F.col("text"), F.col("excerpt")
-
-    def all_places(t: Column, e: Column) -> Column:
-        # Cut before every occurrence, overlapping ones too: each part but perhaps the first starts one.
-        quoted = F.concat(F.lit("(?=\\Q"), F.replace(e, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-        starts = F.aggregate(
-            F.split(t, quoted), zero,
-            lambda s, part: F.struct((s["at"] + F.length(part)).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")),
-            lambda s: s["starts"])
-        held = F.filter(starts, lambda i: (F.length(e) > 0) & (F.substring(t, i + 1, F.length(e)) == e))
-        return F.transform(held, lambda i: F.struct(i.alias("start"), (i + F.length(e)).cast("int").alias("end")))
-
-    excerpts = checks.select("unit_id", F.col("text").alias("excerpt"))
-    placed = units.join(excerpts, "unit_id", "left").select("unit_id", "text", "excerpt", all_places(text, piece).alias("r"))
-    unknown = placed.where(piece.isNotNull() & (F.size("r") == 0)).select("unit_id", F.lit("excerpt_not_in_text").alias("code"))
-    # Excerpts of one explanation: a handful per unit.
-    ranges = placed.groupBy("unit_id", "text").agg(merge_ranges(F.flatten(F.collect_list("r"))).alias("r"))
-    # What lies between the merged ranges, and after the last one.
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("rest"))
-    between = F.aggregate(
-        F.coalesce("r", F.array().cast("array<struct<start:int,end:int>>")), zero,
-        lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["rest"], F.substring(text, s["at"] + 1, x["start"] - s["at"])).alias("rest")),
-        lambda s: F.concat(s["rest"], F.substring(text, s["at"] + 1, F.length(text))))
-    left = between.rlike(r"(?U)[^\p{P}\p{C}\p{Z}\s]")
-    return unknown.unionByName(ranges.where(left).select("unit_id", F.lit("text_uncovered").alias("code")))
+    # Cut before every occurrence, overlapping ones too: each part but perhaps the first starts one.
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(piece, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    starts = running_sums(F.transform(F.split(text, quoted), lambda part: F.length(part)))
+    held = F.when(F.length(piece) == 0, F.array().cast("array<int>")).when(F.startswith(text, piece), starts).otherwise(F.slice(starts, F.lit(2), F.size(starts)))
+
+    excerpts = checks.select("unit_id", F.col("text").alias("excerpt")).distinct()
+    placed = units.join(excerpts, "unit_id").select("unit_id", F.length(piece).alias("size"), held.alias("starts"))
+    unknown = placed.where(F.size("starts") == 0).select("unit_id", F.lit("excerpt_not_in_text").alias("code"))
+    found = placed.select("unit_id", F.explode("starts").alias("start"), "size").select("unit_id", "start", (F.col("start") + F.col("size")).cast("int").alias("end"))
+    # Disjoint ranges of a unit: fewer than its characters.
+    ranges = merge_intervals(found, ["unit_id"], "start", "end").groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("r"))
+    # What lies before, between and after the merged ranges.
+    lows = F.concat(F.array(F.lit(0)), F.transform("r", lambda x: x["end"]))
+    highs = F.concat(F.transform("r", lambda x: x["start"]), F.array(F.length(text)))
+    parts = F.zip_with(lows, highs, lambda a, b: F.substring(text, a + 1, b - a))
+    judged = units.join(ranges, "unit_id", "left").withColumn("r", F.coalesce("r", F.array().cast("array<struct<start:int,end:int>>")))
+    left = F.exists(parts, lambda part: part.rlike(r"(?U)[^\p{P}\p{C}\p{Z}\s]"))
+    return unknown.unionByName(judged.where(left).select("unit_id", F.lit("text_uncovered").alias("code")))
 
 
 def validate_bindings(df: DataFrame, frozen: DataFrame, key: Sequence[str], bound: Sequence[str]) -> DataFrame:
