@@ -172,21 +172,22 @@ def s07(spark, root):
 
 
 @query("s07_feed_counts", """
-select source, case when source = 'src0' then 3 end as max_items, count(*)::bigint as available, least(count(*), case when source = 'src0' then 3 else count(*) end)::bigint as read,
-  count(*) > case when source = 'src0' then 3 else count(*) end as truncated
-from documents group by 1""")
+select source || '/' || (doc_id // 64) as source, case when source = 'src0' then 3 end as max_items, count(*)::bigint as available,
+  least(count(*), case when source = 'src0' then 3 else count(*) end)::bigint as read, count(*) > case when source = 'src0' then 3 else count(*) end as truncated
+from documents group by source, doc_id // 64""")
 def s07c(spark, root):
-    # One feed per source with an entry for each of its documents; one source has a reading limit.
+    # Each source has a feed for every 64 document ids with an entry for each of its documents; one source has a reading limit.
     docs = load(spark, root, "documents")
     entry = cat("<item><title>d</title><link>https://h/", F.col("doc_id").cast("string"), "</link></item>")
-    raw = docs.groupBy(F.col("source").alias("source_id")).agg(F.array_join(F.collect_list(entry), "").alias("items")).select(
+    part = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 64).cast("string"))
+    raw = docs.groupBy(F.col("source").alias("name"), part.alias("source_id")).agg(F.array_join(F.collect_list(entry), "").alias("items")).select(
         "source_id", F.lit("https://h/feed.xml").alias("final_url"), cat("<rss><channel>", F.col("items"), "</channel></rss>").alias("body"),
-        F.lit("reading").alias("kind"), F.when(F.col("source_id") == "src0", 3).alias("max_items"))
+        F.lit("reading").alias("kind"), F.when(F.col("name") == "src0", 3).alias("max_items"))
     return feeds.feed_counts(raw).withColumnRenamed("source_id", "source")
 
 
 @query("s01_show_hn", """
-select event_type as source_id, case when event_id % 2 = 0 then 'https://github.com/o/' || event_id else 'https://h.example/' || event_id end as url, 'T ' || event_id as title,
+select event_type || '/' || (event_id // 256) as source_id, case when event_id % 2 = 0 then 'https://github.com/o/' || event_id else 'https://h.example/' || event_id end as url, 'T ' || event_id as title,
   'https://news.ycombinator.com/item?id=' || event_id as source_url, epoch(date_trunc('second', ts))::bigint as seconds, case when event_id % 2 = 0 then '开源项目' else 'AI 应用' end as category
 from events where event_id % 11 not in (1, 2, 3, 4)""")
 def s01hn(spark, root):
@@ -194,17 +195,17 @@ def s01hn(spark, root):
 
 
 @query("s01_show_hn_errors", """
-select event_type as source_id, event_id::varchar as entry, case event_id % 11 when 4 then 'item has not landed' else 'item is no JSON object' end as error from events where event_id % 11 in (3, 4)
-union all select distinct event_type, 'bad', 'invalid item number' from events""")
+select event_type || '/' || (event_id // 256) as source_id, event_id::varchar as entry, case event_id % 11 when 4 then 'item has not landed' else 'item is no JSON object' end as error from events where event_id % 11 in (3, 4)
+union all select distinct event_type || '/' || (event_id // 256), 'bad', 'invalid item number' from events""")
 def s01hne(spark, root):
     return _show_hn(spark, root)[1].select("source_id", "entry", "error")
 
 
 def _show_hn(spark, root):
-    """One index per event type over all its events; some items are deleted, dead, broken or missing."""
+    """An index per event type and 256 event ids; some items are deleted, dead, broken or missing."""
     events, n = load(spark, root, "events"), F.col("event_id")
     ids = F.concat(F.array_join(F.sort_array(F.collect_list(n)).cast("array<string>"), ","), F.lit(',"bad"'))
-    index = events.groupBy(F.col("event_type").alias("source_id")).agg(F.concat(F.lit("["), ids, F.lit("]")).alias("body"))
+    index = events.groupBy(F.concat_ws("/", "event_type", F.floor(n / 256).cast("string")).alias("source_id")).agg(F.concat(F.lit("["), ids, F.lit("]")).alias("body"))
     link = F.concat(F.when(n % 2 == 0, "https://github.com/o/").otherwise("https://h.example/"), n.cast("string"))
     body = F.to_json(F.struct(
         link.alias("url"), F.concat(F.lit("<b>T</b> "), n.cast("string")).alias("title"), F.unix_seconds("ts").alias("time"),
@@ -214,7 +215,7 @@ def _show_hn(spark, root):
 
 
 @query("s01_hub_index", """
-select case when doc_id % 2 = 0 then 'hf_models' else 'hf_spaces' end as source_id, 'https://huggingface.co/' || case when doc_id % 2 = 0 then '' else 'spaces/' end || lang || '/d' || doc_id as url,
+select 'hub/' || (doc_id // 64) as source_id, 'https://huggingface.co/' || case when doc_id % 2 = 0 then '' else 'spaces/' end || lang || '/d' || doc_id as url,
   lang || '/d' || doc_id as title, case when doc_id % 3 = 0 then 'About ' || doc_id when doc_id % 2 = 0 then 'Hugging Face 模型发现线索；具体用途、运行条件和许可待原文核验。' else 'Hugging Face Space发现线索；具体用途、运行条件和许可待原文核验。' end as summary,
   1704067200 + doc_id as seconds, case when doc_id % 2 = 0 then '模型与运行工具' else 'AI 应用' end as category
 from documents where doc_id % 7 <> 0""")
@@ -225,9 +226,11 @@ def s01hub(spark, root):
         F.when(n % 7 == 0, "nameless").otherwise(F.concat("lang", F.lit("/d"), n.cast("string"))).alias("id"),
         F.when(n % 3 == 0, F.concat(F.lit("About "), n.cast("string"))).alias("description"),
         F.date_format(F.timestamp_seconds(F.lit(1704067200) + n), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("lastModified")))
-    raw = load(spark, root, "documents").groupBy(F.when(n % 2 == 0, "hf_models").otherwise("hf_spaces").alias("type")).agg(
+    # Each source has a payload of models and one of spaces.
+    part = F.concat(F.lit("hub/"), F.floor(n / 64).cast("string"))
+    raw = load(spark, root, "documents").groupBy(part.alias("source_id"), F.when(n % 2 == 0, "hf_models").otherwise("hf_spaces").alias("type")).agg(
         F.concat(F.lit("["), F.array_join(F.collect_list(entry), ","), F.lit("]")).alias("body")).select(
-        F.col("type").alias("source_id"), F.lit("https://huggingface.co/api").alias("final_url"), "type", "body")
+        "source_id", F.lit("https://huggingface.co/api").alias("final_url"), "type", "body")
     return feeds.read_hub_index(raw).select("source_id", "url", "title", "summary", F.unix_seconds("observed_at").alias("seconds"), "category")
 
 

@@ -62,12 +62,23 @@ def _json_items(raw: DataFrame, path: str) -> DataFrame:
     return raw.select("source_id", F.explode(items).alias("item")).where(F.col("item").startswith("{"))
 
 
+def _members(df: DataFrame, body: str, *names: str) -> DataFrame:
+    """Top-level members of a JSON object as columns `_<name>`: text, numbers and nested values as JSON. One parse a row."""
+    return df.select("*", F.json_tuple(body, *names).alias(*[f"_{n}" for n in names]))
+
+
+def _field(name: str) -> Column:
+    return F.col(f"_{name}")
+
+
 def read_json_feed(raw: DataFrame, kind: str) -> DataFrame:
     """Records of a JSON feed: 'selected', 'hot_topics' or 'models'."""
-    field = lambda name: F.get_json_object("item", f"$.{name}")
+    field = _field
     if kind == "models":
         return _read_models(_json_items(raw, "$"))
-    items = _json_items(raw, "$.items")
+    items = _members(
+        _json_items(raw, "$.items"), "item", "links", "url", "id", "source", "title", "originalTitle", "summary", "publishedAt", "category", "categories",
+        "sourceCount", "signalCount", "latestAt", "rank")
     found = items.select("*", declared_links(field("links"), field("url")).alias("l"))
     if kind == "selected":
         title = _first(field("title"), field("originalTitle"))
@@ -90,7 +101,8 @@ def read_json_feed(raw: DataFrame, kind: str) -> DataFrame:
 
 
 def _read_models(items: DataFrame) -> DataFrame:
-    field = lambda name: F.get_json_object("item", f"$.{name}")
+    items, field = _members(
+        items, "item", "modelId", "id", "trendingScore", "likes", "downloads", "tags", "pipeline_tag", "library_name", "createdAt"), _field
     name = _first(field("modelId"), field("id"))
     metrics = F.concat_ws(", ", *[F.when(field(m).isNotNull(), F.concat(F.lit(m + "="), field(m))) for m in ("trendingScore", "likes", "downloads")])
     tags = _strings(field("tags"))
@@ -234,11 +246,11 @@ _HF_HINT = "Hugging Face %s发现线索；具体用途、运行条件和许可
 _DISCOVERY = ("source_id", "place", "url", "title", "summary", "source_url", "observed_at", "kind", "category")
 
 
-def _indexed(raw: DataFrame) -> DataFrame:
-    """source_id, place, entry: the entries of a JSON array that the source reads."""
+def _indexed(raw: DataFrame, *kept: str) -> DataFrame:
+    """source_id, what else is `kept` of the payload, place, entry: the entries of a JSON array that the source reads."""
     entries = F.from_json(F.trim("body"), "array<string>")
     most = F.col("max_items") if "max_items" in raw.columns else F.lit(None).cast("int")
-    return raw.select("source_id", F.posexplode(F.slice(entries, 1, F.least(F.size(entries), most))).alias("place", "entry"))
+    return raw.select("source_id", *kept, F.posexplode(F.slice(entries, 1, F.least(F.size(entries), most))).alias("place", "entry"))
 
 
 def read_show_hn(index: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -250,7 +262,7 @@ def read_show_hn(index: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFra
     """
     entries = _indexed(index).withColumn("item_id", F.when(F.col("entry").rlike(r"^-?\d+$"), F.col("entry").cast("long")))
     joined = entries.join(items.select("item_id", F.col("body").alias("item")), "item_id", "left")
-    field = lambda n: F.get_json_object("item", f"$.{n}")
+    joined, field = _members(joined, "item", "deleted", "dead", "url", "title", "text", "time"), _field
     error = F.when(F.col("item_id").isNull(), "invalid item number").when(F.col("item").isNull(), "item has not landed").when(
         F.trim("item") == "null", None).when(F.from_json("item", "map<string,string>").isNull() | ~F.trim("item").startswith("{"), "item is no JSON object")
     judged = joined.withColumn("error", error)
@@ -268,11 +280,11 @@ def read_show_hn(index: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFra
 def read_hub_index(raw: DataFrame) -> DataFrame:
     """Discovery records of a hub's index of models or spaces.
 
-    raw: source_id, final_url, type ('hf_models' or 'hf_spaces'), body, max_items where the registry sets one. Entries
-    without an owner/name identifier are passed over.
+    raw: source_id, final_url, type ('hf_models' or 'hf_spaces'), body, max_items where the registry sets one; a source
+    may have several payloads, each with its own type and place numbers. Entries without an owner/name identifier are
+    passed over.
     """
-    entries = _indexed(raw).join(raw.select("source_id", "final_url", "type"), "source_id")
-    field = lambda n: F.get_json_object("entry", f"$.{n}")
+    entries, field = _members(_indexed(raw, "final_url", "type"), "entry", "id", "modelId", "description", "lastModified"), _field
     name, model = F.coalesce(F.nullif(field("id"), F.lit("")), field("modelId")), F.col("type") == "hf_models"
     said = plain_text(field("description"), FEED_TEXT)
     return entries.where(name.rlike(r"^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$")).select(

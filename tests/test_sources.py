@@ -182,3 +182,13 @@ def test_ranking_report(spark):
     lines = [r["line"] for r in render.ranking_lines(df, "2024-01-01", "Paper").orderBy("section", "place", "line_no").collect()]
     assert lines[0] == "# Paper 每日候选榜 — 2024-01-01" and "## 1. Title — 80/100" in lines
     assert "- 惩罚：discovery_only -20" in lines and "- 主证据链接：暂无" in lines and "  - [direct_source / s] https://a" in lines
+
+
+def test_a_hub_source_with_two_payloads(spark):
+    from curator.sources.feeds import read_hub_index
+
+    raw = spark.createDataFrame([
+        ("h", "https://x/models", "hf_models", '[{"id":"o/a"},{"id":"o/b"}]'), ("h", "https://x/spaces", "hf_spaces", '[{"id":"o/c"},{"id":"bad"}]'),
+    ], "source_id string, final_url string, type string, body string")
+    got = sorted((r.place, r.url, r.source_url) for r in read_hub_index(raw).collect())
+    assert got == [(0, "https://huggingface.co/o/a", "https://x/models"), (0, "https://huggingface.co/spaces/o/c", "https://x/spaces"), (1, "https://huggingface.co/o/b", "https://x/models")]
