@@ -401,7 +401,7 @@ def k03(spark, root):
     ledger.append_state(rows, path, "run_id", "content_hash")
     # A full replay must add nothing.
     ledger.append_state(rows, path, "run_id", "content_hash")
-    return spark.read.parquet(path)
+    return ledger.read_state(spark, path, rows.schema)
 
 
 @query("k03_state_conflicts", "select o_orderkey as run_id, 'x' as content_hash, o_orderstatus as recorded_hash from orders where o_orderstatus = 'P'")

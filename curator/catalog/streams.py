@@ -174,7 +174,8 @@ def t09(spark, root):
     path, checkpoint = places(spark, "notices")
     text = lambda c: c.cast("string")
     rows = stream(spark, root, "events").select(
-        F.col("event_type").alias("issue_key"), F.array(text(k()), text(F.col("user_id")), text(k())).alias("items"), F.array().cast("array<string>").alias("failures")
+        F.col("event_type").alias("issue_key"), F.array(text(k()), text(F.col("user_id")), text(k())).alias("items"), F.array().cast("array<string>").alias("failures"), "ts"
     )
-    jobs.stream_notices(rows, path, checkpoint)
+    # Remembered for longer than the table lasts: each notice is sent once.
+    jobs.stream_notices(rows, path, checkpoint, "ts", "400 days")
     return spark.read.parquet(path).groupBy("issue_key").agg(F.count(F.lit(1)).alias("notices"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from curator import constants as K
 from curator.functions.times import event_bounds, local_date, local_time, period_window
+from curator.operators import commits
 from curator.operators.filters import period_eligible
 from curator.operators.scoring import dedup_verdict
 from curator.operators.topk import page
@@ -32,18 +34,36 @@ def new_entries(batch: DataFrame, log: DataFrame, key: str, content_hash: str) -
     return fresh, conflicts
 
 
+#: Times that an append starts over because another writer was first.
+_APPEND_ATTEMPTS = 20
+
+
+def read_state(spark: SparkSession, path: str, schema: StructType, version: int | None = None) -> DataFrame:
+    """The log at `path` as of a version (the last one by default)."""
+    return commits.read(spark, path, schema, version)
+
+
 def append_state(batch: DataFrame, path: str, key: str, content_hash: str) -> int:
-    """Append what is new to the parquet log at `path`; fail on a conflict, in the log or inside the batch."""
+    """Append what is new to the versioned log at `path`; fail on a conflict, in the log or inside the batch.
+
+    Check and append are one step: the batch is judged against a version and committed as the next one. If another
+    writer was first, the batch is judged again with its rows, so of two writers with different content for a key one
+    fails. A writer that is lost before its commit leaves nothing that `read_state` shows.
+    """
     spark = batch.sparkSession
-    log = spark.read.schema(batch.schema).parquet(path)
     batch = materialize(batch, "batch")
-    fresh, conflicts = new_entries(batch, log, key, content_hash)
-    clash = conflicts.limit(1).collect()
-    if clash:
-        raise ValueError(f"{key} {clash[0][key]!r} already exists with different content")
-    fresh = materialize(fresh, "fresh")
-    fresh.write.mode("append").parquet(path)
-    return fresh.count()
+    for _ in range(_APPEND_ATTEMPTS):
+        version = commits.current(spark, path)
+        fresh, conflicts = new_entries(batch, read_state(spark, path, batch.schema, version), key, content_hash)
+        clash = conflicts.limit(1).collect()
+        if clash:
+            raise ValueError(f"{key} {clash[0][key]!r} already exists with different content")
+        folder = commits.new_folder()
+        fresh.write.parquet(f"{path}/{folder}")
+        added = spark.read.schema(batch.schema).parquet(f"{path}/{folder}").count()
+        if not added or commits.commit(spark, path, version + 1, [*commits.folders(spark, path, version), folder]):
+            return added
+    raise RuntimeError(f"{path}: other writers were first {_APPEND_ATTEMPTS} times")
 
 
 def first_discoveries(obs: DataFrame) -> DataFrame:

@@ -16,37 +16,71 @@ from curator.runtime import materialize
 from curator.streaming.core import append_table, each_batch, keyed_state, write_updates
 
 
-# Folders of the ingest log.
-_PARTS = 64
+class _IngestState:
+    """The content of one key: what it held first."""
 
+    columns = ["name", "hash", "row", "fresh"]
 
-def stream_ingest(stream: DataFrame, path: str, checkpoint: str, key: str, content_hash: str):
+    def __init__(self, remember: float | None):
+        self.remember = remember
+
+    def init(self, handle) -> None:
+        ttl = int(self.remember * 3_600_000) if self.remember else None
+        self.state = handle.getValueState("content", T.StructType([T.StructField("hash", T.StringType())]), ttl)
+
+    def handleInputRows(self, key, rows, timer_values):
+        import pandas as pd
+
+        held = self.state.get()
+        held, best = held[0] if held else None, None  # best: the row of the least content so far, while the key is new
+        for chunk in rows:
+            chunk = chunk.drop_duplicates("hash")
+            if held is None:
+                chunk = chunk if best is None else pd.concat([best, chunk], ignore_index=True).drop_duplicates("hash")
+                chunk = chunk.sort_values("hash", kind="stable", ignore_index=True)
+                best, others = chunk.iloc[:1], chunk.iloc[1:]
+            else:
+                others = chunk[chunk["hash"] != held]
+            if len(others):
+                yield others.assign(fresh=False)[self.columns]
+        if best is None:
+            # Names the recorded content for the conflicts of this batch.
+            yield pd.DataFrame([[key[0], held, None, None]], columns=self.columns, dtype=object)
+        else:
+            self.state.update((best["hash"].iloc[0],))
+            yield best.assign(fresh=True)[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_ingest(stream: DataFrame, path: str, checkpoint: str, key: str, content_hash: str, remember_hours: float | None = None):
     """Idempotent ingest: a replay is a no-op, changed content is a conflict.
 
-    Rows go to `path/log`, conflicts to `path/conflicts`. The log lies in folders
-    by a hash of the key, and a micro-batch reads those of its own keys. Nothing
-    is held between batches. Of several contents of a key in one micro-batch,
-    which has no order, the least hash is its content.
+    Rows go to `path/log`, conflicts to `path/conflicts`, one folder per micro-batch. What a key held first is keyed state
+    in RocksDB, so the work of a micro-batch follows its own rows and not the log. A key is remembered for good, or for
+    `remember_hours` after its content was recorded. Of several contents of a key in one micro-batch, which has no order,
+    the least hash is its content; rows without a hash are passed over, null is a key. The rows of a key are handled in
+    chunks, of which the best row is kept.
     """
-    spark = stream.sparkSession
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType()), T.StructField("part", T.IntegerType())])
-    part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(_PARTS)).cast("int")
+    name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("name")
+    slim = stream.where(F.col(content_hash).isNotNull()).select(
+        name, F.col(content_hash).cast("string").alias("hash"), F.struct(*stream.columns).alias("row"))
+    kinds = T.StructType([*[T.StructField(f.name, f.dataType) for f in slim.schema.fields], T.StructField("fresh", T.BooleanType())])
+    judged = slim.groupBy("name").transformWithStateInPandas(
+        statefulProcessor=_processor(_IngestState, remember_hours), outputStructType=kinds, outputMode="append",
+        timeMode="processingTime" if remember_hours else "none")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        from curator.streaming.core import previous_state
-
-        batch = batch.dropDuplicates([key, content_hash]).withColumn("part", part).persist()  # read several times below
-        touched = [r["part"] for r in batch.select("part").distinct().collect()]  # at most _PARTS
-        log = previous_state(spark, f"{path}/log", batch_id, schema).where(F.col("part").isin(touched)).groupBy(key).agg(F.min(content_hash).alias("_held"))
-        first = batch.groupBy(key).agg(F.min(content_hash).alias("_first"))
-        judged = batch.join(first, key).join(log, key, "left").withColumn("_valid", F.coalesce("_held", "_first"))
-        fresh = judged.where(F.col("_held").isNull() & (F.col(content_hash) == F.col("_first")))
-        clash = judged.where(F.col(content_hash) != F.col("_valid"))
-        fresh.select(*batch.columns).write.mode("overwrite").partitionBy("part").parquet(f"{path}/log/batch={batch_id}")
-        clash.select(key, content_hash, F.col("_valid").alias("recorded_hash")).write.mode("overwrite").parquet(f"{path}/conflicts/batch={batch_id}")
-        batch.unpersist()
+        batch = materialize(batch, "ingest")  # read twice below
+        batch.where("fresh").select("row.*").write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
+        held = batch.where("fresh is null or fresh").select("name", F.col("hash").alias("recorded_hash"))
+        clash = batch.where("not fresh").select("name", "hash", F.col("row")[key].alias(key)).distinct()
+        found = clash.join(held, "name").select(key, F.col("hash").alias(content_hash), "recorded_hash")
+        found.write.mode("overwrite").parquet(f"{path}/conflicts/batch={batch_id}")
 
-    return each_batch(stream, handle, checkpoint)
+    with keyed_state(stream.sparkSession):
+        return each_batch(judged, handle, checkpoint)
 
 
 def stream_first_seen(stream: DataFrame, path: str, checkpoint: str, key: Sequence[str], discovered: str, payload: Sequence[str] = ()):
@@ -65,21 +99,83 @@ NO_OVERLAP, LATE_WINDOW = "no_ledger_overlap", "feed_window_after_last_success"
 UNCLOSED, FAILED, NO_BASELINE = "rest_backfill_unclosed", "rest_backfill_failed", "baseline_not_established"
 
 
-class _GapState:
-    """One source's anchor, last success and open gap, folded over its polls."""
+class _InOrder:
+    """Hands the rows of a key to a fold in order, in bounded memory.
+
+    Up to `held_rows` rows are sorted in memory. More are put aside in keyed state, in pieces by a slot of the order (a prefix of
+    its text), and taken back slot by slot; held are the names of the pieces and the rows of one slot.
+    """
+
+    order, slot, held_rows = "", 16, 50_000
+
+    def __init__(self, held_rows: int | None = None):
+        self.held_rows = held_rows or self.held_rows
 
     def init(self, handle) -> None:
+        self.aside = handle.getMapState(
+            "aside", T.StructType([T.StructField("slot", T.StringType()), T.StructField("piece", T.LongType())]),
+            T.StructType([T.StructField("rows", T.BinaryType())]))
+        self.begin(handle)
+
+    def handleInputRows(self, key, rows, timer_values):
+        import pickle
+
+        import pandas as pd
+
+        self.start()
+        near, count, pieces = [], 0, 0
+        for chunk in rows:
+            near.append(chunk)
+            count += len(chunk)
+            if count <= self.held_rows:
+                continue
+            for part in near:
+                slots = part[self.order].map(lambda x: f"{x:020d}" if isinstance(x, int) else str(x)).str[: self.slot]
+                for slot, own in part.groupby(slots, sort=False):
+                    self.aside.updateValue((slot, pieces), (pickle.dumps(own),))
+                    pieces += 1
+            near, count = [], self.held_rows  # from now on every chunk is put aside
+        if not pieces:
+            yield self.fold(key, pd.concat(near).sort_values(self.order, kind="stable"))
+        else:
+            named = sorted((k[0], k[1]) for k in self.aside.keys())
+            at = 0
+            while at < len(named):
+                end = at
+                while end < len(named) and named[end][0] == named[at][0]:
+                    end += 1
+                own = pd.concat([pickle.loads(self.aside.getValue(n)[0]) for n in named[at:end]])
+                yield self.fold(key, own.sort_values(self.order, kind="stable"))
+                at = end
+            self.aside.clear()
+        self.finish()
+
+    def close(self) -> None:
+        pass
+
+
+class _GapState(_InOrder):
+    """One source's anchor, last success and open gap, folded over its polls.
+
+    A poll that is not later than the last closed one is late: it is judged, but moves neither the anchor nor the last success.
+    """
+
+    order = "polled_at"
+
+    def begin(self, handle) -> None:
         self.state = handle.getValueState("gap", T.StructType([
             T.StructField("anchors", T.ArrayType(T.StringType())), T.StructField("last_success", T.StringType()),
             T.StructField("open_reason", T.StringType()),
         ]))
 
-    def handleInputRows(self, key, rows, timer_values):
+    def start(self) -> None:
+        held = self.state.get()
+        self.now = (list(held[0]), held[1], held[2]) if held else ([], None, None)
+
+    def fold(self, key, polls):
         import pandas as pd
 
-        polls = pd.concat(list(rows)).sort_values("polled_at")
-        held = self.state.get()
-        anchors, last, reason = (list(held[0]), held[1], held[2]) if held else ([], None, None)
+        anchors, last, reason = self.now
         out = []
         for poll in polls.itertuples():
             entries = [(e["key"], e["published_at"]) for e in poll.entries]
@@ -97,16 +193,18 @@ class _GapState:
             out.append(row | {"has_gap": found is not None, "reason": found or ""})
             if not poll.baseline:
                 out.append(row | {"has_gap": True, "reason": NO_BASELINE})
+            if last and poll.polled_at <= last:
+                continue
             reason = found
             if not found:
                 # Only a closed feed moves the anchor; an open gap keeps the old one.
                 anchors = [entries[0][0]] if entries else anchors
                 last = poll.polled_at
-        self.state.update((anchors, last, reason))
-        yield pd.DataFrame(out, columns=GAP_SCHEMA.names)
+        self.now = (anchors, last, reason)
+        return pd.DataFrame(out, columns=GAP_SCHEMA.names)
 
-    def close(self) -> None:
-        pass
+    def finish(self) -> None:
+        self.state.update(self.now)
 
 
 GAP_SCHEMA = T.StructType([
@@ -115,13 +213,13 @@ GAP_SCHEMA = T.StructType([
 ])
 
 
-def _processor(base: type):
+def _processor(base: type, *args):
     from pyspark.sql.streaming import StatefulProcessor
 
-    return type(base.__name__.strip("_"), (base, StatefulProcessor), {})()
+    return type(base.__name__.strip("_"), (base, StatefulProcessor), {})(*args)
 
 
-def stream_gaps(polls: DataFrame, path: str, checkpoint: str):
+def stream_gaps(polls: DataFrame, path: str, checkpoint: str, held_rows: int | None = None):
     """Feed gaps per source: nothing overlaps the anchor, or the feed starts after
     the last success. A gap stays open, with its anchor, until a poll closes it.
 
@@ -129,13 +227,14 @@ def stream_gaps(polls: DataFrame, path: str, checkpoint: str):
     published_at>> newest first, and either backfilled (a gap was closed by a
     backfill) or backfill: 'closed', 'unclosed', an error text, null for none. A
     poll with baseline = false has its own row, as nothing before it is known.
-    One row per poll: a feed page has a bounded number of entries.
+    One row per poll: a feed page has a bounded number of entries. The polls of a source in one micro-batch are handled in
+    order of `polled_at`, at most `held_rows` of them in memory.
     """
     outcome = F.col("backfill") if "backfill" in polls.columns else F.when(F.col("backfilled"), "closed")
     baseline = F.coalesce("baseline", F.lit(False)) if "baseline" in polls.columns else F.lit(True)
     polls = polls.select("source_id", "polled_at", "entries", outcome.cast("string").alias("backfill"), baseline.alias("baseline"))
     gaps = polls.groupBy("source_id").transformWithStateInPandas(
-        statefulProcessor=_processor(_GapState), outputStructType=GAP_SCHEMA, outputMode="append", timeMode="none"
+        statefulProcessor=_processor(_GapState, held_rows), outputStructType=GAP_SCHEMA, outputMode="append", timeMode="none"
     )
     with keyed_state(polls.sparkSession):
         return append_table(gaps, path, checkpoint)
@@ -150,21 +249,29 @@ def stream_periods(stream: DataFrame, path: str, checkpoint: str, at: str, ranki
     return write_updates(counts, path, checkpoint)
 
 
-class _LifecycleState:
-    """Current status of one release, re-opened by a policy or content change."""
+class _LifecycleState(_InOrder):
+    """Current status of one release, re-opened by a policy or content change.
 
-    def init(self, handle) -> None:
+    Rows of one micro-batch are handled by `seq`; a row of a later micro-batch comes after them, whatever its `seq`.
+    """
+
+    order = "seq"
+
+    def begin(self, handle) -> None:
         self.state = handle.getValueState("entry", T.StructType([
             T.StructField("status", T.StringType()), T.StructField("policy_version", T.StringType()), T.StructField("content_hash", T.StringType()),
         ]))
 
-    def handleInputRows(self, key, rows, timer_values):
+    def start(self) -> None:
+        held = self.state.get()
+        self.now = tuple(held) if held else (None, None, None)
+
+    def fold(self, key, rows):
         import pandas as pd
 
-        held = self.state.get()
-        status, policy, content = held if held else (None, None, None)
+        status, policy, content = self.now
         out = []
-        for row in pd.concat(list(rows)).sort_values("seq").itertuples():
+        for row in rows.itertuples():
             if row.event == "decision":
                 # A decision settles only what is waiting for one.
                 new = {"accept": "accepted", "reject": "rejected"}.get(row.verdict) if status in ("pending_review", "review_failed") else None
@@ -180,12 +287,12 @@ class _LifecycleState:
                 policy, content = row.policy_version, row.content_hash
             status = new
             out.append({"release_key": key[0], "seq": row.seq, "status": status, "policy_version": policy})
-        if status is not None:
-            self.state.update((status, policy, content))
-        yield pd.DataFrame(out, columns=["release_key", "seq", "status", "policy_version"])
+        self.now = (status, policy, content)
+        return pd.DataFrame(out, columns=["release_key", "seq", "status", "policy_version"])
 
-    def close(self) -> None:
-        pass
+    def finish(self) -> None:
+        if self.now[0] is not None:
+            self.state.update(self.now)
 
 
 LIFECYCLE_SCHEMA = T.StructType([
@@ -194,15 +301,15 @@ LIFECYCLE_SCHEMA = T.StructType([
 ])
 
 
-def stream_ledger(stream: DataFrame, path: str, checkpoint: str):
+def stream_ledger(stream: DataFrame, path: str, checkpoint: str, held_rows: int | None = None):
     """Status log of releases: one row per status change.
 
     stream: release_key, seq, event ('record' or 'decision'), verdict (for a
     record: pending_review, filtered, withdrawn or no_longer_qualifying; for a
-    decision: accept or reject), policy_version, content_hash, item_type.
+    decision: accept or reject), policy_version, content_hash, item_type. At most `held_rows` rows of a release are in memory.
     """
     log = stream.groupBy("release_key").transformWithStateInPandas(
-        statefulProcessor=_processor(_LifecycleState), outputStructType=LIFECYCLE_SCHEMA, outputMode="append", timeMode="none"
+        statefulProcessor=_processor(_LifecycleState, held_rows), outputStructType=LIFECYCLE_SCHEMA, outputMode="append", timeMode="none"
     )
     with keyed_state(stream.sparkSession):
         return append_table(log, path, checkpoint)
@@ -241,6 +348,23 @@ def stream_suppress(stream: DataFrame, log: DataFrame, path: str, checkpoint: st
     return append_table(unblocked(stream, near, key, at, days), path, checkpoint)
 
 
+def stream_suppress_growing(
+    stream: DataFrame, log: DataFrame, path: str, checkpoint: str, key: str, at: str, days: int, late: str = "1 day",
+):
+    """The same against a log that grows while the job runs: an interval join of two streams, kept where nothing matched.
+
+    `log` is a stream of successes with `key` and `at`. Rows of both sides may arrive `late` out of order; a row is
+    written when no success that could suppress it can arrive any more, and both states are dropped behind the watermark.
+    The newest rows thus wait for later ones on both sides. Rows without a key are never suppressed.
+    """
+    asked = stream.withWatermark(at, late)
+    done = log.select(F.col(key).alias("_key"), F.col(at).alias("_done")).withWatermark("_done", late)
+    # As `success_days`: at most `days` days before, and not at the same moment on the same day.
+    near = (F.col("_done") >= F.col(at) - F.expr(f"INTERVAL {days} DAYS")) & (F.col("_done") < F.col(at))
+    joined = asked.join(done, (F.col(key) == F.col("_key")) & near, "left_outer")
+    return append_table(joined.where("_done is null").select(*stream.columns), path, checkpoint)
+
+
 def notice_id(issue_key: Column, items: Column, failures: Column, rest: dict[str, Column] | None = None) -> Column:
     """Identity of a notice by meaning: order, repeats and times do not matter."""
     from curator.functions.ids import canonical_hash

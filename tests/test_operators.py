@@ -188,7 +188,36 @@ def test_a_batch_that_contradicts_itself_is_refused(spark, tmp_path):
     for bad in (rows(("c", "1"), ("c", "2"), ("c", "1")), rows(("a", "2"))):
         with pytest.raises(ValueError, match="already exists with different content"):
             ledger.append_state(bad, path, "run_id", "content_hash")
-    assert sorted(r["run_id"] for r in spark.read.parquet(path).collect()) == ["a", "b"]
+    assert sorted(r["run_id"] for r in ledger.read_state(spark, path, rows(("a", "1")).schema).collect()) == ["a", "b"]
+
+
+def test_of_two_conflicting_writers_one_fails(spark, tmp_path, monkeypatch):
+    from curator.operators import commits, ledger
+
+    path, commit = str(tmp_path / "log"), commits.commit
+    rows = lambda *r: spark.createDataFrame(r, "run_id string, content_hash string")
+    schema = rows(("a", "1")).schema
+    assert ledger.append_state(rows(("a", "1")), path, "run_id", "content_hash") == 1
+
+    def raced(other):
+        def slower(*args):
+            monkeypatch.setattr(commits, "commit", commit)
+            ledger.append_state(other, path, "run_id", "content_hash")  # commits between check and commit
+            return commit(*args)
+
+        monkeypatch.setattr(commits, "commit", slower)
+
+    raced(rows(("b", "2")))
+    with pytest.raises(ValueError, match="different content"):
+        ledger.append_state(rows(("b", "3"), ("c", "1")), path, "run_id", "content_hash")
+    raced(rows(("d", "1")))
+    assert ledger.append_state(rows(("d", "1"), ("e", "1")), path, "run_id", "content_hash") == 1
+    seen = lambda v=None: sorted(tuple(r) for r in ledger.read_state(spark, path, schema, v).collect())
+    assert seen() == [("a", "1"), ("b", "2"), ("d", "1"), ("e", "1")]
+    # A version stays what it was, and rows without a commit belong to none.
+    assert seen(1) == [("a", "1")] and seen(0) == []
+    rows(("z", "9")).write.parquet(f"{path}/{commits.new_folder()}")
+    assert len(seen()) == 4 and not commits.commit(spark, path, 2, [])
 
 
 def test_rules_come_from_a_table(spark):
