@@ -37,6 +37,26 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
     "all rights reserved": "reserved",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-terms",
+    "either version 2 of the license or at your option any later version": "version-2-plus",
+    "this library is free software": "lgpl-free",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-terms",
+    "either version 2 1 of the license or at your option any later version": "version-2-1-plus",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl-3-plus",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl-3-plus",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-head",
+    "if a copy of the mpl was not distributed with this file you can obtain one at": "mpl-copy",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-as-is",
+    "this is free and unencumbered software released into the public domain": "unlicense-head",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-grant",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0-grant",
+    "this software is distributed without any warranty": "cc0-basis",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-4-ref",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at": "epl-2-head",
+    "this software is provided as is without any express or implied warranty": "zlib-as-is",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "distributed under the boost software license version 1 0": "bsl-1-ref",
 }
 
 #: Licence, and the identifiers that must follow each other in this order. Other identifiers may stand
@@ -54,6 +74,18 @@ RULES = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("LicenseRef-all-rights-reserved", ("reserved",)),
+    ("GPL-2.0-or-later", ("gpl-free", "gpl-terms", "version-2-plus")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl-terms", "version-2-1-plus")),
+    ("LGPL-3.0-or-later", ("lgpl-3-plus",)),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl-3-plus")),
+    ("MPL-2.0", ("mpl-head", "mpl-copy")),
+    ("ISC", ("isc-grant", "isc-as-is")),
+    ("Unlicense", ("unlicense-head", "unlicense-grant")),
+    ("CC0-1.0", ("cc0-grant", "cc0-basis")),
+    ("CC-BY-SA-4.0", ("cc-by-sa-4-ref",)),
+    ("EPL-2.0", ("epl-2-head",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("BSL-1.0", ("bsl-1-ref",)),
 )
 
 #: Rules of headings, a line by themselves; the SQL twin doesn't have them.
@@ -62,8 +94,13 @@ TITLES = (("MIT", ("mit-title",)),)
 #: A rule that another one completes: where the longer one holds, the shorter one is not reported.
 COVERED = {"BSD-2-Clause": "BSD-3-Clause"}
 
-#: A sentence can only be known if it holds one of these, so texts without any are passed over.
-HINT = r"(?i)licen[sc]|permission|redistribut|free software|warrant|rights reserved|copyright|neither the name|obtain a copy"
+#: A sentence can only be known if it holds one of these, so texts without any are passed over. As in `normalised`, whatever
+#: is no letter or digit may stand between two words.
+HINTS = (
+    "licen[sc]", "permission", "redistribut", "free software", "warrant", "rights reserved", "copyright", "neither the name",
+    "obtain a copy", "obtain one", "public domain", "any purpose", "free and unencumbered",
+)
+HINT = "(?i)" + "|".join(h.replace(" ", "[^a-z0-9]+") for h in HINTS)
 
 #: Marks in a text that is being scanned: a sentence must end here, or may.
 _HARD, _SOFT = "\x01", "\x02"

@@ -311,3 +311,37 @@ def test_sentences_are_written_as_they_are_compared(spark):
     assert all(r.s == r.n and r.h for r in rows.select("s", licenses.normalised(rows["s"]).alias("n"), rows["s"].rlike(licenses.HINT).alias("h")).collect())
     known = set(licenses.SENTENCES.values())
     assert all(i in known for _, ids in licenses.RULES for i in ids)
+
+
+def test_every_sentence_holds_a_hint_whatever_stands_between_its_words():
+    import re
+
+    for sentence in licenses.SENTENCES:
+        for between in (" ", "\n", "  ", "\n * ", "\t"):
+            assert re.search(licenses.HINT, sentence.replace(" ", between)), sentence
+    assert {i for ids in licenses.RULES for i in ids[1]} <= set(licenses.SENTENCES.values())
+
+
+def test_licences_over_line_ends_and_more_of_them(spark):
+    texts = {
+        "LicenseRef-all-rights-reserved": "Copyright X.\nAll rights\nreserved.",
+        "GPL-2.0-or-later": " * This program is free  software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+                            " * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version.\n",
+        "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the "
+                             "Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n",
+        "AGPL-3.0-or-later": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU Affero General Public License as published by\n"
+                             "# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n",
+        "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n"
+               "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS. IN NO EVENT",
+        "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\n"
+                     "binary, for any purpose, commercial or non-commercial, and by any\nmeans.\n",
+        "EPL-2.0": "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttp://www.eclipse.org/legal/epl-2.0.",
+        "Zlib": "This software is provided 'as-is', without any express or implied\nwarranty.  In no event\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\n"
+                "freely, subject to the following restrictions:\n",
+        "BSL-1.0": "// Distributed under the Boost Software License, Version 1.0.\n",
+        "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    }
+    rows = spark.createDataFrame([*enumerate(texts.values())], "doc_id int, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan(rows).collect()}
+    assert {name: got[i] for i, name in enumerate(texts)} == {name: [name] for name in texts}
