@@ -198,30 +198,46 @@ def excise(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """`docs` with every benchmark passage cut out of `text_col`, from its first word to its last; other texts stay."""
-    out = docs
-    for one in _window_sets(benchmark, item_col, item_text_col, window, block_bytes):
-        out = out.withColumn(text_col, _cutter(one)(F.col(text_col)))
-    return out
+    """`docs` with every benchmark passage cut out of `text_col`, from its first word to its last; other texts stay.
+
+    With several blocks of benchmark text the passages of all blocks are found in the whole texts first and cut once, so
+    the blocks' size changes nothing. Null texts stay null; repeated rows are cut alike.
+    """
+    sets = list(_window_sets(benchmark, item_col, item_text_col, window, block_bytes))
+    name = free_name(docs, "spans")
+    if len(sets) == 1:
+        spans = _scanner(sets[0])(F.col(text_col))["spans"]
+        return docs.withColumn(name, spans).withColumn(text_col, _cutter(F.col(text_col), F.col(name))).drop(name)
+    key = F.sha2(F.col(text_col), 256)
+    found = None
+    for one in sets:
+        part = docs.select(key.alias("excise_key"), _scanner(one)(F.col(text_col)).alias("f")).where("size(f.spans) > 0")
+        part = materialize(part.select("excise_key", "f.spans").dropDuplicates(["excise_key"]), "passages")
+        found = part if found is None else found.union(part)
+    found = found.groupBy("excise_key").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias(name))
+    joined = docs.join(found, key == F.col("excise_key"), "left").drop("excise_key")
+    return joined.withColumn(text_col, _cutter(F.col(text_col), F.col(name))).drop(name)
 
 
-def _cutter(one):
+def _cutter(text: Column, spans: Column) -> Column:
     @F.arrow_udf("string")
-    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([_cut(one.value, text) for text in batch.to_pylist()], pa.string())
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = [_cut(t, [(s["a"], s["b"]) for s in own or ()]) for t, own in zip(texts.to_pylist(), spans.to_pylist())]
+        return pa.array(out, pa.string())
 
-    return cut
+    return cut(text, spans)
 
 
-def _cut(windows: WindowSet, text: str | None) -> str | None:
-    spans = windows.scan(words_of(text))[0]
+def _cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """The text without the words of the spans, which are sorted by their start and may overlap."""
     if not spans:
         return text
     raw = text.encode("utf-8", "surrogatepass")
     places = [m.span() for m in _WORD.finditer(raw.lower())]
-    kept, at = [], 0
+    kept, at, end = [], 0, -1
     for a, b in spans:
-        kept.append(raw[at : places[a][0]])
-        at = places[b - 1][1]
+        if a > end:
+            kept.append(raw[at : places[a][0]])
+        end = max(end, b)
+        at = places[end - 1][1]
     return b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")

@@ -65,3 +65,12 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert dc.matches(frame(spark, []), none).collect() == []
     assert {r.n_hit for r in dc.matches(frame(spark), none).collect()} == {0}
+
+
+def test_blocks_of_the_benchmark_change_nothing_in_what_is_cut(spark):
+    items = [(1, "a b c d"), (2, "c d e f"), (3, "p q"), (4, "q r")]
+    rows = [(1, "x a b c d e f y"), (2, "p q r."), (3, None), (4, ""), (5, "none of it"), (1, "x a b c d e f y"), (6, "c d e f, a b c d")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = [sorted(((r.doc_id, r.text) for r in dc.excise(frame(spark, rows), bench, window=4, block_bytes=n).collect()), key=str) for n in (1 << 20, 12, 4)]
+    assert found[0] == found[1] == found[2]
+    assert ("1", "x  y") in {(str(d), t) for d, t in found[0]} and (2, ".") in found[0] and (6, "") in found[0] and len(found[0]) == len(rows)
