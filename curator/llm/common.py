@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curator import runtime
@@ -69,20 +69,37 @@ def in_order(df: DataFrame, buckets: int) -> tuple[DataFrame, list[int]]:
     return placed.withColumn("bucket", F.col("__range").cast("int")).drop("__key", "__range"), bounds
 
 
-def sample_ids(labels: DataFrame, key: str, kind: str, per_kind: int) -> DataFrame:
-    """About `per_kind` rows of each value of `kind` (all, where there are fewer), chosen by a hash of `key`.
+#: Kinds whose shares travel in a broadcast table; more are joined plainly.
+_MOST_KINDS = 10_000
 
-    The bound is the documented size of a classifier's training sample. One count per kind decides the share, so the
-    choice is a filter, not a sort, and is the same in every run.
+
+def sample_rows(rows: DataFrame, keys: list[str], kind: str, per_kind: int) -> DataFrame:
+    """About `per_kind` rows of each value of `kind` (all different ones, where there are fewer), chosen by a hash of `keys`.
+
+    The bound is the documented size of a classifier's training sample. Rows with equal keys are one row, so neither
+    copies nor rows that share an id can exceed it. The number of different rows of each kind decides its share,
+    so the choice is a filter, not a sort, and is the same in every run. A null kind is passed over.
     """
-    counts = {r[kind]: r["count"] for r in labels.groupBy(kind).count().collect()}
-    share = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    keep = F.lit(False)
-    for value, n in counts.items():
-        keep = keep | (F.col(kind).eqNullSafe(F.lit(value)) & (share < min(1.0, per_kind / n)))
-    return labels.where(keep)
+    place = F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys], F.lit("sample"))
+    name, share = free_name(rows, "place"), free_name(rows, "share")
+    placed = rows.where(F.col(kind).isNotNull()).withColumn(name, place)
+    counts = placed.groupBy(F.col(kind).alias("sample_kind")).agg(F.approx_count_distinct(name, 0.02).alias("n"))
+    counts = materialize(counts.select("sample_kind", F.least(F.lit(1.0), F.lit(float(per_kind)) / F.col("n")).alias(share)), "shares")
+    if counts.count() <= _MOST_KINDS:
+        counts = F.broadcast(counts)
+    at = F.pmod(F.col(name), F.lit(1 << 30)) / float(1 << 30)
+    kept = placed.join(counts, F.col(kind) == F.col("sample_kind")).where(at < F.col(share))
+    return kept.dropDuplicates([kind, name]).select(rows.columns)
+
+
+def rows_of_ids(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """At most `most` rows of each id, those of least hash: bounds what a sample of ids brings along."""
+    name = free_name(rows, "rank")
+    by = Window.partitionBy(id_col).orderBy(F.xxhash64(*[c for c in rows.columns if c != id_col]))
+    return rows.withColumn(name, F.row_number().over(by)).where(F.col(name) <= most).drop(name)
 
 
 __all__ = [
-    "configure", "free_name", "in_order", "load", "materialize", "narrow", "partitions", "remainder", "sample_ids",
+    "configure", "free_name", "in_order", "load", "materialize", "narrow", "partitions", "remainder", "rows_of_ids",
+    "sample_rows",
 ]

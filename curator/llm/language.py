@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curator.llm.common import remainder, sample_ids
+from curator.llm.common import materialize, remainder, sample_rows
 
 UNKNOWN = "und"
 BUCKETS_BITS = 12
@@ -129,8 +129,9 @@ def fit(
 ) -> Centroids:
     """Learn from the rows of `docs` with a language.
 
-    Document frequencies are counted over all rows. The centroids come from about `per_language` rows of each
-    language (this documented bound is the size of the sample that the driver holds). A language accepts texts down
+    Document frequencies are counted over all rows. The centroids come from about `per_language` different rows of each
+    language (a documented bound), which one task clusters; `clusters` centroids per language come to the driver. Rows that share
+    an id or have none are different rows if their texts differ. A language accepts texts down
     to `slack` times the least similarity of its own sample texts of that length or more, and texts shorter than nearly
     all of those down to a limit that starts of the sample texts give; what lies farther from all centroids is rejected.
     """
@@ -156,19 +157,29 @@ def fit(
     def packed(texts: pa.Array) -> pa.Array:
         return pa.array([gram_counts(t).astype("<f4").tobytes() for t in texts.to_pylist()], pa.binary())
 
-    sample = sample_ids(rows, "doc_id", "lang", per_language)
-    chosen = sample.select("lang", packed("text").alias("v")).collect()
-    chosen.sort(key=lambda r: (r["lang"], bytes(r["v"])))
+    sample = materialize(sample_rows(rows, ["doc_id", "text"], "lang", per_language), "language-sample")
     model = Centroids(idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.int64))
-    centres, owner, sims = [], [], []
-    for lang in sorted({r["lang"] for r in chosen}):
-        counts = np.stack([np.frombuffer(r["v"], "<f4") for r in chosen if r["lang"] == lang])
+
+    def clustered(key: tuple, table: pa.Table) -> pa.Table:
+        """The centroids of one language and the limits of its longer texts; the rows are its sample."""
+        counts = np.stack([np.frombuffer(v, "<f4") for v in sorted(table["v"].to_pylist())])
         x = model.vectors(counts)
         own = cluster(x, clusters)
-        sims.append(_accepted((x @ own.T).max(axis=1), _length(counts), slack))
+        least, start = _accepted((x @ own.T).max(axis=1), _length(counts), slack)
+        return pa.table({
+            "lang": [key[0].as_py()], "centres": [own.astype("<f4").tobytes()], "least": [least.tolist()], "start": [start]},
+            schema=pa.schema([("lang", pa.string()), ("centres", pa.binary()), ("least", pa.list_(pa.float64())), ("start", pa.int32())]))
+
+    # A few vectors for each language come to the driver, the sample's own stay in the tasks.
+    learned = sample.select("lang", packed("text").alias("v")).groupBy("lang").applyInArrow(
+        clustered, "lang string, centres binary, least array<double>, start int").collect()
+    centres, owner, sims = [], [], []
+    for r in sorted(learned, key=lambda r: r["lang"]):
+        own = np.frombuffer(r["centres"], "<f4").reshape(-1, BUCKETS)
+        sims.append((np.array(r["least"]), r["start"]))
         owner += [len(model.langs)] * len(own)
         centres.append(own)
-        model.langs.append(lang)
+        model.langs.append(r["lang"])
     if not centres:
         return model
     model.centres, model.owner = np.vstack(centres).astype(np.float32), np.array(owner)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curator.llm import linear
-from curator.llm.common import narrow, sample_ids
+from curator.llm.common import narrow, rows_of_ids, sample_rows
 
 #: Words looked at together; sums over blocks make the memory of a very long text bounded.
 BLOCK = 1 << 16
@@ -124,25 +124,23 @@ def _vector():
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    n_positive: int = 4000, n_unlabelled: int = 8000, n_cuts: int = 12,
+    n_positive: int = 4000, n_unlabelled: int = 8000, n_cuts: int = 12, rows_per_id: int = 4,
 ) -> Quality | None:
-    """Learn from trusted positives and unlabelled rows; None if there are no positives or no other rows.
+    """Learn from trusted positives and unlabelled rows; None if there are no positives or no rows.
 
-    Positives are rows of `docs` whose label is 1 in `labels`; unlabelled rows are rows of `docs` without any label, or
-    all rows where every one has a label. Labels 0 are never used. The driver holds the measures of about
-    `n_positive` and `n_unlabelled` rows, a documented bound; ids of positives are broadcast. Half of each estimates
-    the class prior with a model fitted on the other half.
+    Positives are rows of `docs` whose label is 1 in `labels`; the unlabelled rows are drawn from all rows, labelled or
+    not, so the cover of the labels doesn't change what they are. Labels 0 are never used. The driver holds the measures
+    of about `n_positive` ids with at most `rows_per_id` rows each and of `n_unlabelled` rows, a documented bound; ids of
+    positives are broadcast. Repeated rows count once; rows without an id have no label, but are among the unlabelled.
+    Half of each kind estimates the class prior with a model fitted on the other half.
     """
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg((F.max(label_col) == 1).alias("good"))
-    good = sample_ids(known.where("good"), "label_id", "good", n_positive)
+    good = sample_rows(known.where("good"), ["label_id"], "good", n_positive)
     text = narrow(docs, id_col, text_col)
     vector = _vector()
-    p = text.join(F.broadcast(good), text["doc_id"] == good["label_id"]).select(vector("text").alias("v")).collect()
-    ids = docs.select(F.col(id_col).alias("doc_id")).join(known, F.col("doc_id") == F.col("label_id"), "left_anti")
-    if ids.isEmpty():
-        ids = docs.select(F.col(id_col).alias("doc_id"))
-    free = sample_ids(ids.distinct().withColumn("any", F.lit(True)), "doc_id", "any", n_unlabelled).select(F.col("doc_id").alias("free_id"))
-    u = text.join(F.broadcast(free), text["doc_id"] == free["free_id"]).select(vector("text").alias("v")).collect()
+    p = text.join(F.broadcast(good), text["doc_id"] == good["label_id"]).select("doc_id", vector("text").alias("v"))
+    p = rows_of_ids(p, "doc_id", rows_per_id).select("v").collect()
+    u = sample_rows(text.withColumn("any", F.lit(True)), ["doc_id", "text"], "any", n_unlabelled).select(vector("text").alias("v")).collect()
     if not p or not u:
         return None
     p, u = (np.stack([np.frombuffer(v, np.float32) for v in sorted(bytes(r["v"]) for r in rows)]) for rows in (p, u))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curator.llm import linear
-from curator.llm.common import narrow, sample_ids
+from curator.llm.common import materialize, narrow, rows_of_ids, sample_rows
 
 #: Lengths of the grams in bytes; codes of different lengths can't be equal.
 GRAMS = (5, 7)
@@ -93,7 +94,9 @@ def fit_chain(x: np.ndarray, y: np.ndarray, weight: np.ndarray, folds: int = 5)
     A later model trains on out-of-fold probabilities of the earlier categories, so it sees the errors that they make
     on rows they weren't fitted on; the models that predict are fitted on all rows.
     """
-    fold, models, earlier = np.arange(len(x)) % folds, [], np.zeros((len(x), 0), x.dtype)
+    # Equal rows share a fold, so none is predicted by a model that was fitted on its copy.
+    fold = np.array([zlib.crc32(np.ascontiguousarray(row).tobytes()) % folds for row in x])
+    models, earlier = [], np.zeros((len(x), 0), x.dtype)
     for c in range(y.shape[1]):
         z = np.hstack([x, earlier])
         models.append(linear.fit_logistic(z, y[:, c], weight))
@@ -134,21 +137,23 @@ def _find_marks(texts: DataFrame, toxic: int, clean: int, n_marks: int) -> Marks
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    per_class: int = 3000, n_marks: int = 512,
+    per_class: int = 3000, n_marks: int = 512, rows_per_id: int = 4,
 ) -> Chain | None:
     """Learn from the labelled rows; None if they don't have both classes.
 
-    The classifier is fitted on about `per_class` rows of each class, a documented bound: their ids are broadcast, so
-    no text is shuffled. Several labels of one id count as their maximum. Sample weights restore the classes'
-    shares among all labelled rows.
+    The classifier is fitted on about `per_class` ids of each class with at most `rows_per_id` rows each, a documented bound:
+    their ids are broadcast, so only texts of the sample are shuffled. Several labels of one id count as their maximum; rows
+    without an id have no label, repeated rows of an id count `rows_per_id` times at most. Sample weights restore the
+    classes' shares among all labelled rows.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(
         (F.max(label_col) > 0).cast("int").alias("y"))
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if set(sizes) != {0, 1}:
         return None
-    chosen = F.broadcast(sample_ids(known, "label_id", "y", per_class))
-    rows = narrow(docs, id_col, text_col).join(chosen, F.col("doc_id") == F.col("label_id")).select("text", "y")
+    chosen = F.broadcast(sample_rows(known, ["label_id"], "y", per_class))
+    rows = narrow(docs, id_col, text_col).join(chosen, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y")
+    rows = materialize(rows_of_ids(rows, "doc_id", rows_per_id).select("text", "y"), "toxicity-sample")
     n = {y: min(sizes[y], per_class) for y in sizes}
     marks = _find_marks(rows, n[1], n[0], n_marks)
 
@@ -165,7 +170,6 @@ def fit(
     wide, thick = x[:, -2], x[:, -1]
     categories = np.stack([bad & (wide >= np.median(wide[bad])), bad & (thick >= np.median(thick[bad])), bad], axis=1)
     weight = np.where(bad, sizes[1] / bad.sum(), sizes[0] / (~bad).sum())
-    # Rows sorted by vector go round the folds, so equal texts spread over all of them in the same shares.
     return Chain(marks, fit_chain(x, categories.astype(float), weight))
 
 

@@ -169,3 +169,51 @@ def test_short_texts_far_from_all_languages_are_rejected(spark):
     assert model.predict(far)[2].all()
     near = ["garten haus morgen licht baum", "agua luz casa", "haus baum strasse", "calle jardin ventana"]
     assert not model.predict(near)[2].any()
+
+
+def test_a_sample_is_bounded_whatever_the_ids(spark):
+    from curator.llm.common import rows_of_ids, sample_rows
+
+    for ids in ("cast(null as bigint)", "7L", "11L", "id"):
+        rows = spark.range(20_000).selectExpr(f"{ids} as doc_id", "concat('text ', id) as text", "if(id % 4 = 0, 'b', 'a') as lang")
+        got = {r.lang: r["count"] for r in sample_rows(rows, ["doc_id", "text"], "lang", 500).groupBy("lang").count().collect()}
+        assert set(got) == {"a", "b"} and all(380 < n < 620 for n in got.values())
+    copies = spark.range(20_000).selectExpr("id % 50 as doc_id", "concat('text ', id % 50) as text", "if(id = 0, null, 'a') as lang")
+    assert sample_rows(copies, ["doc_id", "text"], "lang", 500).count() == 50
+    one = spark.range(1000).selectExpr("id % 2 as doc_id", "concat('text ', id) as text")
+    assert rows_of_ids(one, "doc_id", 4).count() == 8
+    assert sample_rows(copies.limit(0), ["doc_id", "text"], "lang", 500).collect() == []
+
+
+def test_many_languages_are_learned_in_tasks(spark):
+    rows = spark.range(600).selectExpr("cast(null as bigint) as doc_id", "concat('wort', id % 60, ' dann ', id) as text", "concat('l', id % 60) as lang")
+    model = language.fit(rows, per_language=5, clusters=2)
+    assert len(model.langs) == 60 and len(model.centres) <= 120 and model.least.shape == (60, language.LENGTHS)
+
+
+def test_the_cover_of_the_labels_does_not_empty_the_unlabelled_rows(spark):
+    good = [(i, f"A quiet sentence number {i} about rivers and hills.") for i in range(40)]
+    docs = spark.createDataFrame([*good, (None, "$$$ ### !!!")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)], "doc_id bigint, quality int")
+    assert quality.fit(docs, labels) is not None
+    same_id = spark.createDataFrame([(1, f"text {i}") for i in range(3000)] + good[2:], "doc_id bigint, text string")
+    assert quality.fit(same_id, labels, n_positive=10, n_unlabelled=50) is not None
+
+
+def test_equal_rows_share_a_fold(monkeypatch):
+    seen = []
+    fit = linear.fit_logistic
+
+    def watched(z, y, *weight):
+        seen.append(z)
+        return fit(z, y, *weight)
+
+    monkeypatch.setattr(linear, "fit_logistic", watched)
+    x = np.repeat(np.random.default_rng(0).normal(size=(40, 3)), 5, axis=0)
+    y = np.stack([x[:, 0] > 0, x[:, 1] > 0], axis=1).astype(float)
+    toxicity.fit_chain(x, y, np.ones(len(x)))
+    part = [z for z in seen if len(z) < len(x)]
+    assert len(part) == 5 and sum(len(x) - len(z) for z in part) == len(x)
+    for z in part:
+        rows, counts = np.unique(z, axis=0, return_counts=True)
+        assert set(counts.tolist()) == {5}

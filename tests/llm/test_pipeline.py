@@ -19,7 +19,7 @@ def test_stages_are_named_and_registered():
 
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "language", "near_dedup", "decontamination", "packing"]
     assert entry.queries()["pipeline"] is corpus_pipeline.run
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(SQL) <= set(QUERIES)
 
 
 def test_every_stage_on_the_smallest_tables(spark):
@@ -67,3 +67,12 @@ def test_rows_without_an_id_stay_unless_they_are_copies(spark):
 def test_run_equals_its_stages(spark):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} == set(rows[0].asDict())
+
+
+def test_the_language_stage_keeps_all_where_nothing_is_learned(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    everything = docs.count()
+    with_lang = corpus_pipeline.drop_unknown_language(spark, docs, SMALL).count()
+    without_ids = corpus_pipeline.drop_unknown_language(spark, docs.selectExpr("cast(null as bigint) as doc_id", "text", "lang", "source", "n_chars"), SMALL).count()
+    without_lang = corpus_pipeline.drop_unknown_language(spark, docs.selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars"), SMALL).count()
+    assert without_lang == everything and with_lang >= 0.98 * everything and abs(without_ids - with_lang) <= 0.02 * everything
