@@ -21,9 +21,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents without a letter and those too far from every centroid of the languages in `lang`."""
+    """Drop the documents without a letter and those too far from every centroid of the languages in `lang`.
+
+    Where no row has a language there is nothing to be far from: all documents stay.
+    """
+    model = language.fit(docs)
+    if not model.langs:
+        return docs
     name = free_name(docs, "language")
-    found = docs.withColumn(name, language.identify(docs, language.fit(docs)))
+    found = docs.withColumn(name, language.identify(docs, model))
     return found.where(~F.col(name)["rejected"]).drop(name)
 
 

@@ -162,8 +162,12 @@ def excerpt_ranges(text: Column | str, limit: Column | int, keywords: Column) ->
     )
 
 
-def record_keywords(title: Column, url: Column) -> Column:
-    """Title, its Latin words and the last URL path segment, at most twelve."""
+# Fixed value: keywords of a record that are searched for.
+KEYWORDS = 12
+
+
+def record_keywords(title: Column, url: Column, most: int | None = KEYWORDS) -> Column:
+    """Title, its Latin words and the last URL path segment: the first `most` different ones, or all (None)."""
     from curator.functions.urls import split_url
 
     title = F.trim(F.coalesce(title, F.lit("")))
@@ -175,7 +179,8 @@ def record_keywords(title: Column, url: Column) -> Column:
         words,
         F.when(F.length(last) >= 3, F.array(last)).otherwise(F.array().cast("array<string>")),
     )
-    return F.slice(F.array_distinct(F.filter(every, lambda w: ~F.lower(w).isin(*skip))), 1, 12)
+    found = F.array_distinct(F.filter(every, lambda w: ~F.lower(w).isin(*skip)))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def route_overview(c: Column | str) -> Column:

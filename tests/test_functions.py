@@ -249,3 +249,9 @@ def test_links_and_dots_have_no_depth_limit(one):
     assert join("https://h/a/b", "../../../p") == "https://h/p" and join("https://h/a/b/c", "..") == "https://h/a/"
     assert join("https://h/a/b", "./c/./d?e=../f") == "https://h/a/c/d?e=../f" and join("https://h", "x") == "https://h/x"
     assert join("https://h/a/b", "/c/../d/") == "https://h/d/"
+
+
+def test_all_keywords_of_a_record(one):
+    title = " ".join(f"word{i}" for i in range(30))
+    few, every = (one(text.record_keywords(F.col("t"), F.lit("https://h/a/last"), n), t=title) for n in (text.KEYWORDS, None))
+    assert few == every[:12] and len(every) == 32 and every[-1] == "last"
