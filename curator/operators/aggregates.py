@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curator.constants import AGGREGATOR, PRERELEASE, PRIMARY_CLASSES
@@ -17,7 +17,8 @@ from curator.functions.ids import story_id
 from curator.functions.text import normalize_title
 from curator.functions.urls import normalize_url
 from curator.operators.cells import cells
-from curator.operators.ordered import ordered_scan
+from curator.operators.ordered import ordered_scan, range_count
+from curator.runtime import materialize
 
 
 def stories_from_clusters(members: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
@@ -221,11 +222,59 @@ def threshold_scan(rows: DataFrame, score: Column, allowed: Column, actual: Colu
 
 
 def exact_median(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Exact median per group from positions, not from values held in memory."""
+    """Exact median per group, not from values held in memory: by selection, or from positions where rows are few."""
     known = df.where(F.col(value).isNotNull())
-    placed = ordered_scan(known, [value], by, position="_p", size="_n")
-    middle = (F.col("_p") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_p") == F.floor((F.col("_n") + 2) / 2))
-    return placed.where(middle).groupBy(*by).agg(F.avg(value).alias("median"))
+    sizes = known.agg(F.count("*").alias("n"), F.count_if(F.col(value).cast("double").between(-_LARGEST, _LARGEST)).alias("finite")).first()
+    small = range_count(sizes["n"]) <= 1
+    if small or sizes["n"] != sizes["finite"]:
+        # Few rows in all, or values without a width: one ordered scan.
+        placed = ordered_scan(known, [value], by, position="_p", size="_n", bucket=False if small else None)
+        middle = (F.col("_p") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_p") == F.floor((F.col("_n") + 2) / 2))
+        return placed.where(middle).groupBy(*by).agg(F.avg(value).alias("median"))
+    return _median_by_selection(known.select(*by, F.col(value).cast("double").alias("_v")), list(by))
+
+
+#: Cells of one refinement, and the largest values whose range has a width.
+_CELLS, _LARGEST = 1024, 8e307
+
+
+def _median_by_selection(values: DataFrame, by: list[str]) -> DataFrame:
+    """Medians by narrowing the range that holds each group's middle values, without a sort of the values.
+
+    A pass counts the values of each group in `_CELLS` equal cells between two bounds; the cell that holds the wanted rank
+    gives the next bounds, its least and greatest value. A range of one value is the answer. Counts combine before the
+    shuffle, so a pass moves a row per cell and task and no values.
+    """
+    values = materialize(values, "median-values")
+    whole = values.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    ranks = F.array(F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2))
+    wanted = materialize(whole.select(*by, F.posexplode(ranks).alias("_which", "_rank"), "_low", "_high"), "median-bounds")
+    done = []
+    while True:
+        done.append(wanted.where("_low = _high").select(*by, F.col("_low").alias("_found")))
+        open_ = wanted.where("_low < _high")
+        if open_.isEmpty():
+            break
+        names = [f"_by{i}" for i in range(len(by))]
+        bounds = open_.select(*[F.col(c).alias(n) for c, n in zip(by, names)], "_which", "_rank", "_low", "_high")
+        same = F.lit(True)
+        for c, n in zip(by, names):
+            same = same & F.col(c).eqNullSafe(F.col(n))
+        inside = values.join(bounds, same & F.col("_v").between(F.col("_low"), F.col("_high")))
+        cell = F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * _CELLS), F.lit(_CELLS - 1))
+        # Where rounding puts all values of a narrow range into one cell, its ends are still cut off.
+        cell = F.when(F.col("_v") == F.col("_low"), -1).when(F.col("_v") == F.col("_high"), _CELLS).otherwise(cell)
+        cells = inside.groupBy(*by, "_which", cell.alias("_cell")).agg(
+            F.any_value("_rank").alias("_rank"), F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        before = Window.partitionBy(*by, "_which").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+        placed = cells.withColumn("_upto", F.sum("_n").over(before))
+        held = (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank"))
+        wanted = materialize(placed.where(held).select(
+            *by, "_which", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"), "_low", "_high"), "median-bounds")
+    found = done[0]
+    for part in done[1:]:
+        found = found.unionByName(part)
+    return found.groupBy(*by).agg(F.avg("_found").alias("median"))
 
 
 def compare_runs(results: DataFrame, by: Sequence[str] = ("provider",)) -> DataFrame:

@@ -144,6 +144,31 @@ def test_merge_and_sets(spark):
     assert sets.same_set(prior, prior, ["k"]).collect()[0]["same"] is True
 
 
+@pytest.mark.usefixtures("small_ranges")
+def test_medians_by_selection(spark, monkeypatch):
+    import math
+    import random
+    import statistics
+
+    rng, values = random.Random(2), {}
+    values["even"] = [rng.random() for _ in range(4000)]
+    values["skewed"] = [math.exp(rng.gauss(0, 12)) for _ in range(3001)] + [1e300, -1e300]
+    values["equal"] = [3.5] * 2000
+    values["two"] = [1.0] * 1000 + [2.0] * 1000
+    values["near"] = [1.0 + i * 2**-52 for i in range(501)]
+    values["single"] = [-7.25]
+    values[None] = [float(rng.randrange(5)) for _ in range(900)]
+    df = spark.createDataFrame([(g, v) for g, own in values.items() for v in own] + [("gone", None)], "g string, v double").repartition(5)
+    passes, write = [], aggregates.materialize
+    monkeypatch.setattr(aggregates, "materialize", lambda d, label: passes.append(label) or write(d, label))
+    got = {r.g: r.median for r in aggregates.exact_median(df, ["g"], "v").collect()}
+    assert got == {g: statistics.median(own) for g, own in values.items()} and 2 < len(passes) < 90
+    whole = aggregates.exact_median(df, [], "v").first().median
+    assert whole == statistics.median([v for own in values.values() for v in own])
+    odd = spark.createDataFrame([(float(i),) for i in range(2000)] + [(math.inf,), (-math.inf,), (math.nan,)], "v double")
+    assert aggregates.exact_median(odd, [], "v").first().median == 1000.0
+
+
 def test_exact_median(spark):
     df = spark.createDataFrame([("a", float(i)) for i in (5, 1, 9, 3)] + [("b", 2.0), ("b", None), ("b", 7.0), ("b", 4.0)], "g string, v double")
     assert {r["g"]: r["median"] for r in aggregates.exact_median(df, ["g"], "v").collect()} == {"a": 4.0, "b": 4.0}
@@ -191,6 +216,24 @@ def test_a_batch_that_contradicts_itself_is_refused(spark, tmp_path):
     assert sorted(r["run_id"] for r in ledger.read_state(spark, path, rows(("a", "1")).schema).collect()) == ["a", "b"]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_recent_decisions_against_all_pairs(spark, seed):
+    import datetime
+    import random
+
+    from curator.operators.similarity import recently_decided
+
+    rng, start = random.Random(seed), datetime.date(2023, 12, 1)
+    title = lambda: sorted({f"w{rng.randrange(25)}" for _ in range(rng.randrange(0, 7))})
+    day = lambda: start + datetime.timedelta(days=rng.randrange(60)) if rng.random() < 0.95 else None
+    stories, decided = [(i, title(), day()) for i in range(150)], [(title(), day()) for _ in range(120)]
+    got = recently_decided(
+        spark.createDataFrame(stories, "id int, features array<string>, run_date date"), spark.createDataFrame(decided, "features array<string>, decided_on date"), 0.4, 7)
+    alike = lambda a, b: bool(a and b) and len({*a} & {*b}) / len({*a} | {*b}) >= 0.4
+    want = [i for i, f, d in stories if d and any(o and 1 <= (d - o).days <= 7 and alike(f, g) for g, o in decided)]
+    assert sorted(r.id for r in got.collect()) == want and 5 < len(want) < 140
+
+
 def test_of_two_conflicting_writers_one_fails(spark, tmp_path, monkeypatch):
     from curator.operators import commits, ledger
 
