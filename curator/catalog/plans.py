@@ -21,7 +21,7 @@ _SIMILAR = "len(list_intersect(a.f, b.f))::double / len(list_distinct(list_conca
 
 @query("ranking_of_pages", f"""
 with recursive m as (select lower({S.part('url', 2)}) as host, {S.normalize_url('url')} as url, {S.collapse(S.TITLE)} as title, {S.features(S.TITLE)} as f, starts_with(url, 'https:') as allowed,
-  lower({_BODY} || ' ' || split_part({S.part('url', 3)}, '/', 2)) as body, epoch_us(ts)::bigint as us from pages left join events on event_id = page_id * 40),
+  lower({_BODY} || ' ' || split_part({S.part('url', 3)}, '/', 2)) as body, epoch_us(ts)::bigint as us from pages left join (select event_id // 40 as page_id, arg_max(ts, (value, event_id)) as ts from events group by 1) using (page_id)),
 items as (select *, sha256(host || chr(10) || url) as id, case split_part(host, '.', 1) when 'www' then 'aggregator' when 'blog' then 'primary_official' when 'm' then 'research' else 'open_source' end as cls from m),
 edges as (select b.id as i, a.id as j from items a join items b on a.id < b.id where a.url = b.url or (len(a.f) > 0 and len(b.f) > 0 and abs(a.us - b.us) <= {K.WINDOW_HOURS * 3_600_000_000} and {_SIMILAR} >= {K.TITLE_THRESHOLD})),
 reach as (select i, j from edges union select r.i, e.j from reach r join edges e on r.j = e.i),

@@ -11,6 +11,7 @@ from curator.catalog.registry import query
 from curator.functions import spans, text
 from curator.operators import aggregates, ledger, scoring, validation
 from curator.policy import ScoreConfig, SelectionPolicy
+from curator.plans.items import page_times
 from curator.runtime import load
 
 _K = "cast(json_extract(props, '$.k') as bigint)"
@@ -30,7 +31,7 @@ def _stories(config):
     return f"""
 with m as (select regexp_extract(url, '//([^/]*)/', 1) as host, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]*)', 1) as lang, lpad(page_id::varchar, 12, '0') as id,
   {S.TITLE} as title, {S.normalize_url('url')} as url, starts_with(url, 'https:') as allowed, lower({S.collapse(S.unescape("regexp_replace(html, '<[^>]+>', ' ', 'g')"))}) as body, ts
-  from pages left join events on event_id = page_id * 40),
+  from pages left join (select event_id // 40 as page_id, arg_max(ts, (value, event_id)) as ts from events group by 1) using (page_id)),
 c as (select *, lang || '-' || substr(id, 11, 1) as cluster_id, split_part(host, '.', 1) as p from m),
 s as (select *, case when p = 'www' then 'aggregator' when p = 'blog' then 'primary_official' when p = 'm' then 'research' else 'community' end as cls from c),
 k as (select *, (coalesce(list_position(['primary_official', 'open_source', 'research'], cls), 4), {S.normalize_title('title')}, url, id) as pk, cls in ('primary_official', 'research') and allowed as prim from s),
@@ -79,7 +80,7 @@ def c01_other(spark, root):
 
 
 def _c01(spark, root, config):
-    pages = load(spark, root, "pages").join(load(spark, root, "events").select("event_id", "ts"), F.col("event_id") == F.col("page_id") * 40, "left").select(
+    pages = load(spark, root, "pages").join(page_times(load(spark, root, "events")), "page_id", "left").select(
         F.lpad(F.col("page_id").cast("string"), 12, "0").alias("id"), text.plain_text("html").alias("summary"), F.col("ts").alias("published_at"),
         F.array().cast("array<string>").alias("categories"),
     )

@@ -8,6 +8,7 @@ from curator.catalog import sqltext as S
 from curator.catalog.registry import query
 from curator.functions import markup, text, urls
 from curator.operators import ledger
+from curator.plans.items import page_times
 from curator.runtime import load, scratch_path
 from curator.sinks import render, writers
 from curator.sources import feeds, landing, registry, releases
@@ -24,9 +25,9 @@ def title():
 
 
 def dated_pages(spark, root):
-    """Pages with the time of every fortieth event, as one payload row each."""
+    """Pages with their times, as one payload row each."""
     pages, events = load(spark, root, "pages"), load(spark, root, "events")
-    return pages.join(events.select("event_id", "ts"), F.col("event_id") == F.col("page_id") * 40, "left").select(
+    return pages.join(page_times(events), "page_id", "left").select(
         "page_id", F.col("page_id").cast("string").alias("source_id"), "url", title().alias("title"), "ts",
         F.coalesce(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("unknown")).alias("iso"),
     )
@@ -44,7 +45,7 @@ def cat(*parts):
 
 
 _TITLES = f"""
-with p as (select page_id, page_id::varchar as source_id, url, {S.collapse(S.TITLE)} as title, epoch(date_trunc('second', ts))::bigint as sec from pages left join events on event_id = page_id * 40)"""
+with p as (select page_id, page_id::varchar as source_id, url, {S.collapse(S.TITLE)} as title, epoch(date_trunc('second', ts))::bigint as sec from pages left join (select event_id // 40 as page_id, arg_max(ts, (value, event_id)) as ts from events group by 1) using (page_id))"""
 
 
 def seconds():

@@ -54,19 +54,23 @@ def t02(spark, root):
 
 
 @query("t03_gaps", f"""
-with p as (select event_type as source, ts::date as day, max(epoch_us(ts))::bigint as newest, min(epoch_us(ts))::bigint as oldest from events group by 1, 2),
-l as (select *, row_number() over (partition by source order by day) as n from p)
-select source as source_id, strftime(day, '%Y-%m-%d') as day, n > 1 as has_gap, case when n > 1 then 'no_ledger_overlap' else '' end as reason from l""")
+with p as (select event_type as source, ts::date as day from events group by 1, 2), l as (select *, row_number() over (partition by source order by day) as n from p)
+select source as source_id, strftime(day, '%Y-%m-%d') as day, n > 1 and (n % 3 = 0 or n % 5 = 0) as has_gap,
+  case when n = 1 then '' when n % 3 = 0 then 'no_ledger_overlap' when n % 5 = 0 then 'feed_window_after_last_success' else '' end as reason from l""")
 def t03(spark, root):
-    # One poll per event type and day lists that day's events: no two polls overlap.
-    polls = load(spark, root, "events").groupBy(F.col("event_type").alias("source_id"), F.to_date("ts").cast("string").alias("day")).agg(
+    # One poll per event type and day lists that day's first and last event, and the last ones of the three days before: every third
+    # poll lists none of those, every fifth knows no time of theirs.
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    days = load(spark, root, "events").groupBy(F.col("event_type").alias("source_id"), F.to_date("ts").cast("string").alias("day")).agg(
         F.max_by(F.col("event_id").cast("string"), "ts").alias("newest_key"), F.min_by(F.col("event_id").cast("string"), "ts").alias("oldest_key"),
-        F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("newest_at"), F.date_format(F.min("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("oldest_at"),
-    ).select(
-        "source_id", F.concat("day", F.lit("T23:59:59")).alias("polled_at"),
-        F.array(F.struct(F.col("newest_key").alias("key"), F.col("newest_at").alias("published_at")), F.struct(F.col("oldest_key").alias("key"), F.col("oldest_at").alias("published_at"))).alias("entries"),
-        F.lit(False).alias("backfilled"),
-    )
+        stamp(F.max("ts")).alias("newest_at"), stamp(F.min("ts")).alias("oldest_at"))
+    order = Window.partitionBy("source_id").orderBy("day")
+    n = F.row_number().over(order)
+    entry = lambda key, at: F.struct(key.alias("key"), at.alias("published_at"))
+    before = F.collect_list(entry(F.col("newest_key"), F.col("newest_at"))).over(order.rowsBetween(-3, -1))
+    known = F.when(n % 3 == 0, F.slice(before, 1, 0)).when(n % 5 == 0, F.transform(before, lambda e: entry(e["key"], F.lit(None).cast("string")))).otherwise(before)
+    own = F.array(entry(F.col("newest_key"), F.col("newest_at")), entry(F.col("oldest_key"), F.col("oldest_at")))
+    polls = days.select("source_id", F.concat("day", F.lit("T23:59:59")).alias("polled_at"), F.concat(own, known).alias("entries"), F.lit(False).alias("backfilled"))
     base = scratch_path(spark, "gaps")
     polls.write.parquet(f"{base}/polls")
     jobs.stream_gaps(core.read_stream(spark, f"{base}/polls"), f"{base}/table", f"{base}/checkpoint")
