@@ -73,6 +73,24 @@ def p07(spark, root):
     return filters.ranking_gate(pages.select("source_id").distinct(), filters.linked_stories(pages, stories))
 
 
+@query("p07_failed_gates", _MEMBERS + """
+, mobile as (select distinct host from k where host like 'm.%'), n as (select (select count(*) from mobile) as sources, (select count(distinct cluster_id) from k) as stories)
+select 'sources' as gate, least(sources, 2) as good_sources, stories as linked_events, 'only ' || least(sources, 2) || ' sources succeeded' as failure_reason, false as passed from n
+union all select 'links', (select count(distinct host) from k), 0, 'no candidate events with source links', false
+union all select 'both', 0, 0, 'only 0 sources succeeded; no candidate events with source links', false""")
+def p07f(spark, root):
+    pages = members(spark, root).withColumn("source_links", F.array().cast("array<string>"))
+    stories, hosts = pages.select("cluster_id").distinct(), pages.select("source_id").distinct()
+    two = hosts.where("source_id like 'm.%'").orderBy("source_id").limit(2)  # one source too few is the case
+    linked, bare = filters.linked_stories(pages, stories), filters.linked_stories(pages.withColumn("url", F.lit("")), stories)
+    gates = {"sources": (two, linked), "links": (hosts, bare), "both": (hosts.where("source_id is null"), bare)}
+    found = None
+    for name, (sources, events) in gates.items():
+        row = filters.ranking_gate(sources, events).select(F.lit(name).alias("gate"), "*")
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
 _BACKTEST = """
 with f as (select l_returnflag || l_linestatus as source_id, l_orderkey, l_partkey, l_linenumber, l_suppkey, l_quantity, l_discount > 0.08 as pre, l_tax < 0.01 as inc from lineitem)"""
 

@@ -253,6 +253,18 @@ def f16(spark, root):
     )
 
 
+@query("f17_address_ranges", """
+select doc_id, doc_id % 64 not between 16 and 31 as in_172, doc_id % 256 not between 64 and 127 as in_100, doc_id % 16 <> 8 as in_192,
+  doc_id % 256 not in (0, 10, 127) and doc_id % 256 < 240 as first_octet, doc_id % 3 <> 0 as six, doc_id % 2 = 0 as named, doc_id * 97 % 80000 <= 65535 as port from documents""")
+def f17a(spark, root):
+    n = F.col("doc_id")
+    at = lambda *parts: urls.is_public_url(F.concat(F.lit("http://"), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts], F.lit("/x")))
+    return load(spark, root, "documents").select(
+        "doc_id", at("172.", n % 64, ".0.1").alias("in_172"), at("100.", n % 256, ".0.1").alias("in_100"), at("192.", n % 16 + 160, ".3.4").alias("in_192"),
+        at(n % 256, ".1.1.1").alias("first_octet"), at(F.when(n % 3 == 0, "[fd00::1]").otherwise("[2606:4700::1]")).alias("six"),
+        at("h", n, F.when(n % 2 == 0, ".example.org").otherwise(".internal")).alias("named"), at("h.example.org:", n * 97 % 80000).alias("port"))
+
+
 @query("f17_is_public_url", f"""
 with h as (select page_id, url, {S.part('url', 2)} as host from pages)
 select page_id, host not like '%.local' as as_is, true as by_name, false as credentials, false as loopback, false as internal, true as public_address from h""")

@@ -357,6 +357,23 @@ def s16(spark, root):
     return decoded.select("page_id", F.sha2("d.text", 256).alias("digest"), "d.encoding", "d.origin", "d.error", F.col("c.text").isNull().alias("conflict_rejected"))
 
 
+@query("s16_encodings", """
+select page_id, case when page_id % 8 < 3 then '<p>caf' || chr(233) || ' ' || page_id end as text, ['iso8859-1', 'utf-16-le', 'iso8859-1', 'utf-8', 'utf-8', 'utf-8', 'utf-8', 'utf-8'][page_id % 8 + 1] as encoding,
+  ['http-header', 'bom', 'html-meta', 'utf-8-default', 'http-header', 'utf-8-default', 'utf-8-default', 'utf-8-default'][page_id % 8 + 1] as origin,
+  case page_id % 8 when 3 then 'invalid bytes for utf-8' when 4 then 'unsupported declared charset: x-none' when 5 then 'binary document' when 6 then 'control characters' when 7 then 'unsupported media type' end as error from pages""")
+def s16e(spark, root):
+    n = F.col("page_id")
+    body, latin = F.concat(F.lit("<p>café "), n.cast("string")), lambda c: F.encode(c, "ISO-8859-1")
+    raw = (
+        F.when(n % 8 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(body, "UTF-16LE"))).when(n % 8 == 2, latin(F.concat(F.lit('<meta charset="latin1">'), body)))
+        .when(n % 8 == 5, F.concat(F.encode(F.lit("%PDF-1.4 "), "UTF-8"), latin(body))).when(n % 8 == 6, F.encode(F.concat(body, F.lit("\x01")), "UTF-8"))
+        .when((n % 8).isin(4, 7), F.encode(body, "UTF-8")).otherwise(latin(body)))
+    header = F.when(n % 8 == 0, "text/html; charset=latin1").when(n % 8 == 4, "text/html; charset=x-none").when(n % 8 == 7, "image/png").otherwise("text/html")
+    found = load(spark, root, "pages").select("page_id", markup.decode_page(raw, header).alias("d"))
+    text = F.regexp_replace("d.text", '^<meta charset="latin1">', "")
+    return found.select("page_id", text.alias("text"), "d.encoding", "d.origin", "d.error")
+
+
 @query("k01_write_run", "select o_orderkey, o_totalprice from orders where o_orderstatus <> 'O'")
 def k01(spark, root):
     path = scratch_path(spark, "run")
