@@ -73,8 +73,9 @@ def in_order(df: DataFrame, buckets: int) -> tuple[DataFrame, list[int]]:
 _MOST_KINDS = 10_000
 
 
-def sample_rows(rows: DataFrame, keys: list[str], kind: str, per_kind: int) -> DataFrame:
-    """About `per_kind` rows of each value of `kind` (all different ones, where there are fewer), chosen by a hash of `keys`.
+def sample_rows(rows: DataFrame, keys: list[str], kind: str | None, per_kind: int) -> DataFrame:
+    """About `per_kind` rows of each value of `kind` (all different ones, where there are fewer), or of all rows, chosen by a
+    hash of `keys`.
 
     The bound is the documented size of a classifier's training sample. Rows with equal keys are one row, so neither
     copies nor rows that share an id can exceed it. The number of different rows of each kind decides its share,
@@ -82,12 +83,16 @@ def sample_rows(rows: DataFrame, keys: list[str], kind: str, per_kind: int) -> D
     """
     place = F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys], F.lit("sample"))
     name, share = free_name(rows, "place"), free_name(rows, "share")
+    at = F.pmod(F.col(name), F.lit(1 << 30)) / float(1 << 30)
+    if kind is None:
+        placed = rows.withColumn(name, place)
+        n = placed.agg(F.approx_count_distinct(name, 0.02).alias("n")).first()["n"]
+        return placed.where(at < min(1.0, per_kind / max(n, 1))).dropDuplicates([name]).select(rows.columns)
     placed = rows.where(F.col(kind).isNotNull()).withColumn(name, place)
     counts = placed.groupBy(F.col(kind).alias("sample_kind")).agg(F.approx_count_distinct(name, 0.02).alias("n"))
     counts = materialize(counts.select("sample_kind", F.least(F.lit(1.0), F.lit(float(per_kind)) / F.col("n")).alias(share)), "shares")
     if counts.count() <= _MOST_KINDS:
         counts = F.broadcast(counts)
-    at = F.pmod(F.col(name), F.lit(1 << 30)) / float(1 << 30)
     kept = placed.join(counts, F.col(kind) == F.col("sample_kind")).where(at < F.col(share))
     return kept.dropDuplicates([kind, name]).select(rows.columns)
 

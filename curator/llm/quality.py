@@ -135,12 +135,12 @@ def fit(
     Half of each kind estimates the class prior with a model fitted on the other half.
     """
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg((F.max(label_col) == 1).alias("good"))
-    good = sample_rows(known.where("good"), ["label_id"], "good", n_positive)
+    good = sample_rows(known.where("good"), ["label_id"], None, n_positive)
     text = narrow(docs, id_col, text_col)
     vector = _vector()
     p = text.join(F.broadcast(good), text["doc_id"] == good["label_id"]).select("doc_id", vector("text").alias("v"))
     p = rows_of_ids(p, "doc_id", rows_per_id).select("v").collect()
-    u = sample_rows(text.withColumn("any", F.lit(True)), ["doc_id", "text"], "any", n_unlabelled).select(vector("text").alias("v")).collect()
+    u = sample_rows(text, ["doc_id", "text"], None, n_unlabelled).select(vector("text").alias("v")).collect()
     if not p or not u:
         return None
     p, u = (np.stack([np.frombuffer(v, np.float32) for v in sorted(bytes(r["v"]) for r in rows)]) for rows in (p, u))
