@@ -182,20 +182,22 @@ def match_evidence(pred: DataFrame, gold: DataFrame, keys: Sequence[str] = ("pro
     """Gold evidence that some predicted evidence hits.
 
     Same project and path suffix, then the same symbol or overlapping lines.
-    Predicted lines are masks per file and cell, so a busy file does not compare
-    all of its ranges; the symbol is an equi key of its own.
-    pred: keys, path, line_start, line_end, symbol; gold: gold_id, the same.
+    Paths meet first, each distinct one once; only predictions under a path that is asked for are cut into cells. Their
+    lines are masks per asked path and cell, so a busy file does not compare all of its ranges; the symbol is an equi key
+    of its own. pred: keys, path, line_start, line_end, symbol; gold: gold_id, the same.
     """
+    keys = list(keys)
     p = pred.select(*keys, _path(F.col("path")).alias("path"), "line_start", "line_end", F.col("symbol").alias("_symbol"))
-    g = gold.select(*keys, "path", "gold_id", "line_start", "line_end", F.col("symbol").alias("_symbol"))
-    by_symbol = _path_suffix_join(
-        p.where("coalesce(_symbol, '') <> ''").select(*keys, "path", "_symbol").distinct(),
-        g.where("coalesce(_symbol, '') <> ''"), [*keys, "_symbol"],
-    ).select("gold_id")
+    g = gold.select(*keys, _path(F.col("path")).alias("_asked_path"), "gold_id", "line_start", "line_end", F.col("symbol").alias("_symbol"))
+    observed = p.select(*keys, "path").distinct().withColumn("_file", F.col("path"))
+    met = _path_suffix_join(observed, g.select(*keys, F.col("_asked_path").alias("path")).distinct().withColumn("_asked_path", F.col("path")), keys)
+    p = p.withColumnRenamed("path", "_file").join(met, [*keys, "_file"]).drop("_file")
+    by_symbol = p.where("coalesce(_symbol, '') <> ''").select(*keys, "_asked_path", "_symbol").distinct().join(
+        g.where("coalesce(_symbol, '') <> ''"), [*keys, "_asked_path", "_symbol"]).select("gold_id")
     touched = lambda df: df.withColumn("_c", F.explode(cells(F.col("line_start"), F.col("line_end")))).withColumn("_cell", F.col("_c.cell"))
-    covered = touched(p).groupBy(*keys, "path", "_cell").agg(F.bit_or(F.col("_c.mask")).alias("_covered"))
-    asked = touched(g).select(*keys, "path", "gold_id", "_cell", F.col("_c.mask").alias("_asked"))
-    by_line = _path_suffix_join(covered, asked, [*keys, "_cell"]).where(
+    covered = touched(p).groupBy(*keys, "_asked_path", "_cell").agg(F.bit_or(F.col("_c.mask")).alias("_covered"))
+    asked = touched(g).select(*keys, "_asked_path", "gold_id", "_cell", F.col("_c.mask").alias("_asked"))
+    by_line = covered.join(asked, [*keys, "_asked_path", "_cell"]).where(
         F.col("_covered").bitwiseAND(F.col("_asked")) != 0
     ).select("gold_id")
     return by_symbol.unionByName(by_line).distinct()
