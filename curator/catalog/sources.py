@@ -12,6 +12,7 @@ from curator.plans.items import page_times
 from curator.runtime import load, scratch_path
 from curator.sinks import render, writers
 from curator.sources import feeds, landing, registry, releases
+from curator.sources.splitting import json_array_entries, xml_entries
 
 _K = "cast(json_extract(props, '$.k') as bigint)"
 
@@ -235,6 +236,35 @@ def s01hub(spark, root):
     return feeds.read_hub_index(raw).select("source_id", "url", "title", "summary", F.unix_seconds("observed_at").alias("seconds"), "category")
 
 
+def _payload_files(spark, root, entry, opens, between, closes):
+    """A landed file for every 64 document ids, with an entry per document in their order."""
+    part = F.floor(F.col("doc_id") / 64).alias("part")
+    listed = load(spark, root, "documents").groupBy(part).agg(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))).alias("l"))
+    path = scratch_path(spark, "payloads")
+    listed.select("part", F.concat(F.lit(opens), F.array_join(F.col("l")["e"], between), F.lit(closes)).alias("value")).write.partitionBy("part").text(path)
+    return path
+
+
+@query("s01_split_array_entries", """
+select doc_id as id, row_number() over (partition by doc_id // 64 order by doc_id) - 1 as place, sha256(text) as digest, '}]{"' || lang as mark from documents""")
+def s01split(spark, root):
+    entry = F.to_json(F.struct(F.col("doc_id").alias("id"), "text", F.struct(F.concat(F.lit('}]{"'), "lang").alias("m")).alias("in")))
+    found = json_array_entries(spark, _payload_files(spark, root, entry, "[", ",\n", "]"))
+    field = lambda name: F.get_json_object("entry", name)
+    return found.select(field("$.id").cast("long").alias("id"), "place", F.sha2(field("$.text"), 256).alias("digest"), field("$.in.m").alias("mark"))
+
+
+@query("s07_split_feed_entries", """
+select doc_id as id, row_number() over (partition by doc_id // 64 order by doc_id) - 1 as place, sha256(text) as digest from documents""")
+def s07split(spark, root):
+    entry = cat("<item><guid>", F.col("doc_id").cast("string"), "</guid><description>", xml(F.col("text")), "</description></item>")
+    found = xml_entries(spark, _payload_files(spark, root, entry, "<rss><channel><title>x</title>", "\n", "</channel></rss>"))
+    body = F.regexp_extract("entry", "(?s)<description>(.*)</description>", 1)
+    for a, b in (("&quot;", '"'), ("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&")):
+        body = F.replace(body, F.lit(a), F.lit(b))
+    return found.select(F.regexp_extract("entry", "<guid>([0-9]+)</guid>", 1).cast("long").alias("id"), "place", F.sha2(body, 256).alias("digest"))
+
+
 @query("s08_validate_payloads", """
 select p_partkey::varchar as source_id, case p_type when 'SMALL' then 'invalid JSON' when 'LARGE' then 'an object with an items list is required' when 'PROMO' then '<rss> XML is required, got <feed>' when 'MEDIUM' then 'invalid XML' end as error
 from part where p_type in ('SMALL', 'LARGE', 'PROMO', 'MEDIUM')""")
