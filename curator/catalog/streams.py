@@ -172,6 +172,21 @@ def t08(spark, root):
     return spark.read.parquet(path).select("event_id")
 
 
+@query("t08_suppress_growing", """
+select event_id from events a where event_type <> 'error' and not exists (select 1 from events b where b.event_type = 'error' and b.user_id = a.user_id and b.ts < a.ts and b.ts >= a.ts - interval 5 day)""")
+def t08g(spark, root):
+    # The log of errors grows beside the events that they suppress; rows far ahead on both sides let the watermarks pass the last ones.
+    base, events = scratch_path(spark, "growing"), load(spark, root, "events")
+    sides = {"asked": events.where("event_type <> 'error'").select("event_id", "user_id", "ts"), "log": events.where("event_type = 'error'").select("user_id", "ts")}
+    for step, year in enumerate((None, 2032, 2036)):
+        for name, rows in sides.items():
+            ahead = spark.range(1).select(*[F.lit(-1).cast("long").alias(c) for c in rows.columns if c != "ts"], F.lit(f"{year}-01-01").cast("timestamp").alias("ts"))
+            (rows if year is None else ahead).select(rows.columns).write.parquet(f"{base}/{name}/part={step}")
+        streams = [spark.readStream.schema(rows.schema).parquet(f"{base}/{name}/part=*") for name, rows in sides.items()]
+        jobs.stream_suppress_growing(*streams, f"{base}/table", f"{base}/checkpoint", "user_id", "ts", 5, late="400 days")
+    return spark.read.parquet(f"{base}/table").where("event_id >= 0").select("event_id")
+
+
 @query("t09_notices", f"""
 select event_type as issue_key, count(distinct (least({_K}, user_id), greatest({_K}, user_id)))::bigint as notices from events group by 1""")
 def t09(spark, root):
