@@ -308,17 +308,14 @@ def test_licence_files_as_they_are_published(spark):
 
 def test_sentences_are_written_as_they_are_compared(spark):
     rows = spark.createDataFrame([(s,) for s in licenses.SENTENCES], "s string")
-    assert all(r.s == r.n and r.h for r in rows.select("s", licenses.normalised(rows["s"]).alias("n"), rows["s"].rlike(licenses.HINT).alias("h")).collect())
+    assert all(r.s == r.n and r.h for r in rows.select("s", licenses.normalised(rows["s"]).alias("n"), licenses.hinted(rows["s"]).alias("h")).collect())
     known = set(licenses.SENTENCES.values())
     assert all(i in known for _, ids in licenses.RULES for i in ids)
 
 
-def test_every_sentence_holds_a_hint_whatever_stands_between_its_words():
-    import re
-
+def test_every_sentence_holds_a_hint_inside_a_word():
     for sentence in licenses.SENTENCES:
-        for between in (" ", "\n", "  ", "\n * ", "\t"):
-            assert re.search(licenses.HINT, sentence.replace(" ", between)), sentence
+        assert any(h in word for h in licenses.HINTS for word in sentence.split()), sentence
     assert {i for ids in licenses.RULES for i in ids[1]} <= set(licenses.SENTENCES.values())
 
 
