@@ -16,8 +16,17 @@ from curator.runtime import materialize
 from curator.streaming.core import append_table, each_batch, keyed_state, write_updates
 
 
+#: Keys are folded in so many buckets: a call of Python handles all keys of one bucket, whose state is an entry per key.
+#: The state of a checkpoint is kept by bucket, so the number stays what it is.
+BUCKETS = 4096
+
+
+def _bucket(key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket")
+
+
 class _IngestState:
-    """The content of one key: what it held first."""
+    """The contents of the keys of one bucket: what each held first."""
 
     columns = ["name", "hash", "row", "fresh"]
 
@@ -26,29 +35,34 @@ class _IngestState:
 
     def init(self, handle) -> None:
         ttl = int(self.remember * 3_600_000) if self.remember else None
-        self.state = handle.getValueState("content", T.StructType([T.StructField("hash", T.StringType())]), ttl)
+        self.state = handle.getMapState(
+            "contents", T.StructType([T.StructField("name", T.StringType())]), T.StructType([T.StructField("hash", T.StringType())]), ttl)
 
     def handleInputRows(self, key, rows, timer_values):
         import pandas as pd
 
-        held = self.state.get()
-        held, best = held[0] if held else None, None  # best: the row of the least content so far, while the key is new
+        known, held, best = self.state.exists(), {}, {}  # held: by name, None while new; best: the row of its least content so far
         for chunk in rows:
-            chunk = chunk.drop_duplicates("hash")
-            if held is None:
-                chunk = chunk if best is None else pd.concat([best, chunk], ignore_index=True).drop_duplicates("hash")
-                chunk = chunk.sort_values("hash", kind="stable", ignore_index=True)
-                best, others = chunk.iloc[:1], chunk.iloc[1:]
-            else:
-                others = chunk[chunk["hash"] != held]
-            if len(others):
-                yield others.assign(fresh=False)[self.columns]
-        if best is None:
-            # Names the recorded content for the conflicts of this batch.
-            yield pd.DataFrame([[key[0], held, None, None]], columns=self.columns, dtype=object)
-        else:
-            self.state.update((best["hash"].iloc[0],))
-            yield best.assign(fresh=True)[self.columns]
+            chunk = chunk.drop_duplicates(["name", "hash"])
+            others = []
+            for name, content, row in zip(chunk["name"], chunk["hash"], chunk["row"], strict=True):
+                if name not in held:
+                    entry = self.state.getValue((name,)) if known else None
+                    held[name] = entry[0] if entry else None
+                if held[name] is None and name not in best:
+                    best[name] = (content, row)
+                elif held[name] is None and content < best[name][0]:
+                    others.append((name, *best[name], False))
+                    best[name] = (content, row)
+                elif content != (best[name][0] if held[name] is None else held[name]):
+                    others.append((name, content, row, False))
+            if others:
+                yield pd.DataFrame(others, columns=self.columns, dtype=object)
+        for name, (content, _) in best.items():
+            self.state.updateValue((name,), (content,))
+        # Names the recorded contents for the conflicts of this batch.
+        named = [(name, *best[name], True) if content is None else (name, content, None, None) for name, content in held.items()]
+        yield pd.DataFrame(named, columns=self.columns, dtype=object)
 
     def close(self) -> None:
         pass
@@ -60,14 +74,14 @@ def stream_ingest(stream: DataFrame, path: str, checkpoint: str, key: str, conte
     Rows go to `path/log`, conflicts to `path/conflicts`, one folder per micro-batch. What a key held first is keyed state
     in RocksDB, so the work of a micro-batch follows its own rows and not the log. A key is remembered for good, or for
     `remember_hours` after its content was recorded. Of several contents of a key in one micro-batch, which has no order,
-    the least hash is its content; rows without a hash are passed over, null is a key. The rows of a key are handled in
-    chunks, of which the best row is kept.
+    the least hash is its content; rows without a hash are passed over, null is a key. Keys are handled by bucket, the rows of
+    a bucket in chunks, of which the best row of every key is kept.
     """
     name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("name")
     slim = stream.where(F.col(content_hash).isNotNull()).select(
         name, F.col(content_hash).cast("string").alias("hash"), F.struct(*stream.columns).alias("row"))
     kinds = T.StructType([*[T.StructField(f.name, f.dataType) for f in slim.schema.fields], T.StructField("fresh", T.BooleanType())])
-    judged = slim.groupBy("name").transformWithStateInPandas(
+    judged = slim.select("*", _bucket("name")).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_processor(_IngestState, remember_hours), outputStructType=kinds, outputMode="append",
         timeMode="processingTime" if remember_hours else "none")
 

@@ -190,3 +190,17 @@ def test_a_notice_may_be_sent_again_after_it_is_forgotten(spark, tmp_path):
         feed(spark, folder, [("w", ["a"], [], day(n)), (f"other{n}", ["a"], [], day(n))], schema, step)
         jobs.stream_notices(source(spark, folder, schema), out, str(tmp_path / "cp"), "at", "7 days")
     assert spark.read.parquet(out).where("issue_key = 'w'").count() == 2
+
+
+def test_keys_of_one_bucket_keep_their_own_state(spark, tmp_path, monkeypatch):
+    # One bucket for all keys: one call of Python handles them, and each has its own entry.
+    monkeypatch.setattr(jobs, "BUCKETS", 1)
+    schema, folder, out = "run_id long, content string", str(tmp_path / "in"), str(tmp_path / "out")
+    steps = ([(i, c) for i in range(40) for c in ("m", "k")], [(i, "k" if i % 2 else "z") for i in range(80)], [(None, "a"), (41, "k"), (2, "k"), (2, "z")])
+    for step, rows in enumerate(steps):
+        feed(spark, folder, rows, schema, step)
+        jobs.stream_ingest(source(spark, folder, schema), out, str(tmp_path / "cp"), "run_id", "content")
+    log = sorted(map(tuple, spark.read.parquet(f"{out}/log").select("run_id", "content").collect()), key=str)
+    assert log == sorted([(i, "k") for i in range(40)] + [(i, "k" if i % 2 else "z") for i in range(40, 80)] + [(None, "a")], key=str)
+    conflicts = sorted(map(tuple, spark.read.parquet(f"{out}/conflicts").select("batch", "run_id", "content", "recorded_hash").collect()))
+    assert conflicts == [(0, i, "m", "k") for i in range(40)] + [(1, i, "z", "k") for i in range(0, 40, 2)] + [(2, 2, "z", "k")]
