@@ -264,7 +264,7 @@ def stream_periods(stream: DataFrame, path: str, checkpoint: str, at: str, ranki
 
 
 class _LifecycleState(_InOrder):
-    """Current status of one release, re-opened by a policy or content change.
+    """Current statuses of the releases of one bucket, re-opened by a policy or content change.
 
     Rows of one micro-batch are handled by `seq`; a row of a later micro-batch comes after them, whatever its `seq`.
     """
@@ -272,20 +272,26 @@ class _LifecycleState(_InOrder):
     order = "seq"
 
     def begin(self, handle) -> None:
-        self.state = handle.getValueState("entry", T.StructType([
+        self.state = handle.getMapState("entries", T.StructType([T.StructField("name", T.StringType())]), T.StructType([
             T.StructField("status", T.StringType()), T.StructField("policy_version", T.StringType()), T.StructField("content_hash", T.StringType()),
         ]))
 
     def start(self) -> None:
-        held = self.state.get()
-        self.now = tuple(held) if held else (None, None, None)
+        self.known, self.now, self.changed = self.state.exists(), {}, set()
+
+    def entry(self, name: str) -> tuple:
+        held = self.state.getValue((name,)) if self.known else None
+        return tuple(held) if held else (None, None, None)
 
     def fold(self, key, rows):
         import pandas as pd
 
-        status, policy, content = self.now
         out = []
         for row in rows.itertuples():
+            name = "" if row.release_key is None else f"={row.release_key}"
+            if name not in self.now:
+                self.now[name] = self.entry(name)
+            status, policy, content = self.now[name]
             if row.event == "decision":
                 # A decision settles only what is waiting for one.
                 new = {"accept": "accepted", "reject": "rejected"}.get(row.verdict) if status in ("pending_review", "review_failed") else None
@@ -299,14 +305,14 @@ class _LifecycleState(_InOrder):
                 continue
             if row.event != "decision":
                 policy, content = row.policy_version, row.content_hash
-            status = new
-            out.append({"release_key": key[0], "seq": row.seq, "status": status, "policy_version": policy})
-        self.now = (status, policy, content)
+            self.now[name] = (new, policy, content)
+            self.changed.add(name)
+            out.append({"release_key": row.release_key, "seq": row.seq, "status": new, "policy_version": policy})
         return pd.DataFrame(out, columns=["release_key", "seq", "status", "policy_version"])
 
     def finish(self) -> None:
-        if self.now[0] is not None:
-            self.state.update(self.now)
+        for name in self.changed:
+            self.state.updateValue((name,), self.now[name])
 
 
 LIFECYCLE_SCHEMA = T.StructType([
@@ -320,9 +326,11 @@ def stream_ledger(stream: DataFrame, path: str, checkpoint: str, held_rows: int
 
     stream: release_key, seq, event ('record' or 'decision'), verdict (for a
     record: pending_review, filtered, withdrawn or no_longer_qualifying; for a
-    decision: accept or reject), policy_version, content_hash, item_type. At most `held_rows` rows of a release are in memory.
+    decision: accept or reject), policy_version, content_hash, item_type. Releases are handled by bucket, at most `held_rows`
+    rows of one in memory, and what is held of each of its releases in the micro-batch.
     """
-    log = stream.groupBy("release_key").transformWithStateInPandas(
+    rows = stream.select("release_key", "seq", "event", "verdict", "policy_version", "content_hash", "item_type", _bucket("release_key"))
+    log = rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_processor(_LifecycleState, held_rows), outputStructType=LIFECYCLE_SCHEMA, outputMode="append", timeMode="none"
     )
     with keyed_state(stream.sparkSession):

@@ -204,3 +204,22 @@ def test_keys_of_one_bucket_keep_their_own_state(spark, tmp_path, monkeypatch):
     assert log == sorted([(i, "k") for i in range(40)] + [(i, "k" if i % 2 else "z") for i in range(40, 80)] + [(None, "a")], key=str)
     conflicts = sorted(map(tuple, spark.read.parquet(f"{out}/conflicts").select("batch", "run_id", "content", "recorded_hash").collect()))
     assert conflicts == [(0, i, "m", "k") for i in range(40)] + [(1, i, "z", "k") for i in range(0, 40, 2)] + [(2, 2, "z", "k")]
+
+
+def test_releases_of_one_bucket_keep_their_own_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "BUCKETS", 1)
+    schema = "release_key string, seq long, event string, verdict string, policy_version string, content_hash string, item_type string"
+    record = lambda key, seq, verdict="pending_review", policy="1": (key, seq, "record", verdict, policy, "h", "release")
+    steps = (
+        [record(f"k{i}", i) for i in range(30)] + [record(None, 5)], [(f"k{i}", 100 - i, "decision", "accept", None, None, None) for i in range(0, 30, 2)],
+        [record(f"k{i}", 200, "filtered") for i in range(30)] + [record(None, 200, "filtered", "2")])
+    got = []
+    for held in (None, 7):
+        folder, out = str(tmp_path / f"in{held}"), str(tmp_path / f"out{held}")
+        for step, rows in enumerate(steps):
+            feed(spark, folder, rows, schema, step)
+            jobs.stream_ledger(source(spark, folder, schema), out, str(tmp_path / f"cp{held}"), held)
+        got.append(sorted(map(tuple, spark.read.parquet(out).collect()), key=str))
+    want = [(f"k{i}", i, "pending_review", "1") for i in range(30)] + [(None, 5, "pending_review", "1"), (None, 200, "filtered", "2")]
+    want += [(f"k{i}", 100 - i, "accepted", "1") for i in range(0, 30, 2)] + [(f"k{i}", 200, "filtered", "1") for i in range(1, 30, 2)]
+    assert got[0] == got[1] == sorted(want, key=str)
