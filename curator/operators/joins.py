@@ -24,12 +24,14 @@ def map_advisories(advisories: DataFrame, sources: DataFrame) -> DataFrame:
     """The first registered source named by an advisory's location or packages.
 
     advisories: advisory_id, location, packages[]; sources: source_id, ord,
-    repository, aliases[]. The disjunction is two equi joins.
+    repository, aliases[]. The disjunction is two equi joins, each with the first source of every key, so an advisory
+    meets one row per key, however many sources share it.
     """
     home = F.concat(F.lit("https://github.com/"), F.col("repository"))
     clean = lambda c: F.regexp_replace(F.lower(c), r"/+$", "")
-    by_home = sources.select(clean(home).alias("_key"), "ord", "source_id")
-    by_alias = sources.select(F.explode("aliases").alias("_a"), "ord", "source_id").select(F.lower("_a").alias("_key"), "ord", "source_id")
+    first = lambda df: df.groupBy("_key").agg(F.min_by("source_id", "ord").alias("source_id"), F.min("ord").alias("ord"))
+    by_home = first(sources.select(clean(home).alias("_key"), "ord", "source_id"))
+    by_alias = first(sources.select(F.explode("aliases").alias("_a"), "ord", "source_id").select(F.lower("_a").alias("_key"), "ord", "source_id"))
     located = advisories.select("advisory_id", clean(F.col("location")).alias("_key")).join(by_home, "_key")
     packaged = advisories.select("advisory_id", F.explode("packages").alias("_p")).select("advisory_id", F.lower("_p").alias("_key")).join(by_alias, "_key")
     found = located.unionByName(packaged).groupBy("advisory_id").agg(F.min_by("source_id", "ord").alias("source_id"))

@@ -274,3 +274,15 @@ def test_rules_come_from_a_table(spark):
     for version in ("8", "9"):
         with pytest.raises(ValueError):
             ScoreConfig.from_table(table, version)
+
+
+def test_an_advisory_meets_one_source_per_key(spark):
+    sources = [(i, 1000 - i, "o/shared" if i % 2 else f"o/r{i}", ["Pkg", f"p{i}"]) for i in range(60)] + [(None, None, "o/r2", ["null"])]
+    advisories = [(f"h{i}", "https://GitHub.com/o/shared/", ["x"]) for i in range(40)] + [("a", "", ["PKG", "p3"]), ("b", "https://github.com/o/r4", None), ("c", None, ["P7"]), ("d", "", ["null"])]
+    found = joins.map_advisories(
+        spark.createDataFrame(advisories, "advisory_id string, location string, packages array<string>"),
+        spark.createDataFrame(sources, "source_id long, ord long, repository string, aliases array<string>"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [_key") == 2  # both kinds of key are reduced to their first source before they meet advisories
+    got = {r.advisory_id: r.source_id for r in found.collect()}
+    assert got == {f"h{i}": 59 for i in range(40)} | {"a": 59, "b": 4, "c": 7, "d": None}
