@@ -255,3 +255,20 @@ def test_all_keywords_of_a_record(one):
     title = " ".join(f"word{i}" for i in range(30))
     few, every = (one(text.record_keywords(F.col("t"), F.lit("https://h/a/last"), n), t=title) for n in (text.KEYWORDS, None))
     assert few == every[:12] and len(every) == 32 and every[-1] == "last"
+
+
+@pytest.mark.parametrize("name, module", [("split_statements", "text"), ("passages_of", "markup")])
+def test_long_batches_are_cut_in_pieces(monkeypatch, name, module):
+    import importlib
+
+    import pyarrow as pa
+
+    module, text = importlib.import_module(f"curator.functions.{module}"), importlib.import_module("curator.functions.text")
+    udf = getattr(module, name).func
+    rows = [None, "", " \n", "One. Two! Three", "# A\n\nfirst\n\n# B\n\nsecond. " + "word " * 900] * 60
+    whole, seen = udf(pa.array(rows)), []
+    make = pa.array
+    monkeypatch.setattr(text, "_PIECE", 7)
+    monkeypatch.setattr(text.pa, "array", lambda values, **kind: seen.append(len(values)) or make(values, **kind))
+    assert udf(make(rows)).equals(whole) and max(seen) == 7 and sum(seen) == len(rows)
+    assert udf(make([], pa.string())).to_pylist() == []
