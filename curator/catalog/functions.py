@@ -8,7 +8,7 @@ from curator.catalog import sqltext as S
 from curator.catalog.registry import query
 from curator.functions import ids, links, markup, paths, spans, text, times, urls
 from curator.operators import windows
-from curator.runtime import load
+from curator.runtime import load, spread
 
 
 @query("f01_normalize_url", f"select page_id, url, {S.normalize_url('url')} as normalized from pages")
@@ -241,16 +241,19 @@ def f16(spark, root):
     repo = F.regexp_replace(home, "^https://github.com/", "")
     size = F.col("p_size").cast("string")
     of = lambda tail: urls.classify_repo_url(F.concat(home, *tail))
-    return load(spark, root, "part").select(
-        "p_partkey",
-        of([F.lit(".git")])["kind"].alias("repo_kind"), of([])["repository"].alias("repository"),
-        of([F.lit("/releases/tag/v"), size])["kind"].alias("release_kind"), of([F.lit("/releases/tag/v"), size])["ref"].alias("release_ref"),
-        of([F.lit("/pull/"), size])["kind"].alias("pull_kind"), of([F.lit("/pull/"), size])["ref"].alias("pull_ref"),
-        of([F.lit("/tree/main/src")])["kind"].alias("tree_kind"), of([F.lit("/tree/main/src")])["ref"].alias("tree_ref"),
+    # Each page is classified once; the table is small for what its rows cost.
+    pages = spread(load(spark, root, "part").select("p_partkey", "p_brand", "p_name", "p_size")).select(
+        "p_partkey", of([F.lit(".git")]).alias("repo"), of([]).alias("plain"), of([F.lit("/releases/tag/v"), size]).alias("release"),
+        of([F.lit("/pull/"), size]).alias("pull"), of([F.lit("/tree/main/src")]).alias("tree"),
         urls.classify_repo_url(F.concat(F.lit("https://example.org/"), repo)).isNull().alias("plain_host_rejected"),
         urls.release_tag(F.concat(home, F.lit("/releases/tag/v"), size, F.lit("%2Bb")), F.lit("")).alias("tag"),
         urls.pinned_blob_path(F.concat(home, F.lit("/blob/abc/docs/a.md")), repo, F.lit("abc")).alias("pinned"),
     )
+    return pages.select(
+        "p_partkey", F.col("repo.kind").alias("repo_kind"), "plain.repository", F.col("release.kind").alias("release_kind"), F.col("release.ref").alias("release_ref"),
+        F.col("pull.kind").alias("pull_kind"), F.col("pull.ref").alias("pull_ref"), F.col("tree.kind").alias("tree_kind"), F.col("tree.ref").alias("tree_ref"),
+        "plain_host_rejected", "tag", "pinned",
+    )
 
 
 @query("f17_address_ranges", """

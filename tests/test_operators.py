@@ -286,3 +286,15 @@ def test_an_advisory_meets_one_source_per_key(spark):
     assert plan.count("Aggregate [_key") == 2  # both kinds of key are reduced to their first source before they meet advisories
     got = {r.advisory_id: r.source_id for r in found.collect()}
     assert got == {f"h{i}": 59 for i in range(40)} | {"a": 59, "b": 4, "c": 7, "d": None}
+
+
+def test_costly_rows_of_one_file_are_dealt_over_all_cores(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.range(400).selectExpr("id as p_partkey", "'Brand#1' as p_brand", "'red ring' as p_name", "cast(id as int) as p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(400).selectExpr(
+        "id as event_id", "'view' as event_type", "id as user_id", "cast(id as double) as value", "timestamp '2024-01-01' as ts", """concat('{"k": ', id, '}') as props"""
+    ).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("f16_classify_repo_url", "v01_candidate_contract"):
+        found = entry.queries()[name](spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and found.count() > 0
