@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curator.catalog.registry import query
 from curator.operators.provenance import validate_provenance
-from curator.runtime import load
+from curator.runtime import dealt, load
 
 _TABLES = """
 with lines as (select l_orderkey // 16 as run_id, 'o/r' || l_suppkey as repository, l_partkey as p, l_quantity as q, l_linestatus as s from lineitem),
@@ -42,12 +42,13 @@ union all select run_id, 'deep_read_repositories', 'not_screened' from reads d w
 union all select run_id, 'screened_candidates', 'repeated' from candidates group by run_id, repository having count(*) > 1
 union all select run_id, 'deep_read_repositories', 'repeated' from reads group by run_id, repository having count(*) > 1""")
 def v01p(spark, root):
-    run = lambda c: F.floor(F.col(c) / 16).alias("run_id")
-    orders, customer = load(spark, root, "orders"), F.col("o_custkey")
-    lines = load(spark, root, "lineitem").select(
-        run("l_orderkey"), F.concat(F.lit("o/r"), F.col("l_suppkey").cast("string")).alias("repository"), F.col("l_partkey").alias("p"), F.col("l_quantity").alias("q"), "l_linestatus")
+    run = lambda c: F.floor(F.col(c) / 16)
+    lines, orders = dealt("run_id", *(load(spark, root, t).withColumn("run_id", run(c)) for t, c in (("lineitem", "l_orderkey"), ("orders", "o_orderkey"))))
+    customer = F.col("o_custkey")
+    lines = lines.select(
+        "run_id", F.concat(F.lit("o/r"), F.col("l_suppkey").cast("string")).alias("repository"), F.col("l_partkey").alias("p"), F.col("l_quantity").alias("q"), "l_linestatus")
     queries = orders.where("o_orderstatus <> 'P'").select(
-        run("o_orderkey"), F.when(customer % 11 == 0, " ").when(customer % 13 == 0, F.repeat(F.lit("q"), 501)).otherwise(F.col("o_orderpriority")).alias("query"),
+        "run_id", F.when(customer % 11 == 0, " ").when(customer % 13 == 0, F.repeat(F.lit("q"), 501)).otherwise(F.col("o_orderpriority")).alias("query"),
         F.when(customer % 17 == 0, None).when(customer % 5 == 0, "adjacent").otherwise("direct").alias("lane"))
     page = F.when(F.col("p") % 17 == 0, "other/x").when(F.col("p") % 19 == 0, F.concat("repository", F.lit("/releases/tag/v1"))).otherwise(F.col("repository"))
     candidates = lines.where("l_linestatus = 'O'").select(
@@ -55,7 +56,7 @@ def v01p(spark, root):
         F.when(F.col("q") == 2, None).when(F.col("q") == 3, F.repeat(F.lit("d"), 1001)).otherwise("d").alias("description"))
     reads = lines.where("q > 42").select("run_id", "repository")
     first = F.min("o_custkey").alias("c")
-    runs = orders.groupBy(run("o_orderkey")).agg(first).join(reads.groupBy("run_id").agg(F.min("repository").alias("one")), "run_id", "left").select(
+    runs = orders.groupBy("run_id").agg(first).join(reads.groupBy("run_id").agg(F.min("repository").alias("one")), "run_id", "left").select(
         "run_id", F.concat(F.when(F.col("c") % 9 == 0, "https://gitlab.com/").otherwise("https://github.com/"), F.when(F.col("c") % 6 == 0, "o/r1").otherwise(F.col("one"))).alias("url"),
         F.when(F.col("c") % 8 == 0, "o/none").when(F.col("c") % 7 != 0, F.col("one")).alias("selected_repository"))
     return validate_provenance(runs, queries, candidates, reads).drop("message")

@@ -21,7 +21,7 @@ def orders(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["v02_opportunities", "v01_issue_items", "v02_final_issues", "v02_group_rules", "v03_decisions"])
+@pytest.mark.parametrize("name", ["v02_opportunities", "v01_issue_items", "v02_final_issues", "v02_group_rules", "v01_provenance", "v03_decisions"])
 def test_rows_of_one_task_are_bounded(spark, orders, monkeypatch, name):
     rows = lambda: sorted(map(str, QUERIES[name](spark, orders).collect()))
     want = rows()
