@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from curator import constants as K
 from curator.catalog.registry import query
-from curator.runtime import load
+from curator.runtime import dealt, load
 from curator.sinks.article import article_lines, information_lines
 
 _CATEGORIES = "[" + ", ".join(f"'{c}'" for c in K.CATEGORIES) + "]"
@@ -91,7 +91,8 @@ def k02a(spark, root):
         day("o_orderdate").alias("window_end"), F.col("o_orderdate").cast("timestamp").alias("prepared_at"), F.when(n % 2 == 0, "few").alias("shortfall_reason"),
         _text("verification_note", "note ", n), F.when(n % 3 == 0, n).alias("screened_count"), F.lit(5).alias("verified_count"), day("o_orderdate").alias("checked_through"))
     shipped = F.col("l_shipdate").cast("timestamp")
-    items = lines.select(
+    # Items go to their issues as rows of numbers; their texts are made there.
+    items = dealt("l_orderkey", lines)[0].select(
         issue, place, pick(K.CATEGORIES, part % 8).alias("category"), pick(K.KINDS, F.col("l_suppkey") % 4).alias("kind"), (F.col("l_quantity") > 40).alias("featured"),
         _text("title", "T", part), _text("url", "https://h/", part), _text("summary", "s", F.col("l_linenumber")), _text("reason", "r", F.col("l_suppkey"), "。"),
         F.lit("devs；").alias("audience"), F.lit("free").alias("usage_conditions"), _text("detail", "detail ", F.col("l_linenumber")), F.lit("keep").alias("retention_reason"),
