@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curator.llm.common import materialize, narrow, partitions
+from curator.llm.common import by_number, materialize, narrow, partitions, shuffled
 from curator.llm.components import connected
 
 BITS = 64
@@ -92,16 +92,17 @@ def links(nodes: DataFrame, distance: int = 4, crowd: int = 256) -> DataFrame:
         F.col("v.slot").alias("slot"), F.col("bits").bitwiseAND(F.col("v.keep")).alias("part"), "bits")
     key = ["slot", "part"]
     full = materialize(index.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select(key), "crowds")
-    some = not full.isEmpty()
-    sparse = index.join(full, key, "left_anti") if some else index
-    a, b = sparse.alias("a"), sparse.alias("b")
+    some = full.count()
+    sparse = index.join(by_number(full, some), key, "left_anti") if some else index
+    # Spark sizes the index like the nodes, of which it has 64 rows each: it must not be broadcast.
+    a, b = sparse.alias("a"), shuffled(sparse).alias("b")
     met = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.bits") < F.col("b.bits"))
     near = _near_here(F.col("a.slot"), F.col("a.bits").bitwiseXOR(F.col("b.bits")), spans, slots, distance)
     pairs = a.join(b, met & near).select(F.col("a.bits").alias("a"), F.col("b.bits").alias("b"))
     if not some:
         return pairs
     near_values = [_signed(sum(1 << i for i in c)) for r in range(distance // 2 + 1) for c in combinations(range(BITS), r)]
-    balls = index.join(full, key, "left_semi").select("bits").distinct().repartition("bits").select(
+    balls = index.join(by_number(full, some), key, "left_semi").select("bits").distinct().repartition("bits").select(
         "bits", F.explode(F.array(*[F.lit(x) for x in near_values])).alias("x")
     ).select("bits", F.col("bits").bitwiseXOR(F.col("x")).alias("centre"))
     # A ball holds at most len(near_values) fingerprints, so a window over one is bounded.
@@ -136,7 +137,7 @@ def near_duplicates(
     rows = materialize(fingerprints(docs, id_col, text_col, words), "simhash")
     nodes = materialize(rows.groupBy("bits").agg(F.min("doc_id").alias("first")), "nodes")
     found = connected(links(nodes.select("bits"), distance, crowd)).withColumnRenamed("node", "bits")
-    labels = nodes.join(found, "bits", "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
+    labels = nodes.join(shuffled(found), "bits", "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
     named = labels.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = labels.join(named, "root").select("bits", "component_id")
-    return rows.join(labels, "bits").select("doc_id", "bits", "component_id")
+    labels = labels.join(shuffled(named), "root").select("bits", "component_id")
+    return rows.join(shuffled(labels), "bits").select("doc_id", "bits", "component_id")
